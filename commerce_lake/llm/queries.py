@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import op5_jaccard_join as op5
 from . import op8_substring_dedup as op8
 
 QUERIES = {
+    "op5_jaccard_join": op5.op5_jaccard_join,
     "op8_substring_dedup": op8.op8_substring_dedup,
 }
 
