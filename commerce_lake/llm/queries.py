@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from . import op5_jaccard_join as op5
+from . import op6_mixing as op6
 from . import op8_substring_dedup as op8
+from . import op9_token_output as op9
 
 QUERIES = {
     "op5_jaccard_join": op5.op5_jaccard_join,
+    "op6_mixing": op6.op6_mixing,
     "op8_substring_dedup": op8.op8_substring_dedup,
+    "op9_token_output": op9.op9_token_output,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": op6.ORACLE_SQL}
