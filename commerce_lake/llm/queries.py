@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op10_warc as op10
 from . import op5_jaccard_join as op5
 from . import op6_mixing as op6
 from . import op8_substring_dedup as op8
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_mixing": op6.op6_mixing,
     "op8_substring_dedup": op8.op8_substring_dedup,
     "op9_token_output": op9.op9_token_output,
+    "op10_warc": op10.op10_warc,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.

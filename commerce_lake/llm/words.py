@@ -18,6 +18,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _ROLL = 0xC2B2AE3D27D4EB4F | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte that is no letter.
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -55,9 +57,9 @@ class Slice:
 
     __slots__ = ("first", "buf", "bounds", "starts", "ends", "word_of")
 
-    def __init__(self, first: int, buf: np.ndarray, bounds: np.ndarray):
+    def __init__(self, first: int, buf: np.ndarray, bounds: np.ndarray, outside: np.ndarray = _SPACE):
         self.first, self.buf, self.bounds = first, buf, bounds
-        inside = ~_SPACE[buf]
+        inside = ~outside[buf]
         n = len(buf)
         cut = np.zeros(n + 1, dtype=bool)
         cut[bounds] = True
@@ -95,12 +97,12 @@ class Slice:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Slice]:
-    """Slices of a string column; ``lower`` folds A-Z only."""
+def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """Slices of a string column; ``lower`` folds A-Z only; ``outside`` tells the bytes between words."""
     if isinstance(texts, pa.ChunkedArray):
         first = 0
         for part in texts.chunks:
-            for s in slices(part, lower):
+            for s in slices(part, lower, outside):
                 s.first += first
                 yield s
             first += len(part)
@@ -118,7 +120,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[S
         j = int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1
         j = min(max(j, i + 1), len(texts))
         buf = raw[offsets[i] : offsets[j]]
-        yield Slice(i, _LOWER[buf] if lower else buf, offsets[i : j + 1] - offsets[i])
+        yield Slice(i, _LOWER[buf] if lower else buf, offsets[i : j + 1] - offsets[i], outside)
         i = j
 
 
