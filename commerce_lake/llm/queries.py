@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from . import op10_warc as op10
+from . import op4_language_id as op4
 from . import op5_jaccard_join as op5
 from . import op6_mixing as op6
 from . import op8_substring_dedup as op8
 from . import op9_token_output as op9
 
 QUERIES = {
+    "op4_language_id": op4.op4_language_id,
     "op5_jaccard_join": op5.op5_jaccard_join,
     "op6_mixing": op6.op6_mixing,
     "op8_substring_dedup": op8.op8_substring_dedup,
