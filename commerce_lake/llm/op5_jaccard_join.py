@@ -12,8 +12,10 @@ k - 1 (losing any k - 1 leaves no pair).  The prefix ends when that sum exceeds
 tau, so two linked texts always meet under some signature.  Partitions follow the
 size class, and a text is indexed for its own class and the next one.
 
-Members of a signature are first compared with one hub, the member that has the
-fewest rare tokens.  Verified links are merged, and every pair of members that is
+Two members of a signature are compared only if, meeting there first, they can share
+enough tokens (positions in the order, and numbers of rare tokens, bound that).
+Members are first compared with one hub, the member that has the smallest share of
+rare tokens.  Verified links are merged, and every pair of members that is
 still in different components is then verified as well.  Verification compares
 whole token sets.
 
@@ -41,8 +43,8 @@ from .components import connected_components
 
 SHINGLE = 4
 PERCENT = 85
-SKETCH_BITS = 20
-SLICES = 16
+SKETCH_BITS = 22
+SLICES = 64
 _CLASS = math.log(100 / 84)
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -82,7 +84,7 @@ def _describe(shingle: int):
         if cells:
             counts += np.bincount(np.concatenate(cells), minlength=len(counts))
         if counts.any():
-            parts = np.split(counts.astype(np.int64), SLICES)
+            parts = np.split(counts, SLICES)
             none = pa.nulls(SLICES)
             yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["doc_id", "n", "digest", "slice", "counts"])
 
@@ -116,15 +118,19 @@ def frequent_from(sketch: np.ndarray) -> int:
     return int(mean + max(64.0, 8 * math.sqrt(mean)))
 
 
-def signatures(t: np.ndarray, sketch: np.ndarray, cutoff: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """Signatures of a token set and its number of rare tokens."""
+def signatures(t: np.ndarray, sketch: np.ndarray, cutoff: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of a token set, for each the most tokens that a text may share which meets
+    it there first, and the number of rare tokens.
+
+    A rare token at position i leaves n - i.  Pairs are indexed only after every rare
+    token of the text, so texts that meet under pairs first share no rare token."""
     n = len(t)
     count = sketch[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(count, kind="stable")
     rare = int((count <= cutoff).sum())
     tau = n - (percent * n + 99) // 100
     if rare > tau:
-        return t[order[: tau + 1]], rare
+        return t[order[: tau + 1]], n - np.arange(tau + 1), rare
     sigs = [t[order[:rare]]]
     often = t[order[rare:]]
     need = tau + 1 - rare
@@ -145,7 +151,10 @@ def signatures(t: np.ndarray, sketch: np.ndarray, cutoff: int, percent: int = PE
                 group = np.sort(f[by[i:j]])
                 a, b = np.triu_indices(j - i, 1)
                 sigs.append(W.mix(W.mix(group[a]) * np.uint64(3) + group[b] + np.uint64(c)))
-    return np.concatenate(sigs), rare
+    out = np.concatenate(sigs)
+    left = np.full(len(out), n - rare)
+    left[:rare] = n - np.arange(rare)
+    return out, left, rare
 
 
 def _index(sketch, cutoff: int, shingle: int, percent: int, n_buckets: int):
@@ -158,10 +167,10 @@ def _index(sketch, cutoff: int, shingle: int, percent: int, n_buckets: int):
                 if len(t) < 2 or ids[row] is None or (key := hashlib.blake2b(t.tobytes(), digest_size=16).digest()) in seen:
                     continue
                 seen.add(key)
-                s, rare = signatures(t, sketch.value, cutoff, percent)
+                s, left, rare = signatures(t, sketch.value, cutoff, percent)
                 own.append(s)
                 who.append(np.full(len(s), ids[row], np.int64))
-                meta.append(np.full(len(s), (255 * rare // len(t)) << 24 | min(len(t), (1 << 24) - 1), np.uint32))
+                meta.append(left.astype(np.uint64) | np.uint64(len(t) << 28 | (255 * rare // len(t)) << 56))
             if not own:
                 continue
             keys, who_, meta_ = np.concatenate(own), np.concatenate(who), np.concatenate(meta)
@@ -178,16 +187,18 @@ def _meet(percent: int):
         """Signatures with two members or more: hub and members, with their sizes."""
         keys, _ = X.unpacked(table["keys"], np.uint64)
         ids, _ = X.unpacked(table["ids"], np.int64)
-        meta, _ = X.unpacked(table["meta"], np.uint32)
+        meta, _ = X.unpacked(table["meta"], np.uint64)  # rare share, n, left
         order = np.argsort(keys)
         edge = W.runs(keys[order])
         order = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
-        order = order[np.lexsort((ids[order], meta[order] >> np.uint32(24), keys[order]))]
-        keys, ids, size = keys[order], ids[order], (meta[order] & np.uint32((1 << 24) - 1)).astype(np.int64)
+        order = order[np.lexsort((ids[order], meta[order] >> np.uint64(56), keys[order]))]
+        keys, ids = keys[order], ids[order]
+        low = np.uint64((1 << 28) - 1)
+        left, size = (meta[order] & low).astype(np.int64), (meta[order] >> np.uint64(28) & low).astype(np.int64)
         edge = W.runs(keys)
         times = np.diff(edge)
-        hub, hub_size = np.repeat(ids[edge[:-1]], times), np.repeat(size[edge[:-1]], times)
-        return pa.table({"sig": keys.view(np.int64), "id": ids, "n": size, "hub": hub, "hub_n": hub_size})
+        hub, hub_n, hub_left = (np.repeat(v[edge[:-1]], times) for v in (ids, size, left))
+        return pa.table({"sig": keys.view(np.int64), "id": ids, "n": size, "left": left, "hub": hub, "hub_n": hub_n, "hub_left": hub_left})
 
     return meet
 
@@ -233,22 +244,22 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     n_buckets = max(8, math.ceil(total * (100 - percent) * 1.5 / 100 / X.WORD_BYTES / X.BUCKET_KEYS * 2))
     sent = docs.mapInArrow(_index(held, cutoff, shingle, percent, n_buckets), "bucket int, keys binary, ids binary, meta binary")
-    met = X.cut(sent.groupBy("bucket").applyInArrow(_meet(percent), "sig long, id long, n long, hub long, hub_n long"), "met")
+    met = X.cut(sent.groupBy("bucket").applyInArrow(_meet(percent), "sig long, id long, n long, left long, hub long, hub_n long, hub_left long"), "met")
 
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y)) | (F.greatest(x, y) >= (1 << 24) - 1)
-    star = met.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).groupBy("hub", "id").agg(F.count("*").alias("shared"))
+    fits = lambda n, left, m, left_m: (100 + percent) * F.least(left, left_m) >= percent * (n + m)
+    star = met.where((F.col("id") != F.col("hub")) & fits(*map(F.col, ("n", "left", "hub_n", "hub_left")))).groupBy("hub", "id").agg(F.count("*").alias("shared"))
     star = star.join(of.select(F.col("doc_id").alias("hub"), F.col("class_id").alias("a")), "hub").join(of.select(F.col("doc_id").alias("id"), F.col("class_id").alias("b")), "id").where("a <> b")
     best = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     best = X.cut(best, "pairs")
     links = X.cut(_links(best, docs, shingle, percent), "links")
     label = connected_components(links)
 
-    member = met.select("sig", "id", "n").join(of.select(F.col("doc_id").alias("id"), "class_id"), "id").join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    member = member.select("sig", F.col("class_id").alias("x"), "n", F.coalesce("component", "class_id").alias("c")).distinct()
+    member = met.select("sig", "id", "n", "left").join(of.select(F.col("doc_id").alias("id"), "class_id"), "id").join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    member = member.select("sig", F.col("class_id").alias("x"), "n", "left", F.coalesce("component", "class_id").alias("c")).distinct()
     apart = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     member = X.cut(member.join(apart, "sig"), "members")
     m, o = member.alias("m"), member.alias("o")
-    more = m.join(o, (F.col("m.sig") == F.col("o.sig")) & (F.col("m.c") != F.col("o.c")) & (F.col("m.x") < F.col("o.x")) & fits(F.col("m.n"), F.col("o.n")))
+    more = m.join(o, (F.col("m.sig") == F.col("o.sig")) & (F.col("m.c") != F.col("o.c")) & (F.col("m.x") < F.col("o.x")) & fits(*map(F.col, ("m.n", "m.left", "o.n", "o.left"))))
     more = more.select(F.col("m.x").alias("a"), F.col("o.x").alias("b")).distinct()
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = X.cut(more.join(done, ["a", "b"], "left_anti"), "pairs")
