@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op1_decontamination as op1
 from . import op10_warc as op10
 from . import op4_language_id as op4
 from . import op5_jaccard_join as op5
@@ -10,6 +11,7 @@ from . import op8_substring_dedup as op8
 from . import op9_token_output as op9
 
 QUERIES = {
+    "op1_decontamination": op1.op1_decontamination,
     "op4_language_id": op4.op4_language_id,
     "op5_jaccard_join": op5.op5_jaccard_join,
     "op6_mixing": op6.op6_mixing,
