@@ -7,6 +7,7 @@ from . import op10_warc as op10
 from . import op4_language_id as op4
 from . import op5_jaccard_join as op5
 from . import op6_mixing as op6
+from . import op7_exact_topk as op7
 from . import op8_substring_dedup as op8
 from . import op9_token_output as op9
 
@@ -15,10 +16,11 @@ QUERIES = {
     "op4_language_id": op4.op4_language_id,
     "op5_jaccard_join": op5.op5_jaccard_join,
     "op6_mixing": op6.op6_mixing,
+    "op7_exact_topk": op7.op7_exact_topk,
     "op8_substring_dedup": op8.op8_substring_dedup,
     "op9_token_output": op9.op9_token_output,
     "op10_warc": op10.op10_warc,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op6_mixing": op6.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": op6.ORACLE_SQL, "op7_exact_topk": op7.ORACLE_SQL}
