@@ -84,6 +84,16 @@ class WordTable:
         return self.at[where], self.size[where] if len(self.keys) else np.zeros(0, np.int64)
 
 
+_open: dict[str, WordTable] = {}
+
+
+def word_table(path: str) -> WordTable:
+    """The table of this Python worker; later tasks of the worker go on with it."""
+    if path not in _open:
+        _open[path] = WordTable(path)
+    return _open[path]
+
+
 def encode_slice(table: WordTable, s: W.Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of the slice and the number of each text, end ids included."""
     start, size = table.lookup(s)
@@ -98,9 +108,9 @@ def encode_slice(table: WordTable, s: W.Slice, end_id: int) -> tuple[np.ndarray,
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, done = WordTable(path), TaskContext.get().partitionId(), 0
+        table, part, done = word_table(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for s in W.slices(batch["text"]):
+            for s in W.slices(batch["text"], size=2 * W.SLICE_BYTES):
                 flat, n = encode_slice(table, s, end_id)
                 stop = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)).astype(np.int32)), pa.array(flat, pa.int32()))

@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         a[0] = 1
         pair.append(np.multiply.accumulate(a))
     out = (pair[0], pair[1])
-    if size <= 2 * SLICE_BYTES:
+    if size <= 4 * SLICE_BYTES:
         _tables[base] = out
     return out
 
@@ -97,12 +97,12 @@ class Slice:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.ndarray = _SPACE) -> Iterator[Slice]:
+def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.ndarray = _SPACE, size: int = SLICE_BYTES) -> Iterator[Slice]:
     """Slices of a string column; ``lower`` folds A-Z only; ``outside`` tells the bytes between words."""
     if isinstance(texts, pa.ChunkedArray):
         first = 0
         for part in texts.chunks:
-            for s in slices(part, lower, outside):
+            for s in slices(part, lower, outside, size):
                 s.first += first
                 yield s
             first += len(part)
@@ -117,7 +117,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.n
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < len(texts):
-        j = int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
         j = min(max(j, i + 1), len(texts))
         buf = raw[offsets[i] : offsets[j]]
         yield Slice(i, _LOWER[buf] if lower else buf, offsets[i : j + 1] - offsets[i], outside)
