@@ -45,7 +45,6 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 22
 SLICES = 64
-_CLASS = math.log(100 / 84)
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -134,9 +133,10 @@ def signatures(t: np.ndarray, sketch: np.ndarray, cutoff: int, percent: int = PE
     sigs = [t[order[:rare]]]
     often = t[order[rare:]]
     need = tau + 1 - rare
-    own = int(math.log(n) / _CLASS)
+    width = math.log(100 / (percent - 1))  # of a size class: sizes of linked texts are at most one class apart
+    own = int(math.log(n) / width)
     for c in (own, own + 1):
-        parts = max(1, int(math.exp(c * _CLASS) * (100 - percent) / 100) // 4)
+        parts = max(1, int(math.exp(c * width) * (100 - percent) / 100) // 4)
         p = (W.mix(often ^ np.uint64(c * 0x9E37 + 1)) % np.uint64(parts)).astype(np.int64)
         seen, first = np.unique(p, return_index=True)
         new = np.zeros(len(p), np.int64)

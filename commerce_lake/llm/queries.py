@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op1_decontamination as op1
 from . import op10_warc as op10
 from . import op2_html_extraction as op2
+from . import op3_lm_scoring as op3
 from . import op4_language_id as op4
 from . import op5_jaccard_join as op5
 from . import op6_mixing as op6
@@ -15,6 +16,7 @@ from . import op9_token_output as op9
 QUERIES = {
     "op1_decontamination": op1.op1_decontamination,
     "op2_html_extraction": op2.op2_html_extraction,
+    "op3_lm_scoring": op3.op3_lm_scoring,
     "op4_language_id": op4.op4_language_id,
     "op5_jaccard_join": op5.op5_jaccard_join,
     "op6_mixing": op6.op6_mixing,
