@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 #: Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœ"
@@ -24,7 +25,7 @@ def strip_control(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x1f\x7f]", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -100,7 +101,7 @@ def damerau(a: str, b: str, most: int | None = None) -> int:
     return n if most is None or n <= most else most + 1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def damerau_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([damerau(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 

@@ -237,7 +237,7 @@ def normalize_filters(q: DataFrame) -> DataFrame:
 
 def parse_values(c: Column) -> Column:
     """Comma-separated and repeated parameter values as one trimmed list."""
-    return F.filter(F.flatten(F.transform(c, lambda v: F.transform(F.split(v, ","), F.trim))), lambda v: v != "")
+    return F.filter(F.flatten(F.transform(c, lambda v: F.transform(F.split(v, ","), lambda x: F.trim(x)))), lambda v: v != "")
 
 
 def merge_filters(explicit: DataFrame, parsed: DataFrame) -> DataFrame:
