@@ -190,7 +190,10 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the first SAMPLE_BYTES of at most SAMPLE_PAGES pages, chosen by hash of their id."""
     import zstandard
 
-    rows = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("h").limit(SAMPLE_PAGES).collect()
+    have = pages.where("html is not null")
+    share = min(1.0, 2 * SAMPLE_PAGES / max(1, have.count()))
+    few = have.withColumn("h", F.pmod(F.xxhash64("page_id"), F.lit(1 << 40))).where(F.col("h") < share * (1 << 40))
+    rows = few.select("h", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
     samples = [r.html.encode("utf-8") for r in rows if r.html]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
