@@ -41,9 +41,8 @@ def sanitize_properties(c: Column) -> Column:
     """At most 12 entries with plain keys, values redacted and cut at 120; leading entries go until the JSON has 2000 characters."""
     e = F.slice(F.filter(F.map_entries(c), lambda x: x["key"].rlike(r"^[A-Za-z0-9_]{1,40}$") & x["value"].isNotNull()), 1, 12)
     e = F.transform(e, lambda x: F.struct(x["key"].alias("key"), F.substring(redact(x["value"], ascii_only=True), 1, 120).alias("value")))
-    for _ in range(12):
-        e = F.when(F.length(F.to_json(F.map_from_entries(e))) > 2000, F.slice(e, 2, 12)).otherwise(e)
-    return F.map_from_entries(e)
+    shorter = lambda acc, _: F.when(F.length(F.to_json(F.map_from_entries(acc))) > 2000, F.slice(acc, 2, 12)).otherwise(acc)
+    return F.map_from_entries(F.aggregate(F.sequence(F.lit(1), F.lit(12)), e, shorter))
 
 
 def ingest_events(clean: DataFrame, settings: DataFrame) -> DataFrame:
