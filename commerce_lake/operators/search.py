@@ -137,7 +137,11 @@ def resolve_level(matched: DataFrame) -> DataFrame:
 
 def relevance(matched: DataFrame, docs: DataFrame) -> DataFrame:
     """Class, its weight, field score, stock boost and their total for visible documents."""
-    kind = F.when(F.col("sku"), "sku").when(F.col("exact"), "exact").when(F.col("prefix"), "prefix").otherwise("partial")
+    kind = F.when(F.col("sku"), "sku").when(F.col("exact"), "exact").when(F.col("prefix"), "prefix")
+    for name in ("synonym", "fuzzy"):
+        if name in matched.columns:
+            kind = kind.when(F.col(name), name)
+    kind = kind.otherwise("partial")
     m = matched.join(docs.select("product_id", "title", "available", "price_min", "price_max"), "product_id").withColumn("match_class", kind)
     weight = F.lit(0.0)
     for k, v in CLASS_WEIGHT.items():
@@ -146,6 +150,52 @@ def relevance(matched: DataFrame, docs: DataFrame) -> DataFrame:
     return m.withColumn("score", total)
 
 
+def _all_found(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, product_id) where every token of one form of the query is a term of the document."""
+    n = tokens.groupBy(*keys).agg(F.count_distinct("token").alias("n_tokens"))
+    hit = tokens.select(*keys, "token").distinct().join(terms.select("product_id", F.col("term").alias("token")), "token").groupBy(*keys, "product_id").agg(F.count("*").alias("found"))
+    return hit.join(n, keys).where("found = n_tokens").select("query_id", "product_id").distinct()
+
+
+def search_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vocab: DataFrame, synonyms: DataFrame, stopwords: DataFrame | None = None, limit: int = 24) -> DataFrame:
+    """search_batch with synonym and typo forms: class is the first true of sku, exact, prefix, synonym, fuzzy, partial.
+
+    The field score counts the terms of the kept tokens, of all corrections and of all synonym forms."""
+    terms = postings.join(docs.select("product_id"), "product_id", "left_semi").groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+    tokens = plan_tokens(queries, stopwords)
+    as_posting = terms.select("product_id", "term", "weight", F.lit(1).alias("n"))
+    main = match(tokens, as_posting, docs, level="partial").select("query_id", "product_id", "sku", "exact", "prefix")
+    forms = expand_synonyms(queries.select("query_id", tokenize(F.col("query")).alias("tokens")), synonyms)
+    syn = forms.select("query_id", "n", F.explode(tokenize(F.col("expansion"))).alias("token"))
+    fixes = fuzzy_candidates(tokens, vocab)
+    typo = tokens.join(fixes.where("rank = 1").select("token", "term"), "token", "left").groupBy("query_id").agg(F.count("term").alias("fixed"), F.collect_list(F.coalesce("term", "token")).alias("t")).where("fixed > 0").select("query_id", F.explode("t").alias("token"))
+    flag = lambda df, name: df.select("query_id", "product_id", *[F.lit(c == name).alias(c) for c in ("sku", "exact", "prefix", "synonym", "fuzzy")])
+    rows = main.withColumn("synonym", F.lit(False)).withColumn("fuzzy", F.lit(False)).unionByName(flag(_all_found(syn, terms, ["query_id", "n"]), "synonym")).unionByName(flag(_all_found(typo, terms, ["query_id"]), "fuzzy"))
+    m = rows.groupBy("query_id", "product_id").agg(*[F.bool_or(c).alias(c) for c in ("sku", "exact", "prefix", "synonym", "fuzzy")])
+    wanted = tokens.select("query_id", "token").unionByName(syn.select("query_id", "token")).unionByName(tokens.join(fixes, "token").select("query_id", F.col("term").alias("token"))).distinct()
+    field = wanted.join(terms, F.col("token") == F.col("term")).groupBy("query_id", "product_id").agg(F.sum("weight").alias("field_score"))
+    m = m.join(field, ["query_id", "product_id"], "left").na.fill({"field_score": 0.0})
+    primary = F.col("sku") | F.col("exact") | F.col("prefix") | F.col("synonym") | F.col("fuzzy")
+    m = m.withColumn("_best", F.max(primary).over(Window.partitionBy("query_id"))).where(~F.col("_best") | primary).drop("_best")
+    return rank_page(relevance(m, docs), limit)
+
+
+def explain_scores(scored: DataFrame) -> DataFrame:
+    """The parts of each score: class weight, field score, stock boost, total."""
+    weight = F.lit(0.0)
+    for k, v in CLASS_WEIGHT.items():
+        weight = F.when(F.col("match_class") == k, v).otherwise(weight)
+    return scored.select("query_id", "product_id", weight.alias("class_weight"), F.round(FIELD_WEIGHT * F.col("field_score"), 9).alias("field_part"), F.when(F.col("available"), STOCK_BOOST).otherwise(0.0).alias("stock_part"), "score")
+
+
+def predictive(prefixes: DataFrame, docs: DataFrame, postings: DataFrame, terms: DataFrame, limit: int = 6) -> DataFrame:
+    """A small page and suggestions for what is being typed; blank input gives nothing."""
+    q = prefixes.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    n = max(1, min(limit, 10))
+    page = search_batch(q, docs, postings, limit=n).select("query_id", F.lit("product").alias("kind"), F.col("product_id").alias("value"), "rank")
+    return page.unionByName(suggest(q, terms, n).select("query_id", F.lit("suggestion").alias("kind"), F.col("text").alias("value"), "rank"))
+
+
 def rank_page(scored: DataFrame, limit: int = 24, offset: int = 0, sort: str = "relevance") -> DataFrame:
     """The page of each query with its total number of matches; product_id ends every order."""
     by = {"relevance": [F.desc("score"), F.asc("title")], "price_asc": [F.col("price_min").asc_nulls_last()], "price_desc": [F.col("price_max").desc_nulls_last()], "newest": [F.col("created_at").desc_nulls_last() if "created_at" in scored.columns else F.lit(0)]}[sort]

@@ -58,11 +58,14 @@ def _rules(spark) -> DataFrame:
     return spark.createDataFrame([("two_way", None, ["widget", "gadget thing", "gizmo"], 1), ("one_way", "small ring", ["tiny band"], 2), ("one_way", "rod", ["pole", "stick"], 3)], "kind string, from_term string, terms array<string>, created_at int")
 
 
-@query(f"""WITH {_QL}, r(created_at, j, "trigger", replacement) AS (VALUES (1,1,'widget','gadget thing'),(1,2,'widget','gizmo'),(1,0,'gadget thing','widget'),(1,2,'gadget thing','gizmo'),(1,0,'gizmo','widget'),(1,1,'gizmo','gadget thing'),(2,0,'small ring','tiny band'),(3,0,'rod','pole'),(3,1,'rod','stick')),
-h AS (SELECT query_id, created_at, "trigger", j, array_to_string(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), ' ') AS qn, replacement FROM ql, r),
-x AS (SELECT *, instr(' ' || qn || ' ', ' ' || trigger || ' ') AS start_at FROM h), e AS (SELECT query_id, created_at, trigger, j, trim(substr(' ' || qn || ' ', 1, start_at) || replacement || substr(' ' || qn || ' ', start_at + 1 + len(trigger))) AS expansion, qn FROM x WHERE start_at > 0),
-g AS (SELECT query_id, expansion, min((created_at, trigger, j)) AS o FROM e WHERE expansion <> qn GROUP BY ALL)
-SELECT query_id, expansion, row_number() OVER (PARTITION BY query_id ORDER BY o, expansion)::INTEGER AS n, count(*) OVER (PARTITION BY query_id) > 20 AS truncated FROM g""")
+_SYN = """r(created_at, j, "trigger", replacement) AS (VALUES (1,1,'widget','gadget thing'),(1,2,'widget','gizmo'),(1,0,'gadget thing','widget'),(1,2,'gadget thing','gizmo'),(1,0,'gizmo','widget'),(1,1,'gizmo','gadget thing'),(2,0,'small ring','tiny band'),(3,0,'rod','pole'),(3,1,'rod','stick')),
+sh AS (SELECT query_id, created_at, "trigger", j, array_to_string(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+'), ' ') AS qn, replacement FROM ql, r),
+sx AS (SELECT *, instr(' ' || qn || ' ', ' ' || trigger || ' ') AS start_at FROM sh), se AS (SELECT query_id, created_at, trigger, j, trim(substr(' ' || qn || ' ', 1, start_at) || replacement || substr(' ' || qn || ' ', start_at + 1 + len(trigger))) AS expansion, qn FROM sx WHERE start_at > 0),
+sg AS (SELECT query_id, expansion, min((created_at, trigger, j)) AS o FROM se WHERE expansion <> qn GROUP BY ALL),
+syn AS (SELECT query_id, expansion, row_number() OVER (PARTITION BY query_id ORDER BY o, expansion)::INTEGER AS n, count(*) OVER (PARTITION BY query_id) > 20 AS truncated FROM sg)"""
+
+
+@query(f"WITH {_QL}, {_SYN} SELECT * FROM syn")
 def expand_synonyms(spark, sf_dir):
     q = query_log(spark, sf_dir).select("query_id", T.tokenize(F.col("query")).alias("tokens"))
     return S.expand_synonyms(q, _rules(spark))
@@ -149,6 +152,57 @@ def sku_hit(spark, sf_dir):
     return S.match(tokens, D.analyze_terms(v), v).where("sku").select("query_id", "product_id")
 
 
+_FZ_TAIL = _FUZZY.split(", o AS (", 1)[1]
+_EXPANDED = f"""{_SEARCH}, {_SYN}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1), o AS ({_FZ_TAIL},
+st AS (SELECT query_id, n, unnest(list_distinct(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM syn), ty AS (SELECT DISTINCT query_id, coalesce(term, tok.token) AS token FROM tok LEFT JOIN (SELECT * FROM fz WHERE rank = 1) f ON f.token = tok.token WHERE query_id IN (SELECT query_id FROM tok JOIN fz USING (token))),
+sa AS (SELECT DISTINCT query_id, product_id FROM (SELECT query_id, n, product_id, count(DISTINCT token) AS c FROM st JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, n, count(*) AS k FROM st GROUP BY ALL) USING (query_id, n) WHERE c = k),
+ta AS (SELECT query_id, product_id FROM (SELECT query_id, product_id, count(DISTINCT token) AS c FROM ty JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, count(*) AS k FROM ty GROUP BY ALL) USING (query_id) WHERE c = k),
+al AS (SELECT query_id, product_id, whole = n_tokens AS ex, full_ AND whole < n_tokens AS pf, false AS sy, false AS fy FROM lv UNION ALL SELECT query_id, product_id, false, false, true, false FROM sa UNION ALL SELECT query_id, product_id, false, false, false, true FROM ta),
+ag AS (SELECT query_id, product_id, bool_or(ex) AS ex, bool_or(pf) AS pf, bool_or(sy) AS sy, bool_or(fy) AS fy FROM al GROUP BY ALL),
+wt AS (SELECT query_id, token FROM tok UNION SELECT query_id, token FROM st UNION SELECT query_id, term FROM tok JOIN fz USING (token) WHERE rank <= 5), fs AS (SELECT query_id, product_id, sum(weight) AS field_score FROM wt JOIN tm ON token = term GROUP BY ALL),
+lb AS (SELECT *, max(ex OR pf OR sy OR fy) OVER (PARTITION BY query_id) AS best_ FROM ag),
+sd AS (SELECT query_id, product_id, title, CASE WHEN ex THEN 'exact' WHEN pf THEN 'prefix' WHEN sy THEN 'synonym' WHEN fy THEN 'fuzzy' ELSE 'partial' END AS match_class, CASE WHEN ex THEN 500 WHEN pf THEN 400 WHEN sy THEN 300 WHEN fy THEN 200 ELSE 100 END AS cw, coalesce(field_score, 0) AS field_score, available
+ FROM lb LEFT JOIN fs USING (query_id, product_id) JOIN vis USING (product_id) WHERE NOT best_ OR ex OR pf OR sy OR fy)"""
+
+
+@query(f"{_EXPANDED} SELECT query_id, product_id, match_class, score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT *, round(cw + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score FROM sd)) WHERE rank <= 24")
+def search_expanded(spark, sf_dir):
+    v = vis(spark, sf_dir)
+    return S.search_expanded(query_log(spark, sf_dir), v, D.analyze_terms(v), D.vocabulary(v), _rules(spark), stopwords(spark)).select("query_id", "product_id", "match_class", "score", "rank", "total")
+
+
+@query(f"{_SEARCH} SELECT query_id, product_id, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END::DOUBLE AS class_weight, CASE WHEN available THEN 10 ELSE 0 END::DOUBLE AS stock_part, score FROM (SELECT sc.*, available FROM sc JOIN vis USING (product_id))")
+def explain_scores(spark, sf_dir):
+    v = vis(spark, sf_dir)
+    m = S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial"))
+    return S.explain_scores(S.relevance(m, v)).drop("field_part")
+
+
+@query(None)
+def predictive(spark, sf_dir):
+    v = vis(spark, sf_dir)
+    return S.predictive(query_log(spark, sf_dir), v, D.analyze_terms(v), D.suggest_terms(v))
+
+
+@query(f"""{_SEARCH}, mp AS (SELECT query_id, product_id, (['hide', 'pin', 'boost', 'demote'])[product_id::BIGINT % 4 + 1] AS action, product_id::BIGINT % 5 AS position, product_id::BIGINT % 90 AS w FROM sc WHERE product_id::BIGINT % 3 = 0),
+jn AS (SELECT sc.*, action, CASE WHEN action = 'pin' THEN position END AS pos, CASE action WHEN 'boost' THEN w WHEN 'demote' THEN -w ELSE 0 END AS delta FROM sc LEFT JOIN mp USING (query_id, product_id) WHERE action IS NULL OR action <> 'hide')
+SELECT query_id, product_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END DESC, score + delta DESC, title, product_id)::INTEGER AS rank FROM jn) WHERE rank <= 24""")
+def rank_with_merch(spark, sf_dir):
+    v = vis(spark, sf_dir)
+    scored = S.relevance(S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial")), v)
+    k = F.col("product_id").cast("long")
+    action = F.element_at(F.array(*map(F.lit, ("hide", "pin", "boost", "demote"))), (k % 4 + 1).cast("int"))
+    delta = F.when(action == "boost", k % 90).when(action == "demote", -(k % 90)).otherwise(0)
+    plan = scored.where(k % 3 == 0).select("query_id", "product_id", action.alias("action"), (k % 5).alias("position"), delta.alias("delta"))
+    return S.rank_with_merch(scored, plan).select("query_id", "product_id", "rank")
+
+
+@query("SELECT doc_id, regexp_full_match(lang || '-' || upper(lang), '[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*') AS locale_ok, len(source) = 3 AND regexp_full_match(source, '[A-Za-z]{3}') AS currency_ok FROM documents")
+def validate_locale(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.valid_locale(F.concat("lang", F.lit("-"), F.upper("lang"))).alias("locale_ok"), T.valid_currency(F.col("source")).alias("currency_ok"))
+
+
 # ---- filters and facets: each request is a vendor, tags, availability and a price band
 
 
