@@ -146,6 +146,12 @@ def refresh_docs(docs: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> Dat
     return docs.join(changed, "product_id", "left_anti").unionByName(rebuilt.join(changed, "product_id", "left_semi"))
 
 
+def count_stale_roles(docs: DataFrame, products: DataFrame) -> DataFrame:
+    """Documents without a role whose product has one."""
+    j = docs.where("combined_role is null").join(live(products).where("combined_role is not null").select("product_id"), "product_id", "left_semi")
+    return j.agg(F.count("*").alias("stale"))
+
+
 def validate_build(docs: DataFrame, products: DataFrame, expected: int | None = None) -> DataFrame:
     d, p = docs.agg(F.count("*").alias("docs")), live(products).agg(F.count("*").alias("live"))
     enough = F.lit(True) if expected is None else F.col("live") >= expected

@@ -260,3 +260,33 @@ def catalog_status_counts(spark, sf_dir):
 def gid_type(spark, sf_dir):
     p = B.table(spark, sf_dir, "pages").select("page_id", "url").join(B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang"), "page_id")
     return p.select("url", C.gid_type(F.concat(F.lit("gid://store/"), "lang", F.lit("/"), "page_id")).alias("type"))
+
+
+@query(f"{DOC_SQL}{_NEW} SELECT product_id, vendor FROM nv")
+def catch_up(spark, sf_dir):
+    """At activation: products changed since the build's snapshot are projected again, deleted ones go."""
+    v, old, new = _changed(spark, sf_dir)
+    return D.refresh_docs(v, old.select("product_id"), new).select("product_id", "vendor")
+
+
+@query(f"{DOC_SQL} SELECT product_id FROM vis WHERE combined_role = 'PARENT'")
+def refresh_parents(spark, sf_dir):
+    v = vis(spark, sf_dir)
+    parents = v.where("combined_role = 'PARENT'").select("product_id")
+    return D.refresh_docs(v, parents, v).join(parents, "product_id", "left_semi").select("product_id")
+
+
+@query(f"WITH {_P} SELECT count(*) FILTER (WHERE combined_role IS NOT NULL AND p_partkey % 3 = 0) AS stale FROM product")
+def count_stale_roles(spark, sf_dir):
+    p = B.products(spark, sf_dir)
+    d = p.select("product_id", F.when(F.col("product_id").cast("long") % 3 != 0, F.col("combined_role")).alias("combined_role"))
+    return D.count_stale_roles(d, p)
+
+
+@query("SELECT * FROM (VALUES (1, 'superseded'), (2, 'active'), (3, 'failed')) t(version, status)")
+def publish_version(spark, sf_dir):
+    """Versions of the documents of three regions: the second is validated and published, the third unfinished."""
+    r = B.table(spark, sf_dir, "region").where("r_regionkey between 1 and 3")
+    status = F.element_at(F.array(*map(F.lit, ("active", "validated", "building"))), F.col("r_regionkey"))
+    v = r.select(F.lit("t").alias("tenant_id"), F.col("r_regionkey").alias("version"), status.alias("status"))
+    return D.recover_incomplete(D.publish_version(v, "t", 2), v.select("tenant_id", F.col("version").alias("index_version")))[0].select("version", "status")

@@ -272,3 +272,15 @@ def safe_urls(spark, sf_dir):
 @query("SELECT DISTINCT strftime(ts, '%Y_%m') AS event_month FROM events")
 def month_partitions(spark, sf_dir):
     return B.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy_MM").alias("event_month")).distinct()
+
+
+@query(f"WITH {_SUB} SELECT subscription_id, CASE WHEN k % 10 = 0 THEN 'unsubscribed' ELSE status END AS status FROM su")
+def unsubscribe(spark, sf_dir):
+    s = _subs(spark, sf_dir)
+    return RS.unsubscribe(s, s.where("subscription_id % 10 = 0").select("token_hash"), _suppressed(spark))[0].select("subscription_id", "status")
+
+
+@query(f"WITH {_SUB} SELECT subscription_id, 'u***@e***.org' AS email, status FROM su ORDER BY created_at DESC, subscription_id LIMIT 50")
+def list_subscriptions(spark, sf_dir):
+    s = _subs(spark, sf_dir).withColumn("email", F.concat(F.lit("user"), "subscription_id", F.lit("@example.org")))
+    return RS.list_subscriptions(s, 50).select("subscription_id", "email", "status")
