@@ -18,15 +18,13 @@ from commerce_lake.llm import op1_decontamination, op4_language_id, op5_jaccard_
 
 #: Near duplicates share 80 % of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
-#: A predicted language less likely than this is rejected, as are texts without letters.
-LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null and letterless texts go."""
     model = op4_language_id.fit(docs)
     predicted = op4_language_id.predict(docs, model)
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return predicted.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
