@@ -33,7 +33,8 @@ END_ID = 2
 PART_BYTES = 24 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
+ENCODE_WORDS = 4096
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -69,16 +70,20 @@ class WordTable:
         else:
             new = np.ones(len(own), bool)
         if new.any():
-            texts = [s.word(i).decode("utf-8", "replace") for i in first[new].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            fresh, parts, sizes = first[new].tolist(), [], []
+            for k in range(0, len(fresh), ENCODE_WORDS):
+                texts = [s.word(i).decode("utf-8", "replace") for i in fresh[k : k + ENCODE_WORDS]]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                parts.append(np.fromiter((x for e in ids for x in e), np.int32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
             keys = np.concatenate((self.keys, own[new]))
             start = np.concatenate((self.at[:-1] if len(self.keys) else np.zeros(0, np.int64), len(self.flat) + np.cumsum(size) - size))
             length = np.concatenate((self.size if len(self.keys) else np.zeros(0, np.int64), size))
             order = np.argsort(keys, kind="stable")
             self.keys, start, self.size = keys[order], start[order], length[order]
             self.at = np.concatenate((start, [0]))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for e in ids for x in e), np.int32, int(size.sum()))))
+            self.flat = np.concatenate((self.flat, *parts))
             where = np.searchsorted(self.keys, own)
         where = where[back]
         return self.at[where], self.size[where] if len(self.keys) else np.zeros(0, np.int64)

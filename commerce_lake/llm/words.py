@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ROLL = 0xC2B2AE3D27D4EB4F | 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         a[0] = 1
         pair.append(np.multiply.accumulate(a))
     out = (pair[0], pair[1])
-    if size <= 4 * SLICE_BYTES:
+    if size <= 2 * SLICE_BYTES + 1:
         _tables[base] = out
     return out
 
@@ -122,6 +122,8 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.n
         buf = raw[offsets[i] : offsets[j]]
         yield Slice(i, _LOWER[buf] if lower else buf, offsets[i : j + 1] - offsets[i], outside)
         i = j
+    if len(raw) > SLICE_BYTES:
+        pa.default_memory_pool().release_unused()  # workers live on after a task; memory goes back before the next batch
 
 
 def windows(h: np.ndarray, word_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
