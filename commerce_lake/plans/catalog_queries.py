@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..sources import bridge as B
+from ..sources.store import stored
 from .registry import query
 
 NOW = datetime(2024, 1, 31)
@@ -31,6 +32,11 @@ def vis(spark, sf_dir) -> DataFrame:
     return D.visible(docs(spark, sf_dir))
 
 
+def stored_vis(spark, sf_dir) -> DataFrame:
+    """The visible documents as the published table that searches read."""
+    return stored(vis(spark, sf_dir), "docs")
+
+
 @query(f"{DOC_SQL} SELECT product_id, gid, handle, title, vendor, product_type, array_to_string(tags, ',') AS tags, array_to_string(collections, ',') AS collections, status, published, available, price_min, price_max, sku_text, combined_role, search_text FROM doc")
 def build_search_docs(spark, sf_dir):
     return docs(spark, sf_dir).select("product_id", "gid", "handle", "title", "vendor", "product_type", F.array_join("tags", ",").alias("tags"), F.array_join("collections", ",").alias("collections"), "status", "published", "available", "price_min", "price_max", "sku_text", "combined_role", "search_text")
@@ -104,7 +110,7 @@ def parse_values(spark, sf_dir):
 
 def _changed(spark, sf_dir):
     """Old and new documents of a change: every seventh product is renamed, every eleventh goes."""
-    v = vis(spark, sf_dir).withColumn("k", F.col("product_id").cast("long"))
+    v = stored_vis(spark, sf_dir).withColumn("k", F.col("product_id").cast("long"))
     old = v.where("k % 7 = 0 or k % 11 = 0")
     new = old.where("k % 11 <> 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("search_text", F.concat(F.lit("new "), F.col("search_text"))).withColumn("vendor", F.lit("Brand#0"))
     return v, old, new

@@ -10,7 +10,7 @@ from ..functions.text import trigram_similarity as tsim
 from ..operators import merchandising as M
 from ..operators import recommend as R
 from ..sources import bridge as B
-from .catalog_queries import DOC_SQL, vis
+from .catalog_queries import DOC_SQL, stored_vis, vis
 from .registry import query
 
 NOW = datetime(2024, 1, 31)
@@ -36,22 +36,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC
 
 @query(f"{_sim_sql(R.SIMILAR)} SELECT seed_id, product_id, score, rank FROM ranked WHERE rank <= 24")
 def similar(spark, sf_dir):
-    return R.similar(_seeds(spark, sf_dir), vis(spark, sf_dir)).select("seed_id", "product_id", "score", "rank")
+    return R.similar(_seeds(spark, sf_dir), stored_vis(spark, sf_dir)).select("seed_id", "product_id", "score", "rank")
 
 
 @query(f"{_sim_sql(R.RELATED)} SELECT seed_id, product_id, score, rank FROM ranked WHERE rank <= 24")
 def related(spark, sf_dir):
-    return R.similar(_seeds(spark, sf_dir), vis(spark, sf_dir), weights=R.RELATED).select("seed_id", "product_id", "score", "rank")
+    return R.similar(_seeds(spark, sf_dir), stored_vis(spark, sf_dir), weights=R.RELATED).select("seed_id", "product_id", "score", "rank")
 
 
 @query(f"{_sim_sql(R.SIMILAR)} SELECT seed_id, product_id, vendor, rank FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, vendor ORDER BY rank) AS n FROM ranked WHERE rank <= 24) WHERE vendor IS NULL OR n <= 2")
 def diversify(spark, sf_dir):
-    return R.diversify(R.similar(_seeds(spark, sf_dir), vis(spark, sf_dir)), 2).select("seed_id", "product_id", "vendor", "rank")
+    return R.diversify(R.similar(_seeds(spark, sf_dir), stored_vis(spark, sf_dir)), 2).select("seed_id", "product_id", "vendor", "rank")
 
 
 @query(f"{_sim_sql(R.SIMILAR)} SELECT s.product_id AS seed_id, t.product_id FROM sd s, tr t WHERE s.product_type = t.product_type OR s.vendor = t.vendor OR list_has_any(s.tags, t.tags) OR list_has_any(s.collections, t.collections) OR list_has_any(s.tg, t.tg)")
 def candidates(spark, sf_dir):
-    return R.candidates(_seeds(spark, sf_dir), vis(spark, sf_dir))
+    return R.candidates(_seeds(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
 @query(f"SELECT a.p_partkey AS a, round(coalesce(len(list_intersect({_tg('a.p_name')}, {_tg('b.p_name')})) / len(list_distinct(list_concat({_tg('a.p_name')}, {_tg('b.p_name')}))), 0), 9) AS sim, round(greatest(1 - least(abs(a.p_retailprice - b.p_retailprice) / greatest(a.p_retailprice, 1), 1), 0), 9) AS price FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -74,7 +74,7 @@ _TREND = f"{_SIG}, ts AS (SELECT product_id, round(sum((views + 3 * clicks) * po
 
 @query(f"{_TREND.format(k=24)} SELECT * FROM tt")
 def trending(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     return R.trending(R.record_signals(B.events(spark, sf_dir), v), v, NOW)
 
 
@@ -85,7 +85,7 @@ def _dated(spark, sf_dir):
 
 @query(f"{_TREND.format(k=5)}, cr AS (SELECT product_id, min(created_at) AS created_at FROM variant GROUP BY 1), nw AS (SELECT product_id, title, created_at FROM vis LEFT JOIN cr USING (product_id) WHERE product_id NOT IN (SELECT product_id FROM tt) ORDER BY created_at DESC NULLS LAST, title, product_id LIMIT 12), al AS (SELECT product_id, title, 0 AS part, score, NULL::TIMESTAMP AS created_at FROM tt UNION ALL SELECT product_id, title, 1, NULL, created_at FROM nw) SELECT product_id, title, part, rank FROM (SELECT *, row_number() OVER (ORDER BY part, score DESC NULLS LAST, created_at DESC NULLS LAST, title, product_id)::INTEGER AS rank FROM al) WHERE rank <= 12")
 def newest_top_up(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     return R.top_up(R.trending(R.record_signals(B.events(spark, sf_dir), v), v, NOW, k=5), _dated(spark, sf_dir), 12)
 
 
@@ -101,7 +101,7 @@ def build_cooccurrence(spark, sf_dir):
 f AS (SELECT dr.a AS seed_product, dr.b AS product_id, n, round(n / s1.s, 9) AS confidence, round(n * baskets / (s1.s * s2.s), 9) AS lift FROM dr JOIN sp s1 ON s1.p = dr.a JOIN sp s2 ON s2.p = dr.b, nn WHERE n >= 2),
 r AS (SELECT f.*, row_number() OVER (PARTITION BY seed_product ORDER BY lift DESC, title, product_id)::INTEGER AS rank FROM f JOIN vis USING (product_id) WHERE confidence >= 0.02) SELECT * FROM r WHERE rank <= 12""")
 def frequently_bought(spark, sf_dir):
-    v, b = vis(spark, sf_dir), B.baskets(spark, sf_dir)
+    v, b = stored_vis(spark, sf_dir), B.baskets(spark, sf_dir)
     return R.frequently_bought(v.select(F.col("product_id").alias("seed_product")), R.build_cooccurrence(b, v), R.basket_count(b, v), v, least_confidence=0.02)
 
 
@@ -125,7 +125,7 @@ def resolve_refs(spark, sf_dir):
 
 @query(None)
 def recommend(spark, sf_dir):
-    v, b = vis(spark, sf_dir), B.baskets(spark, sf_dir)
+    v, b = stored_vis(spark, sf_dir), B.baskets(spark, sf_dir)
     seeds = _seeds(spark, sf_dir)
     fbt = R.frequently_bought(seeds, R.build_cooccurrence(b, v), R.basket_count(b, v), v, least_confidence=0.05)
     return R.recommend(seeds.select(F.col("seed_id").alias("request_id"), "seed_product"), fbt, R.similar(seeds, v, weights=R.RELATED))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import search as S
 from ..sources import bridge as B
-from .catalog_queries import _TERMS, DOC_SQL, FACET_SQL, SUGGEST_SQL, VOCAB_SQL, docs, vis
+from .catalog_queries import _TERMS, DOC_SQL, FACET_SQL, SUGGEST_SQL, VOCAB_SQL, stored_vis, vis
 from .registry import query
 
 _QL = """ql AS (SELECT p_partkey AS query_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 3) WHEN 2 THEN 'the ' || p_name WHEN 3 THEN 'zzqq ' || string_split(p_name, ' ')[1]
@@ -123,7 +123,8 @@ sc AS (SELECT query_id, product_id, title, price_min, CASE WHEN whole = n_tokens
 
 
 def _page(spark, sf_dir):
-    return S.search_batch(query_log(spark, sf_dir), vis(spark, sf_dir), D.analyze_terms(docs(spark, sf_dir)), stopwords(spark))
+    v = stored_vis(spark, sf_dir)
+    return S.search_batch(query_log(spark, sf_dir), v, D.analyze_terms(v), stopwords(spark))
 
 
 @query(f"{_SEARCH} SELECT query_id, product_id, title, match_class, level, score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE rank <= 24")
@@ -133,7 +134,7 @@ def search_batch(spark, sf_dir):
 
 @query(f"{_SEARCH} SELECT query_id, product_id, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price_min NULLS LAST, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE rank > 5 AND rank <= 15")
 def rank_page_price(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     m = S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial"))
     return S.rank_page(S.relevance(m, v), 10, 5, "price_asc").select("query_id", "product_id", "rank", "total")
 
@@ -148,7 +149,7 @@ def strategy_label(spark, sf_dir):
 def sku_hit(spark, sf_dir):
     q = B.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws("-", F.lit("sku"), "p_partkey", F.col("p_partkey") % 10).alias("raw"))
     tokens = S.plan_tokens(q.withColumnRenamed("raw", "query")).join(q, "query_id")
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     return S.match(tokens, D.analyze_terms(v), v).where("sku").select("query_id", "product_id")
 
 
@@ -167,20 +168,20 @@ sd AS (SELECT query_id, product_id, title, CASE WHEN ex THEN 'exact' WHEN pf THE
 
 @query(f"{_EXPANDED} SELECT query_id, product_id, match_class, score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT *, round(cw + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score FROM sd)) WHERE rank <= 24")
 def search_expanded(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     return S.search_expanded(query_log(spark, sf_dir), v, D.analyze_terms(v), D.vocabulary(v), _rules(spark), stopwords(spark)).select("query_id", "product_id", "match_class", "score", "rank", "total")
 
 
 @query(f"{_SEARCH} SELECT query_id, product_id, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END::DOUBLE AS class_weight, CASE WHEN available THEN 10 ELSE 0 END::DOUBLE AS stock_part, score FROM (SELECT sc.*, available FROM sc JOIN vis USING (product_id))")
 def explain_scores(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     m = S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial"))
     return S.explain_scores(S.relevance(m, v)).drop("field_part")
 
 
 @query(None)
 def predictive(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     return S.predictive(query_log(spark, sf_dir), v, D.analyze_terms(v), D.suggest_terms(v))
 
 
@@ -188,7 +189,7 @@ def predictive(spark, sf_dir):
 jn AS (SELECT sc.*, action, CASE WHEN action = 'pin' THEN position END AS pos, CASE action WHEN 'boost' THEN w WHEN 'demote' THEN -w ELSE 0 END AS delta FROM sc LEFT JOIN mp USING (query_id, product_id) WHERE action IS NULL OR action <> 'hide')
 SELECT query_id, product_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END DESC, score + delta DESC, title, product_id)::INTEGER AS rank FROM jn) WHERE rank <= 24""")
 def rank_with_merch(spark, sf_dir):
-    v = vis(spark, sf_dir)
+    v = stored_vis(spark, sf_dir)
     scored = S.relevance(S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial")), v)
     k = F.col("product_id").cast("long")
     action = F.element_at(F.array(*map(F.lit, ("hide", "pin", "boost", "demote"))), (k % 4 + 1).cast("int"))
