@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_terms
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..sources import bridge as B
@@ -73,6 +74,11 @@ def analyze_terms(spark, sf_dir):
     return D.analyze_terms(docs(spark, sf_dir))
 
 
+@query(None)
+def analyze_terms_english(spark, sf_dir):
+    return stem_terms(D.analyze_terms(docs(spark, sf_dir)))
+
+
 VOCAB_SQL = f"""{DOC_SQL}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1)"""
 
 

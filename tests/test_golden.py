@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from commerce_lake.functions import privacy as P
 from commerce_lake.functions import text as T
+from commerce_lake.functions.stem import stem
 from commerce_lake.operators import analytics as A
 from commerce_lake.operators import bundles as BU
 from commerce_lake.operators import documents as D
@@ -26,6 +27,11 @@ def test_damerau():
     assert T.damerau("shoe", "shoelace", 2) == 3 and T.damerau("shoez", "shoes", 1) == 1
 
 
+def test_stems():
+    known = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit hopeful hope goodness good adjustment adjust adoption adopt probate probat rate rate controll control running run".split()
+    assert [stem(w) for w in known[::2]] == known[1::2]
+
+
 def test_text_columns(spark):
     v = lambda s: F.lit(s)
     assert one(spark, T.normalize_query(v("  Red,  SHOES!! "), True), T.tokenize(v("Red-Shoes 42"))) == ("red shoes", ["red", "shoes", "42"])
