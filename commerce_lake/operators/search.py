@@ -16,6 +16,19 @@ MAX_SYNONYMS, MAX_FUZZY, FUZZY_POOL, LEAST_TRIGRAM = 20, 5, 100, 0.3
 SORTS = ("relevance", "price_asc", "price_desc", "newest")
 
 
+#: The default English stop words.
+STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+
+
+def effective_stopwords(rows: DataFrame, locale: str | None = None) -> DataFrame:
+    """word, mode, locale rows over the defaults: what a tenant adds joins them, what it removes goes."""
+    scope = F.col("locale").isNull() if locale is None else F.col("locale").isNull() | (F.col("locale") == locale)
+    base = rows.sparkSession.createDataFrame([(w,) for w in STOPWORDS], "word string")
+    own = rows.where(scope)
+    added = base.unionByName(own.where("mode = 'add'").select("word")).distinct()
+    return added.join(own.where("mode = 'remove'").select("word"), "word", "left_anti").select("word", F.lit("add").alias("mode"), F.lit(None).cast("string").alias("locale"))
+
+
 def normalize_paging(q: DataFrame) -> DataFrame:
     """limit 24 by default and 50 at most, offset 0..1000, known sort, query trimmed to 200 characters."""
     text = F.trim(F.substring(F.regexp_replace("query", r"[\x00-\x1f\x7f]", " "), 1, 200))

@@ -15,6 +15,7 @@ from commerce_lake.operators import documents as D
 from commerce_lake.operators import intent as N
 from commerce_lake.operators import merchandising as M
 from commerce_lake.operators import restock as RS
+from commerce_lake.operators import search as S
 from commerce_lake.sources import events_in as I
 
 
@@ -27,6 +28,15 @@ def test_damerau():
     assert T.damerau("shoe", "shoelace", 2) == 3 and T.damerau("shoez", "shoes", 1) == 1
 
 
+def test_stopwords(spark):
+    rows = spark.createDataFrame([("red", "add", None), ("the", "remove", None), ("hot", "add", "fr")], "word string, mode string, locale string")
+    words = {r.word for r in S.effective_stopwords(rows).collect()}
+    assert "red" in words and "and" in words and not {"the", "hot"} & words
+    q = spark.createDataFrame([(1, "red and the shoes"), (2, "and of")], "query_id int, query string")
+    got = S.plan_tokens(q, S.effective_stopwords(rows)).orderBy("query_id", "pos").collect()
+    assert [(r.query_id, r.token, r.n_tokens) for r in got] == [(1, "the", 2), (1, "shoes", 2), (2, "and", 2), (2, "of", 2)]
+
+
 def test_stems():
     known = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit hopeful hope goodness good adjustment adjust adoption adopt probate probat rate rate controll control running run".split()
     assert [stem(w) for w in known[::2]] == known[1::2]
