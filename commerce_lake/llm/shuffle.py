@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the session names no shared folder (tests, one machine).
+DEFAULT_DIR = "file:///tmp/checkpoints"
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 20
 WORD_BYTES = 6
@@ -25,10 +27,7 @@ WORD_BYTES = 6
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which executors and driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
