@@ -25,7 +25,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shuffle import small_batches
 
 Q = 8
 ERROR = 0.1
@@ -239,6 +240,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, edits, similarity of every match."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = None
     for block in blocks(benchmark):
         held = spark.sparkContext.broadcast(index_items(block, error))
@@ -250,6 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """The documents without a match, with all their columns."""
     kept = docs
+    small_batches(docs.sparkSession)
     for block in blocks(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(index_items(block, error))
         kept = kept.mapInArrow(_keep(held), kept.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import words as W
+from .shuffle import small_batches
 
 FIT_PER_LANG = 1500
 MODEL_WORDS = 20_000
@@ -174,6 +175,7 @@ def predict_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs with lang_pred and score (replacing columns of those names)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -159,9 +159,9 @@ def signatures(t: np.ndarray, sketch: np.ndarray, cutoff: int, percent: int = PE
 
 def _index(sketch, cutoff: int, shingle: int, percent: int, n_buckets: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
-            seen: set[bytes] = set()
             own, who, meta = [], [], []
             for row, t in token_sets(batch["text"], shingle):
                 if len(t) < 2 or ids[row] is None or (key := hashlib.blake2b(t.tobytes(), digest_size=16).digest()) in seen:
@@ -232,11 +232,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
     class_id: smallest doc_id with an equal set; component_id: smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
+    X.small_batches(docs.sparkSession)
     total = X.text_bytes(docs)
     described = X.cut(docs.mapInArrow(_describe(shingle), "doc_id long, n long, digest binary, slice int, counts binary"), "sets")
     sketch = _sketch(described)
     cutoff = frequent_from(sketch)
-    held = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**SKETCH_BITS counters at every size
+    held = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))  # 2**SKETCH_BITS counters at every size
     base = described.where("slice is null").select("doc_id", "n", "digest")
     first = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = X.cut(base.join(first, "digest", "left").select("doc_id", "n", "class_id"), "classes")  # doc_id, n, class_id

@@ -128,6 +128,7 @@ def _encode(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs (doc_id, text) into the folder ``path`` in ascending doc_id order."""
     docs = docs.select("doc_id", "text")
+    X.small_batches(docs.sparkSession)
     n = max(8, math.ceil(X.text_bytes(docs) / PART_BYTES))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)

@@ -23,6 +23,7 @@ DEFAULT_DIR = "file:///tmp/checkpoints"
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 20
 WORD_BYTES = 6
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session: texts are long, and a task holds several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there."""
     path = shared_dir(df.sparkSession, name)
