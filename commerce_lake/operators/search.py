@@ -230,6 +230,9 @@ def rank_with_merch(scored: DataFrame, plan: DataFrame, limit: int = 24) -> Data
 # ---- filters and facets
 
 GROUPS = ("vendor", "product_type", "tag", "available", "price")
+#: The groups with a list of wanted values and the request's column of each.
+LISTS = {"vendor": "vendor_any", "product_type": "type_any", "tag": "tags_any"}
+SALTS = 64
 
 
 def _any(wanted: str, value: Column) -> Column:
@@ -255,22 +258,85 @@ def facet_filter(flagged: DataFrame, exclude: str | None = None) -> DataFrame:
     return out
 
 
-def facets(flagged: DataFrame, top: int = 50) -> DataFrame:
-    """query_id, kind, value, n, rank: each facet under the filters of the other groups; one pass over the flags."""
-    n_failed = sum((~F.col(f"pass_{g}")).cast("int") for g in GROUPS)
-    open_ = lambda g: (F.col("_failed") == 0) | ((F.col("_failed") == 1) & ~F.col(f"pass_{g}"))
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    one = lambda g, c: F.when(open_(g) & c.isNotNull() & (c != ""), F.array(F.struct(F.lit(g).alias("kind"), c.alias("value")))).otherwise(none)
-    tags = F.when(open_("tag"), F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value")))).otherwise(none)
-    f = flagged.withColumn("_failed", n_failed).where("_failed <= 1")
-    f = f.select("query_id", F.explode(F.concat(one("vendor", F.col("vendor")), one("product_type", F.col("product_type")), tags, one("available", F.col("available").cast("string")))).alias("p"))
-    f = f.groupBy("query_id", "p.kind", "p.value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("query_id", "kind").orderBy(F.desc("n"), "value")
-    return f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-
-
-def price_range_facet(flagged: DataFrame) -> DataFrame:
-    return facet_filter(flagged, "price").groupBy("query_id").agg(F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max")).where("price_min is not null")
+def _filters(requests: DataFrame, *extra: str) -> DataFrame:
+    """Requests with no nulls in their lists and _filter, equal for equal filters (and equal extra columns)."""
+    r = requests.select("query_id", *extra, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in LISTS.values()], "want_available", "price_lo", "price_hi")
+    return r.withColumn("_filter", F.to_json(F.struct(*r.columns[1:])))
+
+
+def _one_each(filters: DataFrame) -> DataFrame:
+    return filters.drop("query_id").dropDuplicates(["_filter"])
+
+
+_HAS_LIST = " or ".join(f"size({c}) > 0" for c in LISTS.values())
+
+
+def _list_pairs(filters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Filters with a wanted list and the documents that pass them all: documents meet a filter by an
+    equi-join on the values of the group whose wanted values the fewest documents hold."""
+    entry = lambda g, v: F.struct(F.lit(g).alias("_group"), v.alias("_value"))
+    entries = lambda g, c: F.transform(F.array_distinct(c), lambda v: entry(g, v))
+    held = F.concat(F.array(entry("vendor", F.col("vendor")), entry("product_type", F.col("product_type"))), entries("tag", F.coalesce("tags", F.array().cast("array<string>"))))
+    held = docs.select("*", F.inline(held))
+    wanted = filters.where(_HAS_LIST).select("*", F.inline(F.concat(*[entries(g, c) for g, c in LISTS.items()])))
+    cost = wanted.join(held.groupBy("_group", "_value").agg(F.count("*").alias("_n")), ["_group", "_value"], "left").groupBy("_filter", "_group").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    by = cost.groupBy("_filter").agg(F.min(F.struct("_n", "_group")).alias("_least")).select("_filter", F.col("_least._group").alias("_group"))
+    pairs = wanted.join(by, ["_filter", "_group"]).join(held, ["_group", "_value"])
+    # a document with several of the wanted tags is met at the first of them only
+    first = (F.col("_group") != "tag") | (F.col("_value") == F.get(F.array_intersect(F.array_compact("tags_any"), "tags"), F.lit(0)))
+    return facet_filter(filter_flags(pairs.where(first))).drop("_group", "_value")
+
+
+def _doc_columns(docs: DataFrame) -> DataFrame:
+    return docs.select("product_id", "vendor", "product_type", "tags", "available", "price_min", "price_max")
+
+
+def _all_pairs(filters: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each distinct filter with each document that passes it; filters without a wanted list browse all documents."""
+    docs, one = _doc_columns(docs), _one_each(filters)
+    browse = facet_filter(filter_flags(one.where(f"not ({_HAS_LIST})").crossJoin(docs)))
+    pairs = _list_pairs(one, docs)
+    return pairs.unionByName(browse.select(pairs.columns))
+
+
+def facet_matches(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, product_id of the documents that pass each request."""
+    f = _filters(requests)
+    return f.select("query_id", "_filter").join(_all_pairs(f, docs).select("_filter", "product_id"), "_filter").select("query_id", "product_id")
+
+
+def facets(requests: DataFrame, docs: DataFrame, top: int = 50) -> DataFrame:
+    """query_id, kind, value, n, rank: each facet under the filters of the other groups.
+
+    A request is one filter for each kind, its own group's left out; equal filters are counted once.  Those
+    without a wanted list are answered from counts of documents by value, availability and prices."""
+    kinds = F.explode(F.array(*map(F.lit, GROUPS[:-1])))
+    r = requests.select("*", kinds.alias("kind"))
+    for g, c in LISTS.items():
+        r = r.withColumn(c, F.when(F.col("kind") != g, F.col(c)))
+    f = _filters(r.withColumn("want_available", F.when(F.col("kind") != "available", F.col("want_available"))), "kind")
+    docs, one = _doc_columns(docs), _one_each(f)
+    one_value = lambda c: F.filter(F.array(c), lambda v: v.isNotNull() & (v != ""))
+    values = {"vendor": one_value(F.col("vendor")), "product_type": one_value(F.col("product_type")), "tag": F.col("tags"), "available": one_value(F.col("available").cast("string"))}
+    of_kind = F.coalesce(*[F.when(F.col("kind") == g, v) for g, v in values.items()])
+    counted = _list_pairs(one, docs).select("_filter", "kind", F.explode(of_kind).alias("value")).groupBy("_filter", "kind", "value").agg(F.count("*").alias("n"))
+    cells = docs.select("*", kinds.alias("kind")).select("kind", "available", "price_min", "price_max", F.explode(of_kind).alias("value")).groupBy("kind", "value", "available", "price_min", "price_max").agg(F.count("*").alias("n"))
+    # four kinds are too few keys to deal by
+    cells = cells.withColumn("_salt", F.pmod(F.xxhash64("value", "price_min", "price_max"), F.lit(SALTS)))
+    browse = one.where(f"not ({_HAS_LIST})").select("_filter", "kind", "want_available", "price_lo", "price_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    none = F.array().cast("array<string>")
+    met = browse.join(cells, ["kind", "_salt"]).select("*", *[none.alias(c) for c in LISTS.values()], F.lit("").alias("vendor"), F.lit("").alias("product_type"), none.alias("tags"))
+    browsed = facet_filter(filter_flags(met)).groupBy("_filter", "kind", "value").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("_filter", "kind").orderBy(F.desc("n"), "value")
+    ranked = counted.unionByName(browsed).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return f.select("query_id", "_filter").join(ranked, "_filter").select("query_id", "kind", "value", "n", "rank")
+
+
+def price_range_facet(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, price_min, price_max under all filters but the price; at most three distinct filters have no wanted list."""
+    f = _filters(requests.withColumns({c: F.lit(None).cast("double") for c in ("price_lo", "price_hi")}))
+    ranges = _all_pairs(f, docs).groupBy("_filter").agg(F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max")).where("price_min is not null")
+    return f.select("query_id", "_filter").join(ranges, "_filter").select("query_id", "price_min", "price_max")
 
 
 def browse_facets(facet_values: DataFrame, top: int = 50) -> DataFrame:

@@ -224,25 +224,20 @@ _FLAG = f"""{DOC_SQL}, {_REQ}, fl AS (SELECT rq.query_id, v.product_id, v.vendor
  want_available IS NULL OR want_available = available AS pa, (price_lo IS NULL OR coalesce(price_max >= price_lo, false)) AND (price_hi IS NULL OR coalesce(price_min <= price_hi, false)) AS pp FROM vis v, rq)"""
 
 
-def _flagged(spark, sf_dir) -> DataFrame:
-    """Every request against every document: requests browse the whole catalogue."""
-    return S.filter_flags(vis(spark, sf_dir).join(F.broadcast(_requests(spark, sf_dir).drop("query").limit(500)), how="cross"))
-
-
 @query(f"{_FLAG} SELECT query_id, product_id FROM fl WHERE pv AND pt AND pg AND pa AND pp")
 def facet_filter(spark, sf_dir):
-    return S.facet_filter(_flagged(spark, sf_dir)).select("query_id", "product_id")
+    return S.facet_matches(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
 @query(f"""{_FLAG}, k AS (SELECT query_id, 'vendor' AS kind, vendor AS value FROM fl WHERE pt AND pg AND pa AND pp AND vendor <> '' UNION ALL SELECT query_id, 'product_type', product_type FROM fl WHERE pv AND pg AND pa AND pp AND product_type <> '' UNION ALL SELECT query_id, 'tag', unnest(tags) FROM fl WHERE pv AND pt AND pa AND pp UNION ALL SELECT query_id, 'available', available::VARCHAR FROM fl WHERE pv AND pt AND pg AND pp),
 c AS (SELECT query_id, kind, value, count(*) AS n FROM k GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY n DESC, value)::INTEGER AS rank FROM c) WHERE rank <= 50""")
 def facets(spark, sf_dir):
-    return S.facets(_flagged(spark, sf_dir))
+    return S.facets(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
 @query(f"{_FLAG} SELECT query_id, min(price_min) AS price_min, max(price_max) AS price_max FROM fl WHERE pv AND pt AND pg AND pa GROUP BY 1 HAVING min(price_min) IS NOT NULL")
 def price_range_facet(spark, sf_dir):
-    return S.price_range_facet(_flagged(spark, sf_dir))
+    return S.price_range_facet(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
 @query(f"{FACET_SQL} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value)::INTEGER AS rank FROM fv) WHERE rank <= 50")
