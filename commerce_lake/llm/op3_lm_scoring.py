@@ -7,9 +7,10 @@ Model.  The ``VOCABULARY`` most frequent tokens are words of a gated recurrent m
 (module gru) with a class-factored softmax; any other word belongs to one of
 ``RARE_CLASSES`` classes by its last two bytes and has the probability
 (c + 1) / (n + v + 1) in its class (n tokens, v distinct words of the class in training),
-so unseen words have one too.  The recurrent part is fitted on about ``FIT_DOCS`` whole
-training documents, chosen by hash and dealt to ``SHARDS`` tasks; their parameters are
-averaged after each of ``ROUNDS`` rounds.
+so unseen words have one too.  The recurrent part is fitted on every training document:
+each is encoded once and dealt by hash to a shard of about ``SHARD_BYTES`` of text, each shard
+is one task, and after each of ``ROUNDS`` rounds the shards' parameters are averaged in
+groups of ``FAN``, groups of groups, until one group is left for the driver.
 
 Scores.  A document is scored to its end with its state carried on; ``score`` is the log10
 probability of its words and its end, ``base_score`` that of the add-one unigram model.
@@ -37,8 +38,9 @@ from . import words as W
 VOCABULARY = 4096
 CLASS_SIZE = 64
 RARE_CLASSES = 48
-FIT_DOCS = 3000
-SHARDS = 6
+SHARDS = 6  #: at least
+SHARD_BYTES = 24 << 20
+FAN = 8
 ROUNDS = 2
 DIVISOR, REMAINDER = 7, 2
 END = np.uint64(0x5DEECE66D1234567)
@@ -150,31 +152,85 @@ def encode_texts(vocab: Vocabulary, texts) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(([0], np.cumsum(size)))
 
 
-def _fit_shard(vocab, params):
+def _encode(vocab):
+    """Batches of training documents -> a row for each shard: order, length and ids of its documents."""
+
+    def encode(batches):
+        for batch in batches:
+            ids, bounds = encode_texts(vocab.value, pa.chunked_array([batch.column("text")]))
+            ids = ids.astype(np.uint16)
+            order = batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            rows: list[tuple] = []
+            for k in np.unique(shard):
+                at = np.flatnonzero(shard == k)
+                rows.append((int(k), order[at].tobytes(), np.diff(bounds)[at].tobytes(), np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in at]).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENCODED_TYPES)], list(_ENCODED_NAMES))
+
+    return encode
+
+
+_ENCODED = "shard int, orders binary, sizes binary, ids binary"
+_ENCODED_NAMES, _ENCODED_TYPES = ("shard", "orders", "sizes", "ids"), (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_FITTED = "shard int, documents long, params binary"
+
+
+def shard_stream(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a shard's encoded rows, documents by the hash of doc_id and text, and the marks of their first ids."""
+    order, _ = X.unpacked(table["orders"], np.int64)
+    size, _ = X.unpacked(table["sizes"], np.int64)
+    ids, _ = X.unpacked(table["ids"], np.uint16)
+    first = np.cumsum(size) - size
+    by = np.lexsort((size, order))
+    to = np.cumsum(size[by]) - size[by]
+    ids = ids[np.repeat(first[by] - to, size[by]) + np.arange(len(ids))].astype(np.int64)
+    start = np.zeros(len(ids), bool)
+    start[to] = True
+    return ids, start
+
+
+def _fit_shard(params):
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in table["doc_id"].to_pylist()]), kind="stable")
-        ids, bounds = encode_texts(vocab.value, table["text"].take(pa.array(order)))
-        start = np.zeros(len(ids), bool)
-        start[bounds[:-1]] = True
-        return pa.table({"shard": [key[0].as_py()], "params": [pickle.dumps(gru.train(params.value, ids, start))]}, schema=pa.schema([("shard", pa.int32()), ("params", pa.binary())]))
+        ids, start = shard_stream(table)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([int(start.sum())], pa.int64()), "params": pa.array([pickle.dumps((1, gru.train(params.value, ids, start)))], pa.binary())})
 
     return fit
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, params: dict, fit_docs: int = FIT_DOCS, shards: int = SHARDS, rounds: int = ROUNDS) -> dict:
-    """Parameters fitted to a sample of the training documents (doc_id, text)."""
+def _merged(rows: list[bytes]) -> tuple[int, dict]:
+    """Number of shards and mean parameters of (number, mean) pairs."""
+    total, mean = 0, {}
+    for n, p in map(pickle.loads, rows):
+        total += n
+        # a running mean: at most two sets of parameters are held
+        mean = {k: (m + (p[k] - m) * (n / total) if m.dtype.kind == "f" else m) for k, m in mean.items()} or {k: v.astype(np.float64) if v.dtype.kind == "f" else v for k, v in p.items()}
+    return total, {k: v.astype(np.float32) if v.dtype.kind == "f" else v for k, v in mean.items()}
+
+
+def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    table = table.sort_by("shard")
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([sum(table["documents"].to_pylist())], pa.int64()), "params": pa.array([pickle.dumps(_merged(table["params"].to_pylist()))], pa.binary())})
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, params: dict, total: int, rounds: int = ROUNDS) -> tuple[dict, int]:
+    """Parameters fitted to all training documents (doc_id, text) of ``total`` bytes, and the number of documents in a round."""
     context = docs.sparkSession.sparkContext
     crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     training = docs.where(F.coalesce(crc % DIVISOR != REMAINDER, F.lit(True)))
-    share = fit_docs / max(1, training.count())
-    sample = training.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))).where(F.col("u") < min(1.0, share) * (1 << 30))
-    sample = X.cut(sample.select("doc_id", "text", (F.col("u") % shards).cast("int").alias("shard")), "fit")
-    held = context.broadcast(vocab)
+    shards = max(SHARDS, math.ceil(total / SHARD_BYTES))
+    dealt = training.select("text", F.xxhash64("doc_id", "text").alias("place"), F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
+    encoded = X.cut(dealt.mapInArrow(_encode(context.broadcast(vocab)), _ENCODED), "fit")
+    documents = 0
     for _ in range(rounds):
-        rows = sample.repartition(shards, "shard").groupBy("shard").applyInArrow(_fit_shard(held, context.broadcast(params)), "shard int, params binary").orderBy("shard").collect()
+        fitted, n = encoded.repartition(shards, "shard").groupBy("shard").applyInArrow(_fit_shard(context.broadcast(params)), _FITTED), shards
+        while n > FAN:
+            n = -(-n // FAN)
+            fitted = fitted.groupBy(F.floor(F.col("shard") / FAN).cast("int").alias("group")).applyInArrow(_merge, _FITTED)
+        rows = fitted.orderBy("shard").collect()
         if rows:
-            params = gru.average([pickle.loads(r.params) for r in rows])
-    return params
+            params, documents = _merged([r.params for r in rows])[1], sum(r.documents for r in rows)
+    return params, documents
 
 
 def _score(vocab, params):
@@ -223,7 +279,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sent = dealt.groupBy("chunk").applyInArrow(_send(n_buckets), "bucket int, chunk int, keys binary, counts binary, classes binary")
     counted = X.cut(sent.groupBy("bucket").applyInArrow(_count, _COUNTED), "counts")
     vocab, params = vocabulary(counted)
-    params = fit(docs, vocab, params)
+    params, _ = fit(docs, vocab, params, total)
     context = docs.sparkSession.sparkContext
     answers = counted.where("kind = 0").select("chunk", "keys", "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

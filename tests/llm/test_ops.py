@@ -225,6 +225,29 @@ def test_lm_learns(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.99
 
 
+def test_lm_fits_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(op3_lm_scoring, "SHARD_BYTES", 1 << 12)
+    rows = [(i, f"w{i % 50} v{i % 7}") for i in range(9000)] + [(None, f"n{i}") for i in range(40)] + [(5, "again")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sum(i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)
+    h = np.sort(np.arange(1, 10, dtype=np.uint64) << np.uint64(40))
+    vocab = op3_lm_scoring.Vocabulary(h, np.arange(9), 9, np.ones(op3_lm_scoring.RARE_CLASSES), 9, 9)
+    start = gru.init(9, 4, op3_lm_scoring.RARE_CLASSES, np.ones(9), np.ones(op3_lm_scoring.RARE_CLASSES))
+    params, documents = op3_lm_scoring.fit(docs, vocab, start, total=sum(len(t) for _, t in rows))
+    assert documents == want > 7000
+    again, _ = op3_lm_scoring.fit(docs.repartition(2), vocab, start, total=sum(len(t) for _, t in rows))
+    assert all(np.isfinite(params[k]).all() and np.allclose(params[k], again[k], atol=1e-5) for k in params) and not np.allclose(params["rec"], start["rec"])
+
+
+def test_lm_averages_groups_of_shards():
+    import pickle
+
+    one = [{"a": np.full(3, float(i), np.float32), "size": np.array([7])} for i in range(5)]
+    groups = [pickle.dumps(op3_lm_scoring._merged([pickle.dumps((1, p)) for p in part])) for part in (one[:3], one[3:])]
+    n, mean = op3_lm_scoring._merged(groups)
+    assert n == 5 and np.allclose(mean["a"], 2.0) and mean["size"].tolist() == [7]
+
+
 # ---- 4
 
 
