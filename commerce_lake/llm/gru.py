@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
-The output vocabulary has ``len(sizes)`` frequent classes of words, each with its own
-softmax, and rare classes that have no softmax inside (the caller knows the share of a
-rare word in its class).  Training is truncated backpropagation over windows of
-``WINDOW`` steps; the state is carried from window to window and reset at text starts.
+The output vocabulary has frequent classes of words, each with its own softmax, and rare
+classes that have no softmax inside (the caller knows the share of a rare word in its
+class).  Training is truncated backpropagation over windows of ``WINDOW`` steps of many
+texts side by side; the state is carried from window to window and reset where a text
+starts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,12 @@ import numpy as np
 
 WINDOW = 16
 HIDDEN = 32
+LANES = 256
+LEAST_WINDOWS = 256
+RATE = 0.1
+#: Logits may lie so far below one common shift before single precision loses them.
+SAFE_SPREAD = 80.0
+_TRAINED = ("rec", "bias", "wc", "bc", "wo", "bo")
 
 
 def init(n_words: int, class_size: int, n_rare: int, word_counts: np.ndarray, rare_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 1) -> dict[str, np.ndarray]:
@@ -24,21 +31,53 @@ def init(n_words: int, class_size: int, n_rare: int, word_counts: np.ndarray, ra
     mass = np.concatenate((np.exp(by_class).sum(1), rare_counts + 1.0))
     f = np.float32
     return {
-        "emb": (0.1 * rng.standard_normal((n_words + n_rare, 3 * hidden))).astype(f), "rec": (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden) * 0.5).astype(f),
-        "bias": np.concatenate((np.full(hidden, 0.5), np.zeros(2 * hidden))).astype(f), "wc": (0.01 * rng.standard_normal((hidden, n_classes + n_rare))).astype(f), "bc": np.log(mass / mass.sum()).astype(f),
-        "wo": np.zeros((n_classes, hidden, class_size), f), "bo": by_class.astype(f), "size": np.array([n_words, class_size, n_rare]),
-    }
-
-
-def step(p: dict, x: np.ndarray, h: np.ndarray):
-    """One step for rows of ids x and states h: new state and what backpropagation needs."""
+        "emb": (0.1 * rng.standard_normal((n_words + n_rare, 3 * hidden))).astype(f),
+        "rec": (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden) * 0.5).astype(f),
+        "bias": np.concatenate((np.full(hidden, 0.5), np.zeros(2 * hidden))).astype(f),
+        "wc": (0.01 * rng.standard_normal((hidden, n_classes + n_rare))).astype(f),
+        "bc": np.log(mass / mass.sum()).astype(f),
+        "wo": np.zeros((n_classes, hidden, class_size), f),
+        "bo": by_class.astype(f),
+        "size": np.array([n_words, class_size, n_rare]),
+    }
+
+
+def step(p: dict, a: np.ndarray, h: np.ndarray):
+    """One step for rows of inputs a (embedding and bias) and states h: new state and what backpropagation needs."""
     n = h.shape[1]
-    a = p["emb"][x] + p["bias"]
     u = h @ p["rec"]
-    gates = 0.5 * np.tanh(0.5 * (a[:, : 2 * n] + u[:, : 2 * n])) + 0.5
-    z, r = gates[:, :n], gates[:, n:]
-    new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-    return new + z * (h - new), (z, r, new, u[:, 2 * n :])
+    gates = a[:, : 2 * n] + u[:, : 2 * n]
+    np.negative(gates, out=gates)
+    with np.errstate(over="ignore"):
+        np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r, un = gates[:, :n], gates[:, n:], u[:, 2 * n :]
+    new = r * un
+    new += a[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, (z, r, new, un)
+
+
+def _softmax(logits: np.ndarray, own: np.ndarray, want_rest: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of the column ``own`` of each row and, if wanted, its gradient by the logits."""
+    rows = np.arange(len(logits))
+    top = logits.max() if len(logits) else 0.0
+    if len(logits) and top - logits.min() > SAFE_SPREAD:
+        top = logits.max(1, keepdims=True)
+    logits -= top
+    mine = logits[rows, own]
+    e = np.exp(logits, out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    out = mine - np.log(total)
+    if not want_rest:
+        return out, None
+    e *= (-1 / total)[:, None]
+    e[rows, own] += 1
+    return out, e
 
 
 def log_probs(p: dict, hs: np.ndarray, target: np.ndarray, grads: dict | None = None):
@@ -47,111 +86,128 @@ def log_probs(p: dict, hs: np.ndarray, target: np.ndarray, grads: dict | None =
     With grads, also adds the gradients of the sum and returns that of hs."""
     n_words, width, _ = p["size"]
     n_classes = len(p["wo"])
-    rare = target >= n_words
-    cls = np.where(rare, n_classes + target - n_words, target // width)
-    logits = hs @ p["wc"] + p["bc"]
-    logits -= logits.max(1, keepdims=True)
-    rows = np.arange(len(hs))
-    own = logits[rows, cls]
-    e = np.exp(logits, out=logits)
-    total = e.sum(1)
-    out = own - np.log(total)
+    cls = np.where(target >= n_words, n_classes + target - n_words, target // width).astype(np.int16)
+    logits = hs @ p["wc"]
+    logits += p["bc"]
+    out, d = _softmax(logits, cls, grads is not None)
     dh = None
     if grads is not None:
-        d = -e / total[:, None]
-        d[rows, cls] += 1
         grads["wc"] += hs.T @ d
         grads["bc"] += d.sum(0)
         dh = d @ p["wc"].T
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(n_classes + 1))
-    for c in range(n_classes):
-        if edge[c] == edge[c + 1]:
-            continue
-        k = order[edge[c] : edge[c + 1]]
-        hk = hs[k]
-        inner = hk @ p["wo"][c] + p["bo"][c]
-        inner -= inner.max(1, keepdims=True)
-        w = target[k] - c * width
-        own = inner[np.arange(len(k)), w]
-        e = np.exp(inner, out=inner)
-        total = e.sum(1)
-        out[k] += own - np.log(total)
-        if grads is not None:
-            d = -e / total[:, None]
-            d[np.arange(len(k)), w] += 1
-            grads["wo"][c] += hk.T @ d
-            grads["bo"][c] += d.sum(0)
-            dh[k] += d @ p["wo"][c].T
+    edge = np.searchsorted(cls[order], np.arange(n_classes + 1, dtype=np.int16))
+    order = order[: edge[-1]]
+    if not len(order):
+        return out, dh
+    some = hs[order]
+    inner = np.empty((len(order), width), hs.dtype)
+    spans = [(c, i, j) for c, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if i < j]
+    for c, i, j in spans:
+        np.matmul(some[i:j], p["wo"][c], out=inner[i:j])
+        inner[i:j] += p["bo"][c]
+    more, d = _softmax(inner, target[order] % width, grads is not None)
+    out[order] += more
+    if grads is not None:
+        back = np.empty_like(some)
+        for c, i, j in spans:
+            np.matmul(d[i:j], p["wo"][c].T, out=back[i:j])
+            grads["wo"][c] += some[i:j].T @ d[i:j]
+            grads["bo"][c] += d[i:j].sum(0)
+        dh[order] += back
     return out, dh
 
 
-def train(p: dict, ids: np.ndarray, start: np.ndarray, epochs: int = 1, lanes: int = 32, rate: float = 0.1) -> dict:
-    """Fit to a stream of ids; start marks the first id of a text. Returns new parameters."""
+def backpropagate(p: dict, x: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray, grads: dict):
+    """One window: inputs x, marks of texts that start, and targets, all (steps, lanes); h is the state before it.
+
+    Adds the gradients of the sum of log probabilities; returns the sum, the state after
+    the window, the input ids and the gradients of their embeddings."""
+    steps, lanes = x.shape
+    n = h.shape[1]
+    a = p["emb"][x]
+    a += p["bias"]
+    kept, before, after = [], np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
+    for t in range(steps):
+        before[t] = h
+        before[t][fresh[t]] = 0
+        h, own = step(p, a[t], before[t])
+        after[t] = h
+        kept.append(own)
+    score, dh_all = log_probs(p, after.reshape(-1, n), target.ravel(), grads)
+    dh_all = dh_all.reshape(steps, lanes, n)
+    da, du = np.empty((steps, lanes, 3 * n), h.dtype), np.empty((steps, lanes, 3 * n), h.dtype)
+    back, dh = np.ascontiguousarray(p["rec"].T), np.zeros((lanes, n), h.dtype)
+    for t in range(steps - 1, -1, -1):
+        z, r, new, un = kept[t]
+        dh += dh_all[t]
+        d = da[t]
+        np.multiply(dh, 1 - z, out=d[:, 2 * n :])
+        d[:, 2 * n :] *= 1 - new * new
+        np.multiply(dh, before[t] - new, out=d[:, :n])
+        d[:, :n] *= z * (1 - z)
+        np.multiply(d[:, 2 * n :], un, out=d[:, n : 2 * n])
+        d[:, n : 2 * n] *= r * (1 - r)
+        du[t] = d
+        du[t][:, 2 * n :] *= r
+        dh *= z
+        dh += du[t] @ back
+        dh[fresh[t]] = 0
+    grads["rec"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+    grads["bias"] += da.sum((0, 1))
+    return score, h, x.ravel(), da.reshape(-1, 3 * n)
+
+
+def train(p: dict, ids: np.ndarray, start: np.ndarray, lanes: int = LANES, rate: float = RATE) -> dict:
+    """Fit to a stream of ids in one pass; start marks the first id of a text. Returns new parameters,
+    with the sums of squared gradients (``seen_*``), from which a later call goes on.
+
+    The stream is cut into at most ``lanes`` lanes that run side by side; few enough that
+    short streams get ``LEAST_WINDOWS`` windows. The ids that do not fill all lanes follow in one."""
     p = {k: v.copy() for k, v in p.items()}
-    n = p["rec"].shape[0]
-    lanes = max(1, min(lanes, len(ids) // (2 * WINDOW)))
-    length = len(ids) // lanes
-    if length < 2:
-        return p
-    x = ids[: lanes * length].reshape(lanes, length)
-    s = start[: lanes * length].reshape(lanes, length)
-    end = int(p["size"][0]) - 1  # the end id opens a text
-    names = ("rec", "bias", "wc", "bc", "wo", "bo")
-    seen = {k: np.full(p[k].shape, 1e-2, np.float32) for k in (*names, "emb")}
-    for _ in range(epochs):
-        h = np.zeros((lanes, n), np.float32)
-        prev = np.full(lanes, end)
-        for t0 in range(0, length, WINDOW):
-            window = range(t0, min(t0 + WINDOW, length))
-            steps, hs = [], []
-            for t in window:
-                fresh = s[:, t]
-                h = np.where(fresh[:, None], np.float32(0), h)
-                xin = np.where(fresh, end, prev)
-                h_in = h
-                h, kept = step(p, xin, h)
-                steps.append((xin, fresh, h_in, kept))
-                hs.append(h)
-                prev = x[:, t]
-            grads = {k: np.zeros_like(p[k]) for k in names}
-            target = x[:, t0 : t0 + len(steps)].T.ravel()
-            _, dh_all = log_probs(p, np.concatenate(hs), target, grads)
-            dh_all = dh_all.reshape(len(steps), lanes, n)
-            dh = np.zeros((lanes, n), np.float32)
-            demb, rows = [], []
-            for i in range(len(steps) - 1, -1, -1):
-                xin, fresh, h_in, (z, r, new, un) = steps[i]
-                dh = dh + dh_all[i]
-                dz = dh * (h_in - new) * z * (1 - z)
-                dn = dh * (1 - z) * (1 - new * new)
-                dr = dn * un * r * (1 - r)
-                da = np.concatenate((dz, dr, dn), axis=1)
-                du = np.concatenate((dz, dr, dn * r), axis=1)
-                grads["rec"] += h_in.T @ du
-                grads["bias"] += da.sum(0)
-                demb.append(da)
-                rows.append(xin)
-                dh = np.where(fresh[:, None], np.float32(0), dh * z + du @ p["rec"].T)
-            scale = np.float32(1.0 / lanes)
-            for k in names:
-                g = np.clip(grads[k] * scale, -1, 1)
-                seen[k] += g * g
-                p[k] += rate * g / np.sqrt(seen[k])
-            at, where = np.unique(np.concatenate(rows), return_inverse=True)
-            g = np.zeros((len(at), 3 * n), np.float32)
-            np.add.at(g, where, np.concatenate(demb))
-            g = np.clip(g * scale, -1, 1)
-            seen["emb"][at] += g * g
-            p["emb"][at] += rate * g / np.sqrt(seen["emb"][at])
+    lanes = max(1, min(lanes, len(ids) // (LEAST_WINDOWS * WINDOW)))
+    seen = {k: p.setdefault(f"seen_{k}", np.full(p[k].shape, 1e-2, np.float32)) for k in (*_TRAINED, "emb")}
+    whole = len(ids) // lanes * lanes
+    for i, j, side in ((0, whole, lanes), (whole, len(ids), 1)):
+        if i < j:
+            _train_lanes(p, seen, ids[i:j].reshape(side, -1).T, start[i:j].reshape(side, -1).T, rate, np.float32(1.0 / lanes))
     return p
 
 
-def average(params: list[dict]) -> dict:
-    return {k: (np.mean([q[k] for q in params], axis=0).astype(v.dtype) if v.dtype.kind == "f" else v) for k, v in params[0].items()}
-
-
-def score(p: dict, ids: np.ndarray, bounds: np.ndarray, window: int = 32, most: int = 1 << 15) -> np.ndarray:
+def _train_lanes(p: dict, seen: dict, target: np.ndarray, fresh: np.ndarray, rate: float, scale: np.float32) -> None:
+    """Window after window of targets (steps, lanes): gradients and a step up them."""
+    target, fresh = np.ascontiguousarray(target), np.ascontiguousarray(fresh)
+    end = int(p["size"][0]) - 1  # the end id opens a text
+    x = np.concatenate((np.full((1, target.shape[1]), end, target.dtype), target[:-1]))
+    x[fresh] = end
+    grads = {k: np.empty_like(p[k]) for k in _TRAINED}
+    h = np.zeros((target.shape[1], p["rec"].shape[0]), np.float32)
+    for t in range(0, len(target), WINDOW):
+        for g in grads.values():
+            g.fill(0)
+        _, h, rows, demb = backpropagate(p, x[t : t + WINDOW], fresh[t : t + WINDOW], target[t : t + WINDOW], h, grads)
+        for k, g in grads.items():
+            _ascend(p[k], seen[k], g, scale, rate)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        g, at = np.add.reduceat(demb[order], first, axis=0), rows[first]
+        own, past = p["emb"][at], seen["emb"][at]
+        _ascend(own, past, g, scale, rate)
+        p["emb"][at], seen["emb"][at] = own, past
+
+
+def _ascend(p: np.ndarray, seen: np.ndarray, g: np.ndarray, scale: np.float32, rate: float) -> None:
+    """A step up the clipped gradient, divided by the root of the sum of its squares so far."""
+    g *= scale
+    np.clip(g, -1, 1, out=g)
+    seen += g * g
+    g *= rate
+    g /= np.sqrt(seen)
+    p += g
+
+
+def score(p: dict, ids: np.ndarray, bounds: np.ndarray, most: int = 4096) -> np.ndarray:
     """Sum of log_probs over each text's ids (text i: bounds[i]:bounds[i+1]), state carried to its end."""
     n = p["rec"].shape[0]
     size = np.diff(bounds)
@@ -159,17 +215,17 @@ def score(p: dict, ids: np.ndarray, bounds: np.ndarray, window: int = 32, most:
     size, first = size[order], bounds[:-1][order]
     total = np.zeros(len(order))
     end = int(p["size"][0]) - 1
+    inputs = p["emb"] + p["bias"]
     for g in range(0, len(order), 1024):  # lanes: texts of similar length, the longest first
         own, at = size[g : g + 1024], first[g : g + 1024]
         h = np.zeros((len(own), n), np.float32)
         prev = np.full(len(own), end)
-        t, longest = 0, int(own[0]) if len(own) else 0
+        t, longest = 0, int(own[0])
         while t < longest:
-            hs, targets, lanes = [], [], []
-            rows = 0
-            while t < longest and len(hs) < window * 8 and rows < most:
+            hs, targets, lanes, rows = [], [], [], 0
+            while t < longest and rows < most and len(lanes) < most:
                 active = int(np.searchsorted(-own, -t, side="left"))  # texts longer than t
-                h, _ = step(p, prev[:active], h[:active])
+                h, _ = step(p, inputs[prev[:active]], h[:active])
                 prev = ids[at[:active] + t]
                 hs.append(h)
                 targets.append(prev)
@@ -177,7 +233,7 @@ def score(p: dict, ids: np.ndarray, bounds: np.ndarray, window: int = 32, most:
                 rows += active
                 t += 1
             out, _ = log_probs(p, np.concatenate(hs), np.concatenate(targets))
-            lane = np.concatenate([np.arange(a) for a in lanes])
+            lane = np.concatenate([np.arange(k) for k in lanes])
             total[g : g + len(own)] += np.bincount(lane, out, minlength=len(own))
     result = np.zeros(len(order))
     result[order] = total

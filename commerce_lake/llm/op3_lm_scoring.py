@@ -7,10 +7,11 @@ Model.  The ``VOCABULARY`` most frequent tokens are words of a gated recurrent m
 (module gru) with a class-factored softmax; any other word belongs to one of
 ``RARE_CLASSES`` classes by its last two bytes and has the probability
 (c + 1) / (n + v + 1) in its class (n tokens, v distinct words of the class in training),
-so unseen words have one too.  The recurrent part is fitted on every training document:
-each is encoded once and dealt by hash to a shard of about ``SHARD_BYTES`` of text, each shard
-is one task, and after each of ``ROUNDS`` rounds the shards' parameters are averaged in
-groups of ``FAN``, groups of groups, until one group is left for the driver.
+so unseen words have one too.  The recurrent part is fitted on every training document
+once: each is encoded and dealt by hash to a shard of about ``SHARD_BYTES`` of text, and
+each shard is one task.  Rounds take 1, ``FAN`` - 1, then ``FAN`` times as many shards and go on
+from the average of the round before; parameters are averaged in groups of ``FAN``, groups
+of groups, until few are left for the driver.
 
 Scores.  A document is scored to its end with its state carried on; ``score`` is the log10
 probability of its words and its end, ``base_score`` that of the add-one unigram model.
@@ -38,10 +39,8 @@ from . import words as W
 VOCABULARY = 4096
 CLASS_SIZE = 64
 RARE_CLASSES = 48
-SHARDS = 6  #: at least
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 FAN = 8
-ROUNDS = 2
 DIVISOR, REMAINDER = 7, 2
 END = np.uint64(0x5DEECE66D1234567)
 _NO_LETTER = W.NO_LETTER
@@ -213,24 +212,30 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([sum(table["documents"].to_pylist())], pa.int64()), "params": pa.array([pickle.dumps(_merged(table["params"].to_pylist()))], pa.binary())})
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, params: dict, total: int, rounds: int = ROUNDS) -> tuple[dict, int]:
-    """Parameters fitted to all training documents (doc_id, text) of ``total`` bytes, and the number of documents in a round."""
+def fit(docs: DataFrame, vocab: Vocabulary, params: dict, total: int) -> tuple[dict, int]:
+    """Parameters fitted to all training documents (doc_id, text) of ``total`` bytes, and how many they are."""
     context = docs.sparkSession.sparkContext
     crc = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
     training = docs.where(F.coalesce(crc % DIVISOR != REMAINDER, F.lit(True)))
-    shards = max(SHARDS, math.ceil(total / SHARD_BYTES))
-    dealt = training.select("text", F.xxhash64("doc_id", "text").alias("place"), F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(shards)).cast("int").alias("shard"))
+    shards = max(1, math.ceil(total / SHARD_BYTES))
+    # rows that repeat id and text part by where they are stored
+    shard = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")
+    dealt = training.select("text", F.xxhash64("doc_id", "text").alias("place"), shard.alias("shard"))
     encoded = X.cut(dealt.mapInArrow(_encode(context.broadcast(vocab)), _ENCODED), "fit")
-    documents = 0
-    for _ in range(rounds):
-        fitted, n = encoded.repartition(shards, "shard").groupBy("shard").applyInArrow(_fit_shard(context.broadcast(params)), _FITTED), shards
+    documents, low, high = 0, 0, 1
+    while low < shards:
+        mine = encoded.where((F.col("shard") >= low) & (F.col("shard") < high))
+        n = min(high, shards) - low
+        fitted = mine.repartition(n, "shard").groupBy("shard").applyInArrow(_fit_shard(context.broadcast(params)), _FITTED)
         while n > FAN:
             n = -(-n // FAN)
             fitted = fitted.groupBy(F.floor(F.col("shard") / FAN).cast("int").alias("group")).applyInArrow(_merge, _FITTED)
-        rows = fitted.orderBy("shard").collect()
+        rows = fitted.orderBy("shard").collect()  # at most FAN + 1 sets of parameters
         if rows:
-            params, documents = _merged([r.params for r in rows])[1], sum(r.documents for r in rows)
-    return params, documents
+            params = _merged([r.params for r in rows])[1]
+            documents += sum(r.documents for r in rows)
+        low, high = high, high * FAN
+    return {k: v for k, v in params.items() if not k.startswith("seen_")}, documents
 
 
 def _score(vocab, params):

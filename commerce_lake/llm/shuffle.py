@@ -1,7 +1,7 @@
 """Chunked key exchange: count or reduce 64-bit keys of all texts over a Spark shuffle.
 
-Texts are dealt to *chunks* by a hash of their id (about ``CHUNK_BYTES`` of text
-each).  A chunk task sends each distinct key once to the key's *bucket* (the
+Texts are dealt to *chunks* by a hash of id, text and place (about ``CHUNK_BYTES`` of
+text each).  A chunk task sends each distinct key once to the key's *bucket* (the
 map-side combine that takes the heat out of hot keys), packed as binary columns,
 since eight-byte rows would cost several times their size.  A bucket task sees
 about ``BUCKET_KEYS`` keys.  Both counts follow the input, so the memory of a
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the session names no shared folder (tests, one machine).
-DEFAULT_DIR = "file:///tmp/checkpoints"
+from ..sources.store import shared_root
+
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 20
 WORD_BYTES = 6
@@ -28,13 +28,15 @@ BATCH_ROWS = 2000
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which executors and driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session: texts are long, and a task holds several batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows in this session, unless the user has set another number than
+    Spark's default: texts are long, and a task holds several batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -57,9 +59,11 @@ def bucket_count(total_bytes: int) -> int:
     return max(8, math.ceil(total_bytes / WORD_BYTES / BUCKET_KEYS))
 
 
-def with_chunk(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Deal rows to n chunks by a hash of the key (a null key is a key as any other)."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+def with_chunk(docs: DataFrame, n: int) -> DataFrame:
+    """Deal rows to n chunks by a hash of id, text and the stored part they come from.
+
+    So neither rows of one id (or none) nor rows of one text meet in one chunk."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
