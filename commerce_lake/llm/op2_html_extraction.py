@@ -6,13 +6,17 @@ depth), parent-child potentials from the states of linked nodes; both are smooth
 over labelled pages.  Sum-product messages go up from the leaves and down from the root,
 and the text of nodes whose content marginal exceeds one half is the result.
 
-Script, style, form and other elements without readable text are left out while parsing.
-Text runs between block boundaries are blocks: character references are decoded, white
-space becomes one space, and blocks are joined by a line feed in page order.
-
-Null and empty html give an empty text.  Malformed markup never fails: unclosed elements
-end with their parent, stray end tags are ignored.  Each row is handled by itself, so
-repeated rows give repeated results.  Pages of any length are read whole.
+Script, style and other elements without readable text are left out while parsing; forms
+are nodes, so that a form around a whole page does not hide it.  Text runs between block
+boundaries are blocks: character references are decoded, white space becomes one space,
+and blocks are joined by a line feed in page order.
+
+Null and empty html give an empty text.  Malformed markup never fails: unclosed elements,
+also those that are left out, end with their parent; stray end tags are ignored; a "<"
+that no ">" follows is text; an attribute value without its closing quote ends at ">".
+Elements nested deeper than ``MAX_DEPTH`` belong to the deepest open one.  Time is linear
+in the page.  Each row is handled by itself, so repeated rows give repeated results.
+Pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -31,16 +35,28 @@ from pyspark.sql import DataFrame
 from .labelled_pages import labelled_pages
 from .shuffle import small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MAX_DEPTH = 512
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "noembed", "noframes"}
-_SKIP = {"form", "button", "select", "iframe", "object", "svg", "canvas", "audio", "video", "math", "head", "datalist", "map", "dialog"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_BLOCK = set("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul ins".split())
-_ENDS_P = _BLOCK - {"html", "body", "ins", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
-_SCOPE = {"ul", "ol", "table", "dl", "body", "html", "div", "article", "section", "main", "aside", "nav"}
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_PLAIN_VALUE = re.compile(r"[^\s>]*")
+_RAW = set("script style textarea title noscript template xmp noembed noframes iframe".split())
+_SKIP = set("button select option datalist object svg canvas audio video annotation annotation-xml map dialog head".split())
+_IN_HEAD = set("base basefont bgsound link meta title script style noscript template head".split())
+_VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCK = set(
+    "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+_ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+#: What a start tag closes, and what the search for it does not pass.
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot"}, "thead": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead", "tfoot"}}
+_TABLE_PART = {"tr", "td", "th", "tbody", "thead", "tfoot"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_LOWER = {i: i + 32 for i in range(65, 91)}
+_PASSED = {"p", "div", "address"}
+_P_SCOPE = {"td", "th", "table", "caption", "html", "button", "object", "li", "body"}
 
 
 @dataclass
@@ -57,20 +73,12 @@ class Page:
     linked: list[int] = field(default_factory=list)
     marks: list[int] = field(default_factory=list)
 
-    def add(self, parent: int, tag: str, attributes: str) -> int:
-        names, label = (), None
-        if "=" in attributes:
-            found = []
-            for a in _ATTRIBUTE.finditer(attributes):
-                value = a[2] or a[3] or a[4] or ""
-                if a[1].lower() == "data-y":
-                    label = int(value)
-                else:
-                    found += [x.lower() for x in _NAME.findall(value)]
-            names = tuple(dict.fromkeys(found))
+    def add(self, parent: int, tag: str, attributes: dict[str, str], labelled: bool) -> int:
+        found = [x.lower() for k in ("class", "id", "role") for x in _NAME.findall(attributes.get(k, ""))]
+        label = int(attributes["data-y"]) if labelled and "data-y" in attributes else None
         self.parent.append(parent)
         self.tag.append(tag)
-        self.names.append(names)
+        self.names.append(tuple(dict.fromkeys(found)))
         self.label.append(label if label is not None or parent < 0 else self.label[parent])
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.chars.append(0)
@@ -83,117 +91,207 @@ def _text(raw: str) -> str:
     return " ".join((_html.unescape(raw) if "&" in raw else raw).split())
 
 
-def parse(source: str) -> Page:
-    page = Page()
-    root = page.add(-1, "html", "")
-    stack: list[tuple[str, int]] = [("html", root)]  # open elements with the node their text belongs to
-    run: list[str] = []
-    links = skipped = linked = 0
-    skip_tag = raw_end = ""
-
-    def flush() -> None:
-        nonlocal linked
-        if run:
-            text = _text("".join(run))
-            run.clear()
+class _Finder:
+    """Where the next of a string is from ascending places on; no part of the page is searched twice for it."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.known: dict[str, int] = {}
+
+    def find(self, wanted: str, at: int) -> int:
+        found = self.known.get(wanted, 0)
+        if 0 <= found < at:
+            found = self.known[wanted] = self.source.find(wanted, at)
+        return found
+
+
+def _attributes(source: str, at: int, finder: _Finder) -> tuple[dict[str, str], int]:
+    """Attributes (the first of each name) from ``at`` on and the place after the tag's ">"; each character is passed once."""
+    found: dict[str, str] = {}
+    end = len(source)
+    while True:
+        at = _GAP.match(source, at).end()
+        if at >= end:
+            return found, end
+        if source[at] == ">":
+            return found, at + 1
+        m = _ATTRIBUTE_NAME.match(source, at)
+        name, at = m[0].lower(), m.end()
+        m = _EQUALS.match(source, at)
+        if not m:
+            found.setdefault(name, "")
+            continue
+        at = m.end()
+        quote = source[at : at + 1]
+        stop = finder.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+        if stop >= 0:
+            after = source[stop + 1 : stop + 2]
+            if after and after not in " \t\r\n\f/>" and 0 <= source.find(">", at, stop):
+                stop = -1  # the quote opens another value: this one was never closed
+        if stop >= 0:
+            found.setdefault(name, source[at + 1 : stop])
+            at = stop + 1
+        else:
+            m = _PLAIN_VALUE.match(source, at)
+            found.setdefault(name, m[0].strip("\"'"))
+            at = m.end()
+
+
+class _Parser:
+    """One pass over a page: open elements on a stack, text runs cut at block boundaries."""
+
+    def __init__(self, source: str, labelled: bool):
+        self.source, self.labelled, self.finder = source, labelled, _Finder(source)
+        self.small = source.translate(_LOWER)
+        self.ends = _Finder(self.small)
+        self.page = Page()
+        self.stack: list[tuple[str, int, bool]] = [("html", self.page.add(-1, "html", {}, False), False)]  # tag, node, left out
+        self.open: Counter[str] = Counter()
+        self.skipped = self.deeper = self.linked = 0
+        self.in_link = False
+        self.run: list[str] = []
+
+    def flush(self) -> None:
+        if self.run:
+            text = _text("".join(self.run))
+            self.run.clear()
             if text:
-                node = stack[-1][1]
+                node, page = self.stack[-1][1], self.page
                 page.runs.append((node, text))
                 page.chars[node] += len(text)
-                page.linked[node] += min(linked, len(text))
+                page.linked[node] += min(self.linked, len(text))
                 page.marks[node] += text.count(". ") + text.count("? ") + text.count("! ") + text.endswith((".", "!", "?"))
-        linked = 0
-
-    at, end = 0, len(source)
-    lower = None
-    while at < end:
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not skipped:
-                    run.append(piece)
-                    if links:
-                        linked += len(piece)
-            continue
-        tag = tag.lower()
-        closing = bool(m[1])
-        if tag in _RAW and not closing:
-            lower = source.lower() if lower is None else lower
-            if len(lower) != end:  # lower-casing changed lengths
-                found = re.compile(f"</{tag}", re.I).search(source, at)
-                stop = found.start() if found else -1
-            else:
-                stop = lower.find(f"</{tag}", at)
-            at = end if stop < 0 else stop
-            continue
-        if skipped:
-            if tag == skip_tag and tag not in _VOID:
-                skipped += -1 if closing else 1
-            elif tag == "body" and skip_tag == "head":
-                skipped = 0
-            if skipped or tag != "body":
-                continue
-        if tag in _SKIP:
-            if not closing and not m[3].endswith("/"):
-                if tag == "head" or tag in ("form", "button", "select", "dialog"):
-                    flush()
-                skipped, skip_tag = 1, tag
-            continue
-        if tag in _VOID or tag == "br":
-            if tag == "hr":
-                flush()
-            elif tag == "br" and not skipped:
-                run.append(" ")
-            continue
-        if not closing:
-            if tag == "a":
-                links = 1
-            if tag not in _BLOCK:
+        self.linked = 0
+
+    def text(self, piece: str) -> None:
+        if self.skipped and self.stack[-1][0] == "head" and piece.strip():
+            self.close_from(len(self.stack) - 1)
+        if not self.skipped:
+            self.run.append(piece)
+            if self.in_link:
+                self.linked += len(piece)
+
+    def close_from(self, k: int) -> None:
+        """Closes the k-th open element and all inside it."""
+        left_out_here = sum(x[2] for x in self.stack[k:])
+        if self.skipped == left_out_here and not self.stack[k][2]:
+            self.flush()
+        for tag, _, left_out in self.stack[k:]:
+            self.open[tag] -= 1
+            self.skipped -= left_out
+        del self.stack[k:]
+        self.in_link = False
+
+    def last(self, tags: set[str], passed) -> int:
+        """Place of the innermost open element of these, or 0; elements on the way must be passable."""
+        if any(self.open[t] > 0 for t in tags):
+            for k in range(len(self.stack) - 1, 0, -1):
+                tag = self.stack[k][0]
+                if tag in tags:
+                    return k
+                if not passed(tag):
+                    break
+        return 0
+
+    def start(self, tag: str, attributes: dict[str, str], at: int) -> None:
+        top = self.stack[-1][0]
+        if (top == "head" and tag not in _IN_HEAD) or (top == "svg" and tag in _BLOCK):
+            self.close_from(len(self.stack) - 1)
+        if tag == "hr":
+            self.flush()
+        elif tag == "br":
+            self.text(" ")
+        if tag in _VOID or tag == "html" or (tag in ("body", "form") and self.open[tag] > 0):
+            return
+        if tag == "a":
+            self.in_link = True
+        block = tag in _BLOCK or (tag in ("ins", "del") and ("class" in attributes or "id" in attributes))
+        left_out = tag in _SKIP and (tag == "head" or self.ends.find(f"</{tag}", at) >= 0)
+        if not block and not left_out:
+            return
+        if block:
+            if not self.skipped:
+                self.flush()
+            self.in_link = False
+            if tag in _ENDS_P and (k := self.last({"p"}, lambda t: t not in _P_SCOPE)):
+                self.close_from(k)
+            if tag in _CLOSES:
+                table = tag in _TABLE_PART
+                if k := self.last(_CLOSES[tag], (lambda t: t != "table") if table else (lambda t: t in _PASSED)):
+                    self.close_from(k)
+        if len(self.stack) >= MAX_DEPTH:
+            self.deeper += 1
+            return
+        node = self.page.add(self.stack[-1][1], tag, attributes, self.labelled) if block and not self.skipped else self.stack[-1][1]
+        self.stack.append((tag, node, left_out))
+        self.open[tag] += 1
+        self.skipped += left_out
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.in_link = False
+        elif tag == "br":
+            self.text(" ")
+        elif tag in _BLOCK or tag in _SKIP or tag in ("ins", "del"):
+            if tag in _BLOCK and not self.skipped:
+                self.flush()
+            if self.deeper and tag in _BLOCK:
+                self.deeper -= 1
+            elif tag not in ("html", "body") and (k := self.last(_HEADINGS if tag in _HEADINGS else {tag}, lambda t: tag == "table" or tag in _TABLE_PART or t != "table")):
+                self.close_from(k)
+
+    def parse(self) -> Page:
+        source, end, at = self.source, len(self.source), 0
+        last_gt = source.rfind(">")
+        while at < end:
+            lt = source.find("<", at)
+            if lt < 0 or lt > last_gt:  # no tag can end any more
+                self.text(source[at:])
+                break
+            if lt > at:
+                self.text(source[at:lt])
+            if source.startswith("<!--", lt):
+                stop = self.finder.find("-->", lt + 4)
+                at = stop + 3 if stop >= 0 else source.index(">", lt) + 1
                 continue
-            flush()
-            links = 0
-            if tag in ("html", "body") and (tag == "html" or any(t == "body" for t, _ in stack)):
+            closing = source.startswith("</", lt)
+            m = _TAG_NAME.match(source, lt + 1 + closing)
+            if m is None:
+                if source[lt + 1] in "!?/":
+                    at = source.index(">", lt) + 1
+                else:
+                    self.text("<")
+                    at = lt + 1
                 continue
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _SCOPE or stack[k][0] in ("td", "th", "li"):
-                        break
-            if tag in _CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _CLOSES[tag]:
-                        del stack[k:]
-                        if tag not in ("tr", "tbody"):
-                            break
-                    elif stack[k][0] in _SCOPE:
-                        break
-            stack.append((tag, page.add(stack[-1][1], tag, m[3])))
-        else:
-            if tag == "a":
-                links = 0
-            if tag in _BLOCK:
-                flush()
-                links = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-    flush()
-    return page
-
-
-_LEAF = set("p li h1 h2 h3 h4 h5 h6 blockquote dt dd pre td th tr tbody thead figcaption caption summary".split())
+            tag = m[0].lower()
+            attributes, at = _attributes(source, m.end(), self.finder)
+            if closing:
+                self.end(tag)
+            elif tag in _RAW:
+                # its text is left out; without its end tag, up to the next end tag
+                stop = self.ends.find(f"</{tag}", at)
+                stop = stop if stop >= 0 else self.ends.find("</", at)
+                at = end if stop < 0 else stop
+            else:
+                self.start(tag, attributes, at)
+                if tag in _SKIP and source[at - 2] == "/" and self.stack[-1][0] == tag:
+                    self.close_from(len(self.stack) - 1)
+        self.flush()
+        return self.page
+
+
+def parse(source: str, labelled: bool = False) -> Page:
+    """The page's tree; ``labelled`` reads the states of training pages from data-y."""
+    return _Parser(source, labelled).parse()
+
+
+_LEAF = set("p li h1 h2 h3 h4 h5 h6 blockquote dt dd pre td th tr tbody thead figcaption caption summary legend".split())
 _PLAIN = set("div ul ol dl section table figure details center hgroup".split())
 
 
 def edge_kind(page: Page, i: int) -> int:
-    """Which potential links node i to its parent: text elements and plain containers without names, or others."""
-    return 2 if page.names[i] else 0 if page.tag[i] in _LEAF else 1 if page.tag[i] in _PLAIN else 2
+    """Which potential links node i to its parent: text elements and plain containers without names, the body, or others."""
+    return 3 if page.tag[i] == "body" else 2 if page.names[i] else 0 if page.tag[i] in _LEAF else 1 if page.tag[i] in _PLAIN else 2
 
 
 _BUCKETS = (0, 20, 60, 150, 400, 1200)
@@ -213,10 +311,12 @@ def features(page: Page) -> list[list[str]]:
         size = chars[i]
         share = linked[i] / size if size else 0.0
         own = page.chars[i]
-        out.append([
-            "t:" + page.tag[i], *("n:" + x for x in page.names[i]), "l:" + ("0" if share < 0.05 else "1" if share < 0.3 else "2" if share < 0.7 else "3"),
-            "c:" + str(sum(size > b for b in _BUCKETS)), "o:" + str(sum(own > b for b in _BUCKETS)), "m:" + str(min(marks[i], 4)), "u:" + ("0" if page.names[i] else "1") + ("d" if page.depth[i] < 2 else ""),
-        ])
+        found = [] if page.tag[i] in ("html", "body") else ["t:" + page.tag[i]]
+        found += ["n:" + x for x in page.names[i]]
+        found.append("l:" + ("0" if share < 0.05 else "1" if share < 0.3 else "2" if share < 0.7 else "3"))
+        found += ["c:" + str(sum(size > b for b in _BUCKETS)), "o:" + str(sum(own > b for b in _BUCKETS))]
+        found += ["m:" + str(min(marks[i], 4)), "u:" + ("0" if page.names[i] else "1")]
+        out.append(found)
     return out
 
 
@@ -233,9 +333,9 @@ class Model:
 def fit(pages: Iterable[str], smooth: float = 0.5) -> Model:
     """Potentials from labelled pages: log ratios of feature frequencies, and state pairs of parent and child."""
     seen: dict[str, list[float]] = defaultdict(lambda: [smooth, smooth])
-    total, pairs = [1.0, 1.0], [[[smooth, smooth], [smooth, smooth]] for _ in range(3)]
+    total, pairs = [1.0, 1.0], [[[smooth, smooth], [smooth, smooth]] for _ in range(4)]
     for source in pages:
-        page = parse(source)
+        page = parse(source, labelled=True)
         label = [y or 0 for y in page.label]
         for i, names in enumerate(features(page)):
             total[label[i]] += 1

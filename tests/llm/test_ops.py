@@ -136,7 +136,9 @@ def test_html_pages(spark):
         '<script>var x = "</p>";</script><ul><li>item one</li><li>item &lt;two&gt;</ul><form><p>mail me</p><input></form></article><section id="comments"><p>I liked this. Really a lot, thanks.</p></section><aside class="sidebar"><p>Other things.</p></aside><footer>(c) us</footer></body></html>'
     )
     rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "</div></p><<<>&bogus; <p"), (1, "u", page), (5, "u", "<div>" * 3000 + "deep")]
-    got = {r.page_id: r.text for r in op2_html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    pages = spark.createDataFrame(rows + [(6, "u", "<article>" + "<p>So it goes on. And on.</p>" * 20_000 + "</article>")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op2_html_extraction.extract(pages.withColumns({c: F.lit(1) for c in ("text", "n_chars", "label", "names")})).collect()}
+    assert got[6] == "\n".join(["So it goes on. And on."] * 20_000)
     assert got[1] == "Title & more\nFirst one. still\nSecond.\nitem one\nitem <two>" and got[2] == got[3] == ""
     assert op2_html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -144,7 +146,7 @@ def test_html_pages(spark):
 def test_html_held_out_pages():
     model, hit, miss, extra = op2_html_extraction.default_model(), 0, 0, 0
     for source in labelled_pages(150, seed=4242):
-        page = op2_html_extraction.parse(source)
+        page = op2_html_extraction.parse(source, labelled=True)
         odds = op2_html_extraction.marginals(page, model)
         for node, _ in page.runs:
             y, g = bool(page.label[node]), odds[node] > 0
