@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 16
-HIDDEN = 32
+HIDDEN = 24
 LANES = 256
 LEAST_WINDOWS = 256
 RATE = 0.1

@@ -39,7 +39,7 @@ from . import words as W
 VOCABULARY = 4096
 CLASS_SIZE = 64
 RARE_CLASSES = 48
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 FAN = 8
 DIVISOR, REMAINDER = 7, 2
 END = np.uint64(0x5DEECE66D1234567)
@@ -117,8 +117,11 @@ class Vocabulary:
     distinct: int
 
     def encode(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[i] == h, self.ids[i], self.n_words + classes)
+        i = self.find(h)
+        return np.where(i >= 0, self.ids[i], self.n_words + classes)
+
+    def __post_init__(self):
+        self.find = W.Lookup(self.keys)
 
 
 def vocabulary(counted: DataFrame) -> tuple[Vocabulary, dict]:
@@ -189,10 +192,15 @@ def shard_stream(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, start
 
 
-def _fit_shard(params):
+def _fit_shard(params, last: bool):
+    """Fits a shard; the last round leaves out the sums that only a further round would use."""
+
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, start = shard_stream(table)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([int(start.sum())], pa.int64()), "params": pa.array([pickle.dumps((1, gru.train(params.value, ids, start)))], pa.binary())})
+        fitted = gru.train(params.value, ids, start)
+        if last:
+            fitted = {k: v for k, v in fitted.items() if not k.startswith("seen_")}
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([int(start.sum())], pa.int64()), "params": pa.array([pickle.dumps((1, fitted))], pa.binary())})
 
     return fit
 
@@ -226,7 +234,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, params: dict, total: int) -> tuple[d
     while low < shards:
         mine = encoded.where((F.col("shard") >= low) & (F.col("shard") < high))
         n = min(high, shards) - low
-        fitted = mine.repartition(n, "shard").groupBy("shard").applyInArrow(_fit_shard(context.broadcast(params)), _FITTED)
+        fitted = mine.repartition(n, "shard").groupBy("shard").applyInArrow(_fit_shard(context.broadcast(params), high >= shards), _FITTED)
         while n > FAN:
             n = -(-n // FAN)
             fitted = fitted.groupBy(F.floor(F.col("shard") / FAN).cast("int").alias("group")).applyInArrow(_merge, _FITTED)
@@ -245,14 +253,16 @@ def _score(vocab, params):
         counts, _ = X.unpacked(counted["counts"], np.int64)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        find, known = W.Lookup(keys), v.encode(keys, np.zeros(len(keys), np.int64))
         held = is_held_out(docs["doc_id"].to_pylist())
         n_tokens, n_known, base, rare, ids, sizes = [], [], [], [], [], []
-        c_end = int(counts[np.searchsorted(keys, END)]) if len(keys) else 0
+        c_end = int(counts[find(np.array([END]))[0]]) if len(keys) else 0
         per_token = math.log10(v.tokens + v.distinct + 1)
         for s in W.slices(docs["text"], lower=True):
             h, cls = s.hashes(), rare_class(s)
-            c = counts[np.searchsorted(keys, h)]
-            own = v.encode(h, cls)
+            at = find(h)
+            c, own = counts[at], known[at]
+            own = np.where(own >= v.n_words, v.n_words + cls, own)
             logs = np.log10(c + 1.0)
             inside = np.where(own >= v.n_words, logs - np.log10(v.rare_total[cls]), 0.0)
             run = np.concatenate((np.zeros((1, 3)), np.cumsum(np.stack((logs, inside, c > 0), axis=1), axis=0)))

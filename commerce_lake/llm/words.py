@@ -143,6 +143,30 @@ def windows(h: np.ndarray, word_of: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix((run[at + n] - run[at]) * inverse[at]), at, text
 
 
+class Lookup:
+    """Places of hashes in an ascending array of distinct 64-bit hashes, -1 for those it lacks.
+
+    Hashes are spread evenly, so their leading bits tell the place up to a few steps."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = self.first[(h >> self.shift).astype(np.intp)]
+        last = len(self.keys) - 1
+        np.minimum(at, last, out=at)
+        open_ = np.flatnonzero(self.keys[at] < h)
+        while len(open_):
+            open_ = open_[at[open_] < last]
+            at[open_] += 1
+            open_ = open_[self.keys[at[open_]] < h[open_]]
+        return np.where(self.keys[at] == h, at, -1)
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Start of each run of equal values in a sorted array, with the end appended."""
     if not len(values):
