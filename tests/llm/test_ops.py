@@ -402,15 +402,35 @@ def test_mixing(spark, duck):
 # ---- 7
 
 
+def test_lookup():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(np.concatenate((rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 1, 2**63] if n > 1 else [], np.uint64))))
+        h = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 1 << 63, 50).astype(np.uint64)))
+        where = {int(k): i for i, k in enumerate(keys)}
+        assert W.Lookup(keys)(h).tolist() == [where.get(int(x), -1) for x in h]
+
+
 def test_topk_index_is_exact():
+    """The possible members hold the best rows, with exact scores, at any range of values."""
     rng = np.random.default_rng(3)
-    for scale, n, d in ((100, 700, 16), (5, 300, 4), (40000, 400, 8)):
+    for scale, n, d in ((100, 700, 16), (5, 300, 4), (40000, 400, 8), (0, 200, 3), (1, 3, 2)):
         rows = np.floor(scale * rng.standard_normal((n, d))).astype(np.int64)
         index = op7_exact_topk.ImpactIndex(rows)
-        for i in range(25):
-            maybe, s = index.search(rows[i], 5, np.array([i])), rows @ rows[i]
+        for i in range(0, n, max(1, n // 25)):
+            (maybe, got), s = index.search(rows[i], 5, np.array([i])), rows @ rows[i]
             best = sorted((j for j in range(n) if j != i), key=lambda j: (-s[j], j))[:5]
-            assert set(best) <= set(maybe.tolist()) and i not in maybe
+            assert set(best) <= set(maybe.tolist()) and i not in maybe and got.tolist() == s[maybe].tolist()
+
+
+def test_topk_stops_before_all_postings():
+    rng = np.random.default_rng(5)
+    rows = np.floor(100 * rng.standard_normal((4000, 24)) * np.geomspace(1, 0.01, 24)).astype(np.int64)
+    index = op7_exact_topk.ImpactIndex(rows)
+    for i in range(40):
+        maybe, _ = index.search(rows[i], 5, np.array([i]))
+        assert len(maybe) < len(rows) // 8
+    assert index.visited < 0.6 * 40 * rows.size
 
 
 def test_topk_edges(spark):
@@ -420,6 +440,10 @@ def test_topk_edges(spark):
     q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "rank")
     got = sorted(rows_of(op7_exact_topk.exact_topk(rows, q, k=3)))
     assert got == [(0, 1, 1, 256 * 256 + 128 * 128), (0, 2, 6, 81920), (0, 3, 6, 81920), (50, 1, 0, 49152), (50, 2, 1, 49152), (50, 3, 6, 49152)]
+    huge = spark.createDataFrame([(0, [3e38, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 2.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    asked = huge.where("vec_id in (0, 3)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    most = (1 << 63) - 1
+    assert sorted(rows_of(op7_exact_topk.exact_topk(huge, asked, k=2))) == [(0, 1, 1, most), (0, 2, 3, 256 * 5 * 256), (3, 1, 2, 512 * 1280), (3, 2, 0, 256 * 1280)]
     assert op7_exact_topk.exact_topk(rows.limit(0), q).count() == 0 and op7_exact_topk.exact_topk(rows, q.limit(0)).count() == 0
 
 
