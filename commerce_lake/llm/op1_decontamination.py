@@ -9,10 +9,12 @@ q-grams are counted in bands of 2 h diagonals that overlap by h = 2 e + 1, so ev
 match lies in one of them; bands that meet the bound are verified by alignment
 restricted to their diagonals.
 
-The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast to
-one pass over all documents.  Documents are never shuffled.
+The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast;
+``BLOCKS_A_PASS`` of them share one pass over all documents.  Documents are never shuffled.
 
-Null and empty texts match nothing, nor do items shorter than q normalised characters.
+Null and empty texts match nothing.  Items shorter than q normalised characters have no
+q-gram and match nothing either; items below 40 may differ by fewer than ``ERROR`` m edits,
+as the lemma asks for a shared q-gram.
 Repeated rows and items each give their rows.  Texts of any length are scanned in
 overlapping pieces.
 """
@@ -24,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .shuffle import small_batches
 
 Q = 8
 ERROR = 0.1
 BLOCK_BYTES = 4 << 20
+BLOCKS_A_PASS = 8
 PIECE = 1 << 20
 _BITS = 22
 _MULTIPLIERS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
@@ -209,16 +212,20 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
             first, size = i + 1, 0
 
 
-def _match(held):
+def _match(held: list):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
         for b in batches:
-            rows = [(first + t, i, n) for first, some in _groups(b["text"].to_pylist()) for t, i, n in scan(some, items)]
-            length = [len(items.codes[i]) for _, i, _ in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([1 - r[2] / m for r, m in zip(rows, length)], pa.float64())],
-                ["doc_id", "item_id", "edits", "similarity"],
-            )
+            for first, some in _groups(b["text"].to_pylist()):
+                for items in (h.value for h in held):
+                    rows = scan(some, items)
+                    length = [len(items.codes[i]) for _, i, _ in rows]
+                    columns = [
+                        b["doc_id"].take(pa.array([first + r[0] for r in rows], pa.int64())),
+                        pa.array([items.ids[r[1]] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()),
+                        pa.array([1 - r[2] / m for r, m in zip(rows, length)], pa.float64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "similarity"])
 
     return match
 
@@ -237,35 +244,46 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
         yield block
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame, error: float) -> Iterator[list]:
+    """Broadcast indexes of the benchmark's blocks, ``BLOCKS_A_PASS`` for each pass over the documents."""
+    held = []
+    for block in blocks(benchmark):
+        held.append(spark.sparkContext.broadcast(index_items(block, error)))
+        if len(held) == BLOCKS_A_PASS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, edits, similarity of every match."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = None
-    for block in blocks(benchmark):
-        held = spark.sparkContext.broadcast(index_items(block, error))
-        found = docs.select("doc_id", "text").mapInArrow(_match(held), "doc_id long, item_id long, edits long, similarity double")
+    schema, out = "doc_id long, item_id long, edits long, similarity double", None
+    for held in _passes(spark, benchmark, error):
+        found = docs.select("doc_id", "text").mapInArrow(_match(held), schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, edits long, similarity double")
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """The documents without a match, with all their columns."""
     kept = docs
     small_batches(docs.sparkSession)
-    for block in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index_items(block, error))
+    for held in _passes(docs.sparkSession, benchmark, error):
         kept = kept.mapInArrow(_keep(held), kept.schema)
     return kept
 
 
-def _keep(held):
+def _keep(held: list):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = np.zeros(b.num_rows, bool)
             for first, some in _groups(b["text"].to_pylist()):
-                for t, _, _ in scan(some, held.value):
-                    hit[first + t] = True
+                for items in (h.value for h in held):
+                    for t, _, _ in scan(some, items):
+                        hit[first + t] = True
             yield b.filter(pa.array(~hit))
 
     return keep
