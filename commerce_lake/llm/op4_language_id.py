@@ -79,6 +79,12 @@ def _table(rows: list[tuple[str, str, int]], langs: list[str], keys_of) -> tuple
     return keys[order], scores[order].astype(np.float32)
 
 
+def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts lower-cased as prediction does it."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["lang"], pc.utf8_lower(b["text"])], ["lang", "text"])
+
+
 def fit(docs: DataFrame, divisor: int = 4, remainder: int = 2, per_lang: int = FIT_PER_LANG) -> Model:
     """docs (doc_id, text, lang); rows with crc32(doc_id) mod divisor = remainder are held out."""
     rows = docs.select("doc_id", "text", "lang").where(~held_out("doc_id", divisor, remainder)).where("lang is not null and text is not null")
@@ -88,8 +94,9 @@ def fit(docs: DataFrame, divisor: int = 4, remainder: int = 2, per_lang: int = F
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), {}, {})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    found = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
-    counted = found.groupBy("lang", "item").agg(F.count("*").alias("n")).where(F.length("item") <= 64).persist()
+    lowered = sample.select("lang", "text").mapInArrow(_lowered, "lang string, text string")
+    found = lowered.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("item"))
+    counted = found.groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
     grams = counted.select("lang", "n", F.concat(F.lit(PAD), "item", F.lit(PAD)).alias("w")).select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).where("length(w) >= k")
     grams = grams.select("lang", "k", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("k") + 1), lambda i: F.substring(F.col("w"), i, F.col("k")))).alias("item"))
     grams = grams.groupBy("lang", "k", "item").agg(F.sum("n").alias("n"))
@@ -173,17 +180,17 @@ def predict_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]
     return langs, score
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and score (replacing columns of those names)."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs with the language and its score under these names (replacing columns of those names)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in [n.lower() for n in names]])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, score = predict_texts(held.value, b["text"])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
