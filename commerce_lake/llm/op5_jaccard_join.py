@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 22
 SLICES = 64
+#: Shares and sizes beyond which a key is dealt apart.
+HOT_SHARE = 10_000
+MOST_KEYS = 8 * X.BUCKET_KEYS
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -182,36 +186,83 @@ def _index(sketch, cutoff: int, shingle: int, percent: int, n_buckets: int):
     return index
 
 
-def _meet(percent: int):
-    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Signatures with two members or more: hub and members, with their sizes."""
-        keys, _ = X.unpacked(table["keys"], np.uint64)
-        ids, _ = X.unpacked(table["ids"], np.int64)
-        meta, _ = X.unpacked(table["meta"], np.uint64)  # rare share, n, left
-        order = np.argsort(keys)
-        edge = W.runs(keys[order])
-        order = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
-        order = order[np.lexsort((ids[order], meta[order] >> np.uint64(56), keys[order]))]
-        keys, ids = keys[order], ids[order]
-        low = np.uint64((1 << 28) - 1)
-        left, size = (meta[order] & low).astype(np.int64), (meta[order] >> np.uint64(28) & low).astype(np.int64)
-        edge = W.runs(keys)
-        times = np.diff(edge)
-        hub, hub_n, hub_left = (np.repeat(v[edge[:-1]], times) for v in (ids, size, left))
-        return pa.table({"sig": keys.view(np.int64), "id": ids, "n": size, "left": left, "hub": hub, "hub_n": hub_n, "hub_left": hub_left})
+def _classes(base: DataFrame) -> DataFrame:
+    """(doc_id, n, digest) -> (doc_id, n, class_id): the smallest doc_id with an equal digest; null without a digest.
 
-    return meet
+    A digest that more than one row in ``HOT_SHARE`` has is hot. There are fewer than
+    ``HOT_SHARE`` of these, which are broadcast; the others meet their rows in a shuffle."""
+    own = base.where("digest is not null")
+    first = X.cut(own.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("times")), "digests")
+    total = first.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = F.col("times") * HOT_SHARE > total
+    held = own.join(F.broadcast(first.where(hot).select("digest", F.col("class_id").alias("hot_class"), F.lit(True).alias("hot"))), "digest", "left")
+    rest = held.where("hot is null").join(first.where(~hot), "digest").select("doc_id", "n", "class_id")
+    common = held.where("hot").select("doc_id", "n", F.col("hot_class").alias("class_id"))
+    none = base.where("digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("class_id"))
+    return common.unionByName(rest).unionByName(none)
+
+
+_MET = "sig long, id long, n long, left long, hub long, hub_n long, hub_left long"
+
+
+def _members(sent: DataFrame) -> DataFrame:
+    """Members of all signatures that have two or more, with their hubs.
+
+    Buckets of ordinary size are reduced in one task each. In a bucket beyond ``MOST_KEYS`` keys
+    some signature is hot: its members are unpacked in the tasks that read them, hubs are found
+    by an aggregation that combines before the shuffle, and members join them in Spark."""
+    size = sent.groupBy("bucket").agg(F.sum(F.length("keys") / 8).alias("keys"))
+    large = [r.bucket for r in size.where(F.col("keys") > MOST_KEYS).select("bucket").collect()]  # at most one in MOST_KEYS keys
+    met = sent.where(~F.col("bucket").isin(large)) if large else sent
+    met = met.groupBy("bucket").applyInArrow(_meet, _MET)
+    if not large:
+        return met
+    rows = sent.where(F.col("bucket").isin(large)).mapInArrow(_unpack_members, "sig long, id long, n long, left long, share int")
+    hub = rows.groupBy("sig").agg(F.min(F.struct("share", "id", "n", "left")).alias("h"), F.count("*").alias("times")).where("times > 1")
+    joined = rows.join(hub.select("sig", "h"), "sig")
+    return met.unionByName(joined.select("sig", "id", "n", "left", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.left").alias("hub_left")))
+
+
+def _unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low = np.uint64((1 << 28) - 1)
+    for batch in batches:
+        for keys, ids, meta in zip(*(batch[c].to_pylist() for c in ("keys", "ids", "meta"))):
+            m = np.frombuffer(meta, np.uint64)
+            columns = (np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64), (m >> np.uint64(28) & low).astype(np.int64), (m & low).astype(np.int64), (m >> np.uint64(56)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "id", "n", "left", "share"])
+
+
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Signatures with two members or more: hub and members, with their sizes."""
+    keys, _ = X.unpacked(table["keys"], np.uint64)
+    ids, _ = X.unpacked(table["ids"], np.int64)
+    meta, _ = X.unpacked(table["meta"], np.uint64)  # rare share, n, left
+    order = np.argsort(keys)
+    edge = W.runs(keys[order])
+    order = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+    order = order[np.lexsort((ids[order], meta[order] >> np.uint64(56), keys[order]))]
+    keys, ids = keys[order], ids[order]
+    low = np.uint64((1 << 28) - 1)
+    left, size = (meta[order] & low).astype(np.int64), (meta[order] >> np.uint64(28) & low).astype(np.int64)
+    edge = W.runs(keys)
+    times = np.diff(edge)
+    hub, hub_n, hub_left = (np.repeat(v[edge[:-1]], times) for v in (ids, size, left))
+    return pa.table({"sig": keys.view(np.int64), "id": ids, "n": size, "left": left, "hub": hub, "hub_n": hub_n, "hub_left": hub_left})
 
 
 def _verify(shingle: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             ok = np.zeros(len(a), bool)
+            # rows in a row with one text: it is hashed once
+            text = batch["text_a"]
+            new = pc.fill_null(pc.not_equal(text.slice(1), text.slice(0, max(len(text) - 1, 0))), True).to_numpy(zero_copy_only=False).astype(bool)
+            group = np.concatenate(([0], np.cumsum(new))) if len(a) else np.zeros(0, np.int64)
+            last, mine = -1, np.zeros(0, np.uint64)
             for row, t in token_sets(batch["text_b"], shingle):
-                if a[row] != last:
-                    last = a[row]
+                if group[row] != last:
+                    last = group[row]
                     mine = next((s for _, s in token_sets(batch["text_a"].slice(row, 1), shingle)), np.zeros(0, np.uint64))
                 both = len(np.intersect1d(mine, t, assume_unique=True))
                 ok[row] = 100 * both >= percent * (len(mine) + len(t) - both)
@@ -239,13 +290,12 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     cutoff = frequent_from(sketch)
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 31) - 1).astype(np.int32))  # 2**SKETCH_BITS counters at every size
     base = described.where("slice is null").select("doc_id", "n", "digest")
-    first = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = X.cut(base.join(first, "digest", "left").select("doc_id", "n", "class_id"), "classes")  # doc_id, n, class_id
+    classes = X.cut(_classes(base), "classes")  # doc_id, n, class_id
     of = classes.where("class_id is not null").select("doc_id", "class_id").distinct()
 
     n_buckets = max(8, math.ceil(total * (100 - percent) * 1.5 / 100 / X.WORD_BYTES / X.BUCKET_KEYS * 2))
-    sent = docs.mapInArrow(_index(held, cutoff, shingle, percent, n_buckets), "bucket int, keys binary, ids binary, meta binary")
-    met = X.cut(sent.groupBy("bucket").applyInArrow(_meet(percent), "sig long, id long, n long, left long, hub long, hub_n long, hub_left long"), "met")
+    sent = X.cut(docs.mapInArrow(_index(held, cutoff, shingle, percent, n_buckets), "bucket int, keys binary, ids binary, meta binary"), "sent")
+    met = X.cut(_members(sent), "met")
 
     fits = lambda n, left, m, left_m: (100 + percent) * F.least(left, left_m) >= percent * (n + m)
     star = met.where((F.col("id") != F.col("hub")) & fits(*map(F.col, ("n", "left", "hub_n", "hub_left")))).groupBy("hub", "id").agg(F.count("*").alias("shared"))
