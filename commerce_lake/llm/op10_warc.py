@@ -5,8 +5,9 @@ dictionary; after it comes one frame for each record.  Payloads that repeat an
 earlier page's payload (same SHA-1 digest and size) are written as revisits of
 the page with the smallest id.
 
-Tasks write one archive for each shuffle partition into a shared folder, each under a temporary name that is moved into place, so that a repeated task
-replaces the same file with the same bytes.  The reader decodes frame by frame,
+Tasks write one archive, or one for each ``ARCHIVE_BYTES`` of payloads, for each shuffle
+partition into a shared folder, each under a temporary name that is moved into place, so
+that a repeated task replaces the same file with the same bytes.  The reader decodes frame by frame,
 checks version, required headers, lengths, digests and the closing blank lines,
 and raises ``ValueError`` on a malformed archive.
 
@@ -35,6 +36,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_PAGES = 256
+ARCHIVE_BYTES = 1 << 30
 SAMPLE_BYTES = 16 << 10
 DATE = "2024-01-31T00:00:00Z"
 _CRLF = b"\r\n"
@@ -48,14 +50,15 @@ def digest32(payload: bytes) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit carries no block but the full payload's length and digest."""
     kind = "response" if refers_to is None else "revisit"
+    record_id = lambda page, kind: f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page}|{kind}|{digest}')}>"
     block = payload if refers_to is None else b""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}|{kind}|{digest}')}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, kind)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or 'urn:page').replace(chr(13), '%0D').replace(chr(10), '%0A')}", f"WARC-Page-ID: {'' if page_id is None else page_id}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, 'response')}", f"WARC-Refers-To-Page: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return _CRLF.join(h.encode("utf-8") for h in head) + _CRLF * 2 + block + _CRLF * 2
 
@@ -127,28 +130,34 @@ def read_archive(source, block: int = 1 << 20) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _write(folder: str, dictionary: bytes):
+def _write(folder: str, dictionary: bytes, most: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        counts = [0, 0]
-
-        def records():
-            for b in batches:
-                for page_id, url, html, refers in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
+        part, number = TaskContext.get().partitionId(), 0
+        rows = (row for b in batches for row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "refers_to"))))
+        row = next(rows, None)
+        while row is not None or number == 0:
+            counts = [0, 0]
+
+            def records():
+                nonlocal row
+                while row is not None and counts[1] < most:
+                    page_id, url, html, refers = row
                     payload = (html or "").encode("utf-8")
                     counts[0] += 1
                     counts[1] += len(payload)
                     yield record(page_id, url, payload, digest32(payload), refers)
+                    row = next(rows, None)
 
-        name, own = f"{root}/part-{part:06d}.warc.zst", f"{root}/.{uuid.uuid4().hex}.tmp"
-        with store.open_output_stream(own, compression=None) as out:
-            write_archive(out, dictionary, records())
-        store.move(own, name)
-        yield pa.RecordBatch.from_pydict({"path": [f"part-{part:06d}.warc.zst"], "records": [counts[0]], "bytes": [counts[1]]})
+            name, own = f"part-{part:06d}-{number:04d}.warc.zst", f"{root}/.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(own, compression=None) as out:
+                write_archive(out, dictionary, records())
+            store.move(own, f"{root}/{name}")
+            number += 1
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [counts[0]], "bytes": [counts[1]]})
 
     return write
 
@@ -214,11 +223,13 @@ def with_original(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(repeats, F.col("original")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html) into ``folder``; returns path, records and bytes of each archive."""
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, most_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write pages (page_id, url, html) into ``folder``; returns path, records and bytes of each archive.
+
+    An archive is closed once it holds ``most_bytes`` of payloads."""
     pages = pages.select("page_id", "url", "html")
     dictionary = train_dictionary(pages)
-    manifest = with_original(pages, least_bytes).mapInArrow(_write(folder, dictionary), "path string, records long, bytes long")
+    manifest = with_original(pages, least_bytes).mapInArrow(_write(folder, dictionary, most_bytes), "path string, records long, bytes long")
     return X.cut(manifest, "manifest")
 
 

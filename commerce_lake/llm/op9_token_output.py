@@ -35,6 +35,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 KNOWN_WORDS = 1 << 20
 ENCODE_WORDS = 4096
+PARTS = 4096
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -47,11 +48,11 @@ def default_tokenizer() -> str:
 class WordTable:
     """Ids of the words met so far; emptied when it holds more than ``KNOWN_WORDS``."""
 
-    def __init__(self, path: str):
+    def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(definition)
         self.clear()
 
     def clear(self) -> None:
@@ -89,14 +90,16 @@ class WordTable:
         return self.at[where], self.size[where] if len(self.keys) else np.zeros(0, np.int64)
 
 
-_open: dict[str, WordTable] = {}
+_open: dict[int, WordTable] = {}
 
 
-def word_table(path: str) -> WordTable:
-    """The table of this Python worker; later tasks of the worker go on with it."""
-    if path not in _open:
-        _open[path] = WordTable(path)
-    return _open[path]
+def word_table(definition: bytes) -> WordTable:
+    """The table of this Python worker; later tasks of the worker with the same tokenizer go on with it."""
+    key = zlib.crc32(definition) << 32 | len(definition)
+    if key not in _open:
+        _open.clear()
+        _open[key] = WordTable(definition)
+    return _open[key]
 
 
 def encode_slice(table: WordTable, s: W.Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +114,9 @@ def encode_slice(table: WordTable, s: W.Slice, end_id: int) -> tuple[np.ndarray,
     return flat[where], np.diff(np.concatenate(([0], last)))
 
 
-def _encode(path: str, end_id: int):
+def _encode(definition, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, done = word_table(path), TaskContext.get().partitionId(), 0
+        table, part, done = word_table(definition.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for s in W.slices(batch["text"], size=2 * W.SLICE_BYTES):
                 flat, n = encode_slice(table, s, end_id)
@@ -131,7 +134,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     X.small_batches(docs.sparkSession)
     n = max(8, math.ceil(X.text_bytes(docs) / PART_BYTES))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)
+    with open(tokenizer or default_tokenizer(), "rb") as f:
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())  # executors need no such file
+    encoded = ordered.mapInArrow(_encode(definition, end_id), SCHEMA)
     options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
     encoded.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
@@ -152,12 +157,22 @@ def read_index(spark, path: str) -> DataFrame:
 
 
 def _with_start(meta: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds start: ids of all documents before.  One row for each part is ordered in one task."""
-    size = meta.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    base = size.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
+    """Adds start: ids of all documents before.  Parts are summed in groups of ``PARTS``; one row for each group is ordered in one task."""
+    size = meta.groupBy("part").agg(F.sum("n_tokens").alias("size")).withColumn("group", F.floor(F.col("part") / PARTS))
+    groups = size.groupBy("group").agg(F.sum("size").alias("whole"))
+    groups = groups.select("group", (F.sum("whole").over(Window.orderBy("group")) - F.col("whole")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy("group").orderBy("part")) - F.col("size")
+    base = size.withColumn("inside", inside).join(groups, "group").select("part", (F.col("before") + F.col("inside")).alias("base"))
     return rows.join(base, "part").withColumn("start", F.col("base") + F.col("local_start"))
 
 
+def read_ids(spark, path: str, first: int, last: int) -> DataFrame:
+    """doc_id, n_tokens and ids of the documents with first <= doc_id <= last.
+
+    The bounds reach the scan: files and row groups by their statistics, pages by the page index."""
+    return spark.read.parquet(path).where(F.col("doc_id").between(first, last)).select("doc_id", "n_tokens", "ids")
+
+
 def read_documents(spark, path: str) -> DataFrame:
     """All written documents: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
     rows = spark.read.parquet(path).mapInArrow(_crc, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
