@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shuffle import cut
+from .shuffle import cut, fresh
 
 SEED = 20240131
 CAP = 3.0
@@ -50,25 +50,36 @@ def source_targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return t.select("source", "source_size", F.when(F.col("capped"), cap * F.col("source_size")).otherwise(F.col("weight") * F.col("rate")).alias("target"))
 
 
-def mixed(docs: DataFrame, seed: int = SEED, cap: float = CAP) -> DataFrame:
-    """docs (doc_id, text, source) -> all its columns with size, source_size, target and copies."""
-    own = ["size", "source_size", "target", "copies", "mix_source"]
-    sized = docs.select(*[c for c in docs.columns if c.lower() not in own], n_words(F.col("text")).alias("size"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sources, cap).withColumnRenamed("source", "mix_source"), "targets")
+def _taken(docs: DataFrame, seed: int, cap: float, names: list[str]) -> DataFrame:
+    """docs with four more columns of the given names: size, source size, target, copies."""
+    size, source_size, target, copies = names
+    source, wide, aim = fresh(docs.withColumns({n: F.lit(None) for n in names}), "mix_source", "mix_size", "mix_target")
+    sized = docs.select("*", n_words(F.col("text")).alias(size))
+    sources = sized.groupBy("source").agg(F.sum(size).alias("source_size"))
+    targets = cut(source_targets(sources, cap).toDF(source, wide, aim), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(source)), "left")
+    rate = F.when(F.col(wide) > 0, F.col(aim) / F.col(wide)).otherwise(F.lit(0.0))
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    times = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return joined.select(*docs.columns, size, F.col(wide).alias(source_size), F.col(aim).alias(target), times.alias(copies))
+
+
+def mixed(docs: DataFrame, seed: int = SEED, cap: float = CAP) -> DataFrame:
+    """docs (doc_id, text, source) -> all its columns with size, source_size, target and copies in place of columns of these names."""
+    own = ["size", "source_size", "target", "copies"]
+    return _taken(docs.select(*[c for c in docs.columns if c.lower() not in own]), seed, cap, own)
 
 
 def emit(docs: DataFrame, seed: int = SEED, cap: float = CAP) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with its own columns."""
-    columns = docs.columns
-    return mixed(docs, seed, cap).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The mix itself: each document as many times as it is taken, with its own columns, whatever their names."""
+    names = fresh(docs, "size", "source_size", "target", "copies")
+    copies = F.col(names[3])
+    taken = _taken(docs, seed, cap, names).where(copies > 0)
+    (copy,) = fresh(taken, "copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

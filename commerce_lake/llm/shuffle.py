@@ -39,6 +39,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as keep it apart from df's columns."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there."""
     path = shared_dir(df.sparkSession, name)

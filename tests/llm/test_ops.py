@@ -119,6 +119,15 @@ def test_decontamination_query(spark):
     assert kept.columns == d.columns and 1 not in {r.doc_id for r in kept.collect()} and kept.count() == 7
     assert op1_decontamination.contaminated(docs_of(spark, empty=True), bench).count() == 0
     assert op1_decontamination.contaminated(d, bench.limit(0)).count() == 0
+    twice = bench.unionByName(bench)
+    try:
+        op1_decontamination.BLOCK_BYTES, kept_size = 1, op1_decontamination.BLOCK_BYTES
+        op1_decontamination.blocks.__defaults__ = (1,)
+        assert [tuple(r)[:3] for r in op1_decontamination.contaminated(d, twice).collect()] == [(1, 1, 0)] * 2
+        assert op1_decontamination.decontaminate(d, twice).count() == 7
+    finally:
+        op1_decontamination.BLOCK_BYTES = kept_size
+        op1_decontamination.blocks.__defaults__ = (kept_size,)
     piece = op1_decontamination.PIECE
     try:
         op1_decontamination.PIECE = 64
@@ -309,6 +318,45 @@ def test_language_id_edges(spark):
     assert op4_language_id.predict(empty, model).count() == 0
 
 
+def test_language_id_against_a_plain_predictor(spark):
+    """Counts, tables and scores in dictionaries, for known, unseen, very long and tied words."""
+    rng = random.Random(8)
+    pools = {"aa": "abcd", "bb": "bcde", "cc": "cdeé"}
+    word = lambda c: "".join(rng.choice(c) for _ in range(rng.randint(1, 6)))
+    rows = [(i, " ".join(word(pools[lang]) for _ in range(rng.randint(1, 30))).title(), lang) for i in range(150) for lang in [rng.choice(sorted(pools))]]
+    rows += [(900, "d" * 90 + " z", "bb"), (901, "D" * 90, "cc"), (902, "zz zz yy", None), (903, "x1y-d" + "d" * 90, None), (904, "q w q", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    letters = re.compile(op4_language_id.WORD)
+    words, grams, langs = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), sorted(pools)
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in letters.findall(t.lower()):
+                words[w][lang] += 1
+                padded = op4_language_id.PAD + w + op4_language_id.PAD
+                for k in range(1, 6):
+                    for j in range(len(padded) - k + 1):
+                        grams[padded[j : j + k]][lang] += 1
+    score = lambda table, x, lang: math.log((table[x][lang] + 0.1) / (sum(c[lang] for c in table.values()) + 0.1 * (len(table) + 1)))
+    by_k = {k: {g: c for g, c in grams.items() if len(g) == k} for k in range(1, 6)}
+
+    def plain_scores(w):
+        if w in words:
+            return [score(words, w, lang) for lang in langs]
+        padded = op4_language_id.PAD + w + op4_language_id.PAD
+        for k in range(5, 0, -1):
+            known = [padded[j : j + k] for j in range(len(padded) - k + 1) if padded[j : j + k] in by_k[k]]
+            if known:
+                return [sum(score(by_k[k], g, lang) for g in known) / len(known) for lang in langs]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in op4_language_id.predict(d, op4_language_id.fit(d)).collect()}
+    for i, t, _ in rows:
+        total = [sum(x) for x in zip(*(plain_scores(w) for w in letters.findall(t.lower())))]
+        best = max(range(3), key=lambda j: (total[j], -j))
+        p = 1 / sum(math.exp(x - total[best]) for x in total)
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - p) < 1e-3, (i, t)
+
+
 def test_backoff_takes_the_longest_known_gram():
     m = op4_language_id.Model(["a", "b"], np.zeros(0, np.uint64), np.zeros((0, 2), np.float32), {}, {})
     for k, (gram, s) in {2: ("xy", (-1.0, -9.0)), 1: ("x", (-9.0, -1.0))}.items():
@@ -356,6 +404,25 @@ def test_jaccard_edges(spark):
     assert op5_jaccard_join.jaccard_components(docs_of(spark, empty=True)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_jaccard_hot_keys(spark, monkeypatch, hot):
+    """Hot digests and signatures, and ids with unlike texts, give what brute force gives."""
+    rng = random.Random(3)
+    line = [f"w{i}" for i in range(60)]
+    near = [" ".join(line[:k] + [f"x{rng.random()}"] + line[k + 1 :]) for k in (3, 20, 40, 59) for _ in range(15)]
+    values = texts(60) + [" ".join(line)] * 60 + near
+    rows = list(enumerate(values))
+    two = [(1000, values[70]), (1000, "quite another text of more than four words"), (1001, "quite another text of more than four words"), (1001, "a third one with no link to others at all")]
+    if hot:
+        monkeypatch.setattr(op5_jaccard_join, "MOST_KEYS", 5)
+        monkeypatch.setattr(op5_jaccard_join, "HOT_SHARE", 20)
+    d = spark.createDataFrame(rows + two, "doc_id long, text string").repartition(4)
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in op5_jaccard_join.jaccard_components(d).collect()}
+    assert all(got[i, n] == want[i] for i, n in got if i < 1000)
+    assert {c for (i, _), c in got.items() if i >= 1000} == {want[70]}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
@@ -395,6 +462,11 @@ def test_mixing(spark, duck):
     assert len(out) == len(rows) and all(math.floor(r.target / r.source_size) <= r.copies <= math.floor(r.target / r.source_size) + 1 for r in out if r.source_size)
     mix = op6_mixing.emit(d)
     assert mix.columns == d.columns and mix.count() == sum(r.copies for r in out) and sorted(op6_mixing.mixed(d).collect(), key=repr) == sorted(out, key=repr)
+    own = {"size": -7, "source_size": -8, "target": -9, "copies": -10, "copy": -11, "mix_source": "mine", "mix_size": -12, "mix_target": -13}
+    clash = d.select("doc_id", "text", "source").withColumns({k: F.lit(v) for k, v in own.items()})
+    kept = op6_mixing.emit(clash)
+    assert kept.columns == clash.columns and {tuple(r)[3:] for r in kept.collect()} == {tuple(own.values())} and kept.count() == mix.count()
+    assert sorted((r.doc_id, r.copies) for r in op6_mixing.mixed(clash).collect()) == sorted((r.doc_id, r.copies) for r in out)
     assert op6_mixing.mixed(docs_of(spark, empty=True)).count() == 0
     assert {r.copies for r in op6_mixing.mixed(docs_of(spark, [None, "", " "] * 3)).collect()} == {0}
 
@@ -492,9 +564,67 @@ def test_tokens(spark, tmp_path):
     assert op9_token_output.read_documents(spark, f"{path}0").count() == 0
 
 
+def test_token_files(spark, tmp_path):
+    """Encodings, row groups and page indexes of the files, and reads of single documents."""
+    import pyarrow.parquet as pq
+
+    values = texts() * 3
+    d = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    op9_token_output.write_tokens(d, f"file://{tmp_path}/t")
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    seen = set()
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                seen |= {(column.path_in_schema, e) for e in column.encodings}
+                assert column.has_offset_index and (column.has_column_index or not column.is_stats_set)
+    assert any(p.startswith("ids") and e == "RLE_DICTIONARY" for p, e in seen)
+    assert {p for p, e in seen if e == "DELTA_BINARY_PACKED"} >= {"doc_id", "local_start"}
+    some = op9_token_output.read_ids(spark, f"file://{tmp_path}/t", 17, 19)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,17)" in plan and "LessThanOrEqual(doc_id,19)" in plan
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(op9_token_output.default_tokenizer())
+    got = {r.doc_id: list(r.ids) for r in some.collect()}
+    assert got == {i: [*tok.encode(values[i] or "", add_special_tokens=False).ids, op9_token_output.END_ID] for i in (17, 18, 19)}
+
+
 # ---- 10
 
 
+def test_warc_dictionary(spark, tmp_path):
+    """A trained dictionary in the leading frame, several archives a part, and archives that do not match."""
+    import io
+
+    import zstandard
+
+    body = [f"<html><head><title>page {i}</title></head><body><p>{'the same words again and again ' * 20} {i}</p></body></html>" for i in range(400)] + ["<p>tiny</p>"] * 2
+    pages = spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in enumerate(body)], "page_id long, url string, html string").repartition(2)
+    dictionary = op10_warc.train_dictionary(pages)
+    assert dictionary
+    folder = f"file://{tmp_path}/w"
+    manifest = op10_warc.write_warc(pages, folder, least_bytes=100, most_bytes=50_000)
+    assert manifest.count() > 4 and manifest.agg(F.sum("records")).first()[0] == len(body) and manifest.agg(F.max("bytes")).first()[0] < 52_000
+    got = op10_warc.read_warc(manifest, folder).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(body))) and {r.record_type for r in got} == {"response"}
+    raw = (tmp_path / "w" / manifest.first().path).read_bytes()
+    size = int.from_bytes(raw[4:8], "little")
+    assert int.from_bytes(raw[:4], "little") == op10_warc.DICTIONARY_MAGIC and size == len(dictionary)
+    assert len(list(op10_warc.read_archive(io.BytesIO(raw)))) > 1
+    other = zstandard.train_dictionary(4096, [bytes([65 + i % 26]) * 50 + str(i * 7919).encode() * 30 for i in range(300)]).as_bytes()
+    for broken in (raw[:4] + (0).to_bytes(4, "little") + raw[8 + size :], raw[:4] + len(other).to_bytes(4, "little") + other + raw[8 + size :]):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(op10_warc.read_archive(io.BytesIO(broken)))
+    packed = zstandard.ZstdCompressor().compress(dictionary)  # the dictionary frame may itself be compressed
+    again = raw[:4] + len(packed).to_bytes(4, "little") + packed + raw[8 + size :]
+    assert list(op10_warc.read_archive(io.BytesIO(again))) == list(op10_warc.read_archive(io.BytesIO(raw)))
+    revisit = op10_warc.parse(op10_warc.record(9, "u", b"abc", op10_warc.digest32(b"abc"), 1))[0]
+    assert revisit["warc-refers-to"] == op10_warc.parse(op10_warc.record(1, "u", b"abc", op10_warc.digest32(b"abc"), None))[0]["warc-record-id"]
+
+
 def test_warc(spark, tmp_path):
     body = ["<p>é</p>", None, "", "<p>é</p>", "x" * 100_000, "\r\n\r\nWARC/1.1\r\n", "", "unique"] * 5
     rows = [(i, f"http://h/{i}\r\nx", b, 1) for i, b in enumerate(body)] + [(None, None, "<p>é</p>", 1), (4, "u", body[4], 1)]

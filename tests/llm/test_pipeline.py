@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_ops import brute_components, docs_of, texts
 
 import corpus_pipeline as C
@@ -20,6 +21,23 @@ def test_stages_keep_columns(spark, tmp_path):
     assert set(C.STAGES[-1][1](spark, d, SF).columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
 
 
+def test_own_columns_keep_their_values(spark):
+    """Columns with the names that operators use inside come out as they went in."""
+    own = {"score": -1.5, "lang_pred": "mine", "size": -7, "source_size": -8, "target": -9, "copies": -10, "copy": -11, "mix_source": "mine", "row_key": -2, "group": -3, "class_id": -4, "component_id": -5, "n": -6, "hash": -12}
+    d = docs_of(spark, texts(40)).select("doc_id", "text", "lang", "source").withColumns({k: F.lit(v) for k, v in own.items()})
+    for _, stage in C.STAGES[:-1]:
+        d = stage(spark, d, SF).persist()
+        assert {tuple(r)[4:] for r in d.collect()} == {tuple(own.values())}
+
+
+def test_near_duplicates_are_told_by_row(spark):
+    a, b = "one two three four five six seven eight nine ten", "another text with words of its very own and no copies"
+    rows = [(5, a), (5, b), (None, a), (None, "a text without any id that stays where it is put"), (7, b), (7, b), (3, ""), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in C.drop_near_duplicates(spark, d, SF).collect()), key=repr)
+    assert kept == sorted([(5, a), (5, b), (None, rows[3][1]), (3, ""), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("empty", [True])
 def test_empty(spark, empty):
     d = docs_of(spark, empty=True)
