@@ -11,7 +11,7 @@ writes each stage's result as Parquet in the shared folder and rereads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commerce_lake.llm import op1_decontamination, op4_language_id, op5_jaccard_join, op6_mixing, op9_token_output, shuffle
@@ -23,16 +23,22 @@ SHINGLE, PERCENT = 5, 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null and letterless texts go."""
     model = op4_language_id.fit(docs)
-    predicted = op4_language_id.predict(docs, model)
-    return predicted.where(F.col("lang_pred") != "und").select(*docs.columns)
+    names = shuffle.fresh(docs, "lang_pred", "score")
+    return op4_language_id.predict(docs, model, tuple(names)).where(F.col(names[0]) != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat it, the first by text. Rows without doc_id stay."""
-    groups = op5_jaccard_join.jaccard_components(docs, SHINGLE, PERCENT)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return one.where("_row = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates: the one with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Rows are told apart by a number of their own, so that rows of one doc_id (or none) with
+    different texts are different documents, and repeated rows are copies."""
+    (key,) = shuffle.fresh(docs, "row_key")
+    rows = shuffle.cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = op5_jaccard_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT).select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "hash", key)
+    named = rows.select(key, "doc_id", F.xxhash64("text").alias("hash")).join(groups, key)
+    keep = named.groupBy("group").agg(F.min(order).alias("first")).select(F.col(f"first.{key}").alias(key))
+    return rows.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
