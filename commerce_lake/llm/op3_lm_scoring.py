@@ -238,7 +238,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, params: dict, total: int) -> tuple[d
         while n > FAN:
             n = -(-n // FAN)
             fitted = fitted.groupBy(F.floor(F.col("shard") / FAN).cast("int").alias("group")).applyInArrow(_merge, _FITTED)
-        rows = fitted.orderBy("shard").collect()  # at most FAN + 1 sets of parameters
+        rows = sorted(fitted.collect(), key=lambda r: r.shard)  # at most FAN sets of parameters; ordering in Spark would fit twice
         if rows:
             params = _merged([r.params for r in rows])[1]
             documents += sum(r.documents for r in rows)
