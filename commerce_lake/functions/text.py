@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœ"
@@ -35,6 +35,17 @@ def nfkc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [None if x is None else unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+
+
+def nfkc_each(c: Column) -> Column:
+    """NFKC of each string of an array, in Python only for arrays with non-ASCII characters."""
+    wide = F.array_join(c, " ").rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _nfkc_each(F.when(wide, c))).otherwise(c)
+
+
 def normalize_query(c: Column, ascii_only: bool = False) -> Column:
     """Control characters, case, compatibility forms, punctuation and spaces made uniform."""
     x = F.lower(strip_control(c))

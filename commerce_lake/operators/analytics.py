@@ -7,7 +7,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CLICKS = ("result_click", "recommendation_click", "bundle_click", "predictive_click")
+#: The event types that count as clicks.
+CLICKS = ("result_click", "predictive_click", "suggestion_click", "recommendation_click")
 SEARCH, ZERO, CART, REDIRECT = "search_performed", "search_zero_result", "add_to_cart_from_search", "redirect_followed"
 
 

@@ -14,7 +14,7 @@ NOW = datetime(2024, 1, 31)
 START = datetime(2024, 1, 2)
 _E = B.sql("event")
 _W = "occurred_at >= TIMESTAMP '2024-01-02' AND occurred_at < TIMESTAMP '2024-01-31'"
-_CL = "('result_click','recommendation_click','bundle_click','predictive_click')"
+_CL = "('result_click','predictive_click','suggestion_click','recommendation_click')"
 _SUM = f"""count(*) FILTER (WHERE event_type = 'search_performed') AS searches, count(*) FILTER (WHERE event_type = 'search_zero_result') AS zero_results,
  count(*) FILTER (WHERE event_type IN {_CL}) AS clicks, count(*) FILTER (WHERE event_type = 'add_to_cart_from_search') AS add_to_carts, count(*) FILTER (WHERE event_type = 'redirect_followed') AS redirects"""
 _RATES = """CASE WHEN searches > 0 THEN round(clicks / searches, 9) ELSE 0 END AS ctr, CASE WHEN searches > 0 THEN round(zero_results / searches, 9) ELSE 0 END AS zero_rate, CASE WHEN searches > 0 THEN round(add_to_carts / searches, 9) ELSE 0 END AS cart_rate"""

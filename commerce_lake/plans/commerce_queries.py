@@ -203,19 +203,30 @@ def capture_subscriptions(spark, sf_dir):
 
 
 def _raw(spark, sf_dir):
+    """Events as JSON, with every kind of fault: wrong enums, bad ids, numbers out of range, unknown keys, no object at all."""
     e, k = B.table(spark, sf_dir, "events"), F.col("event_id")
-    return e.select(
-        k.alias("event_id"), (k % 97).alias("batch_id"), k.alias("seq"), F.when(F.col("event_type") == "view", "search_performed").when(F.col("event_type") == "click", "result_click").otherwise(F.col("event_type")).alias("event_type"), F.when(k % 9 == 0, "bogus").otherwise("search").alias("surface"),
-        F.when(k % 4 == 0, "bad session!").when(k % 4 == 1, F.col("user_id").cast("string")).alias("session_id"), F.when(k % 13 == 0, "nope").otherwise(F.concat(F.lit("gid://store/Product/"), k)).alias("product_gid"), F.col("value").cast("string").alias("result_count"), F.when(k % 17 == 0, "x").otherwise((k % 200000).cast("string")).alias("position"), F.when(k % 3 == 0, "A").alias("variant"),
-    )
-
-
-_VALID = "event_type IN ('view', 'click') AND event_id % 9 <> 0 AND event_id % 4 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 200000 <= 100000 AND value BETWEEN 0 AND 1e8"
-
-
-@query(f"SELECT event_id, floor(value)::INTEGER AS result_count, (event_id % 200000)::INTEGER AS position FROM events WHERE {_VALID}")
+    one_of = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    fields = {
+        "eventType": one_of((*I.EVENT_TYPES, "bundle_click", "recommendation_view")), "surface": one_of((*I.SURFACES, "collection", "")),
+        "sessionId": F.when(k % 14 == 0, "bad session!").when(k % 4 == 1, F.col("user_id").cast("string")).when(k % 4 == 2, ""),
+        "productGid": F.when(k % 13 == 0, "nope").when(k % 3 == 0, F.concat(F.lit("gid://store/Product/"), F.repeat((k % 10).cast("string"), (k % 25).cast("int")))),
+        "resultCount": F.when(k % 5 == 0, F.col("value").cast("string")).when(k % 5 == 1, "-1"), "position": F.when(k % 17 == 0, "x").when(k % 2 == 0, (k % 200000).cast("string")),
+        "experimentId": F.when(k % 9 == 0, F.lit("0F8FAD5B-d9cb-469f-a165-70867728950e")).when(k % 9 == 1, "0f8fad5b"), "variant": F.when(k % 6 < 4, one_of(("A", "B", "control", "C", "", "a"))), "extra": F.when(k % 19 == 0, "1"),
+    }
+    json = F.when(k % 23 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])))
+    return I.read_events(e.select("event_id", (k % 97).alias("batch_id"), k.alias("seq"), json.alias("json"))).drop("json")
+
+
+_VALID = """(event_id % 23 <> 0 AND event_id % 19 <> 0 AND event_id % 12 < 10 AND event_id % 7 < 5 AND event_id % 14 <> 0
+ AND CASE WHEN event_id % 13 = 0 THEN false WHEN event_id % 3 = 0 THEN event_id % 25 BETWEEN 1 AND 20 ELSE true END
+ AND CASE event_id % 5 WHEN 0 THEN value >= 0 AND value < 100000001 WHEN 1 THEN false ELSE true END AND CASE WHEN event_id % 17 = 0 THEN false WHEN event_id % 2 = 0 THEN event_id % 200000 <= 100000 ELSE true END
+ AND event_id % 9 <> 1 AND event_id % 6 <> 3)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN user_id::VARCHAR END AS session_id, CASE WHEN event_id % 5 = 0 THEN floor(value)::INTEGER END AS result_count, CASE WHEN event_id % 2 = 0 THEN (event_id % 200000)::INTEGER END AS position,
+ CASE WHEN event_id % 6 < 3 THEN (['A','B','control'])[event_id % 6 + 1] END AS variant FROM events WHERE {_VALID}""")
 def validate_events(spark, sf_dir):
-    return I.validate_events(_raw(spark, sf_dir))[0].select("event_id", "result_count", "position")
+    return I.validate_events(_raw(spark, sf_dir))[0].select("event_id", "session_id", "result_count", "position", "variant")
 
 
 @query(f"WITH r AS (SELECT event_id % 97 AS batch_id, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) <= 20 AND {_VALID} AS ok FROM events) SELECT batch_id, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS rejected FROM r GROUP BY 1")
@@ -248,12 +259,12 @@ def safe_csv_cells(spark, sf_dir):
 @query(None)
 def redact_pii(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents")
-    return d.select("doc_id", P.redact(F.col("text")).alias("text")).withColumn("redacted", F.col("text").contains(P.MARK))
+    return d.select("doc_id", P.redact_text(F.col("text")).alias("text")).withColumn("redacted", F.col("text").contains(P.MARK))
 
 
 @query(None)
 def clean_query(spark, sf_dir):
-    return B.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", P.clean_query(F.col("text")).alias("query"))
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", P.clean_query(F.col("text")).alias("query"))
 
 
 @query("SELECT c_custkey, lower('User' || c_custkey || '@Example.COM') AS email, 'u***@e***.com' AS masked, sha256('pep|t1|' || lower('User' || c_custkey || '@Example.COM')) AS hash FROM customer")

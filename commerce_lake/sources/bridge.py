@@ -59,13 +59,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The click stream: types, surfaces and arms follow from the table's own columns."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    kind = F.create_map(*[F.lit(x) for p in (("view", "search_performed"), ("click", "result_click"), ("purchase", "add_to_cart_from_search"), ("error", "search_zero_result"), ("signup", "filter_applied")) for x in p])
-    surface = F.element_at(F.array(*map(F.lit, ("search", "collection", "recommendation", "predictive", "bundle"))), (k % 5 + 1).cast("int"))
+    one_of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("k") % len(names) + 1).cast("int"))
+    kind = (
+        F.when(F.col("event_type") == "view", "search_performed")
+        .when(F.col("event_type") == "click", one_of("result_click", "predictive_click", "suggestion_click", "recommendation_click"))
+        .when(F.col("event_type") == "purchase", F.when(F.col("k") % 7 == 0, "bundle_add_to_cart").otherwise("add_to_cart_from_search"))
+        .when(F.col("event_type") == "error", "search_zero_result")
+        .otherwise(one_of("filter_applied", "filter_applied", "redirect_followed"))
+    )
     e = e.withColumn("k", k)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("query_norm"))
     return e.join(part, "k", "left").select(
-        F.lit("t1").alias("tenant_id"), "event_id", kind[F.col("event_type")].alias("event_type"), F.col("ts").cast("timestamp").alias("occurred_at"), F.col("user_id").cast("string").alias("session_id"),
-        "query_norm", pid("k").alias("product_id"), surface.alias("surface"), F.when(F.col("k") % 2 == 0, "A").otherwise("B").alias("variant"), "value", F.col("k"),
+        F.lit("t1").alias("tenant_id"), "event_id", kind.alias("event_type"), F.col("ts").cast("timestamp").alias("occurred_at"), F.col("user_id").cast("string").alias("session_id"),
+        "query_norm", pid("k").alias("product_id"), one_of("search_page", "predictive", "recommendation", "bundle", "redirect").alias("surface"), F.when(F.col("k") % 2 == 0, "A").otherwise("B").alias("variant"), "value", F.col("k"),
     )
 
 
@@ -79,8 +85,9 @@ SQL = {
  CAST(CAST(any_value(p_retailprice) AS DECIMAL(12,2)) + l_suppkey % 10 AS DECIMAL(12,2)) AS price, l_suppkey AS position, bool_or(l_linestatus = 'O') AS available_for_sale, min(l_shipdate) AS created_at
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, l_suppkey)""",
     "membership": """membership AS (SELECT DISTINCT lpad(l_partkey::VARCHAR, 9, '0') AS product_id, 'c' || s_nationkey AS collection_gid FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)""",
-    "event": """event AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'search_performed' WHEN 'click' THEN 'result_click' WHEN 'purchase' THEN 'add_to_cart_from_search' WHEN 'error' THEN 'search_zero_result' ELSE 'filter_applied' END AS event_type,
- ts AS occurred_at, user_id::VARCHAR AS session_id, p_name AS query_norm, k, lpad(k::VARCHAR, 9, '0') AS product_id, (['search','collection','recommendation','predictive','bundle'])[k % 5 + 1] AS surface,
+    "event": """event AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'search_performed' WHEN 'click' THEN (['result_click','predictive_click','suggestion_click','recommendation_click'])[k % 4 + 1]
+ WHEN 'purchase' THEN CASE WHEN k % 7 = 0 THEN 'bundle_add_to_cart' ELSE 'add_to_cart_from_search' END WHEN 'error' THEN 'search_zero_result' ELSE CASE WHEN k % 3 = 2 THEN 'redirect_followed' ELSE 'filter_applied' END END AS event_type,
+ ts AS occurred_at, user_id::VARCHAR AS session_id, p_name AS query_norm, k, lpad(k::VARCHAR, 9, '0') AS product_id, (['search_page','predictive','recommendation','bundle','redirect'])[k % 5 + 1] AS surface,
  CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS variant, value FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) LEFT JOIN part ON k = p_partkey)""",
 }
 

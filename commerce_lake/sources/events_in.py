@@ -5,42 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.privacy import redact, safe_cell
+from ..functions.privacy import redact_each, safe_cell
 from ..operators.catalog import gid_type
 
-EVENT_TYPES = ("search_performed", "search_zero_result", "result_click", "add_to_cart_from_search", "filter_applied", "redirect_followed", "recommendation_click", "bundle_click", "predictive_click", "recommendation_view")
-SURFACES = ("search", "collection", "recommendation", "predictive", "bundle")
-MAX_BATCH = 20
+#: The event types, surfaces, variants and keys that are taken, and their limits.
+EVENT_TYPES = (
+    "search_performed", "search_zero_result", "result_click", "predictive_click", "suggestion_click",
+    "redirect_followed", "add_to_cart_from_search", "recommendation_click", "bundle_add_to_cart", "filter_applied",
+)
+SURFACES = ("search_page", "predictive", "recommendation", "bundle", "redirect")
+VARIANTS = ("A", "B", "control")
+KEYS = ("eventType", "surface", "sessionId", "query", "resultCount", "productGid", "position", "experimentId", "variant", "properties", "ts")
+MAX_BATCH, MAX_RESULTS, MAX_POSITION = 20, 100_000_000, 100_000
+_SESSION = r"^[A-Za-z0-9_-]{1,64}$"
+_PRODUCT = r"^gid://[a-z]+/Product/[0-9]{1,20}$"
+_UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
-def event_valid() -> Column:
-    """Allow-list of one event; an absent value is fine, a malformed one is not."""
-    ok = F.coalesce(F.col("event_type").isin(*EVENT_TYPES) & F.col("surface").isin(*SURFACES), F.lit(False))
-    opt = lambda c, test: F.col(c).isNull() | F.coalesce(test, F.lit(False))
-    ok = ok & opt("session_id", F.col("session_id").rlike(r"^[A-Za-z0-9_-]{1,64}$")) & opt("product_gid", F.col("product_gid").rlike(r"^gid://[a-z]+/Product/[0-9]+$"))
-    number = lambda c, most: opt(c, F.col(c).try_cast("double").between(0, most))
-    return ok & number("result_count", 1e8) & number("position", 1e5) & opt("variant", F.col("variant").isin("A", "B", "control"))
+def read_events(raw: DataFrame, column: str = "json") -> DataFrame:
+    """JSON events as columns, with all keys that an event has (``keys``); what is no object has none of them."""
+    text = lambda key: F.get_json_object(column, f"$.{key}")
+    names = {"event_type": "eventType", "surface": "surface", "session_id": "sessionId", "query": "query", "result_count": "resultCount", "product_gid": "productGid", "position": "position", "experiment_id": "experimentId", "variant": "variant"}
+    properties = F.from_json(F.get_json_object(column, "$.properties"), "map<string,string>")
+    return raw.select("*", *[text(key).alias(name) for name, key in names.items()], properties.alias("properties"), F.json_object_keys(column).alias("keys"))
+
 
+def _bounded(c: str, most: int) -> Column:
+    """The whole part of a number within 0..most; null otherwise."""
+    n = F.floor(F.col(c).cast("string").try_cast("double"))
+    return F.when(n.between(0, most), n.cast("int"))
 
-def validate_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejected); works on streams as it is."""
-    valid = event_valid()
-    floor = lambda c: F.floor(F.col(c).try_cast("double")).cast("int").alias(c)
-    rest = [c for c in raw.columns if c not in ("result_count", "position")]
-    return raw.where(valid).select(*rest, floor("result_count"), floor("position")), raw.where(~valid)
+
+def event_valid(columns: list[str], session_allowed: bool = True) -> Column:
+    """Allow-list of one event; an absent or empty value is fine, a malformed one is not, nor is an unknown key."""
+    ok = F.coalesce(F.col("event_type").isin(*EVENT_TYPES) & F.col("surface").isin(*SURFACES), F.lit(False))
+    absent = lambda c: F.coalesce(F.col(c).cast("string") == "", F.lit(True))
+    optional = lambda c, test: absent(c) | F.coalesce(test, F.lit(False)) if c in columns else F.lit(True)
+    if session_allowed:
+        ok = ok & optional("session_id", F.col("session_id").rlike(_SESSION))
+    ok = ok & optional("product_gid", F.col("product_gid").rlike(_PRODUCT)) & optional("experiment_id", F.col("experiment_id").rlike(_UUID)) & optional("variant", F.col("variant").isin(*VARIANTS))
+    for c, most in (("result_count", MAX_RESULTS), ("position", MAX_POSITION)):
+        ok = ok & optional(c, _bounded(c, most).isNotNull())
+    if "keys" in columns:
+        ok = ok & F.coalesce(F.forall("keys", lambda k: k.isin(*KEYS)), F.lit(False))
+    return ok
+
+
+def validate_events(raw: DataFrame, session_allowed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(clean, rejected); works on streams as it is. Without sessions allowed, their ids are neither checked nor kept."""
+    valid = event_valid(raw.columns, session_allowed)
+    empty_is_null = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    numbers = {"result_count": MAX_RESULTS, "position": MAX_POSITION}
+    own = {c: _bounded(c, most).alias(c) for c, most in numbers.items()}
+    own |= {c: empty_is_null(c) for c in ("product_gid", "experiment_id", "variant")}
+    own |= {"session_id": empty_is_null("session_id") if session_allowed else F.lit(None).cast("string").alias("session_id")}
+    return raw.where(valid).select(*[own.get(c, F.col(c)) for c in raw.columns if c != "keys"]), raw.where(~valid)
 
 
 def validate_batches(df: DataFrame, most: int = MAX_BATCH) -> DataFrame:
     """batch_id, kept, rejected: the first events of a batch count if valid, the others are rejected."""
     w = Window.partitionBy("batch_id").orderBy("seq")
-    v = df.withColumn("_r", F.row_number().over(w)).withColumn("_ok", event_valid() & (F.col("_r") <= most))
+    v = df.withColumn("_r", F.row_number().over(w)).withColumn("_ok", event_valid(df.columns) & (F.col("_r") <= most))
     return v.groupBy("batch_id").agg(F.count_if("_ok").alias("kept"), F.count_if(~F.col("_ok")).alias("rejected"))
 
 
 def sanitize_properties(c: Column) -> Column:
     """At most 12 entries with plain keys, values redacted and cut at 120; leading entries go until the JSON has 2000 characters."""
     e = F.slice(F.filter(F.map_entries(c), lambda x: x["key"].rlike(r"^[A-Za-z0-9_]{1,40}$") & x["value"].isNotNull()), 1, 12)
-    e = F.transform(e, lambda x: F.struct(x["key"].alias("key"), F.substring(redact(x["value"], ascii_only=True), 1, 120).alias("value")))
+    values = redact_each(F.transform(e, lambda x: x["value"]))
+    e = F.zip_with(e, values, lambda x, v: F.struct(x["key"].alias("key"), F.substring(v, 1, 120).alias("value")))
     shorter = lambda acc, _: F.when(F.length(F.to_json(F.map_from_entries(acc))) > 2000, F.slice(acc, 2, 12)).otherwise(acc)
     return F.map_from_entries(F.aggregate(F.sequence(F.lit(1), F.lit(12)), e, shorter))
 
@@ -55,7 +88,7 @@ def map_customer_events(df: DataFrame) -> DataFrame:
     """name, data (JSON) -> event_type, query, product_gid of the two kinds that are kept."""
     kind = F.when(F.col("name") == "search_submitted", "search_performed").when(F.col("name") == "product_added_to_cart", "add_to_cart_from_search")
     gid = F.get_json_object("data", "$.product.id")
-    out = df.select("*", kind.alias("event_type"), F.get_json_object("data", "$.query").alias("query"), F.when(gid.rlike(r"^gid://[a-z]+/Product/[0-9]+$"), gid).alias("product_gid"))
+    out = df.select("*", kind.alias("event_type"), F.get_json_object("data", "$.query").alias("query"), F.when(gid.rlike(_PRODUCT), gid).alias("product_gid"))
     return out.where("event_type is not null")
 
 
@@ -63,10 +96,16 @@ def write_month_partitions(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("event_month").parquet(path)
 
 
-def write_safe_csv(df: DataFrame, path: str, max_rows: int = 50_000) -> None:
-    """Cells that spreadsheets cannot run, RFC 4180 quotes; lines end with LF, as Spark writes them."""
+def write_safe_csv(df: DataFrame, path: str, max_rows: int = 50_000, order: list | None = None) -> None:
+    """RFC 4180: cells that spreadsheets cannot run, quoted where needed, lines that end with CRLF, and a header in each file.
+
+    At most ``max_rows`` rows, the first in ``order`` (all columns, if not given)."""
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    df.select(*[safe_cell(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]).limit(max_rows).write.csv(path, header=True, quote='"', escape='"')
+    cells = [safe_cell(F.col(c)) if c in text else F.col(c).cast("string") for c in df.columns]
+    quoted = [F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in cells]
+    lines = df.orderBy(*(order or df.columns)).limit(max_rows).select(F.concat_ws(",", *quoted).alias("value"))
+    header = df.sparkSession.createDataFrame([(",".join(df.columns),)], "value string")
+    header.unionByName(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)  # max_rows bounds the one file
 
 
 # ---- bulk catalog files: one JSON object for each line, children carry __parentId

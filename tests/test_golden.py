@@ -54,6 +54,9 @@ def test_redaction(spark):
     texts = ["mail a.b@c.org now", "see https://x.y/z?q=1", "card 4111 1111 1111 1111", "call +49 (30) 123-4567", "key abcdefghij-klmnopqrst1", "size 42 only"]
     got = one(spark, *[P.redact(F.lit(t)) for t in texts])
     assert got == ("mail [redacted] now", "see [redacted]", "card [redacted]", "call [redacted]", "key [redacted]", "size 42 only")
+    hidden = ["x@exämple.com", "josé.ñandú@mail.com", "০১২৩৪৫৬৭৮৯", "４１１１ １１１１ １１１１ １１１１", "a\u200b@b\u00ad.com", "ask ｍｅ＠ｘ．ｏｒｇ"]
+    assert all("[redacted]" in x for x in one(spark, *[P.redact(F.lit(t)) for t in hidden]))
+    assert one(spark, *[P.clean_query(F.lit(t)) for t in ("email a@b.com", "4111-1111-1111-1111", "  Red   SHOES  ", "my number is 9876543210", "123 main street")]) == ("email [redacted]", "[redacted]", "red shoes", "my number is [redacted]", "123 main street")
     assert one(spark, *[P.redact(P.redact(F.lit(t))) for t in texts]) == got
     assert one(spark, P.clean_query(F.lit("Red SHOES a@b.co")), P.clean_query(F.lit("  !! ")))[1] is None
     assert one(spark, *[P.safe_cell(F.lit(t)) for t in ("=1+1", " @x", "plain")]) == ("'=1+1", "' @x", "plain")
@@ -128,11 +131,44 @@ def test_bulk_files(spark, tmp_path):
 def test_csv_and_properties(spark, tmp_path):
     df = spark.createDataFrame([("=x", 1), ('say "hi"', 2)], "a string, b int")
     I.write_safe_csv(df.coalesce(1), str(tmp_path / "c"))
-    text = next((tmp_path / "c").glob("part-*")).read_text()
-    assert text.splitlines() == ["a,b", "'=x,1", '"say ""hi""",2']
-    m = spark.createDataFrame([({"ok": "v" * 200, "bad key": "x", "n": "a@b.org"},)], "m map<string,string>")
+    text = next((tmp_path / "c").glob("part-*")).read_bytes()
+    assert text == b"a,b\r\n'=x,1\r\n\"say \"\"hi\"\"\",2\r\n"
+    m = spark.createDataFrame([({"ok": "v " * 200, "bad key": "x", "n": "a@b.org", "wide": "４１１１１１１１１１１１１１１１"},)], "m map<string,string>")
     got = m.select(I.sanitize_properties(F.col("m")).alias("m")).first().m
-    assert set(got) == {"ok", "n"} and len(got["ok"]) <= 120 and got["n"] == "[redacted]"
+    assert set(got) == {"ok", "n", "wide"} and len(got["ok"]) <= 120 and got["n"] == got["wide"] == "[redacted]"
+
+
+def test_redaction_against_plain_python(spark):
+    """All texts of documents and conversations, and hostile ones, against the rules in plain Python."""
+    import unicodedata
+
+    import regex
+    from conftest import SF
+
+    rules = [regex.compile(p) for p in (r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", r"(?i)(?a:\b)(?:https?://|www\.)[^\s\p{Z}\uFEFF]+", r"(?:\p{Nd}[ -]?){13,19}", r"\+?\p{Nd}(?:[ ().-]*\p{Nd}){6,}", r"(?a:\b)[A-Za-z0-9_-]{20,}(?a:\b)")]
+
+    def plain(t):
+        t = "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf")
+        t = "".join(str(ord(c) - z) if (z := next((z for z in P.DIGIT_ZEROS if z <= ord(c) < z + 10), None)) is not None else c for c in t)
+        for r in rules:
+            t = r.sub("[redacted]", t)
+        return t
+
+    extra = ["x@exämple.com", "٠١٢٣٤٥٦٧٨٩", "०१२३ ४५६ ७८९", "௦௧௨௩௪௫௬௭", "၀၁၂၃၄၅၆၇", "abc-def_ghi-jkl_mno-pqr", "ÄWWW.x.org www.y.org", "tel +49(30)1-2-3.4 5", "1" * 40, "", "a@b", "日本@例え.テスト", "née@é.fr, x"]
+    texts = [r.text for n in ("documents", "conversations") for r in spark.read.parquet(f"{SF}/{n}.parquet").select("text").collect() if r.text] + extra
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.x for r in d.select("i", P.redact_text(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_events_are_validated_by_the_fixed_lists(spark):
+    rows = ['{"eventType":"suggestion_click","surface":"predictive","sessionId":"a_1"}', '{"eventType":"bundle_add_to_cart","surface":"bundle","productGid":"gid://store/Product/7","resultCount":"1e8"}', '{"eventType":"bundle_click","surface":"bundle"}',
+        '{"eventType":"result_click","surface":"search"}', '{"eventType":"result_click","surface":"redirect","who":1}', '{"eventType":"result_click","surface":"redirect","experimentId":"x"}', '{"eventType":"result_click","surface":"redirect","productGid":"gid://store/Product/123456789012345678901"}',
+        '{"eventType":"filter_applied","surface":"search_page","experimentId":"0f8fad5b-d9cb-469f-a165-70867728950E","variant":"","position":-0.5}', '{"eventType":"filter_applied","surface":"search_page","sessionId":"","position":100000.9,"ts":5}', "[]", "x", None]
+    raw = I.read_events(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, json string"))
+    clean, rejected = I.validate_events(raw)
+    assert sorted(r.i for r in clean.collect()) == [0, 1, 8] and rejected.count() == 9
+    assert {(r.i, r.session_id, r.position) for r in I.validate_events(raw, session_allowed=False)[0].collect()} == {(0, None, None), (1, None, None), (8, None, 100000)}
 
 
 def test_transitions(spark):
