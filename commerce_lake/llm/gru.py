@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
-The output vocabulary has frequent classes of words, each with its own softmax, and rare
-classes that have no softmax inside (the caller knows the share of a rare word in its
-class).  Training is truncated backpropagation over windows of ``WINDOW`` steps of many
+The output vocabulary has frequent words, and rare classes that stand for all words
+without a place of their own (the caller knows the share of a rare word in its class);
+both are grouped in classes with a softmax each.  Training is truncated backpropagation over windows of ``WINDOW`` steps of many
 texts side by side; the state is carried from window to window and reset where a text
 starts.
 """
@@ -18,25 +18,24 @@ LEAST_WINDOWS = 256
 RATE = 0.1
 #: Logits may lie so far below one common shift before single precision loses them.
 SAFE_SPREAD = 80.0
+BLOCK = 1024
 _TRAINED = ("rec", "bias", "wc", "bc", "wo", "bo")
 
 
 def init(n_words: int, class_size: int, n_rare: int, word_counts: np.ndarray, rare_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 1) -> dict[str, np.ndarray]:
-    """Parameters whose outputs are the unigram model. Inputs: words, then rare classes."""
+    """Parameters whose outputs are the unigram model. Inputs and outputs: words, then rare classes."""
     rng = np.random.default_rng(seed)
-    n_classes = -(-n_words // class_size)
-    padded = np.full(n_classes * class_size, -30.0)
-    padded[:n_words] = np.log(word_counts + 1.0)
-    by_class = padded.reshape(n_classes, class_size)
-    mass = np.concatenate((np.exp(by_class).sum(1), rare_counts + 1.0))
+    padded = lambda counts: np.append(np.log(counts + 1.0), np.full(-len(counts) % class_size, -30.0)).reshape(-1, class_size)
+    by_class = np.concatenate((padded(word_counts), padded(rare_counts)))
+    mass = np.exp(by_class).sum(1)
     f = np.float32
     return {
         "emb": (0.1 * rng.standard_normal((n_words + n_rare, 3 * hidden))).astype(f),
         "rec": (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden) * 0.5).astype(f),
         "bias": np.concatenate((np.full(hidden, 0.5), np.zeros(2 * hidden))).astype(f),
-        "wc": (0.01 * rng.standard_normal((hidden, n_classes + n_rare))).astype(f),
+        "wc": (0.01 * rng.standard_normal((hidden, len(by_class)))).astype(f),
         "bc": np.log(mass / mass.sum()).astype(f),
-        "wo": np.zeros((n_classes, hidden, class_size), f),
+        "wo": np.zeros((len(by_class), hidden, class_size), f),
         "bo": by_class.astype(f),
         "size": np.array([n_words, class_size, n_rare]),
     }
@@ -62,60 +61,64 @@ def step(p: dict, a: np.ndarray, h: np.ndarray):
     return out, (z, r, new, un)
 
 
-def _softmax(logits: np.ndarray, own: np.ndarray, want_rest: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of the column ``own`` of each row and, if wanted, its gradient by the logits."""
+def _softmax(logits: np.ndarray, own: np.ndarray, want_rest: bool) -> np.ndarray:
+    """Log probability of the column ``own`` of each row; logits become its gradient by the logits, if wanted."""
     rows = np.arange(len(logits))
-    top = logits.max() if len(logits) else 0.0
-    if len(logits) and top - logits.min() > SAFE_SPREAD:
+    top = logits.max()
+    if top - logits.min() > SAFE_SPREAD:
         top = logits.max(1, keepdims=True)
     logits -= top
     mine = logits[rows, own]
     e = np.exp(logits, out=logits)
     total = e @ np.ones(e.shape[1], e.dtype)
-    out = mine - np.log(total)
-    if not want_rest:
-        return out, None
-    e *= (-1 / total)[:, None]
-    e[rows, own] += 1
-    return out, e
+    if want_rest:
+        e *= (-1 / total)[:, None]
+        e[rows, own] += 1
+    return mine - np.log(total)
 
 
 def log_probs(p: dict, hs: np.ndarray, target: np.ndarray, grads: dict | None = None):
-    """Natural log of P(class) P(word in class) for each row; of P(class) for rare classes.
-
-    With grads, also adds the gradients of the sum and returns that of hs."""
-    n_words, width, _ = p["size"]
-    n_classes = len(p["wo"])
-    cls = np.where(target >= n_words, n_classes + target - n_words, target // width).astype(np.int16)
-    logits = hs @ p["wc"]
-    logits += p["bc"]
-    out, d = _softmax(logits, cls, grads is not None)
-    dh = None
-    if grads is not None:
-        grads["wc"] += hs.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["wc"].T
+    """Natural log of P(class) P(word in class) for each row; of P(rare class) for rare words.
+
+    With grads, also adds the gradients of the sum and returns that of hs.  Rows are taken in
+    the order of their classes, in blocks that stay in the processor's cache."""
+    n_words, width, _ = p["size"].tolist()
+    n_classes, want = len(p["wo"]), grads is not None
+    place = np.where(target >= n_words, target + -n_words % width, target)  # rare classes open a new class
+    cls = (place // width).astype(np.int16)
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(n_classes + 1, dtype=np.int16))
-    order = order[: edge[-1]]
-    if not len(order):
-        return out, dh
-    some = hs[order]
-    inner = np.empty((len(order), width), hs.dtype)
-    spans = [(c, i, j) for c, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if i < j]
+    cls, own = cls[order].astype(np.intp), place[order] % width
+    some = np.take(hs, order, axis=0)
+    out, back = np.empty(len(some), hs.dtype), np.empty_like(some) if want else None
+    for i in range(0, len(some), BLOCK):
+        h = some[i : i + BLOCK]
+        logits = h @ p["wc"]
+        logits += p["bc"]
+        out[i : i + BLOCK] = _softmax(logits, cls[i : i + BLOCK], want)
+        if want:
+            grads["wc"] += h.T @ logits
+            grads["bc"] += np.ones(len(h), h.dtype) @ logits
+            np.matmul(logits, p["wc"].T, out=back[i : i + BLOCK])
+    edge = np.searchsorted(cls, np.arange(n_classes + 1)).tolist()
+    inner = np.empty((len(some), width), hs.dtype)
+    spans = [(c, i, j) for c, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
     for c, i, j in spans:
         np.matmul(some[i:j], p["wo"][c], out=inner[i:j])
         inner[i:j] += p["bo"][c]
-    more, d = _softmax(inner, target[order] % width, grads is not None)
-    out[order] += more
-    if grads is not None:
-        back = np.empty_like(some)
-        for c, i, j in spans:
-            np.matmul(d[i:j], p["wo"][c].T, out=back[i:j])
-            grads["wo"][c] += some[i:j].T @ d[i:j]
-            grads["bo"][c] += d[i:j].sum(0)
-        dh[order] += back
-    return out, dh
+    for i in range(0, len(some), BLOCK):
+        out[i : i + BLOCK] += _softmax(inner[i : i + BLOCK], own[i : i + BLOCK], want)
+    result = np.empty_like(out)
+    result[order] = out
+    if not want:
+        return result, None
+    for c, i, j in spans:
+        d = inner[i:j]
+        back[i:j] += d @ p["wo"][c].T
+        grads["wo"][c] += some[i:j].T @ d
+        grads["bo"][c] += np.ones(j - i, d.dtype) @ d
+    dh = np.empty_like(back)
+    dh[order] = back
+    return result, dh
 
 
 def backpropagate(p: dict, x: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray, grads: dict):
@@ -125,7 +128,7 @@ def backpropagate(p: dict, x: np.ndarray, fresh: np.ndarray, target: np.ndarray,
     the window, the input ids and the gradients of their embeddings."""
     steps, lanes = x.shape
     n = h.shape[1]
-    a = p["emb"][x]
+    a = np.take(p["emb"], x, axis=0)
     a += p["bias"]
     kept, before, after = [], np.empty((steps, lanes, n), h.dtype), np.empty((steps, lanes, n), h.dtype)
     for t in range(steps):
@@ -191,7 +194,7 @@ def _train_lanes(p: dict, seen: dict, target: np.ndarray, fresh: np.ndarray, rat
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        g, at = np.add.reduceat(demb[order], first, axis=0), rows[first]
+        g, at = np.add.reduceat(np.take(demb, order, axis=0), first, axis=0), rows[first]
         own, past = p["emb"][at], seen["emb"][at]
         _ascend(own, past, g, scale, rate)
         p["emb"][at], seen["emb"][at] = own, past
@@ -225,7 +228,7 @@ def score(p: dict, ids: np.ndarray, bounds: np.ndarray, most: int = 4096) -> np.
             hs, targets, lanes, rows = [], [], [], 0
             while t < longest and rows < most and len(lanes) < most:
                 active = int(np.searchsorted(-own, -t, side="left"))  # texts longer than t
-                h, _ = step(p, inputs[prev[:active]], h[:active])
+                h, _ = step(p, np.take(inputs, prev[:active], axis=0), h[:active])
                 prev = ids[at[:active] + t]
                 hs.append(h)
                 targets.append(prev)

@@ -36,6 +36,7 @@ from .labelled_pages import labelled_pages
 from .shuffle import small_batches
 
 MAX_DEPTH = 512
+_NONE: dict[str, str] = {}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -264,7 +265,11 @@ class _Parser:
                     at = lt + 1
                 continue
             tag = m[0].lower()
-            attributes, at = _attributes(source, m.end(), self.finder)
+            at = m.end()
+            if source.startswith(">", at):
+                attributes, at = _NONE, at + 1
+            else:
+                attributes, at = _attributes(source, at, self.finder)
             if closing:
                 self.end(tag)
             elif tag in _RAW:
