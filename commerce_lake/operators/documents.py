@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ def parent_agg(products: DataFrame, variants: DataFrame) -> DataFrame:
 
 def build_search_docs(products: DataFrame, variants: DataFrame, memberships: DataFrame, collections: DataFrame, version: int = 1) -> DataFrame:
     """One document for each live product: each child table is aggregated to the product key, then joined."""
+    products = products if "description" in products.columns else products.withColumn("description", F.lit(None).cast("string"))
     d = live(products).join(variant_agg(variants), "product_id", "left").join(collection_agg(memberships, collections), "product_id", "left").join(parent_agg(products, variants), "gid", "left")
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     titles = F.coalesce("collections", F.array().cast("array<string>"))
@@ -47,7 +51,7 @@ def build_search_docs(products: DataFrame, variants: DataFrame, memberships: Dat
     card = F.to_json(F.struct("title", "handle", "vendor", "product_type", "price_min", "price_max", "available", "child_count", "child_price_min", "child_price_max", "variants"))
     return d.select(
         "tenant_id", F.lit(version).alias("index_version"), "product_id", "gid", "handle", "title", "vendor", "product_type", tags.alias("tags"), titles.alias("collections"), "status", F.col("online_store_url").isNotNull().alias("published"),
-        F.coalesce("available", F.lit(False)).alias("available"), "price_min", "price_max", "sku_text", "variant_titles", "metafields", "combined_role", F.coalesce("child_count", F.lit(0)).alias("child_count"), "child_price_min", "child_price_max",
+        F.coalesce("available", F.lit(False)).alias("available"), "price_min", "price_max", "sku_text", "variant_titles", "metafields", "description", "combined_role", F.coalesce("child_count", F.lit(0)).alias("child_count"), "child_price_min", "child_price_max",
         text.alias("search_text"), F.md5(card).alias("content_hash"),
     )
 
@@ -62,9 +66,12 @@ def tokens_of(c: Column) -> Column:
 
 
 def analyze_terms(docs: DataFrame) -> DataFrame:
-    """Postings: product_id, term, weight, n. A title; B vendor, type, sku; C tags, variants, collections."""
+    """Postings: product_id, term, weight, n. A title; B vendor, type, sku; C tags, variants, collections; D description."""
 
     fields = {"A": "title", "B": F.concat_ws(" ", "vendor", "product_type", "sku_text"), "C": F.concat_ws(" ", F.array_join("tags", " "), "variant_titles", F.array_join("collections", " "))}
+    if "description" in docs.columns:
+        fields["D"] = F.coalesce("description", F.lit(""))
+
     def weighed(field: str, c) -> Column:
         return F.transform(tokens_of(F.col(c) if isinstance(c, str) else c), lambda t: F.struct(t.alias("term"), F.lit(WEIGHTS[field]).alias("weight")))
 
@@ -146,6 +153,25 @@ def refresh_docs(docs: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> Dat
     return docs.join(changed, "product_id", "left_anti").unionByName(rebuilt.join(changed, "product_id", "left_semi"))
 
 
+def catch_up(docs: DataFrame, products: DataFrame, rebuild: Callable[[DataFrame], DataFrame], snapshot: datetime, margin: timedelta = timedelta(minutes=5)) -> DataFrame:
+    """A build's documents brought up to date: products changed since its snapshot, less a margin for clocks, are projected again.
+
+    products have updated_at; rebuild makes the documents of the products it is given. Deleted products lose theirs."""
+    changed = products.where(F.col("updated_at") >= F.lit(snapshot - margin))
+    return refresh_docs(docs, changed.select("product_id").distinct(), rebuild(live(changed)))
+
+
+def refresh_parents(docs: DataFrame, products: DataFrame, variants: DataFrame, memberships: DataFrame, collections: DataFrame, changed: DataFrame) -> DataFrame:
+    """docs with the parents of the changed products (product_id) projected again, from their children as they are now."""
+    gids = products.join(changed.select("product_id"), "product_id", "left_semi").where("combined_parent_gid is not null").select("combined_parent_gid").distinct()
+    parents = products.join(gids, F.col("gid") == gids["combined_parent_gid"], "left_semi")
+    children = products.alias("p").join(gids.alias("g"), F.col("p.combined_parent_gid") == F.col("g.combined_parent_gid"), "left_semi")
+    family = parents.unionByName(children).dropDuplicates(["product_id"])
+    of = lambda df: df.join(family.select("product_id"), "product_id", "left_semi")
+    rebuilt = build_search_docs(family, of(variants), of(memberships), collections)
+    return refresh_docs(docs, parents.select("product_id"), rebuilt.select(docs.columns))
+
+
 def count_stale_roles(docs: DataFrame, products: DataFrame) -> DataFrame:
     """Documents without a role whose product has one."""
     j = docs.where("combined_role is null").join(live(products).where("combined_role is not null").select("product_id"), "product_id", "left_semi")
@@ -162,11 +188,25 @@ def validate_build(docs: DataFrame, products: DataFrame, expected: int | None =
 # ---- versions: a small table (tenant_id, version, status)
 
 
+def publish_versions(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Activates each tenant's wanted version (tenant_id, version) if it is validated, and supersedes the active one; anything else changes nothing."""
+    j = versions.join(wanted.groupBy("tenant_id").agg(F.max("version").alias("_wanted")), "tenant_id", "left")
+    chosen = F.coalesce(F.col("version") == F.col("_wanted"), F.lit(False))
+    ready = F.max(chosen & (F.col("status") == "validated")).over(Window.partitionBy("tenant_id"))
+    status = F.when(F.col("_ready") & chosen, "active").when(F.col("_ready") & (F.col("status") == "active"), "superseded").otherwise(F.col("status"))
+    return j.withColumn("_ready", ready).withColumn("status", status).select(versions.columns)
+
+
 def publish_version(versions: DataFrame, tenant: str, version: int) -> DataFrame:
-    """Activates a validated version and supersedes the active one; anything else changes nothing."""
-    ok = F.max(F.when((F.col("tenant_id") == tenant) & (F.col("version") == version) & F.col("status").isin("validated"), 1)).over(Window.partitionBy("tenant_id")) == 1
-    mine = (F.col("tenant_id") == tenant) & F.coalesce(ok, F.lit(False))
-    return versions.withColumn("status", F.when(mine & (F.col("version") == version), "active").when(mine & (F.col("status") == "active"), "superseded").otherwise(F.col("status")))
+    """publish_versions for one tenant."""
+    return publish_versions(versions, versions.where((F.col("tenant_id") == tenant) & (F.col("version") == version)).select("tenant_id", "version"))
+
+
+def reindex_all(versions: DataFrame, tenants: DataFrame) -> DataFrame:
+    """versions with a new one to build for each installed tenant (tenant_id, uninstalled_at), after its last."""
+    last = versions.groupBy("tenant_id").agg(F.max("version").alias("_last"))
+    new = tenants.where("uninstalled_at is null").select("tenant_id").distinct().join(last, "tenant_id", "left")
+    return versions.unionByName(new.select("tenant_id", (F.coalesce("_last", F.lit(0)) + 1).cast(versions.schema["version"].dataType).alias("version"), F.lit("building").alias("status")))
 
 
 def rollback_version(versions: DataFrame, tenant: str) -> DataFrame:

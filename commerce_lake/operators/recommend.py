@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import set_similarity, trigrams
+from ..functions.text import trigram_similarity, trigrams
 
 #: Weights of shared collections (with cap), type, vendor, shared tags (with cap), price, title.
 SIMILAR = {"collections": (40.0, 3), "type": 30.0, "vendor": 20.0, "tags": (10.0, 3), "price": 15.0, "title": 25.0}
@@ -22,36 +22,66 @@ def price_proximity(seed: Column, other: Column) -> Column:
 
 
 def _traits(docs: DataFrame) -> DataFrame:
-    low = F.array_distinct(F.transform("tags", lambda t: F.lower(t)))
-    return docs.select("product_id", "title", "vendor", "product_type", "collections", low.alias("tags"), "price_min", "available", trigrams(F.col("title")).alias("tg"))
+    low = F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t)))
+    return docs.select("product_id", "title", "vendor", "product_type", "collections", low.alias("tags"), "price_min", "available")
 
 
-def candidates(seeds: DataFrame, docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """(seed_id, product_id) of products that share a type, vendor, tag, collection or title trigram with the seed.
+def _keys() -> Column:
+    """Shared traits as strings: the kind, then the value."""
+    key = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.concat(F.lit(kind), v))
+    one = lambda c: F.array_compact(F.array(c))
+    return F.concat(key("y", one("product_type")), key("v", one("vendor")), key("t", F.col("tags")), key("c", F.array_distinct("collections")))
 
-    One equi-join on exploded keys instead of five or a cross join."""
-    key = lambda kind, c: F.transform(c, lambda v: F.concat(F.lit(kind), v))
-    keys = lambda d: F.concat(key("y:", F.array_compact(F.array("product_type"))), key("v:", F.array_compact(F.array("vendor"))), key("t:", F.col("tags")), key("c:", F.col("collections")), key("g:", F.col("tg")))
+
+def similar_titles(seeds: DataFrame, docs: DataFrame, least: float = LEAST_TITLE) -> DataFrame:
+    """Distinct (seed_title, title) pairs whose trigram similarity is at least ``least``.
+
+    Of n trigrams, ordered from rare to frequent, titles that are similar enough share one of
+    the first n - ceil(least n) + 1 of each; only these meet in the join."""
+    titles = docs.select("title").where("title is not null").distinct().withColumn("tg", trigrams(F.col("title"))).where("size(tg) > 0")
+    often = titles.select(F.explode("tg").alias("g")).groupBy("g").agg(F.count("*").alias("times"))
+    ordered = titles.select("title", F.explode("tg").alias("g")).join(often, "g").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("times", "g"))).alias("o"))
+    n = F.size("o")
+    heads = ordered.select("title", n.alias("n"), F.explode(F.slice("o.g", F.lit(1), (n - F.ceil(least * n) + 1).cast("int"))).alias("g"))
+    asked = heads.join(seeds.select("title").distinct(), "title", "left_semi").select(F.col("title").alias("seed_title"), F.col("n").alias("m"), "g")
+    met = asked.join(heads, "g").where((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))).select("seed_title", "title").distinct()
+    return met.where(trigram_similarity(F.col("seed_title"), F.col("title")) >= least)
+
+
+def _shared(seeds: DataFrame, docs: DataFrame) -> DataFrame:
+    """(seed_id, seed_product, product_id) with the numbers of shared collections and tags and whether type and vendor are shared.
+
+    Candidates share a trait or have similar titles; traits are counted where they meet, in one
+    equi-join and one aggregation that combines before its shuffle."""
     t = _traits(docs)
-    d = t.select("product_id", F.explode(keys(t)).alias("k"))
-    s = seeds.join(t.withColumnRenamed("product_id", "seed_product"), "seed_product").select("seed_id", F.explode(keys(t)).alias("k"))
-    return s.join(d, "k").select("seed_id", "product_id").distinct()
+    d = t.select("product_id", F.explode(_keys()).alias("k"))
+    asked = seeds.select("seed_id", "seed_product").distinct().join(t.withColumnRenamed("product_id", "seed_product"), "seed_product")
+    traits = asked.select("seed_id", "seed_product", F.explode(_keys()).alias("k")).join(d, "k").select("seed_id", "seed_product", "product_id", F.substring("k", 1, 1).alias("kind"))
+    alike = asked.select("seed_id", "seed_product", F.col("title").alias("seed_title")).join(similar_titles(asked, t), "seed_title")
+    alike = alike.join(t.select("product_id", "title"), "title").select("seed_id", "seed_product", "product_id", F.lit("s").alias("kind"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return traits.unionByName(alike).groupBy("seed_id", "seed_product", "product_id").agg(count("c").alias("collections"), count("y").alias("type"), count("v").alias("vendor"), count("t").alias("tags"))
+
+
+def candidates(seeds: DataFrame, docs: DataFrame) -> DataFrame:
+    """(seed_id, product_id) of products that share a type, vendor, tag or collection with the seed, or have a similar title."""
+    return _shared(seeds, docs).select("seed_id", "product_id").distinct()
 
 
 def similar(seeds: DataFrame, docs: DataFrame, k: int = 24, weights: dict = SIMILAR, in_stock: bool = False) -> DataFrame:
     """seeds (seed_id, seed_product) -> seed_id, product_id, score parts, score, rank. A seed_id may have several products."""
-    t = _traits(docs)
-    c = candidates(seeds, docs)
-    s = seeds.join(t.select(*[F.col(x).alias(f"s_{x}") for x in t.columns]), F.col("seed_product") == F.col("s_product_id")).drop("s_product_id")
-    j = c.join(s, "seed_id").join(t, "product_id")
     w = weights
-    shared = lambda x, cap: F.least(F.size(F.array_intersect(x, f"s_{x}")), F.lit(cap)).cast("double")
-    same = lambda x: F.coalesce((F.col(x) == F.col(f"s_{x}")).cast("double"), F.lit(0.0))
+    t = docs.select("product_id", "title", F.col("vendor").alias("own_vendor"), F.col("price_min").cast("double").alias("price"), "available")
+    s = docs.select(F.col("product_id").alias("seed_product"), F.col("title").alias("seed_title"), F.col("price_min").cast("double").alias("seed_price"))
+    j = _shared(seeds, docs).join(s, "seed_product").join(t, "product_id")
+    titles = j.select("seed_title", "title").distinct().withColumn("alike", trigram_similarity(F.col("seed_title"), F.col("title")))
+    j = j.join(titles.where("alike > 0"), ["seed_title", "title"], "left")
+    capped = lambda x: F.least(F.col(x), F.lit(w[x][1])) * w[x][0]
     parts = {
-        "collections": shared("collections", w["collections"][1]) * w["collections"][0], "type": same("product_type") * w["type"], "vendor": same("vendor") * w["vendor"], "tags": shared("tags", w["tags"][1]) * w["tags"][0],
-        "price": price_proximity(F.col("s_price_min").cast("double"), F.col("price_min").cast("double")) * w["price"], "title": set_similarity(F.col("tg"), F.col("s_tg")) * w["title"],
+        "collections": capped("collections"), "type": F.col("type") * w["type"], "vendor": F.col("vendor") * w["vendor"], "tags": capped("tags"),
+        "price": price_proximity(F.col("seed_price"), F.col("price")) * w["price"], "title": F.coalesce("alike", F.lit(0.0)) * w["title"],
     }
-    j = j.select("seed_id", "product_id", "seed_product", "title", "vendor", "available", *[c.alias(f"score_{n}") for n, c in parts.items()])
+    j = j.select("seed_id", "product_id", "title", F.col("own_vendor").alias("vendor"), "available", *[c.alias(f"score_{n}") for n, c in parts.items()])
     g = j.groupBy("seed_id", "product_id").agg(F.first("title").alias("title"), F.first("vendor").alias("vendor"), F.first("available").alias("available"), *[F.sum(f"score_{n}").alias(f"score_{n}") for n in parts])
     attribute = F.col("score_collections") + F.col("score_type") + F.col("score_vendor") + F.col("score_tags")
     g = g.where((attribute > 0) | (F.col("score_title") >= LEAST_TITLE * w["title"]))
@@ -70,10 +100,16 @@ def diversify(ranked: DataFrame, cap: int, by: str = "vendor") -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(w)).where(F.col(by).isNull() | (F.col("_n") <= cap)).drop("_n")
 
 
-def record_signals(events: DataFrame, docs: DataFrame) -> DataFrame:
-    """Views and clicks of visible products for each UTC day."""
-    e = events.where(F.col("event_type").isin("search_performed", "result_click")).join(docs.select("product_id"), "product_id", "left_semi")
-    return e.groupBy("product_id", F.to_date("occurred_at").alias("day")).agg(F.count_if(F.col("event_type") == "search_performed").alias("views"), F.count_if(F.col("event_type") == "result_click").alias("clicks"))
+def record_signals(beacons: DataFrame, docs: DataFrame) -> DataFrame:
+    """Views and clicks of visible products for each UTC day.
+
+    beacons: ref (gid, handle or id), kind (view or click), occurred_at; others, and refs of no
+    visible product, count for nothing."""
+    b = beacons.where(F.col("kind").isin("view", "click")).withColumn("ref_kind", classify_ref(F.col("ref"))).withColumn("k", F.lower(F.trim("ref")))
+    names = F.array(*[F.struct(F.lit(kind).alias("ref_kind"), F.lower(c).alias("k")) for kind, c in (("gid", "gid"), ("handle", "handle"), ("uuid", "product_id"))])
+    known = docs.select("product_id", F.inline(names)).where("k is not null").groupBy("ref_kind", "k").agg(F.min("product_id").alias("product_id"))
+    e = b.join(known, ["ref_kind", "k"])
+    return e.groupBy("product_id", F.to_date("occurred_at").alias("day")).agg(F.count_if(F.col("kind") == "view").alias("views"), F.count_if(F.col("kind") == "click").alias("clicks"))
 
 
 def trending(signals: DataFrame, docs: DataFrame, now: datetime, k: int = 24, half_life: int = HALF_LIFE_DAYS) -> DataFrame:
@@ -144,12 +180,41 @@ def resolve_refs(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("list_id").orderBy("pos", "product_id"))).drop("pos")
 
 
-def recommend(requests: DataFrame, fbt: DataFrame, related_: DataFrame, k: int = 12) -> DataFrame:
-    """Bought-together partners where there are any, related products otherwise, with the reason."""
-    a = requests.join(fbt.select(F.col("seed_product"), "product_id", "rank"), "seed_product").select("request_id", "product_id", "rank", F.lit("bought_together").alias("reason"))
-    left = requests.join(a.select("request_id").distinct(), "request_id", "left_anti")
-    b = left.join(related_.select(F.col("seed_id").alias("seed_product"), "product_id", "rank"), "seed_product").select("request_id", "product_id", "rank", F.lit("related_fallback").alias("reason"))
-    return a.unionByName(b).where(F.col("rank") <= k)
+TYPES = ("similar", "related", "trending", "fbt", "recent")
+
+
+def recommend(requests: DataFrame, shelves: dict[str, DataFrame], hidden: DataFrame | None = None, enabled: tuple[str, ...] = TYPES, fall_back: bool = True, k: int = 12) -> DataFrame:
+    """request_id, type, product_id, rank, fell_back_to, reason: a page for each request, or one row that tells why there is none.
+
+    requests: request_id, type, seed_product, recent (array of product ids, newest first).  shelves:
+    similar, related and fbt rows by seed_product with product_id and rank, trending rows without
+    a seed; they should hold enough rows beyond k to make up for those left out: viewed products
+    and the seed, and hidden ones.  Without partners fbt falls back to related products."""
+    r = requests.select("request_id", "type", "seed_product", F.coalesce("recent", F.array().cast("array<string>")).alias("recent"))
+    on = lambda name: name in enabled
+    rows = lambda name: shelves[name].select(*(["seed_product"] if name != "trending" else []), "product_id", "rank")
+    asked = lambda name: r.where(F.col("type") == name) if on(name) else r.where("false")
+    none = F.lit(None).cast("string")
+    found = [asked(name).join(rows(name), "seed_product").withColumn("via", none) for name in ("similar", "related", "fbt")]
+    found.append(asked("trending").join(rows("trending").withColumn("type", F.lit("trending")), "type").withColumn("via", none))
+    found.append(asked("recent").select("*", F.posexplode("recent").alias("rank", "product_id")).withColumn("via", none))
+    if fall_back and on("related"):
+        found.append(r.where("type = 'fbt'").join(rows("related"), "seed_product").withColumn("via", F.lit("related")))
+    columns = ["request_id", "type", "seed_product", "recent", "product_id", "rank", "via"]
+    pool = found[0].select(columns)
+    for more in found[1:]:
+        pool = pool.unionByName(more.select(columns))
+    pool = pool.where(F.col("seed_product").isNull() | (F.col("product_id") != F.col("seed_product"))).where((F.col("type") == "recent") | ~F.array_contains("recent", F.col("product_id")))
+    if hidden is not None:
+        pool = pool.join(hidden.select("product_id"), "product_id", "left_anti")
+    own = F.max(F.col("via").isNull()).over(Window.partitionBy("request_id"))
+    pool = pool.withColumn("_own", own).where(F.col("via").isNull() | ~F.col("_own"))
+    page = pool.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("rank", "product_id"))).where(F.col("rank") <= k)
+    data = "fbt-no-data" if on("fbt") else "fbt-disabled"
+    off = ~F.col("type").isin(*enabled)
+    empty = F.when(F.col("type") == "fbt", data).when(~F.col("type").isin(*TYPES), "unknown-type").when(off, "disabled").otherwise("empty")
+    out = r.select("request_id", "type").join(page.select("request_id", "product_id", "rank", "via"), "request_id", "left")
+    return out.select("request_id", "type", "product_id", "rank", F.col("via").alias("fell_back_to"), F.when(F.col("product_id").isNull(), empty).when(F.col("via").isNotNull(), data).alias("reason"))
 
 
 def interest_profile(clicks: DataFrame, docs: DataFrame, now: datetime, top: int = 20, half_life: int = 30) -> DataFrame:

@@ -7,13 +7,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.privacy import safe_url
 from ..functions.text import damerau_distance, fuzzy_distance, normalize_query, set_similarity, token_class, tokenize, trigrams
+from ..sources.store import stored
+from .documents import suggest_terms as suggest_terms_of
+from .intent import extract_intent
 
 #: Class weights of a match, the share of the field score and the stock boost.
 CLASS_WEIGHT = {"sku": 600.0, "exact": 500.0, "prefix": 400.0, "synonym": 300.0, "fuzzy": 200.0, "partial": 100.0}
 FIELD_WEIGHT, STOCK_BOOST = 50.0, 10.0
 MAX_SYNONYMS, MAX_FUZZY, FUZZY_POOL, LEAST_TRIGRAM = 20, 5, 100, 0.3
 SORTS = ("relevance", "price_asc", "price_desc", "newest")
+MAX_PREFIX = 64
 
 
 #: The default English stop words.
@@ -39,11 +44,11 @@ def normalize_paging(q: DataFrame) -> DataFrame:
 
 
 def plan_tokens(queries: DataFrame, stopwords: DataFrame | None = None, locale: str | None = None) -> DataFrame:
-    """query_id, query -> query_id, pos, token, n_tokens of the kept tokens (all, if every token is a stop word).
+    """query_id, query -> query_id, pos, token, n_tokens of the kept tokens (all, if every token is a stop word), and the query as typed (raw).
 
     stopwords: word, mode (add or remove), locale (null for all); a removal wins."""
-    q = queries.select("query_id", tokenize(F.col("query")).alias("tokens"))
-    t = q.select("query_id", F.posexplode("tokens").alias("pos", "token"))
+    q = queries.select("query_id", F.lower(F.trim("query")).alias("raw"), tokenize(F.col("query")).alias("tokens"))
+    t = q.select("query_id", "raw", F.posexplode("tokens").alias("pos", "token"))
     if stopwords is not None:
         scope = F.col("locale").isNull() if locale is None else F.col("locale").isNull() | (F.col("locale") == locale)
         words = stopwords.where(scope).groupBy(F.col("word").alias("token")).agg(F.bool_and(F.col("mode") == "add").alias("stop")).where("stop")
@@ -51,7 +56,7 @@ def plan_tokens(queries: DataFrame, stopwords: DataFrame | None = None, locale:
         kept = F.count_if(F.col("stop").isNull()).over(Window.partitionBy("query_id"))
         t = t.withColumn("_kept", kept).where("stop is null or _kept = 0")
     w = Window.partitionBy("query_id")
-    return t.select("query_id", (F.row_number().over(w.orderBy("pos")) - 1).alias("pos"), "token", F.count("*").over(w).alias("n_tokens"))
+    return t.select("query_id", (F.row_number().over(w.orderBy("pos")) - 1).alias("pos"), "token", F.count("*").over(w).alias("n_tokens"), "raw")
 
 
 def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_SYNONYMS) -> DataFrame:
@@ -106,30 +111,52 @@ def plan_queries(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame | No
     return out.select("query_id", F.coalesce("kept", F.lit("")).alias("kept"), F.coalesce("corrected", F.lit("")).alias("corrected"), F.coalesce("n_corrected", F.lit(0)).alias("n_corrected"), F.col("kept").isNull().alias("is_empty"))
 
 
-def match_redirects(queries: DataFrame, redirects: DataFrame, locale: str | None = None) -> DataFrame:
-    """query_id, destination: the rule of the exact normalised query; a rule of the locale beats a global one."""
+def match_redirects(queries: DataFrame, redirects: DataFrame, locale: str | None = None, hosts: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, destination: the rule of the exact normalised query; a rule of the locale beats a global one.
+
+    Rules whose destination is neither a safe path nor an https address on one of the hosts do not count."""
+    redirects = redirects.withColumn("destination", safe_url(F.col("destination"), list(hosts))).where("destination is not null")
     scope = F.col("locale").isNull() if locale is None else F.col("locale").isNull() | (F.col("locale") == locale)
     j = queries.select("query_id", normalize_query(F.col("query"), ascii_only=True).alias("query_normalized")).join(redirects.where(scope), "query_normalized")
     w = Window.partitionBy("query_id").orderBy(F.col("locale").isNull(), "destination")
     return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "destination")
 
 
-PREFIX_CHARS = 2
+def distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one query of each text in any case, query_id with the id ``of`` the query that stands for it).
+
+    Query logs repeat themselves; equal queries have equal pages, which are computed once."""
+    text = F.lower(F.trim(F.coalesce("query", F.lit(""))))
+    first = queries.groupBy(text.alias("_text")).agg(F.min("query_id").alias("of"), F.min("query").alias("query"))
+    return first.select(F.col("of").alias("query_id"), "query"), queries.select("query_id", text.alias("_text")).join(first.select("_text", "of"), "_text").drop("_text")
+
+
+def for_each_query(pages: DataFrame, same: DataFrame) -> DataFrame:
+    """The pages of distinct queries for every query that they stand for."""
+    return same.join(pages.withColumnRenamed("query_id", "of"), "of").drop("of").select(pages.columns)
+
+
+def starting_with(prefixes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct prefixes (prefix) and the texts (text) that start with them: an equi-join on the beginnings of each text."""
+    size = F.least(F.length("text"), F.lit(MAX_PREFIX))
+    heads = texts.select("text").distinct().where("text <> ''").select("text", F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.substring("text", F.lit(1), n))).alias("prefix"))
+    return prefixes.select("prefix").distinct().join(heads, "prefix")
 
 
 def match(tokens: DataFrame, postings: DataFrame, docs: DataFrame, level: str = "primary") -> DataFrame:
     """query_id, product_id with branch flags sku, exact, prefix, partial and the field score.
 
-    tokens: query_id, pos, token, n_tokens.  Terms meet tokens in an equi-join; the last token is
-    also a prefix, joined on its first characters and then filtered.  All tokens must be found
-    (primary) or any (partial)."""
+    tokens: query_id, pos, token, n_tokens and, for a SKU in the query as it was typed, raw.  Terms meet
+    tokens in an equi-join; the last token is also a prefix, of one character or more, that meets the
+    beginnings of all terms.  All tokens must be found (primary) or any (partial)."""
     terms = postings.groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
-    equal = tokens.join(terms, F.col("token") == F.col("term")).select("query_id", "product_id", "pos", "n_tokens", "weight", F.lit(True).alias("whole"))
-    last = tokens.where("pos = n_tokens - 1").withColumn("head", F.substring("token", 1, PREFIX_CHARS))
-    starts = last.join(terms.withColumn("head", F.substring("term", 1, PREFIX_CHARS)), "head").where("startswith(term, token) and term <> token")
-    starts = starts.select("query_id", "product_id", "pos", "n_tokens", F.lit(0.0).alias("weight"), F.lit(False).alias("whole"))
+    bit = F.expr("shiftleft(1L, pos)")
+    equal = tokens.join(terms, F.col("token") == F.col("term")).select("query_id", "product_id", bit.alias("bit"), "n_tokens", "weight", F.lit(True).alias("whole"))
+    last = tokens.where("pos = n_tokens - 1")
+    longer = starting_with(last.select(F.col("token").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix").select(F.col("prefix").alias("token"), F.col("text").alias("term"))
+    starts = last.join(longer, "token").join(terms, "term").select("query_id", "product_id", bit.alias("bit"), "n_tokens", F.lit(0.0).alias("weight"), F.lit(False).alias("whole"))
     hits = equal.unionByName(starts).groupBy("query_id", "product_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.size(F.collect_set("pos")).alias("found"), F.size(F.collect_set(F.when(F.col("whole"), F.col("pos")))).alias("whole"), F.sum("weight").alias("field_score")
+        F.max("n_tokens").alias("n_tokens"), F.bit_count(F.bit_or("bit")).alias("found"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("whole"), F.sum("weight").alias("field_score")
     )
     sku = docs.select("product_id", F.explode(F.split(F.lower("sku_text"), " ")).alias("token")).distinct()
     one = tokens.groupBy("query_id").agg(F.first("raw").alias("token")) if "raw" in tokens.columns else tokens.where("n_tokens = 1").select("query_id", "token")
@@ -155,7 +182,8 @@ def relevance(matched: DataFrame, docs: DataFrame) -> DataFrame:
         if name in matched.columns:
             kind = kind.when(F.col(name), name)
     kind = kind.otherwise("partial")
-    m = matched.join(docs.select("product_id", "title", "available", "price_min", "price_max"), "product_id").withColumn("match_class", kind)
+    own = ["product_id", "title", "available", "price_min", "price_max", *(c for c in ("created_at",) if c in docs.columns)]
+    m = matched.join(docs.select(own), "product_id").withColumn("match_class", kind)
     weight = F.lit(0.0)
     for k, v in CLASS_WEIGHT.items():
         weight = F.when(F.col("match_class") == k, v).otherwise(weight)
@@ -174,6 +202,20 @@ def search_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vo
     """search_batch with synonym and typo forms: class is the first true of sku, exact, prefix, synonym, fuzzy, partial.
 
     The field score counts the terms of the kept tokens, of all corrections and of all synonym forms."""
+    queries, same = distinct_queries(queries)
+    m = match_expanded(queries, docs, postings, vocab, synonyms, stopwords)
+    return for_each_query(rank_page(relevance(narrowest(m), docs), limit), same)
+
+
+def narrowest(m: DataFrame) -> DataFrame:
+    """Rows of each query's narrowest level with a hit."""
+    primary = F.col("sku") | F.col("exact") | F.col("prefix") | F.col("synonym") | F.col("fuzzy")
+    best = F.max(primary).over(Window.partitionBy("query_id"))
+    return m.withColumn("_best", best).where(~F.col("_best") | primary).withColumn("level", F.when(F.col("_best"), "primary").otherwise("partial")).drop("_best")
+
+
+def match_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vocab: DataFrame, synonyms: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
+    """query_id, product_id with flags sku, exact, prefix, synonym, fuzzy and the field score, at every level."""
     terms = postings.join(docs.select("product_id"), "product_id", "left_semi").groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
     tokens = plan_tokens(queries, stopwords)
     as_posting = terms.select("product_id", "term", "weight", F.lit(1).alias("n"))
@@ -187,10 +229,7 @@ def search_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vo
     m = rows.groupBy("query_id", "product_id").agg(*[F.bool_or(c).alias(c) for c in ("sku", "exact", "prefix", "synonym", "fuzzy")])
     wanted = tokens.select("query_id", "token").unionByName(syn.select("query_id", "token")).unionByName(tokens.join(fixes, "token").select("query_id", F.col("term").alias("token"))).distinct()
     field = wanted.join(terms, F.col("token") == F.col("term")).groupBy("query_id", "product_id").agg(F.sum("weight").alias("field_score"))
-    m = m.join(field, ["query_id", "product_id"], "left").na.fill({"field_score": 0.0})
-    primary = F.col("sku") | F.col("exact") | F.col("prefix") | F.col("synonym") | F.col("fuzzy")
-    m = m.withColumn("_best", F.max(primary).over(Window.partitionBy("query_id"))).where(~F.col("_best") | primary).drop("_best")
-    return rank_page(relevance(m, docs), limit)
+    return m.join(field, ["query_id", "product_id"], "left").na.fill({"field_score": 0.0})
 
 
 def explain_scores(scored: DataFrame) -> DataFrame:
@@ -229,9 +268,12 @@ def rank_with_merch(scored: DataFrame, plan: DataFrame, limit: int = 24) -> Data
 
 # ---- filters and facets
 
-GROUPS = ("vendor", "product_type", "tag", "available", "price")
+GROUPS = ("vendor", "product_type", "tag", "metafield", "available", "price")
 #: The groups with a list of wanted values and the request's column of each.
-LISTS = {"vendor": "vendor_any", "product_type": "type_any", "tag": "tags_any"}
+LISTS = {"vendor": "vendor_any", "product_type": "type_any", "tag": "tags_any", "metafield": "meta_any"}
+#: The metafield that is a facet.
+METAFIELD = "custom.size"
+LABELS = {"true": "In stock", "false": "Out of stock"}
 SALTS = 64
 
 
@@ -240,10 +282,23 @@ def _any(wanted: str, value: Column) -> Column:
     return (F.size(w) == 0) | F.arrays_overlap(w, value if wanted == "tags_any" else F.array(value))
 
 
+def with_metafield(docs: DataFrame) -> DataFrame:
+    """docs with the metafield that is a facet as a column; null where they have none."""
+    if "metafield" in docs.columns:
+        return docs
+    return docs.withColumn("metafield", F.element_at("metafields", METAFIELD) if "metafields" in docs.columns else F.lit(None).cast("string"))
+
+
+def _with_lists(requests: DataFrame) -> DataFrame:
+    """requests with all list columns."""
+    return requests.withColumns({c: F.array().cast("array<string>") for c in LISTS.values() if c not in requests.columns})
+
+
 def filter_flags(pairs: DataFrame) -> DataFrame:
     """pass_<group> for each (query, document) row: values within a group are alternatives."""
+    pairs = _with_lists(with_metafield(pairs))
     flags = {
-        "vendor": _any("vendor_any", F.col("vendor")), "product_type": _any("type_any", F.col("product_type")), "tag": _any("tags_any", F.col("tags")),
+        "vendor": _any("vendor_any", F.col("vendor")), "product_type": _any("type_any", F.col("product_type")), "tag": _any("tags_any", F.col("tags")), "metafield": _any("meta_any", F.col("metafield")),
         "available": F.col("want_available").isNull() | (F.col("want_available") == F.col("available")),
         "price": F.coalesce(F.col("price_max") >= F.col("price_lo"), F.col("price_lo").isNull()) & F.coalesce(F.col("price_min") <= F.col("price_hi"), F.col("price_hi").isNull()),
     }
@@ -260,7 +315,7 @@ def facet_filter(flagged: DataFrame, exclude: str | None = None) -> DataFrame:
 
 def _filters(requests: DataFrame, *extra: str) -> DataFrame:
     """Requests with no nulls in their lists and _filter, equal for equal filters (and equal extra columns)."""
-    r = requests.select("query_id", *extra, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in LISTS.values()], "want_available", "price_lo", "price_hi")
+    r = _with_lists(requests).select("query_id", *extra, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in LISTS.values()], "want_available", "price_lo", "price_hi")
     return r.withColumn("_filter", F.to_json(F.struct(*r.columns[1:])))
 
 
@@ -276,7 +331,7 @@ def _list_pairs(filters: DataFrame, docs: DataFrame) -> DataFrame:
     equi-join on the values of the group whose wanted values the fewest documents hold."""
     entry = lambda g, v: F.struct(F.lit(g).alias("_group"), v.alias("_value"))
     entries = lambda g, c: F.transform(F.array_distinct(c), lambda v: entry(g, v))
-    held = F.concat(F.array(entry("vendor", F.col("vendor")), entry("product_type", F.col("product_type"))), entries("tag", F.coalesce("tags", F.array().cast("array<string>"))))
+    held = F.concat(F.array(entry("vendor", F.col("vendor")), entry("product_type", F.col("product_type")), entry("metafield", F.col("metafield"))), entries("tag", F.coalesce("tags", F.array().cast("array<string>"))))
     held = docs.select("*", F.inline(held))
     wanted = filters.where(_HAS_LIST).select("*", F.inline(F.concat(*[entries(g, c) for g, c in LISTS.items()])))
     cost = wanted.join(held.groupBy("_group", "_value").agg(F.count("*").alias("_n")), ["_group", "_value"], "left").groupBy("_filter", "_group").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
@@ -288,7 +343,7 @@ def _list_pairs(filters: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _doc_columns(docs: DataFrame) -> DataFrame:
-    return docs.select("product_id", "vendor", "product_type", "tags", "available", "price_min", "price_max")
+    return with_metafield(docs).select("product_id", "vendor", "product_type", "tags", "metafield", "available", "price_min", "price_max")
 
 
 def _all_pairs(filters: DataFrame, docs: DataFrame) -> DataFrame:
@@ -305,31 +360,64 @@ def facet_matches(requests: DataFrame, docs: DataFrame) -> DataFrame:
     return f.select("query_id", "_filter").join(_all_pairs(f, docs).select("_filter", "product_id"), "_filter").select("query_id", "product_id")
 
 
-def facets(requests: DataFrame, docs: DataFrame, top: int = 50) -> DataFrame:
-    """query_id, kind, value, n, rank: each facet under the filters of the other groups.
-
-    A request is one filter for each kind, its own group's left out; equal filters are counted once.  Those
-    without a wanted list are answered from counts of documents by value, availability and prices."""
-    kinds = F.explode(F.array(*map(F.lit, GROUPS[:-1])))
-    r = requests.select("*", kinds.alias("kind"))
+def _by_kind(requests: DataFrame) -> DataFrame:
+    """A request for each kind of facet, without its own group's filter."""
+    r = _with_lists(requests).select("*", F.explode(F.array(*map(F.lit, GROUPS[:-1]))).alias("kind"))
     for g, c in LISTS.items():
         r = r.withColumn(c, F.when(F.col("kind") != g, F.col(c)))
-    f = _filters(r.withColumn("want_available", F.when(F.col("kind") != "available", F.col("want_available"))), "kind")
-    docs, one = _doc_columns(docs), _one_each(f)
+    return r.withColumn("want_available", F.when(F.col("kind") != "available", F.col("want_available")))
+
+
+def _of_kind() -> Column:
+    """The values of a document for its row's kind."""
     one_value = lambda c: F.filter(F.array(c), lambda v: v.isNotNull() & (v != ""))
-    values = {"vendor": one_value(F.col("vendor")), "product_type": one_value(F.col("product_type")), "tag": F.col("tags"), "available": one_value(F.col("available").cast("string"))}
-    of_kind = F.coalesce(*[F.when(F.col("kind") == g, v) for g, v in values.items()])
-    counted = _list_pairs(one, docs).select("_filter", "kind", F.explode(of_kind).alias("value")).groupBy("_filter", "kind", "value").agg(F.count("*").alias("n"))
-    cells = docs.select("*", kinds.alias("kind")).select("kind", "available", "price_min", "price_max", F.explode(of_kind).alias("value")).groupBy("kind", "value", "available", "price_min", "price_max").agg(F.count("*").alias("n"))
-    # four kinds are too few keys to deal by
+    values = {"vendor": one_value(F.col("vendor")), "product_type": one_value(F.col("product_type")), "tag": F.col("tags"), "metafield": one_value(F.col("metafield")), "available": one_value(F.col("available").cast("string"))}
+    return F.coalesce(*[F.when(F.col("kind") == g, v) for g, v in values.items()])
+
+
+def _ranked_facets(counted: DataFrame, key: str, top: int) -> DataFrame:
+    """The most frequent values of each kind; availability has true first."""
+    first = F.when((F.col("kind") == "available") & (F.col("value") == "true"), 0).otherwise(1)
+    w = Window.partitionBy(key, "kind").orderBy(first, F.desc("n"), "value")
+    return counted.where("n > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def facets(requests: DataFrame, docs: DataFrame, top: int = 50, matches: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """query_id, kind, value, label, n, rank: each facet under the filters of the other groups.
+
+    A request is one filter for each kind, its own group's left out.  Requests with a true ``scoped``
+    count the documents of their ``matches`` (query_id, product_id: those of their text or collection)
+    only.  The others browse: equal filters are counted once, and those without a wanted list are answered
+    from counts of documents by value, availability and prices.  ``hidden`` (query_id, product_id) documents
+    count for no request that hides them."""
+    docs = _doc_columns(docs)
+    r = _by_kind(requests)
+    scoped = F.coalesce("scoped", F.lit(False)) if "scoped" in requests.columns else F.lit(False)
+    f = _filters(r.where(~scoped), "kind")
+    one = _one_each(f)
+    value = _of_kind()
+    counted = _list_pairs(one, docs).select("_filter", "kind", F.explode(value).alias("value")).groupBy("_filter", "kind", "value").agg(F.count("*").alias("n"))
+    cells = docs.select("*", F.explode(F.array(*map(F.lit, GROUPS[:-1]))).alias("kind")).select("kind", "available", "price_min", "price_max", F.explode(value).alias("value")).groupBy("kind", "value", "available", "price_min", "price_max").agg(F.count("*").alias("n"))
+    # few kinds are too few keys to deal by
     cells = cells.withColumn("_salt", F.pmod(F.xxhash64("value", "price_min", "price_max"), F.lit(SALTS)))
     browse = one.where(f"not ({_HAS_LIST})").select("_filter", "kind", "want_available", "price_lo", "price_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     none = F.array().cast("array<string>")
-    met = browse.join(cells, ["kind", "_salt"]).select("*", *[none.alias(c) for c in LISTS.values()], F.lit("").alias("vendor"), F.lit("").alias("product_type"), none.alias("tags"))
+    met = browse.join(cells, ["kind", "_salt"]).select("*", *[none.alias(c) for c in LISTS.values()], *[F.lit("").alias(c) for c in ("vendor", "product_type", "metafield")], none.alias("tags"))
     browsed = facet_filter(filter_flags(met)).groupBy("_filter", "kind", "value").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("_filter", "kind").orderBy(F.desc("n"), "value")
-    ranked = counted.unionByName(browsed).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return f.select("query_id", "_filter").join(ranked, "_filter").select("query_id", "kind", "value", "n", "rank")
+    plain = counted.unionByName(browsed)
+    if matches is None and hidden is None:
+        out = f.select("query_id", "_filter").join(_ranked_facets(plain, "_filter", top), "_filter")
+    else:
+        of = lambda pairs, sign: facet_filter(filter_flags(pairs)).select("query_id", "kind", F.explode(value).alias("value")).groupBy("query_id", "kind", "value").agg((F.count("*") * sign).alias("n"))
+        rows = f.select("query_id", "_filter").join(plain, "_filter").select("query_id", "kind", "value", "n")
+        if matches is not None:
+            own = matches if hidden is None else hide_products(matches, hidden)
+            rows = rows.unionByName(of(r.where(scoped).join(own.select("query_id", "product_id"), "query_id").join(docs, "product_id"), 1))
+        if hidden is not None:
+            rows = rows.unionByName(of(r.where(~scoped).join(hidden.select("query_id", "product_id").distinct(), "query_id").join(docs, "product_id"), -1))
+        out = _ranked_facets(rows.groupBy("query_id", "kind", "value").agg(F.sum("n").alias("n")), "query_id", top)
+    label = F.when(F.col("kind") == "available", F.when(F.col("value") == "true", LABELS["true"]).otherwise(LABELS["false"])).otherwise(F.col("value"))
+    return out.select("query_id", "kind", "value", label.alias("label"), "n", "rank")
 
 
 def price_range_facet(requests: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,7 +436,7 @@ def browse_facets(facet_values: DataFrame, top: int = 50) -> DataFrame:
 def can_browse(q: DataFrame) -> DataFrame:
     """The queries that precomputed facets answer exactly."""
     empty = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) == 0
-    return q.where((F.coalesce(F.trim("query"), F.lit("")) == "") & empty("vendor_any") & empty("type_any") & empty("tags_any") & F.col("want_available").isNull() & F.col("price_lo").isNull() & F.col("price_hi").isNull())
+    return q.where((F.coalesce(F.trim("query"), F.lit("")) == "") & empty("vendor_any") & empty("type_any") & empty("tags_any") & (empty("meta_any") if "meta_any" in q.columns else F.lit(True)) & F.col("want_available").isNull() & F.col("price_lo").isNull() & F.col("price_hi").isNull())
 
 
 def normalize_filters(q: DataFrame) -> DataFrame:
@@ -356,7 +444,7 @@ def normalize_filters(q: DataFrame) -> DataFrame:
     clean = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.trim(F.regexp_replace(v, r"[\x00-\x1f\x7f]", " "))), lambda v: v != "")
     out = q
     ok = F.lit(True)
-    for c in ("vendor_any", "type_any", "tags_any"):
+    for c in [c for c in LISTS.values() if c in q.columns]:
         out = out.withColumn(c, clean(c))
         ok = ok & (F.size(c) <= 50) & F.forall(c, lambda v: F.length(v) <= 100)
     for c in ("price_lo", "price_hi"):
@@ -374,7 +462,8 @@ def merge_filters(explicit: DataFrame, parsed: DataFrame) -> DataFrame:
     j = explicit.alias("e").join(parsed.alias("p"), "query_id", "left")
     union = lambda c: F.array_union(F.coalesce(f"e.{c}", F.array().cast("array<string>")), F.coalesce(f"p.{c}", F.array().cast("array<string>"))).alias(c)
     scalar = lambda c: F.coalesce(f"e.{c}", f"p.{c}").alias(c)
-    return j.select("query_id", *map(union, ("vendor_any", "type_any", "tags_any")), *map(scalar, ("want_available", "price_lo", "price_hi")))
+    lists = [c for c in LISTS.values() if c in explicit.columns and c in parsed.columns]
+    return j.select("query_id", *map(union, lists), *map(scalar, ("want_available", "price_lo", "price_hi")))
 
 
 def hide_products(rows: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -395,18 +484,26 @@ def in_collection(docs: DataFrame, memberships: DataFrame, collections: DataFram
 def suggest(prefixes: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, text, type, rank: texts that start with the prefix (any case), one for each lower-cased text."""
     kind = F.when(F.col("type") == "title", 0).when(F.col("type") == "productType", 1).when(F.col("type") == "vendor", 2).otherwise(3)
-    t = terms.select("type", "text", F.lower("text").alias("low"), kind.alias("kind")).withColumn("head", F.substring("low", 1, 1))
-    q = prefixes.select("query_id", F.lower(F.trim("query")).alias("prefix")).where("prefix <> ''").withColumn("head", F.substring("prefix", 1, 1))
-    j = q.join(t, "head").where("startswith(low, prefix)").groupBy("query_id", "low").agg(F.min(F.struct("kind", "text", "type")).alias("b"))
-    w = Window.partitionBy("query_id").orderBy("b.kind", F.length("b.text"), "b.text")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "b.text", "b.type", "rank")
+    t = terms.select("type", "text", F.lower("text").alias("low"), kind.alias("kind"))
+    q = prefixes.select("query_id", F.lower(F.trim("query")).alias("prefix")).where("prefix <> ''")
+    texts = t.groupBy("low").agg(F.min(F.struct("kind", "text", "type")).alias("b"))
+    found = starting_with(q.select(F.substring("prefix", 1, MAX_PREFIX).alias("prefix")), texts.select(F.col("low").alias("text"))).select(F.col("prefix").alias("head"), F.col("text").alias("low"))
+    whole = q.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, MAX_PREFIX)).join(found, "head").where("startswith(low, prefix)").join(texts, "low")
+    w = Window.partitionBy("prefix").orderBy("b.kind", F.length("b.text"), "b.text")
+    best = whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return q.join(best, "prefix").select("query_id", "b.text", "b.type", "rank")
 
 
 def search_batch(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, limit: int = 24) -> DataFrame:
-    """The flagship: rewrite, match, narrowest level, rank, for all queries at once."""
-    tokens = plan_tokens(queries, stopwords)
-    matched = resolve_level(match(tokens, postings.join(docs.select("product_id"), "product_id", "left_semi"), docs, level="partial"))
-    return rank_page(relevance(matched, docs), limit)
+    """Text search for all queries at once: rewrite, match, narrowest level, rank."""
+    queries, same = distinct_queries(queries)
+    return for_each_query(rank_page(relevance(matched_level(queries, docs, postings, stopwords), docs), limit), same)
+
+
+def matched_level(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
+    """The documents of each query's narrowest level."""
+    visible = postings.join(docs.select("product_id"), "product_id", "left_semi")
+    return resolve_level(match(plan_tokens(queries, stopwords), visible, docs, level="partial"))
 
 
 def strategy_label(page: DataFrame, queries: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -415,3 +512,116 @@ def strategy_label(page: DataFrame, queries: DataFrame, tokens: DataFrame) -> Da
     has = tokens.select("query_id").distinct().withColumn("has", F.lit(True))
     j = queries.select("query_id").join(first, "query_id", "left").join(has, "query_id", "left")
     return j.select("query_id", F.when(F.col("has").isNull(), "browse").otherwise(F.coalesce("first", F.lit("none"))).alias("strategy"))
+
+
+# ---- the whole request
+
+
+def storefront(
+    requests: DataFrame, docs: DataFrame, postings: DataFrame, vocab: DataFrame, suggest_terms: DataFrame, phrases: DataFrame, synonyms: DataFrame, redirects: DataFrame,
+    stopwords: DataFrame | None = None, memberships: DataFrame | None = None, plan: DataFrame | None = None, combined_mode: str = "show_all", locale: str | None = None, hosts: tuple[str, ...] = (), limit: int = 24, top: int = 50,
+) -> dict[str, DataFrame]:
+    """Answers of whole search requests: ``requests``, ``products``, ``facets`` and ``suggestions``.
+
+    requests: query_id, query and any of vendor_any, type_any, tags_any, meta_any, want_available, price_lo, price_hi,
+    collection_gid, sort.  A redirect ends a request.  Otherwise its text is read for intent, whose filters and sort join
+    the explicit ones (which win), and the rest is searched; where that finds nothing but the plain text under the explicit
+    filters does, the plain search counts (fell_back).  Matching, the narrowest level, ranking, totals and facets
+    all see the filters, the collection, hidden products (plan: query_id, product_id, action, position, delta) and the mode of
+    combined listings.  Requests without products get suggestions.
+
+    Both searches of a request are two rows of one table (``_alt`` 0 and 1), so that every step runs once."""
+    shown = combined_hide(docs, combined_mode)
+    if shown is not docs:  # what is hidden is not suggested either
+        suggest_terms = suggest_terms_of(shown)
+    docs = with_metafield(shown)
+    have = set(requests.columns)
+    kinds = {"want_available": "boolean", "price_lo": "double", "price_hi": "double", "sort": "string", "collection_gid": "string"}
+    q = _with_lists(requests).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in have})
+    q = q.select("query_id", F.trim(F.coalesce("query", F.lit(""))).alias("query"), *LISTS.values(), *kinds)
+    gone = match_redirects(q, redirects, locale, hosts)
+    q = q.join(gone.select("query_id"), "query_id", "left_anti")
+    texts, same = distinct_queries(q)
+    intent = for_each_query(stored(extract_intent(texts, phrases), "intent"), same)
+    applied = (
+        (F.size("vendor_any") + F.size("type_any") + F.size("tags_any") + F.size("meta_any") + F.size("negations") > 0)
+        | F.coalesce("price_lo", "price_hi").isNotNull() | F.col("want_available").isNotNull() | F.col("sort").isNotNull()
+    )
+    intent = intent.where(applied)
+    parsed = merge_filters(q.join(intent.select("query_id"), "query_id", "left_semi"), intent)
+    scope = q.select("query_id", "collection_gid", F.col("sort").alias("own_sort"))
+    merged = parsed.join(intent.select("query_id", F.col("remaining").alias("text"), F.col("sort").alias("found_sort"), "negations"), "query_id").join(scope, "query_id")
+    first = merged.select("query_id", F.lit(0).alias("_alt"), "text", *LISTS.values(), "want_available", "price_lo", "price_hi", "collection_gid", F.coalesce("own_sort", "found_sort").alias("sort"), "negations", F.lit(True).alias("applied"))
+    plain = q.join(intent.select("query_id", F.lit(True).alias("has")), "query_id", "left")
+    plain = plain.select("query_id", F.when(F.col("has"), 1).otherwise(0).alias("_alt"), F.col("query").alias("text"), *LISTS.values(), "want_available", "price_lo", "price_hi", "collection_gid", "sort", F.array().cast("array<string>").alias("negations"), F.coalesce("has", F.lit(False)).alias("applied"))
+    asked = first.unionByName(plain).withColumnRenamed("query_id", "request_id").withColumn("query_id", F.concat_ws("/", F.col("request_id").cast("string"), "_alt"))
+    asked = stored(asked.withColumn("sort", F.when(F.col("sort").isin(*SORTS), F.col("sort")).otherwise("relevance")), "asked")
+
+    hidden = None if plan is None else asked.select("query_id", "request_id").join(plan.where("action = 'hide'").select(F.col("query_id").alias("request_id"), "product_id"), "request_id").select("query_id", "product_id")
+    tokens = asked.select("query_id", F.size(tokenize(F.col("text"))).alias("n"))
+    has_text = tokens.where("n > 0").select("query_id")
+    texts, same = distinct_queries(asked.join(has_text, "query_id", "left_semi").select("query_id", F.col("text").alias("query")))
+    found = for_each_query(stored(match_expanded(texts, docs, postings, vocab, synonyms, stopwords), "found"), same)
+    flags = ["sku", "exact", "prefix", "synonym", "fuzzy"]
+    scoped_docs = None if memberships is None else asked.where("collection_gid is not null").select("query_id", "collection_gid").join(memberships, "collection_gid").select("query_id", "product_id").distinct()
+    if scoped_docs is not None:
+        free = asked.where("collection_gid is null").select("query_id")
+        found = found.join(free, "query_id", "left_semi").unionByName(found.join(scoped_docs, ["query_id", "product_id"], "left_semi"))
+    filters = asked.select("query_id", *LISTS.values(), "want_available", "price_lo", "price_hi")
+    own = _doc_columns(docs)
+    hits = facet_filter(filter_flags(found.join(filters, "query_id").join(own, "product_id"))).select("query_id", "product_id", *flags, "field_score")
+    if hidden is not None:
+        hits = hide_products(hits, hidden)
+    hits = stored(narrowest(hits), "hits")
+    browse = asked.join(has_text, "query_id", "left_anti").select(filters.columns + ["collection_gid"])
+    open_ = browse if scoped_docs is None else browse.where("collection_gid is null")
+    seen = facet_matches(open_, docs)
+    if scoped_docs is not None:
+        inside = browse.where("collection_gid is not null").join(scoped_docs, "query_id").join(own, "product_id")
+        seen = seen.unionByName(facet_filter(filter_flags(inside)).select("query_id", "product_id"))
+    if hidden is not None:
+        seen = hide_products(seen, hidden)
+    seen = seen.select("query_id", "product_id", *[F.lit(False).alias(c) for c in flags], F.lit(0.0).alias("field_score"), F.lit("browse").alias("level"))
+    scored = relevance(hits.unionByName(seen), docs)
+    scored = scored.withColumn("match_class", F.when(F.col("level") == "browse", "browse").otherwise(F.col("match_class"))).withColumn("score", F.when(F.col("level") == "browse", F.when(F.col("available"), STOCK_BOOST).otherwise(0.0)).otherwise(F.col("score")))
+    scored = stored(scored, "scored")
+    totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
+    chosen = asked.join(totals, "query_id", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    by_request = Window.partitionBy("request_id")
+    pick = F.max(F.when((F.col("_alt") == 1) & (F.col("total") > 0), 1)).over(by_request)
+    empty = F.max(F.when(F.col("_alt") == 0, F.col("total"))).over(by_request) == 0
+    chosen = chosen.withColumn("_use", F.when(empty, F.coalesce(pick, F.lit(0))).otherwise(0)).where("_alt = _use").withColumn("fell_back", F.col("_use") == 1)
+    chosen = stored(chosen.drop("_use"), "chosen")
+
+    ranked = scored.join(chosen.select("query_id", "request_id", "sort"), "query_id")
+    if plan is not None:
+        ranked = ranked.join(plan.where("action <> 'hide'").select(F.col("query_id").alias("request_id"), "product_id", "action", F.col("position").alias("pin"), "delta"), ["request_id", "product_id"], "left")
+    else:
+        ranked = ranked.withColumns({"action": F.lit(None).cast("string"), "pin": F.lit(None).cast("int"), "delta": F.lit(None).cast("long")})
+    weight = F.coalesce(*[F.when(F.col("match_class") == k, v) for k, v in CLASS_WEIGHT.items()], F.lit(0.0))
+    by = lambda name, c: F.when(F.col("sort") == name, c)
+    created = F.col("created_at").cast("double") if "created_at" in ranked.columns else F.lit(None).cast("double")
+    order = [
+        F.when(F.col("action") == "pin", F.col("pin")).asc_nulls_last(), by("price_asc", F.col("price_min").cast("double")).asc_nulls_last(), by("price_desc", F.col("price_max").cast("double")).desc_nulls_last(), by("newest", created).desc_nulls_last(),
+        by("relevance", weight).desc_nulls_last(), by("relevance", F.col("score") + F.coalesce("delta", F.lit(0))).desc_nulls_last(), by("relevance", F.col("title")).asc_nulls_last(), F.col("product_id").asc(),
+    ]
+    page = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).where(F.col("rank") <= limit)
+    page = page.select(F.col("request_id").alias("query_id"), "product_id", "title", "match_class", "score", "rank")
+
+    scoped = chosen.join(has_text.withColumn("_text", F.lit(True)), "query_id", "left").withColumn("scoped", F.coalesce("_text", F.lit(False)) | F.col("collection_gid").isNotNull())
+    # a facet leaves its own filter out: it counts the level that the request's products have
+    text_level = hits.select("query_id", "level").distinct()
+    levelled = found.join(text_level, "query_id").where("level = 'partial' or sku or exact or prefix or synonym or fuzzy").select("query_id", "product_id")
+    if scoped_docs is not None:
+        levelled = levelled.unionByName(scoped_docs.join(has_text, "query_id", "left_anti"))
+    counts = facets(scoped.select("query_id", "scoped", *LISTS.values(), "want_available", "price_lo", "price_hi"), docs, top, matches=levelled, hidden=hidden)
+    counts = counts.join(chosen.select("query_id", "request_id"), "query_id").drop("query_id").withColumnRenamed("request_id", "query_id")
+
+    fixes = plan_queries(chosen.select("query_id", F.col("text").alias("query")), vocab, stopwords).where("n_corrected > 0").select("query_id", "corrected")
+    strategy = page.where("rank = 1").select("query_id", F.when(F.col("match_class") == "sku", "exact_sku").otherwise(F.col("match_class")).alias("strategy"))
+    out = chosen.join(fixes, "query_id", "left").drop("query_id").withColumnRenamed("request_id", "query_id").join(strategy, "query_id", "left")
+    out = out.select("query_id", F.lit(None).cast("string").alias("redirect"), F.coalesce("strategy", F.lit("none")).alias("strategy"), "total", "applied", "fell_back", F.col("text").alias("searched"), "sort", "negations", F.when(F.col("total") > 0, F.col("corrected")).alias("corrected_query"), *LISTS.values(), "want_available", "price_lo", "price_hi")
+    away = gone.select("query_id", F.col("destination").alias("redirect"), F.lit("none").alias("strategy"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("applied"), F.lit(False).alias("fell_back"))
+    out = out.unionByName(away, allowMissingColumns=True)
+    lost = out.where("total = 0 and redirect is null and searched <> ''").select("query_id", F.col("searched").alias("query"))
+    return {"requests": out, "products": page, "facets": counts, "suggestions": suggest(lost, suggest_terms)}

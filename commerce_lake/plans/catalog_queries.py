@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem_terms
@@ -19,7 +19,7 @@ _P, _V, _M = B.SQL["product"], B.SQL["variant"], B.SQL["membership"]
 _VA = "va AS (SELECT product_id, string_agg(sku, ' ' ORDER BY position, variant_gid) AS sku_text, string_agg(title, ' ' ORDER BY position, variant_gid) AS variant_titles, min(price) AS price_min, max(price) AS price_max, bool_or(available_for_sale) AS available, count(*) AS variant_count FROM variant GROUP BY 1)"
 _CA = "ca AS (SELECT product_id, list_sort(list(DISTINCT n_name)) AS collections FROM membership JOIN nation ON collection_gid = 'c' || n_nationkey GROUP BY 1)"
 DOC_SQL = f"""WITH {_P}, {_V}, {_M}, {_VA}, {_CA},
-doc AS (SELECT p.product_id, p.gid, p.handle, p.title, p.vendor, p.product_type, p.tags, coalesce(collections, []) AS collections, status, published, coalesce(available, false) AS available, price_min, price_max, sku_text, variant_titles, p_size, combined_role, p.p_partkey,
+doc AS (SELECT p.product_id, p.gid, p.handle, p.title, p.vendor, p.product_type, p.tags, coalesce(collections, []) AS collections, status, published, coalesce(available, false) AS available, price_min, price_max, sku_text, variant_titles, p_size, combined_role, p.p_partkey, description,
  trim(concat_ws(' ', p.title, vendor, product_type, sku_text, array_to_string(p.tags, ' '), variant_titles, array_to_string(coalesce(collections, []), ' '))) AS search_text
  FROM product p LEFT JOIN va USING (product_id) LEFT JOIN ca USING (product_id)),
 vis AS (SELECT * FROM doc WHERE published AND status = 'ACTIVE')"""
@@ -65,7 +65,7 @@ def visible(spark, sf_dir):
 
 
 _TERMS = f"""{DOC_SQL}, f AS (SELECT product_id, 1.0::DOUBLE AS weight, title AS x FROM doc UNION ALL SELECT product_id, 0.4, concat_ws(' ', vendor, product_type, sku_text) FROM doc
- UNION ALL SELECT product_id, 0.2, concat_ws(' ', array_to_string(tags, ' '), variant_titles, array_to_string(collections, ' ')) FROM doc),
+ UNION ALL SELECT product_id, 0.2, concat_ws(' ', array_to_string(tags, ' '), variant_titles, array_to_string(collections, ' ')) FROM doc UNION ALL SELECT product_id, 0.1, description FROM doc),
 term AS (SELECT product_id, t AS term, weight, count(*) AS n FROM (SELECT product_id, weight, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+')) AS t FROM f) GROUP BY ALL)"""
 
 
@@ -274,18 +274,31 @@ def gid_type(spark, sf_dir):
     return p.select("url", C.gid_type(F.concat(F.lit("gid://store/"), "lang", F.lit("/"), "page_id")).alias("type"))
 
 
-@query(f"{DOC_SQL}{_NEW} SELECT product_id, vendor FROM nv")
+def _dated(spark, sf_dir):
+    """Products with the day of their last change, of which some were renamed and some deleted since the build."""
+    p, k = B.products(spark, sf_dir), F.col("product_id").cast("long")
+    day = F.expr("timestamp '2024-01-01' + make_dt_interval(cast(cast(product_id as long) % 31 as int))")
+    return p.withColumn("updated_at", day).withColumn("title", F.concat(F.lit("new "), "title")).withColumn("deleted_at", F.when(k % 11 == 0, day))
+
+
+@query(f"{DOC_SQL} SELECT product_id, CASE WHEN p_partkey % 31 >= 18 THEN 'new ' ELSE '' END || title AS title FROM doc WHERE NOT (p_partkey % 31 >= 18 AND p_partkey % 11 = 0)")
 def catch_up(spark, sf_dir):
-    """At activation: products changed since the build's snapshot are projected again, deleted ones go."""
-    v, old, new = _changed(spark, sf_dir)
-    return D.refresh_docs(v, old.select("product_id"), new).select("product_id", "vendor")
+    """At activation: products changed since the build's snapshot (less a day) are projected again, deleted ones go."""
+    v, m, c = B.variants(spark, sf_dir), B.memberships(spark, sf_dir), B.collections(spark, sf_dir)
+    built = stored(docs(spark, sf_dir), "build")
+    rebuild = lambda p: D.build_search_docs(p.drop("updated_at"), v, m, c).select(built.columns)
+    return D.catch_up(built, _dated(spark, sf_dir), rebuild, datetime(2024, 1, 20), timedelta(days=1)).select("product_id", "title")
 
 
-@query(f"{DOC_SQL} SELECT product_id FROM vis WHERE combined_role = 'PARENT'")
+@query(f"""{DOC_SQL}, ch AS (SELECT p_partkey - 1 AS pk, product_id FROM product WHERE combined_role = 'CHILD' AND status = 'ACTIVE' AND published), nv AS (SELECT pk, available_for_sale, price + 100 AS price FROM ch JOIN variant USING (product_id)),
+pa AS (SELECT pk, coalesce(min(price) FILTER (WHERE available_for_sale), min(price)) AS lo, coalesce(max(price) FILTER (WHERE available_for_sale), max(price)) AS hi FROM nv GROUP BY 1), n AS (SELECT pk, count(DISTINCT product_id) AS n FROM ch GROUP BY 1)
+SELECT product_id, coalesce(n, 0) AS child_count, lo AS child_price_min, hi AS child_price_max FROM doc LEFT JOIN n ON n.pk = p_partkey LEFT JOIN pa ON pa.pk = p_partkey WHERE combined_role = 'PARENT'""")
 def refresh_parents(spark, sf_dir):
-    v = vis(spark, sf_dir)
-    parents = v.where("combined_role = 'PARENT'").select("product_id")
-    return D.refresh_docs(v, parents, v).join(parents, "product_id", "left_semi").select("product_id")
+    """Children become dearer by 100; their parents' documents, and no others, are projected again."""
+    p, v, k = B.products(spark, sf_dir), B.variants(spark, sf_dir), F.col("product_id").cast("long")
+    dearer = v.withColumn("price", (F.col("price") + F.when(k % 50 == 2, 100).otherwise(0)).cast("decimal(12,2)"))
+    out = D.refresh_parents(stored(docs(spark, sf_dir), "build"), p, dearer, B.memberships(spark, sf_dir), B.collections(spark, sf_dir), p.where("combined_role = 'CHILD'"))
+    return out.where("combined_role = 'PARENT'").select("product_id", "child_count", "child_price_min", "child_price_max")
 
 
 @query(f"WITH {_P} SELECT count(*) FILTER (WHERE combined_role IS NOT NULL AND p_partkey % 3 = 0) AS stale FROM product")
@@ -295,10 +308,41 @@ def count_stale_roles(spark, sf_dir):
     return D.count_stale_roles(d, p)
 
 
-@query("SELECT * FROM (VALUES (1, 'superseded'), (2, 'active'), (3, 'failed')) t(version, status)")
+_VER = """ve AS (SELECT o_custkey AS tenant_id, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders),
+vs AS (SELECT tenant_id, version, r, CASE WHEN r = 1 AND version % 3 = 0 THEN 'building' WHEN r = 1 OR r = 3 THEN 'validated' WHEN r = 2 THEN 'active' ELSE 'superseded' END AS status FROM ve)"""
+
+
+def _versions(spark, sf_dir):
+    """A customer's orders as the versions of a tenant: the newest is built or being built, the one before is active."""
+    r = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("version")))
+    v = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("version")).withColumn("r", r)
+    return v.withColumn("status", F.when((F.col("r") == 1) & (F.col("version") % 3 == 0), "building").when(F.col("r").isin(1, 3), "validated").when(F.col("r") == 2, "active").otherwise("superseded"))
+
+
+@query(f"""WITH {_VER}, ok AS (SELECT tenant_id FROM vs WHERE r = 1 AND status = 'validated')
+SELECT tenant_id, version, CASE WHEN r = 1 AND status = 'validated' THEN 'active' WHEN status = 'active' AND tenant_id IN (FROM ok) THEN 'superseded' WHEN status = 'building' THEN 'failed' ELSE status END AS status FROM vs""")
 def publish_version(spark, sf_dir):
-    """Versions of the documents of three regions: the second is validated and published, the third unfinished."""
-    r = B.table(spark, sf_dir, "region").where("r_regionkey between 1 and 3")
-    status = F.element_at(F.array(*map(F.lit, ("active", "validated", "building"))), F.col("r_regionkey"))
-    v = r.select(F.lit("t").alias("tenant_id"), F.col("r_regionkey").alias("version"), status.alias("status"))
-    return D.recover_incomplete(D.publish_version(v, "t", 2), v.select("tenant_id", F.col("version").alias("index_version")))[0].select("version", "status")
+    """Each tenant's newest version is published if it is validated; unfinished ones fail."""
+    v = _versions(spark, sf_dir)
+    out = D.publish_versions(v.drop("r"), v.where("r = 1").select("tenant_id", "version"))
+    return D.recover_incomplete(out, v.select("tenant_id", F.col("version").alias("index_version")))[0].select("tenant_id", "version", "status")
+
+
+@query(f"WITH {_VER} SELECT tenant_id, version, status FROM vs UNION ALL SELECT c_custkey, coalesce(max(version), 0) + 1, 'building' FROM customer LEFT JOIN vs ON tenant_id = c_custkey WHERE c_custkey % 7 <> 0 GROUP BY 1")
+def reindex_all(spark, sf_dir):
+    t = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), F.when(F.col("c_custkey") % 7 == 0, F.lit(NOW)).alias("uninstalled_at"))
+    return D.reindex_all(_versions(spark, sf_dir).drop("r"), t)
+
+
+@query(f"{DOC_SQL}{_NEW} SELECT type, text, count(*) AS n FROM (SELECT 'title' AS type, title AS text FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'new ' || title ELSE title END AS title FROM nv) UNION ALL SELECT 'vendor', vendor FROM nv UNION ALL SELECT 'productType', product_type FROM nv UNION ALL SELECT 'collection', unnest(collections) FROM nv) WHERE text <> '' GROUP BY ALL")
+def apply_delta_suggest_terms(spark, sf_dir):
+    v, old, new = _changed(spark, sf_dir)
+    return D.apply_delta(D.suggest_terms(v), D.suggest_terms(old), D.suggest_terms(new), ["type", "text"])
+
+
+@query(f"{DOC_SQL} SELECT min(price_min) AS price_min, max(price_max) AS price_max, count(*) AS n FROM vis WHERE p_partkey % 13 <> 0")
+def read_summary_effective(spark, sf_dir):
+    """The stored summary after deletions that may have held an extreme: read from the documents where it is dirty."""
+    v = stored_vis(spark, sf_dir)
+    gone = v.where("cast(product_id as long) % 13 = 0")
+    return D.effective_summary(D.apply_summary_delta(D.facet_summary(v), gone, gone.limit(0)), v.where("cast(product_id as long) % 13 <> 0"))

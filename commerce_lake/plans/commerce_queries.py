@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy as P
+from ..operators import analytics as A
 from ..operators import bundles as BU
 from ..operators import restock as RS
 from ..sources import bridge as B
 from ..sources import events_in as I
+from ..sources.store import shared_root
 from .catalog_queries import DOC_SQL, vis
 from .registry import query
 
@@ -68,10 +71,10 @@ def bundle_totals(spark, sf_dir):
     return BU.bundle_totals(_bundles(spark, sf_dir), _resolved(spark, sf_dir))
 
 
-@query(f"{_RES}, p AS (SELECT DISTINCT bundle_id, product_id FROM rp WHERE product_id IS NOT NULL AND pk % 5 = 1) SELECT product_id, bundle_id, rank FROM (SELECT product_id, bundle_id, row_number() OVER (PARTITION BY product_id ORDER BY position, created_at DESC, bundle_id)::INTEGER AS rank FROM p JOIN bu USING (bundle_id)) WHERE rank <= 20")
+@query(f"{_RES}, p AS (SELECT DISTINCT bundle_id, product_id FROM rp WHERE product_id IS NOT NULL) SELECT product_id, bundle_id, rank FROM (SELECT product_id, bundle_id, row_number() OVER (PARTITION BY product_id ORDER BY position, created_at DESC, bundle_id)::INTEGER AS rank FROM p JOIN bu USING (bundle_id)) WHERE rank <= 20")
 def bundles_for_products(spark, sf_dir):
     v = vis(spark, sf_dir)
-    return BU.bundles_for_products(v.where("cast(product_id as long) % 5 = 1").select("product_id"), _bundles(spark, sf_dir), _slots(spark, sf_dir), v)
+    return BU.bundles_for_products(v.select("product_id"), _bundles(spark, sf_dir), _slots(spark, sf_dir), v)
 
 
 @query("""WITH s AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS sub, o_orderkey % 3 AS k, o_orderkey % 40 AS v FROM orders) SELECT o_orderkey, greatest(least(CASE k WHEN 0 THEN (sub * v + 50) // 100 WHEN 1 THEN v * 1000 ELSE sub - v * 100000 END, sub), 0)::BIGINT AS discount FROM s""")
@@ -191,12 +194,18 @@ def status_counts(spark, sf_dir):
     return RS.status_counts(_subs(spark, sf_dir))
 
 
-@query(None)
+@query(f"""{DOC_SQL}, {_SUB}, r AS (SELECT user_id % 7 AS tenant_id, event_id AS seq, 'h' || user_id AS email_hash, lpad(json_extract_string(props, '$.k'), 9, '0') AS product_id, ts::DATE AS day, CASE WHEN event_id % 10 = 0 OR event_id % 11 = 0 THEN 'invalid' WHEN 'h' || user_id IN ('h0', 'h4', 'h8') THEN 'suppressed' END AS b FROM events),
+o AS (SELECT r.*, coalesce(b, CASE WHEN v.product_id IS NULL OR v.p_partkey % 2 = 0 THEN 'not_subscribable' END) AS base, (email_hash, r.product_id) IN (SELECT (email_hash, product_id) FROM su) AS have FROM r LEFT JOIN vis v USING (product_id)),
+w AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, email_hash, day, base IS NULL ORDER BY seq) AS e, row_number() OVER (PARTITION BY tenant_id, day, base IS NULL ORDER BY seq) AS t, row_number() OVER (PARTITION BY tenant_id, email_hash, product_id, base IS NULL ORDER BY seq) AS d FROM o)
+SELECT tenant_id, seq, CASE WHEN base IS NOT NULL THEN base WHEN e > 2 OR t > 20 THEN 'rate_limited' WHEN have OR d > 1 THEN 'duplicate' ELSE 'created' END AS outcome FROM w""")
 def capture_subscriptions(spark, sf_dir):
     e = B.table(spark, sf_dir, "events")
-    r = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("h"), F.col("user_id")).alias("email_hash"), F.lpad(F.get_json_object("props", "$.k"), 9, "0").alias("product_id"), F.lit("").alias("variant_key"), (F.col("event_id") % 10 != 0).alias("consent"), (F.col("event_id") % 11 != 0).alias("valid_email"), F.to_date("ts").alias("day"))
+    r = e.select(
+        (F.col("user_id") % 7).alias("tenant_id"), F.col("event_id").alias("seq"), F.concat(F.lit("h"), F.col("user_id")).alias("email_hash"), F.lpad(F.get_json_object("props", "$.k"), 9, "0").alias("product_id"), F.lit("").alias("variant_key"),
+        (F.col("event_id") % 10 != 0).alias("consent"), (F.col("event_id") % 11 != 0).alias("valid_email"), F.to_date("ts").alias("day"),
+    )
     docs = vis(spark, sf_dir).select("product_id", (F.col("product_id").cast("long") % 2 == 0).alias("available"))
-    return RS.capture_subscriptions(r, docs, _suppressed(spark), _subs(spark, sf_dir).select("email_hash", "product_id", "variant_key").distinct(), per_email=2)
+    return RS.capture_subscriptions(r, docs, _suppressed(spark), _subs(spark, sf_dir).select("email_hash", "product_id", "variant_key").distinct(), per_email=2, per_tenant=20)
 
 
 # ---- intake and privacy
@@ -273,16 +282,21 @@ def email_columns(spark, sf_dir):
     return B.table(spark, sf_dir, "customer").select("c_custkey", e.alias("email")).select("c_custkey", "email", P.mask_email(F.col("email")).alias("masked"), P.hash_email(F.col("email"), F.lit("pep"), F.lit("t1")).alias("hash"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') AND NOT contains(url, '@') AND regexp_extract(url, '^https://([^/?#]+)', 1) LIKE 'm.%' THEN url END AS destination FROM pages")
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN '/p/' || page_id END WHEN regexp_matches(url, '^https://[^\s\\\\@]+$') AND lower(regexp_extract(url, '^https://([^/?#:]+)', 1)) IN ('a.com', 'm.example', 'm.com') THEN url END AS destination FROM pages""")
 def safe_urls(spark, sf_dir):
-    p = B.table(spark, sf_dir, "pages")
-    host = F.parse_url("url", F.lit("HOST"))
-    return p.select("page_id", F.when(F.lower(host).startswith("m.") & F.col("url").rlike(r"^https://[^\s\\@]+$"), F.col("url")).alias("destination"))
+    """Addresses of pages, and paths of which every second leads elsewhere."""
+    k = F.col("page_id")
+    url = F.when(k % 3 == 0, F.concat(F.when(k % 2 == 0, "/p/").otherwise("//p/"), k)).otherwise(F.col("url"))
+    return B.table(spark, sf_dir, "pages").select("page_id", P.safe_url(url, ["a.com", "m.example", "m.com"]).alias("destination"))
 
 
-@query("SELECT DISTINCT strftime(ts, '%Y_%m') AS event_month FROM events")
+@query("SELECT strftime(ts, '%Y_%m') AS event_month, count(*) AS n FROM events GROUP BY 1")
 def month_partitions(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy_MM").alias("event_month")).distinct()
+    """The event store: written by month, and read back with its partitions."""
+    path = f"{shared_root(spark)}/events-{uuid.uuid4().hex}"
+    e = B.events(spark, sf_dir)
+    I.write_month_partitions(e.withColumn("event_month", A.month_of(F.col("occurred_at"))), path)
+    return spark.read.parquet(path).groupBy(F.col("event_month").cast("string").alias("event_month")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_SUB} SELECT subscription_id, CASE WHEN k % 10 = 0 THEN 'unsubscribed' ELSE status END AS status FROM su")

@@ -14,7 +14,7 @@ from .registry import query
 @query(None)
 def extract_intent(spark, sf_dir):
     k = F.col("p_partkey")
-    cues = ("under 50 dollars", "between 1,000 and 2,000", "in stock", "cheapest", "up to 5 people", "from 1999", "around 10", "without")
+    cues = ("up to 50", "under 50 dollars", "between 1,000 and 2,000", "in stock", "cheapest", "up to 5 people", "from 1999", "around 10", "without")
     cue = F.element_at(F.array(*map(F.lit, cues)), (k % len(cues) + 1).cast("int"))
     q = B.table(spark, sf_dir, "part").select(k.alias("query_id"), F.concat_ws(" ", cue, "p_name", F.lower("p_type")).alias("query"))
     return N.extract_intent(q, N.phrase_table(D.facet_values(vis(spark, sf_dir))))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigram_similarity as tsim
 from ..operators import merchandising as M
 from ..operators import recommend as R
 from ..sources import bridge as B
+from ..sources.store import stored
 from .catalog_queries import DOC_SQL, stored_vis, vis
 from .registry import query
 
@@ -23,12 +25,13 @@ def _tg(c):
 
 
 def _seeds(spark, sf_dir):
-    return vis(spark, sf_dir).where("cast(product_id as long) % 101 = 1").select(F.col("product_id").alias("seed_id"), F.col("product_id").alias("seed_product"))
+    """Searches ask for every visible product whose number is divisible by 100."""
+    return vis(spark, sf_dir).where("cast(product_id as long) % 100 = 0").select(F.col("product_id").alias("seed_id"), F.col("product_id").alias("seed_product"))
 
 
 def _sim_sql(w):
     return f"""{DOC_SQL}, tr AS (SELECT product_id, p_partkey, title, vendor, product_type, collections, list_distinct(tags) AS tags, price_min::DOUBLE AS price, available, {_tg('title')} AS tg FROM vis),
-sd AS (SELECT * FROM tr WHERE p_partkey % 101 = 1), j AS (SELECT s.product_id AS seed_id, t.product_id, t.title, t.vendor, least(len(list_intersect(t.collections, s.collections)), {w['collections'][1]}) * {w['collections'][0]}::DOUBLE AS sc, (t.product_type = s.product_type)::INT * {w['type']}::DOUBLE AS sy, (t.vendor = s.vendor)::INT * {w['vendor']}::DOUBLE AS sv,
+sd AS (SELECT * FROM tr WHERE p_partkey % 100 = 0), j AS (SELECT s.product_id AS seed_id, t.product_id, t.title, t.vendor, least(len(list_intersect(t.collections, s.collections)), {w['collections'][1]}) * {w['collections'][0]}::DOUBLE AS sc, (t.product_type = s.product_type)::INT * {w['type']}::DOUBLE AS sy, (t.vendor = s.vendor)::INT * {w['vendor']}::DOUBLE AS sv,
  least(len(list_intersect(t.tags, s.tags)), {w['tags'][1]}) * {w['tags'][0]}::DOUBLE AS st, coalesce(greatest(1 - least(abs(s.price - t.price) / greatest(s.price, 1), 1), 0), 0) * {w['price']}::DOUBLE AS sp, (len(list_intersect(t.tg, s.tg)) / (len(t.tg) + len(s.tg) - len(list_intersect(t.tg, s.tg)))) * {w['title']}::DOUBLE AS sl FROM sd s, tr t WHERE s.product_id <> t.product_id),
 g AS (SELECT seed_id, product_id, title, vendor, round(sc + sy + sv + st + sp + sl, 9) AS score FROM j WHERE sc + sy + sv + st > 0 OR sl >= 0.3 * {w['title']}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, title, product_id)::INTEGER AS rank FROM g)"""
@@ -49,7 +52,7 @@ def diversify(spark, sf_dir):
     return R.diversify(R.similar(_seeds(spark, sf_dir), stored_vis(spark, sf_dir)), 2).select("seed_id", "product_id", "vendor", "rank")
 
 
-@query(f"{_sim_sql(R.SIMILAR)} SELECT s.product_id AS seed_id, t.product_id FROM sd s, tr t WHERE s.product_type = t.product_type OR s.vendor = t.vendor OR list_has_any(s.tags, t.tags) OR list_has_any(s.collections, t.collections) OR list_has_any(s.tg, t.tg)")
+@query(f"{_sim_sql(R.SIMILAR)} SELECT s.product_id AS seed_id, t.product_id FROM sd s, tr t WHERE s.product_type = t.product_type OR s.vendor = t.vendor OR list_has_any(s.tags, t.tags) OR list_has_any(s.collections, t.collections) OR len(list_intersect(s.tg, t.tg)) / len(list_distinct(list_concat(s.tg, t.tg))) >= 0.3")
 def candidates(spark, sf_dir):
     return R.candidates(_seeds(spark, sf_dir), stored_vis(spark, sf_dir))
 
@@ -61,12 +64,22 @@ def trigram_similarity(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("a"), "p_name", "p_retailprice").join(b, "a").select("a", F.round(tsim(F.col("p_name"), F.col("other")), 9).alias("sim"), F.round(R.price_proximity(F.col("p_retailprice"), F.col("price_b")), 9).alias("price"))
 
 
-_SIG = f"{DOC_SQL}, {_E}, sig AS (SELECT product_id, occurred_at::DATE AS day, count(*) FILTER (WHERE event_type = 'search_performed') AS views, count(*) FILTER (WHERE event_type = 'result_click') AS clicks FROM event JOIN vis USING (product_id) WHERE event_type IN ('search_performed', 'result_click') GROUP BY ALL)"
+_SIG = f"""{DOC_SQL}, bc AS (SELECT CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'click' END AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id, ts FROM events),
+sig AS (SELECT product_id, ts::DATE AS day, count(*) FILTER (WHERE kind = 'view') AS views, count(*) FILTER (WHERE kind = 'click') AS clicks FROM bc JOIN vis ON p_partkey = k WHERE kind IS NOT NULL AND event_id % 5 <> 4 GROUP BY ALL)"""
+
+
+def _signals(spark, sf_dir, v):
+    """Beacons with refs of every kind: gid in odd case, handle, and junk."""
+    e = B.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("p_partkey"))
+    p = B.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey")).alias("handle"))
+    n = F.col("event_id") % 5
+    ref = F.when(n < 2, F.concat(F.lit(" GID://store/Product/"), "p_partkey")).when(n < 4, F.upper("handle")).otherwise("no such thing!")
+    return R.record_signals(e.join(p, "p_partkey", "left").select(ref.alias("ref"), F.col("event_type").alias("kind"), F.col("ts").alias("occurred_at")), v)
 
 
 @query(f"{_SIG} SELECT * FROM sig")
 def record_signals(spark, sf_dir):
-    return R.record_signals(B.events(spark, sf_dir), vis(spark, sf_dir))
+    return _signals(spark, sf_dir, stored_vis(spark, sf_dir))
 
 
 _TREND = f"{_SIG}, ts AS (SELECT product_id, round(sum((views + 3 * clicks) * pow(0.5, (DATE '2024-01-31' - day) / 7)), 9) AS score FROM sig WHERE DATE '2024-01-31' - day BETWEEN 0 AND 56 GROUP BY 1), tt AS (SELECT product_id, title, score FROM ts JOIN vis USING (product_id) WHERE score > 0 ORDER BY score DESC, title, product_id LIMIT {{k}})"
@@ -75,7 +88,7 @@ _TREND = f"{_SIG}, ts AS (SELECT product_id, round(sum((views + 3 * clicks) * po
 @query(f"{_TREND.format(k=24)} SELECT * FROM tt")
 def trending(spark, sf_dir):
     v = stored_vis(spark, sf_dir)
-    return R.trending(R.record_signals(B.events(spark, sf_dir), v), v, NOW)
+    return R.trending(_signals(spark, sf_dir, v), v, NOW)
 
 
 def _dated(spark, sf_dir):
@@ -86,7 +99,7 @@ def _dated(spark, sf_dir):
 @query(f"{_TREND.format(k=5)}, cr AS (SELECT product_id, min(created_at) AS created_at FROM variant GROUP BY 1), nw AS (SELECT product_id, title, created_at FROM vis LEFT JOIN cr USING (product_id) WHERE product_id NOT IN (SELECT product_id FROM tt) ORDER BY created_at DESC NULLS LAST, title, product_id LIMIT 12), al AS (SELECT product_id, title, 0 AS part, score, NULL::TIMESTAMP AS created_at FROM tt UNION ALL SELECT product_id, title, 1, NULL, created_at FROM nw) SELECT product_id, title, part, rank FROM (SELECT *, row_number() OVER (ORDER BY part, score DESC NULLS LAST, created_at DESC NULLS LAST, title, product_id)::INTEGER AS rank FROM al) WHERE rank <= 12")
 def newest_top_up(spark, sf_dir):
     v = stored_vis(spark, sf_dir)
-    return R.top_up(R.trending(R.record_signals(B.events(spark, sf_dir), v), v, NOW, k=5), _dated(spark, sf_dir), 12)
+    return R.top_up(R.trending(_signals(spark, sf_dir, v), v, NOW, k=5), _dated(spark, sf_dir), 12)
 
 
 _CO = f"{DOC_SQL}, bk AS (SELECT DISTINCT l_orderkey AS b, product_id AS p FROM lineitem JOIN vis ON p_partkey = l_partkey), sb AS (SELECT * FROM bk WHERE b IN (SELECT b FROM bk GROUP BY 1 HAVING count(*) <= 50)), co AS (SELECT x.p AS a, y.p AS b, count(*) AS n FROM sb x JOIN sb y ON x.b = y.b AND x.p <= y.p GROUP BY ALL)"
@@ -105,7 +118,7 @@ def frequently_bought(spark, sf_dir):
     return R.frequently_bought(v.select(F.col("product_id").alias("seed_product")), R.build_cooccurrence(b, v), R.basket_count(b, v), v, least_confidence=0.02)
 
 
-@query("SELECT count(*) AS baskets FROM (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 10 <> 0 AND p_partkey % 20 <> 0 GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 50)")
+@query("SELECT count(*) AS baskets FROM (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 10 <> 0 AND p_partkey % 20 <> 3 GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 50)")
 def baskets_from(spark, sf_dir):
     return R.basket_count(B.baskets(spark, sf_dir), vis(spark, sf_dir))
 
@@ -125,10 +138,20 @@ def resolve_refs(spark, sf_dir):
 
 @query(None)
 def recommend(spark, sf_dir):
+    """A request of each type for each seed; the two products before the seed were viewed."""
     v, b = stored_vis(spark, sf_dir), B.baskets(spark, sf_dir)
-    seeds = _seeds(spark, sf_dir)
-    fbt = R.frequently_bought(seeds, R.build_cooccurrence(b, v), R.basket_count(b, v), v, least_confidence=0.05)
-    return R.recommend(seeds.select(F.col("seed_id").alias("request_id"), "seed_product"), fbt, R.similar(seeds, v, weights=R.RELATED))
+    seeds = stored(_seeds(spark, sf_dir), "seeds")
+    by_seed = lambda df: df.select(F.col("seed_id").alias("seed_product"), "product_id", "rank")
+    top = R.trending(_signals(spark, sf_dir, v), v, NOW)
+    shelves = {
+        "similar": by_seed(R.similar(seeds, v)), "related": by_seed(R.similar(seeds, v, weights=R.RELATED)),
+        "trending": top.select("product_id", F.row_number().over(Window.orderBy(F.desc("score"), "title", "product_id")).alias("rank")),
+        "fbt": R.frequently_bought(seeds, R.build_cooccurrence(b, v), R.basket_count(b, v), v, k=24, least_confidence=0.05),
+    }
+    before = lambda n: F.lpad((F.col("seed_product").cast("long") - n).cast("string"), 9, "0")
+    requests = seeds.select("seed_product", F.array(before(1), before(2)).alias("recent"), F.explode(F.array(*map(F.lit, (*R.TYPES, "other")))).alias("type"))
+    hidden = v.where("cast(product_id as long) % 40 = 7").select("product_id")
+    return R.recommend(requests.select(F.concat_ws("/", "type", "seed_product").alias("request_id"), "type", "seed_product", "recent"), shelves, hidden)
 
 
 @query(f"""{DOC_SQL}, {_E}, ck AS (SELECT session_id, unnest(list_concat(['type:' || product_type, 'vendor:' || vendor], list_transform(tags[1:10], lambda t: 'tag:' || t))) AS key, floor((DATE '2024-03-05' - occurred_at::DATE) / 30)::INT AS age FROM event JOIN vis USING (product_id) WHERE event_type = 'result_click'),
@@ -198,7 +221,8 @@ def active_banners(spark, sf_dir):
     return M.active_banners(_asks(spark, sf_dir), _rules(spark, sf_dir), NOW)
 
 
-@query(None)
+@query("""WITH h AS (SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('t1:e1:' || c_custkey, ''), lambda x: ascii(x)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS h FROM customer)
+SELECT c_custkey, CASE WHEN h % 100 < 50 THEN 'B' ELSE 'A' END AS variant FROM h""")
 def assign_variant(spark, sf_dir):
     c = B.table(spark, sf_dir, "customer")
     return c.select("c_custkey", M.assign_variant(F.lit("t1"), F.lit("e1"), F.col("c_custkey").cast("string"), F.lit(50)).alias("variant"))

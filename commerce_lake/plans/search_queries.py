@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import intent as N
 from ..operators import search as S
 from ..sources import bridge as B
+from ..sources.store import stored
 from .catalog_queries import _TERMS, DOC_SQL, FACET_SQL, SUGGEST_SQL, VOCAB_SQL, stored_vis, vis
 from .registry import query
 
-_QL = """ql AS (SELECT p_partkey AS query_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 3) WHEN 2 THEN 'the ' || p_name WHEN 3 THEN 'zzqq ' || string_split(p_name, ' ')[1]
- ELSE left(p_name, 1) || substr(p_name, 3) END AS query FROM part WHERE p_partkey % 11 = 0)"""
+_QL = """ql AS (SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 3) WHEN 2 THEN 'the ' || p_name WHEN 3 THEN 'zzqq ' || string_split(p_name, ' ')[1]
+ WHEN 4 THEN ' SKU-' || p_partkey || '-' || (p_partkey % 10) WHEN 5 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 1) ELSE left(p_name, 1) || substr(p_name, 3) END AS query FROM part)"""
 
 
 def query_log(spark, sf_dir) -> DataFrame:
-    p = B.table(spark, sf_dir, "part").where("p_partkey % 11 = 0")
+    """A query for each part: names, prefixes of two lengths, stop words, misses, SKUs and misspellings."""
+    p = B.table(spark, sf_dir, "part")
     w = F.split("p_name", " ")
-    k = F.col("p_partkey") % 5
-    text = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 3))).when(k == 2, F.concat(F.lit("the "), "p_name")).when(k == 3, F.concat(F.lit("zzqq "), w[0]))
-    return p.select(F.col("p_partkey").alias("query_id"), text.otherwise(F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"))).alias("query"))
+    k = F.col("p_partkey")
+    kinds = {
+        0: F.col("p_name"), 1: F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 3)), 2: F.concat(F.lit("the "), "p_name"), 3: F.concat(F.lit("zzqq "), w[0]),
+        4: F.concat(F.lit(" SKU-"), k, F.lit("-"), k % 10), 5: F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 1)), 6: F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)")),
+    }
+    return p.select(k.alias("query_id"), F.coalesce(*[F.when(k % 7 == n, text) for n, text in kinds.items()]).alias("query"))
 
 
 def stopwords(spark) -> DataFrame:
@@ -35,13 +41,13 @@ tok AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY p) -
 
 @query(f"WITH {_TOK} SELECT * FROM tok")
 def remove_stopwords(spark, sf_dir):
-    return S.plan_tokens(query_log(spark, sf_dir), stopwords(spark))
+    return S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)).drop("raw")
 
 
-@query("""WITH t AS (SELECT doc_id, text FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')), '[^\\p{L}\\p{N} ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM t WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(None)
 def normalize_query(spark, sf_dir):
-    d = B.table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", T.normalize_query(F.col("text")).alias("norm"))
+    """Every text; NFKC has no SQL, tests compare it with plain Python."""
+    return B.table(spark, sf_dir, "documents").select("doc_id", T.normalize_query(F.col("text")).alias("norm"))
 
 
 @query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:24], ' ') AS tokens FROM documents WHERE text IS NOT NULL")
@@ -101,10 +107,10 @@ def damerau_levenshtein(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("a"), "p_name").join(b, "a").select("a", "b", T.damerau_distance(F.col("p_name"), F.col("other")).alias("distance"))
 
 
-@query(f"""WITH {_QL}, r(q, destination, locale) AS (VALUES ('hot plate', '/a', NULL), ('hot plate', '/b', 'fr'), ('red widget', '/c', NULL)), n AS (SELECT query_id, trim(regexp_replace(lower(query), '[^a-z0-9 ]', ' ', 'g')) AS q FROM ql)
+@query(f"""WITH {_QL}, r(q, destination, locale) AS (VALUES ('hot plate', '/a', NULL), ('hot plate', '/b', 'fr'), ('red widget', '/c', NULL), ('blue ring', '/ok', NULL)), n AS (SELECT query_id, trim(regexp_replace(lower(query), '[^a-z0-9 ]', ' ', 'g')) AS q FROM ql)
 SELECT query_id, destination FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY locale IS NULL, destination) AS k FROM n JOIN r USING (q)) WHERE k = 1""")
 def match_redirects(spark, sf_dir):
-    r = spark.createDataFrame([("hot plate", "/a", None), ("hot plate", "/b", "fr"), ("red widget", "/c", None)], "query_normalized string, destination string, locale string")
+    r = spark.createDataFrame([("hot plate", "/a", None), ("hot plate", "/b", "fr"), ("red widget", "/c", None), ("blue ring", "//evil.example", "fr"), ("blue ring", "/ok", None)], "query_normalized string, destination string, locale string")
     return S.match_redirects(query_log(spark, sf_dir), r, "fr")
 
 
@@ -115,11 +121,21 @@ def resolve_locale(spark, sf_dir):
 
 
 _SEARCH = f"""{_TERMS}, {_TOK}, tm AS (SELECT product_id, term, sum(weight * n) AS weight FROM term JOIN vis USING (product_id) GROUP BY ALL),
-hit AS (SELECT query_id, product_id, pos, n_tokens, weight, true AS whole FROM tok JOIN tm ON token = term UNION ALL SELECT query_id, product_id, pos, n_tokens, 0, false FROM tok JOIN tm ON pos = n_tokens - 1 AND starts_with(term, token) AND term <> token AND left(term, 2) = left(token, 2)),
+hit AS (SELECT query_id, product_id, pos, n_tokens, weight, true AS whole FROM tok JOIN tm ON token = term UNION ALL SELECT query_id, product_id, pos, n_tokens, 0, false FROM tok JOIN tm ON pos = n_tokens - 1 AND starts_with(term, token) AND term <> token),
 mt AS (SELECT query_id, product_id, max(n_tokens) AS n_tokens, count(DISTINCT pos) AS found, count(DISTINCT pos) FILTER (WHERE whole) AS whole, sum(weight) AS field_score FROM hit GROUP BY ALL),
-lv AS (SELECT *, found = n_tokens AS full_, max(found = n_tokens) OVER (PARTITION BY query_id) AS best FROM mt),
-sc AS (SELECT query_id, product_id, title, price_min, CASE WHEN whole = n_tokens THEN 'exact' WHEN full_ THEN 'prefix' ELSE 'partial' END AS match_class,
- round(CASE WHEN whole = n_tokens THEN 500 WHEN full_ THEN 400 ELSE 100 END + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score, CASE WHEN best THEN 'primary' ELSE 'partial' END AS level FROM lv JOIN vis USING (product_id) WHERE NOT best OR full_)"""
+sk AS (SELECT query_id, product_id FROM ql JOIN (SELECT product_id, unnest(string_split(lower(sku_text), ' ')) AS sku FROM vis) ON sku = lower(trim(query))),
+al0 AS (SELECT query_id, product_id, sk.query_id IS NOT NULL AS is_sku, coalesce(whole = n_tokens, false) AS is_exact, coalesce(found = n_tokens, false) AS is_full, coalesce(field_score, 0) AS field_score FROM mt FULL JOIN sk USING (query_id, product_id)),
+lv AS (SELECT *, max(is_sku OR is_full) OVER (PARTITION BY query_id) AS best FROM al0),
+sc AS (SELECT query_id, product_id, title, price_min, available, CASE WHEN is_sku THEN 'sku' WHEN is_exact THEN 'exact' WHEN is_full THEN 'prefix' ELSE 'partial' END AS match_class,
+ round(CASE WHEN is_sku THEN 600 WHEN is_exact THEN 500 WHEN is_full THEN 400 ELSE 100 END + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score, CASE WHEN best THEN 'primary' ELSE 'partial' END AS level FROM lv JOIN vis USING (product_id) WHERE NOT best OR is_full OR is_sku)"""
+_CW = "CASE match_class WHEN 'sku' THEN 600 WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END"
+
+
+def _scored(spark, sf_dir):
+    """(scored documents of distinct queries, the queries that these stand for)."""
+    v = stored_vis(spark, sf_dir)
+    q, same = S.distinct_queries(query_log(spark, sf_dir))
+    return S.relevance(S.matched_level(q, v, D.analyze_terms(v), stopwords(spark)), v), same
 
 
 def _page(spark, sf_dir):
@@ -134,23 +150,21 @@ def search_batch(spark, sf_dir):
 
 @query(f"{_SEARCH} SELECT query_id, product_id, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price_min NULLS LAST, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE rank > 5 AND rank <= 15")
 def rank_page_price(spark, sf_dir):
-    v = stored_vis(spark, sf_dir)
-    m = S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial"))
-    return S.rank_page(S.relevance(m, v), 10, 5, "price_asc").select("query_id", "product_id", "rank", "total")
+    scored, same = _scored(spark, sf_dir)
+    return S.for_each_query(S.rank_page(scored, 10, 5, "price_asc"), same).select("query_id", "product_id", "rank", "total")
 
 
-@query(f"{_SEARCH}, fst AS (SELECT query_id, match_class AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id) AS rank FROM sc) WHERE rank = 1) SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM tok) THEN 'browse' ELSE coalesce(c, 'none') END AS strategy FROM ql LEFT JOIN fst USING (query_id)")
+@query(f"{_SEARCH}, fst AS (SELECT query_id, match_class AS c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id) AS rank FROM sc) WHERE rank = 1) SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM tok) THEN 'browse' ELSE coalesce(CASE c WHEN 'sku' THEN 'exact_sku' ELSE c END, 'none') END AS strategy FROM ql LEFT JOIN fst USING (query_id)")
 def strategy_label(spark, sf_dir):
     q = query_log(spark, sf_dir)
     return S.strategy_label(_page(spark, sf_dir), q, S.plan_tokens(q, stopwords(spark)))
 
 
-@query(f"{DOC_SQL}, s AS (SELECT product_id, unnest(string_split(lower(sku_text), ' ')) AS sku FROM vis) SELECT p_partkey AS query_id, s.product_id FROM part JOIN s ON s.sku = 'sku-' || p_partkey || '-' || (p_partkey % 10) WHERE p_partkey % 3 = 0")
+@query(f"{DOC_SQL}, s AS (SELECT product_id, unnest(string_split(lower(sku_text), ' ')) AS sku FROM vis) SELECT p_partkey AS query_id, s.product_id FROM part JOIN s ON s.sku = 'sku-' || p_partkey || '-' || (p_partkey % 10)")
 def sku_hit(spark, sf_dir):
-    q = B.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws("-", F.lit("sku"), "p_partkey", F.col("p_partkey") % 10).alias("raw"))
-    tokens = S.plan_tokens(q.withColumnRenamed("raw", "query")).join(q, "query_id")
+    q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws("-", F.lit("SKU"), "p_partkey", F.col("p_partkey") % 10).alias("query"))
     v = stored_vis(spark, sf_dir)
-    return S.match(tokens, D.analyze_terms(v), v).where("sku").select("query_id", "product_id")
+    return S.match(S.plan_tokens(q), D.analyze_terms(v), v).where("sku").select("query_id", "product_id")
 
 
 _FZ_TAIL = _FUZZY.split(", o AS (", 1)[1]
@@ -158,12 +172,12 @@ _EXPANDED = f"""{_SEARCH}, {_SYN}, vocab AS (SELECT term, count(*) AS doc_freq,
 st AS (SELECT query_id, n, unnest(list_distinct(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM syn), ty AS (SELECT DISTINCT query_id, coalesce(term, tok.token) AS token FROM tok LEFT JOIN (SELECT * FROM fz WHERE rank = 1) f ON f.token = tok.token WHERE query_id IN (SELECT query_id FROM tok JOIN fz USING (token))),
 sa AS (SELECT DISTINCT query_id, product_id FROM (SELECT query_id, n, product_id, count(DISTINCT token) AS c FROM st JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, n, count(*) AS k FROM st GROUP BY ALL) USING (query_id, n) WHERE c = k),
 ta AS (SELECT query_id, product_id FROM (SELECT query_id, product_id, count(DISTINCT token) AS c FROM ty JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, count(*) AS k FROM ty GROUP BY ALL) USING (query_id) WHERE c = k),
-al AS (SELECT query_id, product_id, whole = n_tokens AS ex, full_ AND whole < n_tokens AS pf, false AS sy, false AS fy FROM lv UNION ALL SELECT query_id, product_id, false, false, true, false FROM sa UNION ALL SELECT query_id, product_id, false, false, false, true FROM ta),
-ag AS (SELECT query_id, product_id, bool_or(ex) AS ex, bool_or(pf) AS pf, bool_or(sy) AS sy, bool_or(fy) AS fy FROM al GROUP BY ALL),
+al AS (SELECT query_id, product_id, is_sku AS ks, is_exact AS ex, is_full AND NOT is_exact AS pf, false AS sy, false AS fy FROM lv UNION ALL SELECT query_id, product_id, false, false, false, true, false FROM sa UNION ALL SELECT query_id, product_id, false, false, false, false, true FROM ta),
+ag AS (SELECT query_id, product_id, bool_or(ks) AS ks, bool_or(ex) AS ex, bool_or(pf) AS pf, bool_or(sy) AS sy, bool_or(fy) AS fy FROM al GROUP BY ALL),
 wt AS (SELECT query_id, token FROM tok UNION SELECT query_id, token FROM st UNION SELECT query_id, term FROM tok JOIN fz USING (token) WHERE rank <= 5), fs AS (SELECT query_id, product_id, sum(weight) AS field_score FROM wt JOIN tm ON token = term GROUP BY ALL),
-lb AS (SELECT *, max(ex OR pf OR sy OR fy) OVER (PARTITION BY query_id) AS best_ FROM ag),
-sd AS (SELECT query_id, product_id, title, CASE WHEN ex THEN 'exact' WHEN pf THEN 'prefix' WHEN sy THEN 'synonym' WHEN fy THEN 'fuzzy' ELSE 'partial' END AS match_class, CASE WHEN ex THEN 500 WHEN pf THEN 400 WHEN sy THEN 300 WHEN fy THEN 200 ELSE 100 END AS cw, coalesce(field_score, 0) AS field_score, available
- FROM lb LEFT JOIN fs USING (query_id, product_id) JOIN vis USING (product_id) WHERE NOT best_ OR ex OR pf OR sy OR fy)"""
+lb AS (SELECT *, max(ks OR ex OR pf OR sy OR fy) OVER (PARTITION BY query_id) AS best_ FROM ag),
+sd AS (SELECT query_id, product_id, title, CASE WHEN ks THEN 'sku' WHEN ex THEN 'exact' WHEN pf THEN 'prefix' WHEN sy THEN 'synonym' WHEN fy THEN 'fuzzy' ELSE 'partial' END AS match_class, CASE WHEN ks THEN 600 WHEN ex THEN 500 WHEN pf THEN 400 WHEN sy THEN 300 WHEN fy THEN 200 ELSE 100 END AS cw, coalesce(field_score, 0) AS field_score, available
+ FROM lb LEFT JOIN fs USING (query_id, product_id) JOIN vis USING (product_id) WHERE NOT best_ OR ks OR ex OR pf OR sy OR fy)"""
 
 
 @query(f"{_EXPANDED} SELECT query_id, product_id, match_class, score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT *, round(cw + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score FROM sd)) WHERE rank <= 24")
@@ -172,11 +186,9 @@ def search_expanded(spark, sf_dir):
     return S.search_expanded(query_log(spark, sf_dir), v, D.analyze_terms(v), D.vocabulary(v), _rules(spark), stopwords(spark)).select("query_id", "product_id", "match_class", "score", "rank", "total")
 
 
-@query(f"{_SEARCH} SELECT query_id, product_id, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END::DOUBLE AS class_weight, CASE WHEN available THEN 10 ELSE 0 END::DOUBLE AS stock_part, score FROM (SELECT sc.*, available FROM sc JOIN vis USING (product_id))")
+@query(f"{_SEARCH} SELECT query_id, product_id, {_CW}::DOUBLE AS class_weight, CASE WHEN available THEN 10 ELSE 0 END::DOUBLE AS stock_part, round(score - {_CW} - CASE WHEN available THEN 10 ELSE 0 END, 6)::DOUBLE AS field_part, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id) AS rank FROM sc) WHERE rank <= 24")
 def explain_scores(spark, sf_dir):
-    v = stored_vis(spark, sf_dir)
-    m = S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial"))
-    return S.explain_scores(S.relevance(m, v)).drop("field_part")
+    return S.explain_scores(_page(spark, sf_dir)).withColumn("field_part", F.round("field_part", 6))
 
 
 @query(None)
@@ -187,15 +199,14 @@ def predictive(spark, sf_dir):
 
 @query(f"""{_SEARCH}, mp AS (SELECT query_id, product_id, (['hide', 'pin', 'boost', 'demote'])[product_id::BIGINT % 4 + 1] AS action, product_id::BIGINT % 5 AS position, product_id::BIGINT % 90 AS w FROM sc WHERE product_id::BIGINT % 3 = 0),
 jn AS (SELECT sc.*, action, CASE WHEN action = 'pin' THEN position END AS pos, CASE action WHEN 'boost' THEN w WHEN 'demote' THEN -w ELSE 0 END AS delta FROM sc LEFT JOIN mp USING (query_id, product_id) WHERE action IS NULL OR action <> 'hide')
-SELECT query_id, product_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, CASE match_class WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END DESC, score + delta DESC, title, product_id)::INTEGER AS rank FROM jn) WHERE rank <= 24""")
+SELECT query_id, product_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, {_CW} DESC, score + delta DESC, title, product_id)::INTEGER AS rank FROM jn) WHERE rank <= 24""")
 def rank_with_merch(spark, sf_dir):
-    v = stored_vis(spark, sf_dir)
-    scored = S.relevance(S.resolve_level(S.match(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.analyze_terms(v), v, "partial")), v)
+    scored, same = _scored(spark, sf_dir)
     k = F.col("product_id").cast("long")
     action = F.element_at(F.array(*map(F.lit, ("hide", "pin", "boost", "demote"))), (k % 4 + 1).cast("int"))
     delta = F.when(action == "boost", k % 90).when(action == "demote", -(k % 90)).otherwise(0)
     plan = scored.where(k % 3 == 0).select("query_id", "product_id", action.alias("action"), (k % 5).alias("position"), delta.alias("delta"))
-    return S.rank_with_merch(scored, plan).select("query_id", "product_id", "rank")
+    return S.for_each_query(S.rank_with_merch(scored, plan), same).select("query_id", "product_id", "rank")
 
 
 @query("SELECT doc_id, regexp_full_match(lang || '-' || upper(lang), '[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*') AS locale_ok, len(source) = 3 AND regexp_full_match(source, '[A-Za-z]{3}') AS currency_ok FROM documents")
@@ -208,34 +219,56 @@ def validate_locale(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    s = B.table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0")
+    s = B.table(spark, sf_dir, "supplier")
     arr = lambda c: F.array(c)
     k = F.col("s_suppkey")
     none = F.array().cast("array<string>")
     return s.select(
-        k.alias("query_id"), F.lit("").alias("query"), F.when(k % 3 == 0, F.array(F.concat(F.lit("Brand#"), k % 25), F.lit("Brand#7"))).otherwise(none).alias("vendor_any"), F.when(k % 4 == 0, arr(F.lit("ECONOMY"))).otherwise(none).alias("type_any"),
+        F.when(k % 7 == 3, F.array((k % 50).cast("string"), F.lit("7"))).otherwise(none).alias("meta_any"), k.alias("query_id"), F.lit("").alias("query"), F.when(k % 3 == 0, F.array(F.concat(F.lit("Brand#"), k % 25), F.lit("Brand#7"))).otherwise(none).alias("vendor_any"), F.when(k % 4 == 0, arr(F.lit("ECONOMY"))).otherwise(none).alias("type_any"),
         F.when(k % 5 == 0, F.array(F.lit("red"), F.lit("size-7"))).otherwise(none).alias("tags_any"), F.when(k % 8 == 2, F.lit(True)).alias("want_available"), F.when(k % 6 == 0, 900.5 + k % 7).alias("price_lo"), F.when(k % 10 == 4, F.lit(905.0)).alias("price_hi"),
     )
 
 
-_REQ = """rq AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 3 = 0 THEN ['Brand#' || (s_suppkey % 25), 'Brand#7'] ELSE [] END AS vendor_any, CASE WHEN s_suppkey % 4 = 0 THEN ['ECONOMY'] ELSE [] END AS type_any, CASE WHEN s_suppkey % 5 = 0 THEN ['red', 'size-7'] ELSE [] END AS tags_any,
- CASE WHEN s_suppkey % 8 = 2 THEN true END AS want_available, CASE WHEN s_suppkey % 6 = 0 THEN 900.5 + s_suppkey % 7 END AS price_lo, CASE WHEN s_suppkey % 10 = 4 THEN 905.0 END AS price_hi FROM supplier WHERE s_suppkey % 2 = 0)"""
-_FLAG = f"""{DOC_SQL}, {_REQ}, fl AS (SELECT rq.query_id, v.product_id, v.vendor, v.product_type, v.tags, v.available, v.price_min, v.price_max, len(vendor_any) = 0 OR list_contains(vendor_any, vendor) AS pv, len(type_any) = 0 OR list_contains(type_any, product_type) AS pt, len(tags_any) = 0 OR list_has_any(tags_any, tags) AS pg,
+_REQ = """rq AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 3 = 0 THEN ['Brand#' || (s_suppkey % 25), 'Brand#7'] ELSE [] END AS vendor_any, CASE WHEN s_suppkey % 4 = 0 THEN ['ECONOMY'] ELSE [] END AS type_any, CASE WHEN s_suppkey % 5 = 0 THEN ['red', 'size-7'] ELSE [] END AS tags_any, CASE WHEN s_suppkey % 7 = 3 THEN [(s_suppkey % 50)::VARCHAR, '7'] ELSE [] END AS meta_any,
+ CASE WHEN s_suppkey % 8 = 2 THEN true END AS want_available, CASE WHEN s_suppkey % 6 = 0 THEN 900.5 + s_suppkey % 7 END AS price_lo, CASE WHEN s_suppkey % 10 = 4 THEN 905.0 END AS price_hi FROM supplier)"""
+_FLAG = f"""{DOC_SQL}, {_REQ}, fl AS (SELECT rq.query_id, v.product_id, v.vendor, v.product_type, v.tags, v.available, v.price_min, v.price_max, v.p_size::VARCHAR AS metafield, v.p_partkey, len(meta_any) = 0 OR list_contains(meta_any, v.p_size::VARCHAR) AS pm, len(vendor_any) = 0 OR list_contains(vendor_any, vendor) AS pv, len(type_any) = 0 OR list_contains(type_any, product_type) AS pt, len(tags_any) = 0 OR list_has_any(tags_any, tags) AS pg,
  want_available IS NULL OR want_available = available AS pa, (price_lo IS NULL OR coalesce(price_max >= price_lo, false)) AND (price_hi IS NULL OR coalesce(price_min <= price_hi, false)) AS pp FROM vis v, rq)"""
 
 
-@query(f"{_FLAG} SELECT query_id, product_id FROM fl WHERE pv AND pt AND pg AND pa AND pp")
+@query(f"{_FLAG} SELECT query_id, product_id FROM fl WHERE pv AND pt AND pg AND pm AND pa AND pp")
 def facet_filter(spark, sf_dir):
     return S.facet_matches(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
-@query(f"""{_FLAG}, k AS (SELECT query_id, 'vendor' AS kind, vendor AS value FROM fl WHERE pt AND pg AND pa AND pp AND vendor <> '' UNION ALL SELECT query_id, 'product_type', product_type FROM fl WHERE pv AND pg AND pa AND pp AND product_type <> '' UNION ALL SELECT query_id, 'tag', unnest(tags) FROM fl WHERE pv AND pt AND pa AND pp UNION ALL SELECT query_id, 'available', available::VARCHAR FROM fl WHERE pv AND pt AND pg AND pp),
-c AS (SELECT query_id, kind, value, count(*) AS n FROM k GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY n DESC, value)::INTEGER AS rank FROM c) WHERE rank <= 50""")
+def _facet_sql(where: str = "true") -> str:
+    """Facets of the flagged pairs that pass the condition."""
+    groups = {"vendor": ("pv", "vendor"), "product_type": ("pt", "product_type"), "tag": ("pg", "unnest(tags)"), "metafield": ("pm", "metafield"), "available": ("pa", "available::VARCHAR")}
+    part = lambda kind, own, value: f"SELECT query_id, '{kind}' AS kind, {value} AS value FROM fl WHERE {where} AND " + " AND ".join(p for p in ("pv", "pt", "pg", "pm", "pa", "pp") if p != own)
+    rows = " UNION ALL ".join(part(kind, own, value) for kind, (own, value) in groups.items())
+    return f"""k AS ({rows}), c AS (SELECT query_id, kind, value, count(*) AS n FROM k WHERE value <> '' GROUP BY ALL)
+SELECT query_id, kind, value, CASE WHEN kind = 'available' THEN CASE value WHEN 'true' THEN 'In stock' ELSE 'Out of stock' END ELSE value END AS label, n, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY kind = 'available' AND value = 'true' DESC, n DESC, value)::INTEGER AS rank FROM c) WHERE rank <= 50"""
+
+
+@query(f"{_FLAG}, {_facet_sql()}")
 def facets(spark, sf_dir):
     return S.facets(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
 
-@query(f"{_FLAG} SELECT query_id, min(price_min) AS price_min, max(price_max) AS price_max FROM fl WHERE pv AND pt AND pg AND pa GROUP BY 1 HAVING min(price_min) IS NOT NULL")
+@query(f"{_FLAG}, {_facet_sql('(query_id % 3 <> 1 OR EXISTS (SELECT 1 FROM membership m JOIN sn ON sn.cg = m.collection_gid WHERE sn.k = fl.query_id AND m.product_id = fl.product_id)) AND (p_partkey + query_id) % 9 <> 0')}".replace("fl AS (", "sn AS (SELECT s_suppkey AS k, 'c' || s_nationkey AS cg FROM supplier), fl AS (", 1))
+def facets_scoped(spark, sf_dir):
+    """Facets within a collection for every third request, with one product in nine hidden from each."""
+    v = stored_vis(spark, sf_dir)
+    r = _requests(spark, sf_dir).withColumn("scoped", F.col("query_id") % 3 == 1)
+    s = B.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 1").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("c"), "s_nationkey").alias("collection_gid"))
+    matches = s.join(B.memberships(spark, sf_dir), "collection_gid").join(v.select("product_id"), "product_id", "left_semi").select("query_id", "product_id")
+    # the hidden ones: product and request numbers that add up to a multiple of nine
+    rest = v.select("product_id", ((9 - F.col("product_id").cast("long") % 9) % 9).alias("rest"))
+    hidden = r.select("query_id", (F.col("query_id") % 9).cast("long").alias("rest")).join(rest, "rest").select("query_id", "product_id")
+    return S.facets(r, v, matches=matches, hidden=hidden)
+
+
+@query(f"{_FLAG} SELECT query_id, min(price_min) AS price_min, max(price_max) AS price_max FROM fl WHERE pv AND pt AND pg AND pm AND pa GROUP BY 1 HAVING min(price_min) IS NOT NULL")
 def price_range_facet(spark, sf_dir):
     return S.price_range_facet(_requests(spark, sf_dir), stored_vis(spark, sf_dir))
 
@@ -245,7 +278,7 @@ def browse_facets(spark, sf_dir):
     return S.browse_facets(D.facet_values(vis(spark, sf_dir)))
 
 
-@query(f"WITH {_REQ} SELECT query_id FROM rq WHERE len(vendor_any) = 0 AND len(type_any) = 0 AND len(tags_any) = 0 AND want_available IS NULL AND price_lo IS NULL AND price_hi IS NULL")
+@query(f"WITH {_REQ} SELECT query_id FROM rq WHERE len(vendor_any) = 0 AND len(type_any) = 0 AND len(tags_any) = 0 AND len(meta_any) = 0 AND want_available IS NULL AND price_lo IS NULL AND price_hi IS NULL")
 def browse_gate(spark, sf_dir):
     return S.can_browse(_requests(spark, sf_dir)).select("query_id")
 
@@ -272,7 +305,7 @@ def parse_filter_params(spark, sf_dir):
 @query(f"""WITH {_REQ} SELECT query_id, array_to_string(list_concat(vendor_any, CASE WHEN list_contains(vendor_any, 'Brand#1') THEN [] ELSE ['Brand#1'] END), ',') AS vendors, coalesce(price_lo, 1.0)::DOUBLE AS price_lo FROM rq""")
 def merge_filters(spark, sf_dir):
     q = _requests(spark, sf_dir)
-    parsed = q.select("query_id", F.array(F.lit("Brand#1")).alias("vendor_any"), "type_any", "tags_any", F.lit(None).cast("boolean").alias("want_available"), F.lit(1.0).alias("price_lo"), F.lit(None).cast("double").alias("price_hi"))
+    parsed = q.select("query_id", F.array(F.lit("Brand#1")).alias("vendor_any"), "type_any", "tags_any", "meta_any", F.lit(None).cast("boolean").alias("want_available"), F.lit(1.0).alias("price_lo"), F.lit(None).cast("double").alias("price_hi"))
     return S.merge_filters(q, parsed).select("query_id", F.array_join("vendor_any", ",").alias("vendors"), "price_lo")
 
 
@@ -292,19 +325,46 @@ def price_overlap(spark, sf_dir):
     return S.facet_filter(S.filter_flags(vis(spark, sf_dir).join(F.broadcast(q), how="cross"))).select("product_id")
 
 
-_SUG = f"""{SUGGEST_SQL}, pq AS (SELECT p_partkey AS query_id, lower(left(p_name, (p_partkey % 4 + 1)::INTEGER)) AS prefix FROM part WHERE p_partkey % 17 = 0),
+_SUG = f"""{SUGGEST_SQL}, pq AS (SELECT p_partkey AS query_id, lower(left(p_name, (p_partkey % 4 + 1)::INTEGER)) AS prefix FROM part),
 m AS (SELECT query_id, lower(text) AS low, CASE type WHEN 'title' THEN 0 WHEN 'productType' THEN 1 WHEN 'vendor' THEN 2 ELSE 3 END AS kind, text, type FROM pq JOIN st ON starts_with(lower(text), prefix)), b AS (SELECT query_id, low, min((kind, text, type)) AS b FROM m GROUP BY ALL)
 SELECT * FROM (SELECT query_id, b[2] AS text, b[3] AS type, row_number() OVER (PARTITION BY query_id ORDER BY b[1], len(b[2]), b[2])::INTEGER AS rank FROM b) WHERE rank <= 10"""
 
 
 @query(_SUG)
 def suggest(spark, sf_dir):
-    q = B.table(spark, sf_dir, "part").where("p_partkey % 17 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("left(p_name, cast(p_partkey % 4 + 1 as int))").alias("query"))
+    q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr("left(p_name, cast(p_partkey % 4 + 1 as int))").alias("query"))
     return S.suggest(q, D.suggest_terms(vis(spark, sf_dir)))
 
 
-@query(f"{DOC_SQL}, q AS (SELECT DISTINCT p_partkey AS query_id FROM part WHERE p_partkey % 29 = 0) SELECT query_id, product_id FROM q, vis WHERE NOT (vis.p_partkey % 29 = 1 AND vis.p_partkey = q.query_id + 1) AND vis.p_partkey BETWEEN q.query_id AND q.query_id + 3")
+@query(f"{DOC_SQL} SELECT q.p_partkey AS query_id, product_id FROM part q JOIN vis ON vis.p_partkey IN (q.p_partkey, q.p_partkey + 2, q.p_partkey + 3)")
 def hide_products(spark, sf_dir):
-    q = B.table(spark, sf_dir, "part").where("p_partkey % 29 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.sequence("p_partkey", F.col("p_partkey") + 3)).alias("k"))
+    q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.explode(F.sequence("p_partkey", F.col("p_partkey") + 3)).alias("k"))
     rows = q.withColumn("product_id", F.lpad(F.col("k").cast("string"), 9, "0")).join(vis(spark, sf_dir).select("product_id"), "product_id")
     return S.hide_products(rows, rows.where("k = query_id + 1")).select("query_id", "product_id")
+
+
+def _storefront_requests(spark, sf_dir) -> DataFrame:
+    """The query log with prices, stock, order and colours in words, in a collection for some, and with filters for some."""
+    q, k = query_log(spark, sf_dir), F.col("query_id")
+    words = ("under 910", "in stock", "cheapest", "red", "without red", "brand#7", "between 900 and 920 newest", "")
+    cue = F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    text = F.when(k % 11 == 0, F.lit("zzqq xyzzy")).when(k % 13 == 0, F.lit("hot plate")).when(k % 17 == 0, cue).otherwise(F.concat_ws(" ", cue, "query"))
+    lists = {"vendor_any": F.when(k % 19 == 0, F.array(F.lit("Brand#7"), F.lit("Brand#8"))), "tags_any": F.when(k % 23 == 0, F.array(F.lit("red")))}
+    return q.select(k, text.alias("query"), *[F.coalesce(v, F.array().cast("array<string>")).alias(n) for n, v in lists.items()], F.when(k % 29 == 0, F.concat(F.lit("c"), k % 25)).alias("collection_gid"))
+
+
+def storefront_answers(spark, sf_dir) -> dict[str, DataFrame]:
+    v = stored_vis(spark, sf_dir)
+    redirects = spark.createDataFrame([("hot plate", "/hot", None)], "query_normalized string, destination string, locale string")
+    members = B.memberships(spark, sf_dir).join(B.collections(spark, sf_dir).where("deleted_at is null").select("collection_gid"), "collection_gid")
+    phrases = stored(N.phrase_table(D.facet_values(v)), "phrases")
+    return S.storefront(_storefront_requests(spark, sf_dir), v, D.analyze_terms(v), D.vocabulary(v), D.suggest_terms(v), phrases, _rules(spark), redirects, stopwords(spark), members, combined_mode="hide_children")
+
+
+@query(None)
+def storefront(spark, sf_dir):
+    """Each request with its products, facets and suggestions."""
+    a = storefront_answers(spark, sf_dir)
+    own = lambda name, *c: a[name].groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*c)))).alias(name))
+    out = a["requests"].join(own("products", "rank", "product_id", "match_class", "score"), "query_id", "left")
+    return out.join(own("facets", "kind", "rank", "value", "label", "n"), "query_id", "left").join(own("suggestions", "rank", "text", "type"), "query_id", "left")

@@ -102,8 +102,8 @@ def test_versions(spark):
 
 
 def test_intent(spark):
-    ph = N.phrase_table(spark.createDataFrame([("vendor", "Acme"), ("vendor", "ACME"), ("product_type", "Running Shoes"), ("tag", "Red"), ("tag", "red"), ("tag", "odd")], "kind string, value string"))
-    qs = ["red running shoes under $50", "up to 5 people", "from 1999", "from $1999 acme", "cheapest not red shoes", "around 10 sold out newest", "under 100ml", "under 1,0000", None]
+    ph = N.phrase_table(spark.createDataFrame([("vendor", "Acme"), ("vendor", "ACME"), ("product_type", "Running Shoes"), ("tag", "Red"), ("tag", "red"), ("tag", "odd"), ("tag", "Yellow")], "kind string, value string"), N.effective_attributes(spark, spark.createDataFrame([("Gold", "tag", "yellow"), ("", "tag", "x")], "phrase string, kind string, value string")))
+    qs = ["red running shoes under $50", "up to 5 people", "from 1999", "from $1999 acme", "cheapest not red shoes", "around 10 sold out newest", "under 100ml", "under 1,0000", None, "up to 50 shoes", "up to 50 running shoes", "between 10 and $20 in stock", "over 5 under 9.99 acme", "without cotton shirt", "cotton shirt", "gold rush", "under 2 colors", "from 30", "up to $1,200.50 only", "less than 7usd"]
     r = N.extract_intent(spark.createDataFrame(list(enumerate(qs)), "query_id int, query string"), ph).orderBy("query_id").collect()
     assert (r[0].price_hi, r[0].type_any, r[0].tags_any, r[0].remaining) == (50.0, ["Running Shoes"], ["Red", "red"], "")
     assert [(x.price_lo, x.price_hi) for x in r[1:3]] == [(None, None)] * 2 and r[1].remaining == "up to 5 people"
@@ -111,6 +111,11 @@ def test_intent(spark):
     assert (r[4].sort, r[4].negations, r[4].tags_any, r[4].remaining) == ("price_asc", ["red"], [], "shoes")
     assert (r[5].price_lo, r[5].price_hi, r[5].want_available, r[5].sort) == (8.0, 12.0, False, "newest")
     assert r[6].price_hi is None and r[7].price_hi is None and r[8].remaining == ""
+    assert r[9].price_hi is None and r[10].price_hi == 50.0 and (r[11].price_lo, r[11].price_hi, r[11].want_available) == (None, None, True)  # "in" is a unit
+    assert (r[12].price_lo, r[12].price_hi, r[12].vendor_any) == (5.0, 9.99, ["ACME", "Acme"])
+    assert (r[13].negations, r[13].remaining, r[14].remaining, r[14].meta_any) == (["cotton"], "shirt", "cotton shirt", [])
+    assert (r[15].tags_any, r[15].remaining) == (["Yellow"], "rush") and r[16].price_hi is None
+    assert r[17].price_lo == 30.0 and (r[18].price_hi, r[18].remaining) == (1200.5, "only") and (r[19].price_hi, r[19].remaining) == (7.0, "")
 
 
 def test_bulk_files(spark, tmp_path):
