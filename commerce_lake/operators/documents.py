@@ -163,9 +163,9 @@ def catch_up(docs: DataFrame, products: DataFrame, rebuild: Callable[[DataFrame]
 
 def refresh_parents(docs: DataFrame, products: DataFrame, variants: DataFrame, memberships: DataFrame, collections: DataFrame, changed: DataFrame) -> DataFrame:
     """docs with the parents of the changed products (product_id) projected again, from their children as they are now."""
-    gids = products.join(changed.select("product_id"), "product_id", "left_semi").where("combined_parent_gid is not null").select("combined_parent_gid").distinct()
-    parents = products.join(gids, F.col("gid") == gids["combined_parent_gid"], "left_semi")
-    children = products.alias("p").join(gids.alias("g"), F.col("p.combined_parent_gid") == F.col("g.combined_parent_gid"), "left_semi")
+    gids = products.join(changed.select("product_id"), "product_id", "left_semi").where("combined_parent_gid is not null").select(F.col("combined_parent_gid").alias("parent_gid")).distinct()
+    parents = products.join(gids, F.col("gid") == F.col("parent_gid"), "left_semi")
+    children = products.join(gids, F.col("combined_parent_gid") == F.col("parent_gid"), "left_semi")
     family = parents.unionByName(children).dropDuplicates(["product_id"])
     of = lambda df: df.join(family.select("product_id"), "product_id", "left_semi")
     rebuilt = build_search_docs(family, of(variants), of(memberships), collections)
