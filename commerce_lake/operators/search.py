@@ -501,9 +501,41 @@ def search_batch(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopw
 
 
 def matched_level(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
-    """The documents of each query's narrowest level."""
-    visible = postings.join(docs.select("product_id"), "product_id", "left_semi")
-    return resolve_level(match(plan_tokens(queries, stopwords), visible, docs, level="partial"))
+    """The documents of each query's narrowest level, with the columns of match and the level.
+
+    Postings are read once for each distinct token.  A query starts from the documents of its rarest
+    token, and only these are looked up under its other tokens; any match counts only for queries
+    without a full one, so that a frequent token never meets all documents for a query that needs all of its tokens."""
+    tokens = stored(plan_tokens(queries, stopwords).withColumn("last", F.col("pos") == F.col("n_tokens") - 1), "tokens")
+    terms = postings.join(docs.select("product_id"), "product_id", "left_semi").groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+    terms = stored(terms, "terms")
+    asked = tokens.select("token", "last").distinct()
+    longer = starting_with(asked.where("last").select(F.col("token").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix")
+    forms = asked.withColumn("term", F.col("token")).unionByName(longer.select(F.col("prefix").alias("token"), F.lit(True).alias("last"), F.col("text").alias("term")))
+    whole = F.col("token") == F.col("term")
+    met = forms.join(terms, "term").groupBy("token", "last", "product_id").agg(F.bool_or(whole).alias("whole"), F.sum(F.when(whole, F.col("weight")).otherwise(0.0)).alias("weight"))
+    met = stored(met, "met")
+    often = met.groupBy("token", "last").agg(F.count("*").alias("times"))
+    rarest = tokens.join(often, ["token", "last"], "left").groupBy("query_id").agg(F.min_by("pos", F.struct(F.coalesce("times", F.lit(0).cast("long")), "pos")).alias("pos"))
+    start = tokens.join(rarest, ["query_id", "pos"]).join(met.select("token", "last", "product_id"), ["token", "last"]).select("query_id", "product_id")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("query_id", "product_id").agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("found"), F.count_if("whole").alias("whole"), F.sum("weight").alias("field_score"))
+
+    full = counted(start.join(tokens.select("query_id", "token", "last", "n_tokens"), "query_id").join(met, ["token", "last", "product_id"])).where("found = n_tokens")
+    skus = docs.select("product_id", F.explode(F.split(F.lower("sku_text"), " ")).alias("raw")).distinct()
+    sku = tokens.select("query_id", "raw").distinct().join(skus, "raw").select("query_id", "product_id", F.lit(True).alias("sku"))
+    primary = full.join(sku, ["query_id", "product_id"], "full_outer")
+    exact = F.coalesce(F.col("whole") == F.col("n_tokens"), F.lit(False))
+    primary = stored(
+        primary.select("query_id", "product_id", F.coalesce("sku", F.lit(False)).alias("sku"), exact.alias("exact"), (F.col("found").isNotNull() & ~exact).alias("prefix"), "field_score", F.lit("primary").alias("level")), "primary"
+    )
+    # the field score of a document that only its SKU brought in counts the tokens that it has
+    lone = primary.where("field_score is null").select("query_id", "product_id").join(tokens, "query_id").join(met, ["token", "last", "product_id"], "left").groupBy("query_id", "product_id").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("some"))
+    primary = primary.join(lone, ["query_id", "product_id"], "left").withColumn("field_score", F.coalesce("field_score", "some", F.lit(0.0))).drop("some")
+    rest = tokens.join(primary.select("query_id").distinct(), "query_id", "left_anti")
+    partial = counted(rest.join(met, ["token", "last"])).select("query_id", "product_id", *[F.lit(False).alias(c) for c in ("sku", "exact", "prefix")], "field_score", F.lit("partial").alias("level"))
+    return primary.unionByName(partial)
 
 
 def strategy_label(page: DataFrame, queries: DataFrame, tokens: DataFrame) -> DataFrame:
