@@ -24,6 +24,8 @@ CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 20
 WORD_BYTES = 6
 BATCH_ROWS = 2000
+#: Of tables between steps: a writing task holds one row group.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -52,7 +54,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
