@@ -24,7 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -55,11 +55,25 @@ _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot"}, "thead": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead", "tfoot"}}
 _TABLE_PART = {"tr", "td", "th", "tbody", "thead", "tfoot"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_LOWER = {i: i + 32 for i in range(65, 91)}
 _PASSED = {"p", "div", "address"}
 _P_SCOPE = {"td", "th", "table", "caption", "html", "button", "object", "li", "body"}
 
 
+_P = {"p"}
+
+
+def _out_of_p(tag: str) -> bool:
+    return tag not in _P_SCOPE
+
+
+def _in_table(tag: str) -> bool:
+    return tag != "table"
+
+
+def _anywhere(tag: str) -> bool:
+    return True
+
+
 @dataclass
 class Page:
     """Nodes in document order (a parent comes before its children) and the text runs."""
@@ -75,7 +89,7 @@ class Page:
     marks: list[int] = field(default_factory=list)
 
     def add(self, parent: int, tag: str, attributes: dict[str, str], labelled: bool) -> int:
-        found = [x.lower() for k in ("class", "id", "role") for x in _NAME.findall(attributes.get(k, ""))]
+        found = [x.lower() for k in ("class", "id", "role") if k in attributes for x in _NAME.findall(attributes[k])] if attributes else ()
         label = int(attributes["data-y"]) if labelled and "data-y" in attributes else None
         self.parent.append(parent)
         self.tag.append(tag)
@@ -106,6 +120,22 @@ class _Finder:
         return found
 
 
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile("</" + re.escape(tag), re.I | re.A)
+
+
+class _Ends(_Finder):
+    """Where the next end tag of a name is, in any case."""
+
+    def find(self, tag: str, at: int) -> int:
+        found = self.known.get(tag, 0)
+        if 0 <= found < at:
+            m = _end_tag(tag).search(self.source, at)
+            found = self.known[tag] = m.start() if m else -1
+        return found
+
+
 def _attributes(source: str, at: int, finder: _Finder) -> tuple[dict[str, str], int]:
     """Attributes (the first of each name) from ``at`` on and the place after the tag's ">"; each character is passed once."""
     found: dict[str, str] = {}
@@ -143,11 +173,10 @@ class _Parser:
 
     def __init__(self, source: str, labelled: bool):
         self.source, self.labelled, self.finder = source, labelled, _Finder(source)
-        self.small = source.translate(_LOWER)
-        self.ends = _Finder(self.small)
+        self.ends = _Ends(source)
         self.page = Page()
         self.stack: list[tuple[str, int, bool]] = [("html", self.page.add(-1, "html", {}, False), False)]  # tag, node, left out
-        self.open: Counter[str] = Counter()
+        self.open: defaultdict[str, int] = defaultdict(int)
         self.skipped = self.deeper = self.linked = 0
         self.in_link = False
         self.run: list[str] = []
@@ -174,7 +203,7 @@ class _Parser:
 
     def close_from(self, k: int) -> None:
         """Closes the k-th open element and all inside it."""
-        left_out_here = sum(x[2] for x in self.stack[k:])
+        left_out_here = sum([x[2] for x in self.stack[k:]]) if self.skipped else 0
         if self.skipped == left_out_here and not self.stack[k][2]:
             self.flush()
         for tag, _, left_out in self.stack[k:]:
@@ -185,7 +214,8 @@ class _Parser:
 
     def last(self, tags: set[str], passed) -> int:
         """Place of the innermost open element of these, or 0; elements on the way must be passable."""
-        if any(self.open[t] > 0 for t in tags):
+        is_open = self.open
+        if any([is_open[t] for t in tags]):
             for k in range(len(self.stack) - 1, 0, -1):
                 tag = self.stack[k][0]
                 if tag in tags:
@@ -207,19 +237,17 @@ class _Parser:
         if tag == "a":
             self.in_link = True
         block = tag in _BLOCK or (tag in ("ins", "del") and ("class" in attributes or "id" in attributes))
-        left_out = tag in _SKIP and (tag == "head" or self.ends.find(f"</{tag}", at) >= 0)
+        left_out = tag in _SKIP and (tag == "head" or self.ends.find(tag, at) >= 0)
         if not block and not left_out:
             return
         if block:
             if not self.skipped:
                 self.flush()
             self.in_link = False
-            if tag in _ENDS_P and (k := self.last({"p"}, lambda t: t not in _P_SCOPE)):
+            if self.open["p"] and tag in _ENDS_P and (k := self.last(_P, _out_of_p)):
+                self.close_from(k)
+            if tag in _CLOSES and (k := self.last(_CLOSES[tag], _in_table if tag in _TABLE_PART else _PASSED.__contains__)):
                 self.close_from(k)
-            if tag in _CLOSES:
-                table = tag in _TABLE_PART
-                if k := self.last(_CLOSES[tag], (lambda t: t != "table") if table else (lambda t: t in _PASSED)):
-                    self.close_from(k)
         if len(self.stack) >= MAX_DEPTH:
             self.deeper += 1
             return
@@ -238,7 +266,11 @@ class _Parser:
                 self.flush()
             if self.deeper and tag in _BLOCK:
                 self.deeper -= 1
-            elif tag not in ("html", "body") and (k := self.last(_HEADINGS if tag in _HEADINGS else {tag}, lambda t: tag == "table" or tag in _TABLE_PART or t != "table")):
+            elif tag in ("html", "body"):
+                return
+            elif self.stack[-1][0] == tag:
+                self.close_from(len(self.stack) - 1)
+            elif (k := self.last(_HEADINGS if tag in _HEADINGS else {tag}, _anywhere if tag == "table" or tag in _TABLE_PART else _in_table)):
                 self.close_from(k)
 
     def parse(self) -> Page:
@@ -274,8 +306,8 @@ class _Parser:
                 self.end(tag)
             elif tag in _RAW:
                 # its text is left out; without its end tag, up to the next end tag
-                stop = self.ends.find(f"</{tag}", at)
-                stop = stop if stop >= 0 else self.ends.find("</", at)
+                stop = self.ends.find(tag, at)
+                stop = stop if stop >= 0 else self.finder.find("</", at)
                 at = end if stop < 0 else stop
             else:
                 self.start(tag, attributes, at)
