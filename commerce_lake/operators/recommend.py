@@ -55,12 +55,16 @@ def _shared(seeds: DataFrame, docs: DataFrame) -> DataFrame:
     equi-join and one aggregation that combines before its shuffle."""
     t = _traits(docs)
     d = t.select("product_id", F.explode(_keys()).alias("k"))
-    asked = seeds.select("seed_id", "seed_product").distinct().join(t.withColumnRenamed("product_id", "seed_product"), "seed_product")
-    traits = asked.select("seed_id", "seed_product", F.explode(_keys()).alias("k")).join(d, "k").select("seed_id", "seed_product", "product_id", F.substring("k", 1, 1).alias("kind"))
-    alike = asked.select("seed_id", "seed_product", F.col("title").alias("seed_title")).join(similar_titles(asked, t), "seed_title")
-    alike = alike.join(t.select("product_id", "title"), "title").select("seed_id", "seed_product", "product_id", F.lit("s").alias("kind"))
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    return traits.unionByName(alike).groupBy("seed_id", "seed_product", "product_id").agg(count("c").alias("collections"), count("y").alias("type"), count("v").alias("vendor"), count("t").alias("tags"))
+    asked = seeds.select("seed_product").distinct().join(t.withColumnRenamed("product_id", "seed_product"), "seed_product")
+    # one sum holds the four numbers: collections and tags in 20 bits each, then type and vendor
+    unit = F.coalesce(*[F.when(F.substring("k", 1, 1) == kind, F.lit(1 << shift)) for kind, shift in (("c", 0), ("t", 20), ("y", 40), ("v", 41))])
+    traits = asked.select("seed_product", F.explode(_keys()).alias("k")).join(d, "k").select("seed_product", "product_id", unit.cast("long").alias("u"))
+    alike = asked.select("seed_product", F.col("title").alias("seed_title")).join(similar_titles(asked, t), "seed_title")
+    alike = alike.join(t.select("product_id", "title"), "title").select("seed_product", "product_id", F.lit(0).cast("long").alias("u"))
+    pairs = traits.unionByName(alike).groupBy("seed_product", "product_id").agg(F.sum("u").alias("u"))
+    part = lambda shift, bits: F.shiftright("u", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    pairs = pairs.select("seed_product", "product_id", part(0, 20).alias("collections"), part(40, 1).alias("type"), part(41, 1).alias("vendor"), part(20, 20).alias("tags"))
+    return seeds.select("seed_id", "seed_product").distinct().join(pairs, "seed_product")
 
 
 def candidates(seeds: DataFrame, docs: DataFrame) -> DataFrame:
