@@ -166,6 +166,22 @@ def test_redaction_against_plain_python(spark):
     assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
 
 
+def test_normalised_queries_against_plain_python(spark):
+    import unicodedata
+
+    import regex
+    from conftest import SF
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", regex.sub(r"[\x00-\x1f\x7f]", " ", t).lower())
+        return regex.sub(" +", " ", regex.sub(r"[^\p{L}\p{N} ]", " ", t)).strip(" ")
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text] + ["Ｆｕｌｌ Ⅷ ﬁne", "ÀÉ\tx", "", "²³ ½", "Ünï-cödé"]
+    d = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    got = {r.i: r.x for r in d.select("i", T.normalize_query(F.col("t")).alias("x")).collect()}
+    assert got.pop(-1) is None and [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
 def test_events_are_validated_by_the_fixed_lists(spark):
     rows = ['{"eventType":"suggestion_click","surface":"predictive","sessionId":"a_1"}', '{"eventType":"bundle_add_to_cart","surface":"bundle","productGid":"gid://store/Product/7","resultCount":"1e8"}', '{"eventType":"bundle_click","surface":"bundle"}',
         '{"eventType":"result_click","surface":"search"}', '{"eventType":"result_click","surface":"redirect","who":1}', '{"eventType":"result_click","surface":"redirect","experimentId":"x"}', '{"eventType":"result_click","surface":"redirect","productGid":"gid://store/Product/123456789012345678901"}',
