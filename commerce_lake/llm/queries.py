@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op1_decontamination as op1
 from . import op10_warc as op10
+from . import op11_minhash_dedup as op11
 from . import op2_html_extraction as op2
 from . import op3_lm_scoring as op3
 from . import op4_language_id as op4
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8.op8_substring_dedup,
     "op9_token_output": op9.op9_token_output,
     "op10_warc": op10.op10_warc,
+    "op11_minhash_dedup": op11.op11_minhash_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
