@@ -10,13 +10,16 @@ after which every place has a value; a set of many shingles takes one step.
 Signatures are cut into bands of ``ROWS`` places.  Sets that agree in a band meet there.
 Each member of a band is first compared with the band's smallest id (a star, so a group of
 any size costs one pair for each member); verified pairs are contracted by union-find
-inside tasks and by star steps over the shuffle.  Members of a band that are still in
-different groups are then paired if their sizes allow a link and their sketches of two bits
-a place agree often enough, and are verified as well.  Verification compares whole shingle
-sets, so no pair is linked by chance.
+inside tasks and by star steps over the shuffle.
+
+Members of bands that hold several groups are still open.  They get a second star around
+another member, and those that are in different groups even then are paired if their sizes
+and sketches allow a link: an odd sketch of the set (two sets differ in at least as many
+shingles as their sketches do in places, so this rules out no link) and two bits of each place of the
+signature.  Verification compares whole shingle sets, so no pair is linked by chance.
 
 A pair of similarity 0.85 shares no band with probability (1 - 0.85^4)^32 = 6e-11 (0.8: 5e-8);
-the bound on the agreement of the sketches fails with ``MISS`` at most.  Nothing is capped.
+the bound on the agreement of signatures fails with ``MISS`` at most.  Nothing is capped.
 
 Sets that are equal form one class before any comparison.  Null or empty texts have no
 shingles and link with nothing.  Rows with a null doc_id get a null component and are kept.
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shuffle as X
@@ -44,6 +47,8 @@ from .op5_jaccard_join import _classes, _links, token_sets
 SHINGLE, PERCENT = 5, 80
 WIDTH, ROWS = 128, 4
 BANDS = WIDTH // ROWS
+#: Words of a set's sketch: two bits of each place of its signature, and its odd sketch.
+PLANES, ODD = range(4), range(4, 20)
 #: Probability that the sketches of a linked pair seem too different.
 MISS = 1e-9
 _FRACTION = 40
@@ -91,11 +96,21 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
+def planes(sig: np.ndarray) -> np.ndarray:
     """Two bits of each place, as two planes of WIDTH bits in 64-bit words."""
     h = W.mix(sig)
-    planes = [np.packbits((h >> np.uint64(b) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for b in (0, 1)]
-    return np.concatenate(planes, axis=1)
+    bits = [np.packbits((h >> np.uint64(b) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for b in (0, 1)]
+    return np.concatenate(bits, axis=1)
+
+
+def odd_sketch(shingles: np.ndarray, owner: np.ndarray, n_sets: int) -> np.ndarray:
+    """Whether an odd number of a set's shingles falls on each of 64 * len(ODD) places, in 64-bit words.
+
+    Two sets differ in at least as many shingles as their sketches in places."""
+    width = 64 * len(ODD)
+    place = owner * width + (shingles % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n_sets * width) & 1).astype(np.uint8).reshape(n_sets, width)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def least_agreement(percent: int) -> int:
@@ -115,12 +130,13 @@ def _describe(shingle: int, percent: int):
             n = np.zeros(batch.num_rows, np.int64)
             digest: list[bytes | None] = [None] * batch.num_rows
             rows, sets, held = [], [], 0
-            bands, planes = np.zeros((batch.num_rows, BANDS), np.uint64), np.zeros((batch.num_rows, 4), np.int64)
+            bands, sketch = np.zeros((batch.num_rows, BANDS), np.uint64), np.zeros((batch.num_rows, len(PLANES) + len(ODD)), np.int64)
 
-            def sign(rows=rows, sets=sets, bands=bands, planes=planes):
+            def sign(rows=rows, sets=sets, bands=bands, sketch=sketch):
                 if rows:
-                    sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
-                    bands[rows], planes[rows] = band_keys(sig), sketches(sig)
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    sig = superminhash(flat, owner, len(sets))
+                    bands[rows], sketch[rows] = band_keys(sig), np.concatenate((planes(sig), odd_sketch(flat, owner, len(sets))), axis=1)
                     rows.clear()
                     sets.clear()
 
@@ -137,8 +153,8 @@ def _describe(shingle: int, percent: int):
             sign()
             signed = 100 * n >= percent * (n + 1)
             as_lists = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel().view(np.int64)), v.shape[1]).cast(pa.list_(pa.int64()))
-            lists = [pc.if_else(pa.array(signed), as_lists(v), pa.nulls(len(n), pa.list_(pa.int64()))) for v in (bands, planes)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(digest, pa.binary()), *lists], ["doc_id", "n", "digest", "bands", "planes"])
+            lists = [pc.if_else(pa.array(signed), as_lists(v), pa.nulls(len(n), pa.list_(pa.int64()))) for v in (bands, sketch)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n), pa.array(digest, pa.binary()), *lists], ["doc_id", "n", "digest", "bands", "sketch"])
 
     return describe
 
@@ -168,6 +184,28 @@ def _grouped(links: DataFrame) -> DataFrame:
     return connected_components(links.mapInArrow(_contract, "u long, v long"))
 
 
+def _best(star: DataFrame) -> DataFrame:
+    """star (id, hub, shared) -> (a, b): each id b with the hub a that shares the most bands."""
+    best = star.groupBy("id").agg(F.min_by("hub", F.struct(-F.col("shared"), "hub")).alias("a"))
+    return best.select("a", F.col("id").alias("b"))
+
+
+def _apart(met: DataFrame, label: DataFrame) -> DataFrame:
+    """met (band, id) -> band, id, c: those in bands whose members are in different groups c."""
+    now = met.select("band", "id").join(label.select("id", "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    apart = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    return now.join(apart, "band")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sizes and sketches of the members m and o allow a link."""
+    pair = lambda k: F.col(f"m.s{k}").bitwiseXOR(F.col(f"o.s{k}"))
+    agree = sum(F.bit_count(F.bitwise_not(pair(k)).bitwiseAND(F.bitwise_not(pair(k + 2)))) for k in (0, 1))
+    differ = sum(F.bit_count(pair(k)) for k in ODD)
+    sizes = F.col("m.n") + F.col("o.n")
+    return (F.least("m.n", "o.n") * 100 >= F.greatest("m.n", "o.n") * percent) & (differ * (100 + percent) <= sizes * (100 - percent)) & (agree >= least_agreement(percent))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, class_id, component_id, kept for each row.
 
@@ -175,32 +213,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     kept: this is the document that stays of its group."""
     docs = docs.select("doc_id", "text")
     X.small_batches(docs.sparkSession)
-    described = X.cut(docs.mapInArrow(_describe(shingle, percent), "doc_id long, n long, digest binary, bands array<long>, planes array<long>"), "signed")
+    described = X.cut(docs.mapInArrow(_describe(shingle, percent), "doc_id long, n long, digest binary, bands array<long>, sketch array<long>"), "signed")
     classes = X.cut(_classes(described.select("doc_id", "n", "digest")), "classes")
     own = described.where("bands is not null and doc_id is not null")
     # one row of each set; copies share their signature
-    reps = X.cut(own.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "planes")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.planes"), "reps")
+    reps = X.cut(own.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.sketch"), "reps")
 
     member = reps.select("id", F.explode("bands").alias("band"))
     hub = member.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub")
     met = X.cut(member.join(hub, "band"), "met")
     star = met.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared"))
-    best = X.cut(star.groupBy("id").agg(F.max(F.struct("shared", -F.col("hub"))).alias("b")).where(F.col("b.shared") > 1).select((-F.col("b.col2")).alias("a"), F.col("id").alias("b")), "pairs")
+    best = X.cut(_best(star.where("shared > 1")), "pairs")
     # texts of one doc_id belong together
     held = classes.where("doc_id is not null and class_id is not null").select("doc_id", "class_id")
     tied = held.join(held.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi"), "doc_id").select(F.col("class_id").alias("u"), F.col("lo").alias("v"))
     links = X.cut(_links(best, docs, shingle, percent).unionByName(tied), "links")
     label = _grouped(links)
 
-    now = met.join(label.select("id", "component"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    apart = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    open_ = X.cut(now.join(apart, "band").join(reps.select("id", "n", "planes"), "id").select("band", "id", "c", "n", *[F.col("planes")[k].alias(f"p{k}") for k in range(4)]), "members")
+    marks = [F.col("sketch")[k].alias(f"s{k}") for k in range(len(PLANES) + len(ODD))]
+    open_ = X.cut(_apart(met, label).join(reps.select("id", "n", *marks), "id"), "members")
     m, o = open_.alias("m"), open_.alias("o")
-    same = lambda k: F.bit_count(F.bitwise_not(F.col(f"m.p{k}").bitwiseXOR(F.col(f"o.p{k}"))).bitwiseAND(F.bitwise_not(F.col(f"m.p{k + 2}").bitwiseXOR(F.col(f"o.p{k + 2}")))))
-    fits = (F.least("m.n", "o.n") * 100 >= percent * F.greatest("m.n", "o.n")) & (same(0) + same(1) >= least_agreement(percent))
-    more = m.join(o, (F.col("m.band") == F.col("o.band")) & (F.col("m.c") != F.col("o.c")) & (F.col("m.id") < F.col("o.id")) & fits)
+
+    # those that did not link with the smallest id get a second star
+    centre = open_.groupBy("band").agg(F.min_by(F.struct(*open_.columns), F.xxhash64("id")).alias("h")).select("h.*").alias("o")
+    near = m.join(centre, (F.col("m.band") == F.col("o.band")) & (F.col("m.c") != F.col("o.c")) & _may_link(percent)).groupBy(F.col("m.id").alias("id"), F.col("o.id").alias("hub")).agg(F.count("*").alias("shared"))
+    second = X.cut(_best(near).join(best, ["a", "b"], "left_anti"), "pairs")
+    links = X.cut(links.unionByName(_links(second, docs, shingle, percent)), "links")
+    label = _grouped(links)
+
+    rest = _apart(open_.select("band", "id"), label).select("band", "id", F.col("c").alias("now"))
+    rest = X.cut(open_.join(rest, ["band", "id"]).drop("c").withColumnRenamed("now", "c"), "members")
+    m, o = rest.alias("m"), rest.alias("o")
+    more = m.join(o, (F.col("m.band") == F.col("o.band")) & (F.col("m.c") != F.col("o.c")) & (F.col("m.id") < F.col("o.id")) & _may_link(percent))
     more = more.select(F.col("m.id").alias("a"), F.col("o.id").alias("b")).distinct()
-    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = best.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = X.cut(more.join(done, ["a", "b"], "left_anti"), "pairs")
     if more.head(1):
         label = _grouped(links.unionByName(_links(more, docs, shingle, percent)))

@@ -78,3 +78,13 @@ def test_edges(spark):
     kept = M.deduplicate(d)
     assert kept.columns == d.columns and kept.where("doc_id is null").count() == 1
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (5, 150, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate((x[n // 7 :], rng.integers(0, 1 << 63, n // 9).astype(np.uint64))))
+        a, b = M.odd_sketch(np.concatenate((x, y)), np.repeat([0, 1], [len(x), len(y)]), 2)
+        differ = sum(bin(int(p) & 2**64 - 1 ^ int(q) & 2**64 - 1).count("1") for p, q in zip(a, b))
+        assert 0 < differ <= len(np.setxor1d(x, y)) or n == 5
