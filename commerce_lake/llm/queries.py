@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import op1_decontamination as op1
 from . import op10_warc as op10
 from . import op11_minhash_dedup as op11
+from . import op12_merkle_manifest as op12
+from . import op13_centroid_clustering as op13
 from . import op2_html_extraction as op2
 from . import op3_lm_scoring as op3
 from . import op4_language_id as op4
@@ -26,7 +28,9 @@ QUERIES = {
     "op9_token_output": op9.op9_token_output,
     "op10_warc": op10.op10_warc,
     "op11_minhash_dedup": op11.op11_minhash_dedup,
+    "op12_merkle_manifest": op12.op12_merkle_manifest,
+    "op13_centroid_clustering": op13.op13_centroid_clustering,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op6_mixing": op6.ORACLE_SQL, "op7_exact_topk": op7.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": op6.ORACLE_SQL, "op7_exact_topk": op7.ORACLE_SQL, "op12_merkle_manifest": op12.ORACLE_SQL, "op13_centroid_clustering": op13.ORACLE_SQL}
