@@ -33,6 +33,8 @@ from .shuffle import cut
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STRIDE = 8
+#: Nodes of the upper levels that are broadcast to the climbing rows: about 25 MB.
+MOST_BROADCAST = 1 << 16
 #: The top tree; languages have the numbers from 0.
 TOP = -1
 
@@ -95,14 +97,15 @@ def _build(nodes: DataFrame, trees: DataFrame, stride: int) -> tuple[DataFrame,
     for level in range(0, highest + 1, stride):
         grouped = nodes.groupBy("tree", F.shiftright("pos", stride).alias("above")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("of"))  # 2^stride nodes at most
         grouped = grouped.join(sizes, "tree").withColumn("steps", F.least(F.lit(stride), F.col("height") - level)).withColumn("levels", _levels(F.col("of.hash"), F.col("steps")))
-        grouped = grouped.select("tree", "above", "steps", "height", "of", "levels")
-        grouped = cut(grouped, "levels")
-        child = grouped.select("tree", "above", "steps", "height", "levels", F.explode("of").alias("c"))
-        index = F.col("c.pos").bitwiseAND(F.lit((1 << stride) - 1)).cast("int")
-        above = F.transform(F.sequence(F.lit(0), F.greatest(F.col("steps"), F.lit(1)) - 1), lambda j: F.struct(F.call_function("shiftright", index, j).bitwiseAND(F.lit(1)).alias("right"), F.get(F.get(F.col("levels"), j), F.call_function("shiftright", index, j).bitwiseXOR(F.lit(1))).alias("hash")))
-        siblings = F.when(F.col("steps") > 0, above).otherwise(F.slice(above, 1, 0))
+        grouped = cut(grouped.select("tree", "above", "steps", "height", "of", "levels"), "levels")
+        bit = lambda i, j: F.call_function("shiftright", i, j)
+        beside = lambda i, j: F.struct(bit(i, j).bitwiseAND(F.lit(1)).alias("right"), F.unhex(F.get(F.get(F.col("levels"), j), bit(i, j).bitwiseXOR(F.lit(1)))).alias("hash"))
+        path = lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), lambda j: F.when(j < F.col("steps"), beside(i, j))), lambda s: s.isNotNull())
+        child = F.transform("of", lambda c: F.struct(c["pos"].alias("pos"), F.unhex(c["hash"]).alias("hash"), path(c["pos"].bitwiseAND(F.lit((1 << stride) - 1)).cast("int")).alias("siblings")))
         done = F.col("height") == level + F.col("steps")
-        up = child.select("tree", F.lit(level).alias("level"), F.col("c.pos").alias("pos"), F.col("c.hash").alias("hash"), siblings.alias("siblings"), F.when(~done, F.col("tree")).alias("up_tree"), F.when(~done, level + F.col("steps")).alias("up_level"), F.when(~done, F.col("above")).alias("up_pos"))
+        up_to = lambda c: F.when(~done, c)
+        up = grouped.select("tree", F.lit(level).alias("level"), up_to(F.col("tree")).alias("up_tree"), up_to(level + F.col("steps")).alias("up_level"), up_to(F.col("above")).alias("up_pos"), F.explode(child).alias("c"))
+        up = up.select("tree", "level", "c.pos", "c.hash", "c.siblings", "up_tree", "up_level", "up_pos")
         last = grouped.select("tree", F.col("above").alias("pos"), F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"), (F.col("height") == level + F.col("steps")).alias("done"))
         rows = up if rows is None else rows.unionByName(up)
         top = last.where("done").select("tree", "hash")
@@ -137,24 +140,37 @@ def manifest_of(rows: DataFrame, stride: int = STRIDE) -> Manifest:
 
 _CLIMB = """
 WITH RECURSIVE climb (row, tree, level, pos, folded, proof) AS (
-  SELECT row, tree, 0, pos, folded, CAST('' AS BINARY) FROM {starts}
+  SELECT row, tree, level, pos, folded, proof FROM {starts}
   UNION ALL
-  SELECT c.row, n.up_tree, n.up_level, n.up_pos,
-         aggregate(n.siblings, c.folded, (f, s) -> CASE WHEN s.hash IS NULL THEN sha2(f, 256) WHEN s.right = 1 THEN sha2(concat(s.hash, f), 256) ELSE sha2(concat(f, s.hash), 256) END),
-         concat(c.proof, unhex(array_join(transform(n.siblings, s -> s.hash), '')))
+  SELECT /*+ HINT */ c.row, n.up_tree, n.up_level, n.up_pos,
+         aggregate(n.siblings, c.folded, (f, s) -> CASE WHEN s.hash IS NULL THEN sha2(f, 256) WHEN s.right = 1 THEN sha2(concat(lower(hex(s.hash)), f), 256) ELSE sha2(concat(f, lower(hex(s.hash))), 256) END),
+         aggregate(n.siblings, c.proof, (p, s) -> concat(p, coalesce(s.hash, X'')))
   FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos
 )
-SELECT row, folded, proof FROM climb WHERE tree IS NULL
+SELECT * FROM climb WHERE tree IS NULL OR tree = -1 AND {until} < 64 OR level >= {until}
 """
 
 
 def climb(spark: SparkSession, starts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """starts (row, tree, pos, folded) -> row, folded (at the root), proof (its siblings from below, as bytes)."""
+    """starts (row, tree, pos, folded) -> row, folded (at the root), proof_sha256 (of its siblings from below).
+
+    Near the top all rows meet at few nodes: the levels that have at most MOST_BROADCAST nodes together are
+    broadcast to the rows, the levels below meet them in a shuffle, where a node has few rows."""
+    counts = {r.level: r.n for r in nodes.where(F.col("tree") != TOP).groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a stored level
+    over = nodes.where(F.col("tree") == TOP).count()
+    high = [k for k in sorted(counts) if sum(n for j, n in counts.items() if j >= k) + over <= MOST_BROADCAST]
+    until = min(high, default=max(counts, default=0) + 1)
+    low = (F.col("tree") != TOP) & (F.col("level") < until)
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")  # the rows of all steps count, and these are as many as the table has, times the steps
     try:
-        return cut(spark.sql(_CLIMB, starts=starts, nodes=nodes), "climbed")
+        at = starts.select("row", "tree", F.lit(0).alias("level"), "pos", "folded", F.lit(b"").alias("proof"))
+        if until:
+            at = cut(spark.sql(_CLIMB.replace("HINT", "SHUFFLE_MERGE(n)"), starts=at, nodes=nodes.where(low), until=until), "climbed")
+        hint = "BROADCAST(n)" if over <= MOST_BROADCAST else "SHUFFLE_MERGE(n)"
+        done = spark.sql(_CLIMB.replace("HINT", hint), starts=at, nodes=nodes.where(~low), until=64)
+        return cut(done.select("row", "folded", digest(F.lower(F.hex("proof"))).alias("proof_sha256")), "climbed")
     finally:
         spark.conf.set(key, before)
 
@@ -165,7 +181,7 @@ def verify(spark: SparkSession, manifest: Manifest, now: str = "leaf") -> DataFr
     up = climb(spark, leaves.select("row", "tree", "pos", F.col(now).alias("folded")), manifest.nodes)
     out = leaves.join(up, "row").join(manifest.trees.select("tree", "subroot"), "tree")
     root = F.lit(manifest.root).cast("string")
-    return out.select(*leaves.columns, "subroot", root.alias("root"), digest(F.lower(F.hex("proof"))).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
+    return out.select(*leaves.columns, "subroot", root.alias("root"), "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
 
 
 def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:

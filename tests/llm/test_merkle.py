@@ -50,8 +50,10 @@ def plain(rows):
     return top[-1][0], out
 
 
-@pytest.mark.parametrize(("n", "stride"), [(1, 8), (2, 1), (37, 1), (130, 2), (300, 3), (300, 8)])
-def test_manifest(spark, n, stride):
+@pytest.mark.parametrize(("n", "stride", "most"), [(1, 8, 100), (2, 1, 0), (37, 1, 40), (130, 2, 1 << 16), (300, 3, 90), (300, 8, 9)])
+def test_manifest(spark, monkeypatch, n, stride, most):
+    """most: nodes that may be broadcast, so that the climb changes from shuffles to broadcasts at different levels."""
+    monkeypatch.setattr(M, "MOST_BROADCAST", most)
     rows = [(i if i % 11 else None, [None, "", "web"][i % 3], [None, "en", "", "é", "fr"][i % 5 if n > 2 else 1], None if i % 13 == 5 else i % 1000, t) for i, t in enumerate((texts(n) * 3)[:n])]
     rows += rows[3:5] if n > 5 else []
     d = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars int, text string").withColumn("leaf", F.lit("x")).repartition(3)
@@ -79,7 +81,8 @@ def test_levels_are_linked(spark):
         ends += up is None
         if up is not None and r.siblings:
             s = r.siblings[0]
-            assert up.hash == sha((s.hash or "") + r.hash if s.right else r.hash + (s.hash or ""))
+            own, other = r.hash.hex(), s.hash.hex() if s.hash else ""
+            assert up.hash.hex() == sha(other + own if s.right else own + other)
     assert 1 <= ends <= 2
 
 
