@@ -58,6 +58,11 @@ def tokenize(c: Column, cap: int = MAX_TOKENS) -> Column:
     return F.coalesce(F.slice(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), 1, cap), F.array().cast("array<string>"))
 
 
+def folded_tokens(c: Column, cap: int = MAX_TOKENS) -> Column:
+    """Tokens without accents, as documents, vocabulary and suggestions have them."""
+    return tokenize(fold(c), cap)
+
+
 def token_class(token: Column) -> Column:
     """numeric: digits only; code: letters and digits; word otherwise."""
     return F.when(token.rlike(r"^\p{Nd}+$"), "numeric").when(token.rlike(r"\p{L}") & token.rlike(r"\p{Nd}"), "code").otherwise("word")

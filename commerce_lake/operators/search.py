@@ -4,11 +4,14 @@ Every function takes a table of queries keyed by ``query_id``; one request is on
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.privacy import safe_url
-from ..functions.text import damerau_distance, fuzzy_distance, normalize_query, set_similarity, token_class, tokenize, trigrams
+from ..functions.stem import lexemes, stem_terms
+from ..functions.text import damerau_distance, fold, folded_tokens, fuzzy_distance, normalize_query, set_similarity, token_class, tokenize, trigrams
 from ..sources.store import stored
 from .documents import suggest_terms as suggest_terms_of
 from .intent import extract_intent
@@ -18,7 +21,8 @@ CLASS_WEIGHT = {"sku": 600.0, "exact": 500.0, "prefix": 400.0, "synonym": 300.0,
 FIELD_WEIGHT, STOCK_BOOST = 50.0, 10.0
 MAX_SYNONYMS, MAX_FUZZY, FUZZY_POOL, LEAST_TRIGRAM = 20, 5, 100, 0.3
 SORTS = ("relevance", "price_asc", "price_desc", "newest")
-MAX_PREFIX = 64
+#: Characters of a text's beginnings that are posted.
+HEAD = 64
 
 
 #: The default English stop words.
@@ -43,35 +47,55 @@ def normalize_paging(q: DataFrame) -> DataFrame:
     )
 
 
+def _in_locale(rows: DataFrame, queries: DataFrame, locale: str | None) -> tuple[DataFrame, Column]:
+    """rows with the column _locale, and whether a row counts for a query: one without a locale, or of the query's (its column locale, or the given one)."""
+    rows = rows.withColumn("_locale", F.col("locale") if "locale" in rows.columns else F.lit(None).cast("string")).drop("locale")
+    own = F.col("locale") if "locale" in queries.columns else F.lit(locale).cast("string")
+    return rows, F.col("_locale").isNull() | F.coalesce(F.col("_locale") == own, F.lit(False))
+
+
 def plan_tokens(queries: DataFrame, stopwords: DataFrame | None = None, locale: str | None = None) -> DataFrame:
     """query_id, query -> query_id, pos, token, n_tokens of the kept tokens (all, if every token is a stop word), and the query as typed (raw).
 
-    stopwords: word, mode (add or remove), locale (null for all); a removal wins."""
-    q = queries.select("query_id", F.lower(F.trim("query")).alias("raw"), tokenize(F.col("query")).alias("tokens"))
-    t = q.select("query_id", "raw", F.posexplode("tokens").alias("pos", "token"))
+    Tokens have no accents.  stopwords: word, mode (add or remove), locale (null for all); a removal wins.
+    A column locale of the queries takes the place of the argument."""
+    own = ["locale"] if "locale" in queries.columns else []
+    q = queries.select("query_id", *own, F.lower(F.trim("query")).alias("raw"), folded_tokens(F.col("query")).alias("tokens"))
+    t = q.select("query_id", *own, "raw", F.posexplode("tokens").alias("pos", "token"))
     if stopwords is not None:
-        scope = F.col("locale").isNull() if locale is None else F.col("locale").isNull() | (F.col("locale") == locale)
-        words = stopwords.where(scope).groupBy(F.col("word").alias("token")).agg(F.bool_and(F.col("mode") == "add").alias("stop")).where("stop")
-        t = t.join(words, "token", "left")
+        words, counts = _in_locale(stopwords, queries, locale)
+        words = words.select(fold(F.col("word")).alias("token"), "mode", "_locale").distinct()
+        met = t.join(words, "token").where(counts).groupBy("query_id", "pos").agg(F.bool_and(F.col("mode") == "add").alias("stop")).where("stop")
+        t = t.join(met, ["query_id", "pos"], "left")
         kept = F.count_if(F.col("stop").isNull()).over(Window.partitionBy("query_id"))
         t = t.withColumn("_kept", kept).where("stop is null or _kept = 0")
     w = Window.partitionBy("query_id")
     return t.select("query_id", (F.row_number().over(w.orderBy("pos")) - 1).alias("pos"), "token", F.count("*").over(w).alias("n_tokens"), "raw")
 
 
-def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_SYNONYMS) -> DataFrame:
-    """query_id, tokens (array) and rules (kind, from_term, terms, created_at) -> query_id, expansion, n, truncated.
+def removed_stopwords(queries: DataFrame, stopwords: DataFrame, locale: str | None = None) -> DataFrame:
+    """query_id, removed: the stop words taken out of each query, in order."""
+    every, kept = plan_tokens(queries), plan_tokens(queries, stopwords, locale)
+    gone = every.join(kept.select("query_id", "token"), ["query_id", "token"], "left_anti")
+    return gone.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("removed"))
 
-    The first run of tokens equal to a trigger is replaced; the query's n-grams meet the triggers in an equi-join."""
-    two = synonyms.where("kind = 'two_way'")
-    pairs = two.select("created_at", F.posexplode("terms").alias("i", "trigger"), "terms").select("created_at", "trigger", F.posexplode("terms").alias("j", "replacement"))
-    one = synonyms.where("kind = 'one_way'").select("created_at", F.col("from_term").alias("trigger"), F.posexplode("terms").alias("j", "replacement"))
-    rules = pairs.unionByName(one).where("trigger <> replacement").select("created_at", "j", F.array_join(tokenize(F.col("trigger")), " ").alias("trigger"), tokenize(F.col("replacement")).alias("replacement"))
+
+def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_SYNONYMS, locale: str | None = None) -> DataFrame:
+    """query_id, tokens (array, folded) and rules (kind, from_term, terms, created_at, locale) -> query_id, expansion, n, truncated.
+
+    Rules with a locale count for queries of that locale only. The first run of tokens equal to a trigger is replaced; the query's n-grams meet the triggers in an equi-join."""
+    synonyms, counts = _in_locale(synonyms, queries, locale)
+    own = ["locale"] if "locale" in queries.columns else []
+    two = synonyms.where("kind = 'two_way'").select("created_at", "_locale", F.posexplode("terms").alias("i", "trigger"), "terms")
+    pairs = two.select("created_at", "_locale", "trigger", F.posexplode("terms").alias("j", "replacement"))
+    one = synonyms.where("kind = 'one_way'").select("created_at", "_locale", F.col("from_term").alias("trigger"), F.posexplode("terms").alias("j", "replacement"))
+    rules = pairs.unionByName(one).where("trigger <> replacement")
+    rules = rules.select("created_at", "_locale", "j", F.array_join(folded_tokens(F.col("trigger")), " ").alias("trigger"), folded_tokens(F.col("replacement")).alias("replacement"))
     n = F.size("tokens")
-    spans = queries.where(n > 0).select("query_id", "tokens", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(i.alias("start"), k.alias("size")))))).alias("s"))
-    spans = spans.select("query_id", "tokens", "s.start", "s.size", F.array_join(F.slice("tokens", F.col("s.start"), F.col("s.size")), " ").alias("trigger"))
-    first = spans.groupBy("query_id", "trigger").agg(F.min(F.struct("start", "size")).alias("s"), F.first("tokens").alias("tokens"))
-    hit = first.join(rules, "trigger")
+    spans = queries.where(n > 0).select("query_id", *own, "tokens", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(i.alias("start"), k.alias("size")))))).alias("s"))
+    spans = spans.select("query_id", *own, "tokens", "s.start", "s.size", F.array_join(F.slice("tokens", F.col("s.start"), F.col("s.size")), " ").alias("trigger"))
+    first = spans.groupBy("query_id", *own, "trigger").agg(F.min(F.struct("start", "size")).alias("s"), F.first("tokens").alias("tokens"))
+    hit = first.join(rules, "trigger").where(counts)
     rebuilt = F.concat(F.slice("tokens", F.lit(1), F.col("s.start") - 1), F.col("replacement"), F.slice("tokens", F.col("s.start") + F.col("s.size"), F.greatest(F.size("tokens"), F.lit(1))))
     out = hit.select("query_id", F.array_join(rebuilt, " ").alias("expansion"), F.array_join("tokens", " ").alias("original"), F.struct("created_at", "trigger", "j").alias("o")).where("expansion <> original")
     out = out.groupBy("query_id", "expansion").agg(F.min("o").alias("o"))
@@ -137,42 +161,98 @@ def for_each_query(pages: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def starting_with(prefixes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct prefixes (prefix) and the texts (text) that start with them: an equi-join on the beginnings of each text."""
-    size = F.least(F.length("text"), F.lit(MAX_PREFIX))
-    heads = texts.select("text").distinct().where("text <> ''").select("text", F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.substring("text", F.lit(1), n))).alias("prefix"))
-    return prefixes.select("prefix").distinct().join(heads, "prefix")
+    """Distinct prefixes (prefix) and the texts (text) that start with them: an equi-join on the beginnings of each text.
 
+    Beginnings of up to HEAD characters are posted; a longer prefix meets the texts with its first HEAD and is then compared whole."""
+    size = F.least(F.length("text"), F.lit(HEAD))
+    heads = texts.select("text").distinct().where("text <> ''").select("text", F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.substring("text", F.lit(1), n))).alias("_head"))
+    asked = prefixes.select("prefix").distinct().withColumn("_head", F.substring("prefix", 1, HEAD))
+    return asked.join(heads, "_head").where("startswith(text, prefix)").select("prefix", "text")
 
-def match(tokens: DataFrame, postings: DataFrame, docs: DataFrame, level: str = "primary") -> DataFrame:
-    """query_id, product_id with branch flags sku, exact, prefix, partial and the field score.
 
-    tokens: query_id, pos, token, n_tokens and, for a SKU in the query as it was typed, raw.  Terms meet
-    tokens in an equi-join; the last token is also a prefix, of one character or more, that meets the
-    beginnings of all terms.  All tokens must be found (primary) or any (partial)."""
-    terms = postings.groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+def sku_hits(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, product_id of the products with a SKU that is the whole query as it was typed, in any case."""
+    skus = docs.select("product_id", F.explode(F.split(F.lower("sku_text"), " ")).alias("raw")).distinct()
+    return tokens.select("query_id", "raw").distinct().join(skus, "raw").select("query_id", "product_id")
+
+
+class Matcher(NamedTuple):
+    """Queries as forms over lexemes, and the lexemes' documents.
+
+    alts: query_id, form, pos, lexeme, last, n_pos: form 0 is the query, whose last token is also a prefix, forms from 1 are
+    synonym expansions, form -1 has the corrections of each position beside its token.  wanted: query_id, lexeme, own: what counts for the
+    field score, and whether it is a token of the query.  terms: product_id, term, weight.  met: lexeme, last, product_id, whole."""
+
+    alts: DataFrame
+    wanted: DataFrame
+    terms: DataFrame
+    met: DataFrame
+    skus: DataFrame
+
+
+def matcher(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, vocab: DataFrame | None = None, synonyms: DataFrame | None = None) -> Matcher:
+    """Documents, query tokens, corrections and synonyms go through one analyzer: accents folded, then stemmed by a dictionary of distinct terms."""
+    tokens = stored(plan_tokens(queries, stopwords), "tokens")
+    last = F.col("pos") == F.col("n_tokens") - 1
+    alts = tokens.select("query_id", F.lit(0).alias("form"), "pos", "token", last.alias("last"), F.col("n_tokens").alias("n_pos"))
+    wanted = tokens.select("query_id", "token", F.lit(True).alias("own"))
+    if synonyms is not None:
+        whole = tokens.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+        own = ["locale"] if "locale" in queries.columns else []
+        forms = expand_synonyms(whole.join(queries.select("query_id", *own), "query_id") if own else whole, synonyms)
+        forms = forms.select("query_id", F.col("n").alias("form"), tokenize(F.col("expansion")).alias("t")).select("query_id", "form", F.posexplode("t").alias("pos", "token"), F.lit(False).alias("last"), F.size("t").cast("long").alias("n_pos"))
+        alts = alts.unionByName(forms)
+        wanted = wanted.unionByName(forms.select("query_id", "token", F.lit(False).alias("own")))
+    if vocab is not None:
+        fixes = stored(fuzzy_candidates(tokens, vocab), "fixes")
+        fixed = tokens.join(fixes.select("token", "term"), "token")
+        as_form = lambda df, c: df.select("query_id", F.lit(-1).alias("form"), "pos", F.col(c).alias("token"), F.lit(False).alias("last"), F.col("n_tokens").alias("n_pos"))
+        beside = tokens.join(fixed.select("query_id").distinct(), "query_id", "left_semi")
+        alts = alts.unionByName(as_form(beside, "token")).unionByName(as_form(fixed, "term"))
+        wanted = wanted.unionByName(fixed.select("query_id", F.col("term").alias("token"), F.lit(False).alias("own")))
+    alts = stored(alts, "alts")
+    names = stored(lexemes(alts, "token"), "lexemes")
+    alts = stored(alts.join(names, "token").select("query_id", "form", "pos", "lexeme", "last", "n_pos").distinct(), "alts")
+    wanted = stored(wanted.join(names, "token").groupBy("query_id", "lexeme").agg(F.bool_or("own").alias("own")), "wanted")
+    terms = stem_terms(postings.join(docs.select("product_id"), "product_id", "left_semi"))
+    terms = stored(terms.groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight")), "terms")
+    asked = alts.select("lexeme", "last").distinct()
+    longer = starting_with(asked.where("last").select(F.col("lexeme").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix")
+    forms = asked.withColumn("term", F.col("lexeme")).unionByName(longer.select(F.col("prefix").alias("lexeme"), F.lit(True).alias("last"), F.col("text").alias("term")))
+    met = forms.join(terms, "term").groupBy("lexeme", "last", "product_id").agg(F.bool_or(F.col("lexeme") == F.col("term")).alias("whole"))
+    return Matcher(alts, wanted, terms, stored(met, "met"), sku_hits(tokens, docs))
+
+
+FLAGS = ("sku", "exact", "prefix", "synonym", "fuzzy")
+
+
+def primary_matches(m: Matcher) -> DataFrame:
+    """query_id, product_id, the flags sku, exact, prefix, synonym, fuzzy, and the field score of the documents that have every position of a form.
+
+    A form starts from the documents of its rarest position, and only these are looked up under its other positions, so that a
+    frequent token never meets all documents for a query that needs all of its tokens."""
+    often = m.met.groupBy("lexeme", "last").agg(F.count("*").alias("times"))
+    cost = m.alts.join(often, ["lexeme", "last"], "left").groupBy("query_id", "form", "pos").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"))
+    rarest = cost.groupBy("query_id", "form").agg(F.min_by("pos", F.struct("times", "pos")).alias("pos"))
+    start = m.alts.join(rarest, ["query_id", "form", "pos"]).join(m.met.select("lexeme", "last", "product_id"), ["lexeme", "last"]).select("query_id", "form", "product_id").distinct()
     bit = F.expr("shiftleft(1L, pos)")
-    equal = tokens.join(terms, F.col("token") == F.col("term")).select("query_id", "product_id", bit.alias("bit"), "n_tokens", "weight", F.lit(True).alias("whole"))
-    last = tokens.where("pos = n_tokens - 1")
-    longer = starting_with(last.select(F.col("token").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix").select(F.col("prefix").alias("token"), F.col("text").alias("term"))
-    starts = last.join(longer, "token").join(terms, "term").select("query_id", "product_id", bit.alias("bit"), "n_tokens", F.lit(0.0).alias("weight"), F.lit(False).alias("whole"))
-    hits = equal.unionByName(starts).groupBy("query_id", "product_id").agg(
-        F.max("n_tokens").alias("n_tokens"), F.bit_count(F.bit_or("bit")).alias("found"), F.bit_count(F.bit_or(F.when(F.col("whole"), F.col("bit")).otherwise(F.lit(0).cast("long")))).alias("whole"), F.sum("weight").alias("field_score")
+    found = start.join(m.alts, ["query_id", "form"]).join(m.met, ["lexeme", "last", "product_id"]).groupBy("query_id", "form", "product_id").agg(
+        F.max("n_pos").alias("n_pos"), F.bit_count(F.bit_or(bit)).alias("found"), F.bit_count(F.bit_or(F.when(F.col("whole"), bit).otherwise(F.lit(0).cast("long")))).alias("whole")
     )
-    sku = docs.select("product_id", F.explode(F.split(F.lower("sku_text"), " ")).alias("token")).distinct()
-    one = tokens.groupBy("query_id").agg(F.first("raw").alias("token")) if "raw" in tokens.columns else tokens.where("n_tokens = 1").select("query_id", "token")
-    sku = one.join(sku, "token").select("query_id", "product_id", F.lit(True).alias("sku"))
-    m = hits.join(sku, ["query_id", "product_id"], "full_outer")
-    full = F.coalesce(F.col("found") == F.col("n_tokens"), F.lit(False))
-    exact = F.coalesce(F.col("whole") == F.col("n_tokens"), F.lit(False))
-    m = m.select("query_id", "product_id", F.coalesce("sku", F.lit(False)).alias("sku"), exact.alias("exact"), (full & ~exact).alias("prefix"), F.coalesce("field_score", F.lit(0.0)).alias("field_score"))
-    return m.where("sku or exact or prefix") if level == "primary" else m
+    full = found.where("found = n_pos").groupBy("query_id", "product_id").agg(
+        F.bool_or((F.col("form") == 0) & (F.col("whole") == F.col("n_pos"))).alias("exact"), F.bool_or((F.col("form") == 0) & (F.col("whole") < F.col("n_pos"))).alias("prefix"), F.bool_or(F.col("form") > 0).alias("synonym"), F.bool_or(F.col("form") < 0).alias("fuzzy")
+    )
+    both = full.join(m.skus.withColumn("sku", F.lit(True)), ["query_id", "product_id"], "full_outer")
+    both = stored(both.select("query_id", "product_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in FLAGS]), "primary")
+    field = both.select("query_id", "product_id").join(m.wanted.select("query_id", F.col("lexeme").alias("term")), "query_id").join(m.terms, ["term", "product_id"]).groupBy("query_id", "product_id").agg(F.sum("weight").alias("field_score"))
+    return both.join(field, ["query_id", "product_id"], "left").na.fill({"field_score": 0.0}).withColumn("level", F.lit("primary"))
 
 
-def resolve_level(matched: DataFrame) -> DataFrame:
-    """Rows of each query's narrowest level with a hit: full matches, or any match where there is none."""
-    primary = F.col("sku") | F.col("exact") | F.col("prefix")
-    best = F.max(primary).over(Window.partitionBy("query_id"))
-    return matched.withColumn("_best", best).where(~F.col("_best") | primary).withColumn("level", F.when(F.col("_best"), "primary").otherwise("partial")).drop("_best")
+def partial_matches(m: Matcher, queries: DataFrame) -> DataFrame:
+    """The same columns for the documents that have any whole token of the queries (query_id)."""
+    some = m.wanted.join(queries.select("query_id"), "query_id", "left_semi").withColumnRenamed("lexeme", "term").join(m.terms, "term")
+    some = some.groupBy("query_id", "product_id").agg(F.sum("weight").alias("field_score"), F.bool_or("own").alias("own")).where("own")
+    return some.select("query_id", "product_id", *[F.lit(False).alias(c) for c in FLAGS], "field_score", F.lit("partial").alias("level"))
 
 
 def relevance(matched: DataFrame, docs: DataFrame) -> DataFrame:
@@ -191,45 +271,11 @@ def relevance(matched: DataFrame, docs: DataFrame) -> DataFrame:
     return m.withColumn("score", total)
 
 
-def _all_found(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(query_id, product_id) where every token of one form of the query is a term of the document."""
-    n = tokens.groupBy(*keys).agg(F.count_distinct("token").alias("n_tokens"))
-    hit = tokens.select(*keys, "token").distinct().join(terms.select("product_id", F.col("term").alias("token")), "token").groupBy(*keys, "product_id").agg(F.count("*").alias("found"))
-    return hit.join(n, keys).where("found = n_tokens").select("query_id", "product_id").distinct()
-
-
 def search_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vocab: DataFrame, synonyms: DataFrame, stopwords: DataFrame | None = None, limit: int = 24) -> DataFrame:
     """search_batch with synonym and typo forms: class is the first true of sku, exact, prefix, synonym, fuzzy, partial.
 
     The field score counts the terms of the kept tokens, of all corrections and of all synonym forms."""
-    queries, same = distinct_queries(queries)
-    m = match_expanded(queries, docs, postings, vocab, synonyms, stopwords)
-    return for_each_query(rank_page(relevance(narrowest(m), docs), limit), same)
-
-
-def narrowest(m: DataFrame) -> DataFrame:
-    """Rows of each query's narrowest level with a hit."""
-    primary = F.col("sku") | F.col("exact") | F.col("prefix") | F.col("synonym") | F.col("fuzzy")
-    best = F.max(primary).over(Window.partitionBy("query_id"))
-    return m.withColumn("_best", best).where(~F.col("_best") | primary).withColumn("level", F.when(F.col("_best"), "primary").otherwise("partial")).drop("_best")
-
-
-def match_expanded(queries: DataFrame, docs: DataFrame, postings: DataFrame, vocab: DataFrame, synonyms: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
-    """query_id, product_id with flags sku, exact, prefix, synonym, fuzzy and the field score, at every level."""
-    terms = postings.join(docs.select("product_id"), "product_id", "left_semi").groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
-    tokens = plan_tokens(queries, stopwords)
-    as_posting = terms.select("product_id", "term", "weight", F.lit(1).alias("n"))
-    main = match(tokens, as_posting, docs, level="partial").select("query_id", "product_id", "sku", "exact", "prefix")
-    forms = expand_synonyms(queries.select("query_id", tokenize(F.col("query")).alias("tokens")), synonyms)
-    syn = forms.select("query_id", "n", F.explode(tokenize(F.col("expansion"))).alias("token"))
-    fixes = fuzzy_candidates(tokens, vocab)
-    typo = tokens.join(fixes.where("rank = 1").select("token", "term"), "token", "left").groupBy("query_id").agg(F.count("term").alias("fixed"), F.collect_list(F.coalesce("term", "token")).alias("t")).where("fixed > 0").select("query_id", F.explode("t").alias("token"))
-    flag = lambda df, name: df.select("query_id", "product_id", *[F.lit(c == name).alias(c) for c in ("sku", "exact", "prefix", "synonym", "fuzzy")])
-    rows = main.withColumn("synonym", F.lit(False)).withColumn("fuzzy", F.lit(False)).unionByName(flag(_all_found(syn, terms, ["query_id", "n"]), "synonym")).unionByName(flag(_all_found(typo, terms, ["query_id"]), "fuzzy"))
-    m = rows.groupBy("query_id", "product_id").agg(*[F.bool_or(c).alias(c) for c in ("sku", "exact", "prefix", "synonym", "fuzzy")])
-    wanted = tokens.select("query_id", "token").unionByName(syn.select("query_id", "token")).unionByName(tokens.join(fixes, "token").select("query_id", F.col("term").alias("token"))).distinct()
-    field = wanted.join(terms, F.col("token") == F.col("term")).groupBy("query_id", "product_id").agg(F.sum("weight").alias("field_score"))
-    return m.join(field, ["query_id", "product_id"], "left").na.fill({"field_score": 0.0})
+    return search_batch(queries, docs, postings, stopwords, limit, vocab, synonyms)
 
 
 def explain_scores(scored: DataFrame) -> DataFrame:
@@ -482,60 +528,29 @@ def in_collection(docs: DataFrame, memberships: DataFrame, collections: DataFram
 
 
 def suggest(prefixes: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, text, type, rank: texts that start with the prefix (any case), one for each lower-cased text."""
+    """query_id, text, type, rank: texts that start with the prefix, whatever their case and accents, one for each lower-cased text."""
     kind = F.when(F.col("type") == "title", 0).when(F.col("type") == "productType", 1).when(F.col("type") == "vendor", 2).otherwise(3)
-    t = terms.select("type", "text", F.lower("text").alias("low"), kind.alias("kind"))
-    q = prefixes.select("query_id", F.lower(F.trim("query")).alias("prefix")).where("prefix <> ''")
-    texts = t.groupBy("low").agg(F.min(F.struct("kind", "text", "type")).alias("b"))
-    found = starting_with(q.select(F.substring("prefix", 1, MAX_PREFIX).alias("prefix")), texts.select(F.col("low").alias("text"))).select(F.col("prefix").alias("head"), F.col("text").alias("low"))
-    whole = q.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, MAX_PREFIX)).join(found, "head").where("startswith(low, prefix)").join(texts, "low")
+    q = prefixes.select("query_id", fold(F.trim("query")).alias("prefix")).where("prefix <> ''")
+    texts = terms.select("type", "text", F.lower("text").alias("low"), kind.alias("kind")).groupBy("low").agg(F.min(F.struct("kind", "text", "type")).alias("b")).withColumn("folded", fold(F.col("low")))
+    whole = starting_with(q.select("prefix"), texts.select(F.col("folded").alias("text"))).withColumnRenamed("text", "folded").join(texts, "folded")
     w = Window.partitionBy("prefix").orderBy("b.kind", F.length("b.text"), "b.text")
     best = whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     return q.join(best, "prefix").select("query_id", "b.text", "b.type", "rank")
 
 
-def search_batch(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, limit: int = 24) -> DataFrame:
-    """Text search for all queries at once: rewrite, match, narrowest level, rank."""
+def search_batch(
+    queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, limit: int = 24, vocab: DataFrame | None = None, synonyms: DataFrame | None = None
+) -> DataFrame:
+    """Text search for all queries at once: rewrite, match, narrowest level, rank. With vocab and synonyms, corrections and synonym forms match as well."""
     queries, same = distinct_queries(queries)
-    return for_each_query(rank_page(relevance(matched_level(queries, docs, postings, stopwords), docs), limit), same)
-
-
-def matched_level(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
-    """The documents of each query's narrowest level, with the columns of match and the level.
-
-    Postings are read once for each distinct token.  A query starts from the documents of its rarest
-    token, and only these are looked up under its other tokens; any match counts only for queries
-    without a full one, so that a frequent token never meets all documents for a query that needs all of its tokens."""
-    tokens = stored(plan_tokens(queries, stopwords).withColumn("last", F.col("pos") == F.col("n_tokens") - 1), "tokens")
-    terms = postings.join(docs.select("product_id"), "product_id", "left_semi").groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
-    terms = stored(terms, "terms")
-    asked = tokens.select("token", "last").distinct()
-    longer = starting_with(asked.where("last").select(F.col("token").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix")
-    forms = asked.withColumn("term", F.col("token")).unionByName(longer.select(F.col("prefix").alias("token"), F.lit(True).alias("last"), F.col("text").alias("term")))
-    whole = F.col("token") == F.col("term")
-    met = forms.join(terms, "term").groupBy("token", "last", "product_id").agg(F.bool_or(whole).alias("whole"), F.sum(F.when(whole, F.col("weight")).otherwise(0.0)).alias("weight"))
-    met = stored(met, "met")
-    often = met.groupBy("token", "last").agg(F.count("*").alias("times"))
-    rarest = tokens.join(often, ["token", "last"], "left").groupBy("query_id").agg(F.min_by("pos", F.struct(F.coalesce("times", F.lit(0).cast("long")), "pos")).alias("pos"))
-    start = tokens.join(rarest, ["query_id", "pos"]).join(met.select("token", "last", "product_id"), ["token", "last"]).select("query_id", "product_id")
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("query_id", "product_id").agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("found"), F.count_if("whole").alias("whole"), F.sum("weight").alias("field_score"))
-
-    full = counted(start.join(tokens.select("query_id", "token", "last", "n_tokens"), "query_id").join(met, ["token", "last", "product_id"])).where("found = n_tokens")
-    skus = docs.select("product_id", F.explode(F.split(F.lower("sku_text"), " ")).alias("raw")).distinct()
-    sku = tokens.select("query_id", "raw").distinct().join(skus, "raw").select("query_id", "product_id", F.lit(True).alias("sku"))
-    primary = full.join(sku, ["query_id", "product_id"], "full_outer")
-    exact = F.coalesce(F.col("whole") == F.col("n_tokens"), F.lit(False))
-    primary = stored(
-        primary.select("query_id", "product_id", F.coalesce("sku", F.lit(False)).alias("sku"), exact.alias("exact"), (F.col("found").isNotNull() & ~exact).alias("prefix"), "field_score", F.lit("primary").alias("level")), "primary"
-    )
-    # the field score of a document that only its SKU brought in counts the tokens that it has
-    lone = primary.where("field_score is null").select("query_id", "product_id").join(tokens, "query_id").join(met, ["token", "last", "product_id"], "left").groupBy("query_id", "product_id").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("some"))
-    primary = primary.join(lone, ["query_id", "product_id"], "left").withColumn("field_score", F.coalesce("field_score", "some", F.lit(0.0))).drop("some")
-    rest = tokens.join(primary.select("query_id").distinct(), "query_id", "left_anti")
-    partial = counted(rest.join(met, ["token", "last"])).select("query_id", "product_id", *[F.lit(False).alias(c) for c in ("sku", "exact", "prefix")], "field_score", F.lit("partial").alias("level"))
-    return primary.unionByName(partial)
+    return for_each_query(rank_page(relevance(matched_level(queries, docs, postings, stopwords, vocab, synonyms), docs), limit), same)
+
+
+def matched_level(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, vocab: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """The documents of each query's narrowest level: full matches, or any match for queries without one."""
+    m = matcher(queries, docs, postings, stopwords, vocab, synonyms)
+    primary = stored(primary_matches(m), "matched")
+    return primary.unionByName(partial_matches(m, queries.select("query_id").join(primary.select("query_id"), "query_id", "left_anti")))
 
 
 def strategy_label(page: DataFrame, queries: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -593,18 +608,29 @@ def storefront(
     tokens = asked.select("query_id", F.size(tokenize(F.col("text"))).alias("n"))
     has_text = tokens.where("n > 0").select("query_id")
     texts, same = distinct_queries(asked.join(has_text, "query_id", "left_semi").select("query_id", F.col("text").alias("query")))
-    found = for_each_query(stored(match_expanded(texts, docs, postings, vocab, synonyms, stopwords), "found"), same)
-    flags = ["sku", "exact", "prefix", "synonym", "fuzzy"]
+    texts, same = stored(texts, "texts"), stored(same, "same")
+    reader = matcher(texts, docs, postings, stopwords, vocab, synonyms)
+    flags = list(FLAGS)
     scoped_docs = None if memberships is None else asked.where("collection_gid is not null").select("query_id", "collection_gid").join(memberships, "collection_gid").select("query_id", "product_id").distinct()
-    if scoped_docs is not None:
-        free = asked.where("collection_gid is null").select("query_id")
-        found = found.join(free, "query_id", "left_semi").unionByName(found.join(scoped_docs, ["query_id", "product_id"], "left_semi"))
     filters = asked.select("query_id", *LISTS.values(), "want_available", "price_lo", "price_hi")
     own = _doc_columns(docs)
-    hits = facet_filter(filter_flags(found.join(filters, "query_id").join(own, "product_id"))).select("query_id", "product_id", *flags, "field_score")
-    if hidden is not None:
-        hits = hide_products(hits, hidden)
-    hits = stored(narrowest(hits), "hits")
+    free = asked.where("collection_gid is null").select("query_id")
+
+    def in_scope(rows: DataFrame) -> DataFrame:
+        return rows if scoped_docs is None else rows.join(free, "query_id", "left_semi").unionByName(rows.join(scoped_docs, ["query_id", "product_id"], "left_semi"))
+
+    def passing(rows: DataFrame) -> DataFrame:
+        kept = facet_filter(filter_flags(rows.join(filters, "query_id").join(own, "product_id"))).select(rows.columns)
+        return kept if hidden is None else hide_products(kept, hidden)
+
+    # any match counts only for requests whose full matches do not pass their filters
+    full = stored(in_scope(for_each_query(stored(primary_matches(reader), "primary"), same)), "full")
+    full_hits = stored(passing(full), "hits")
+    left = has_text.join(full_hits.select("query_id").distinct(), "query_id", "left_anti")
+    some = partial_matches(reader, same.join(left, "query_id", "left_semi").select(F.col("of").alias("query_id")).distinct())
+    some = stored(in_scope(for_each_query(some, same.join(left, "query_id", "left_semi"))), "some")
+    hits = stored(full_hits.unionByName(passing(some)), "hits")
+    levelled = full.join(full_hits.select("query_id").distinct(), "query_id", "left_semi").unionByName(some).select("query_id", "product_id")
     browse = asked.join(has_text, "query_id", "left_anti").select(filters.columns + ["collection_gid"])
     open_ = browse if scoped_docs is None else browse.where("collection_gid is null")
     seen = facet_matches(open_, docs)
@@ -641,9 +667,7 @@ def storefront(
     page = page.select(F.col("request_id").alias("query_id"), "product_id", "title", "match_class", "score", "rank")
 
     scoped = chosen.join(has_text.withColumn("_text", F.lit(True)), "query_id", "left").withColumn("scoped", F.coalesce("_text", F.lit(False)) | F.col("collection_gid").isNotNull())
-    # a facet leaves its own filter out: it counts the level that the request's products have
-    text_level = hits.select("query_id", "level").distinct()
-    levelled = found.join(text_level, "query_id").where("level = 'partial' or sku or exact or prefix or synonym or fuzzy").select("query_id", "product_id")
+    # a facet leaves its own filter out: it counts the documents of the level that the request's products have (levelled)
     if scoped_docs is not None:
         levelled = levelled.unionByName(scoped_docs.join(has_text, "query_id", "left_anti"))
     counts = facets(scoped.select("query_id", "scoped", *LISTS.values(), "want_available", "price_lo", "price_hi"), docs, top, matches=levelled, hidden=hidden)

