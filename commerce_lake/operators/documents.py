@@ -153,7 +153,7 @@ def refresh_docs(docs: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> Dat
     return docs.join(changed, "product_id", "left_anti").unionByName(rebuilt.join(changed, "product_id", "left_semi"))
 
 
-def catch_up(docs: DataFrame, products: DataFrame, rebuild: Callable[[DataFrame], DataFrame], snapshot: datetime, margin: timedelta = timedelta(minutes=5)) -> DataFrame:
+def catch_up(docs: DataFrame, products: DataFrame, rebuild: Callable[[DataFrame], DataFrame], snapshot: datetime, margin: timedelta = timedelta(seconds=5)) -> DataFrame:
     """A build's documents brought up to date: products changed since its snapshot, less a margin for clocks, are projected again.
 
     products have updated_at; rebuild makes the documents of the products it is given. Deleted products lose theirs."""

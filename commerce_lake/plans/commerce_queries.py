@@ -221,6 +221,8 @@ def _raw(spark, sf_dir):
         "productGid": F.when(k % 13 == 0, "nope").when(k % 3 == 0, F.concat(F.lit("gid://store/Product/"), F.repeat((k % 10).cast("string"), (k % 25).cast("int")))),
         "resultCount": F.when(k % 5 == 0, F.col("value").cast("string")).when(k % 5 == 1, "-1"), "position": F.when(k % 17 == 0, "x").when(k % 2 == 0, (k % 200000).cast("string")),
         "experimentId": F.when(k % 9 == 0, F.lit("0F8FAD5B-d9cb-469f-a165-70867728950e")).when(k % 9 == 1, "0f8fad5b"), "variant": F.when(k % 6 < 4, one_of(("A", "B", "control", "C", "", "a"))), "extra": F.when(k % 19 == 0, "1"),
+        "query": F.when(k % 4 == 0, F.concat(F.lit("Red, Widget! buyer"), k, F.lit("@example.org"))).when(k % 4 == 2, "Red  Widget!"),
+        "properties": F.struct(k.alias("n"), F.concat(F.lit("mail buyer"), k, F.lit("@example.org")).alias("note"), (k % 2 == 0).alias("ok"), F.struct(k.alias("a")).alias("nested"), F.array(k).alias("list"), F.lit(1).alias("odd key")),
     }
     json = F.when(k % 23 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct(*[v.alias(n) for n, v in fields.items()])))
     return I.read_events(e.select("event_id", (k % 97).alias("batch_id"), k.alias("seq"), json.alias("json"))).drop("json")
@@ -233,9 +235,10 @@ _VALID = """(event_id % 23 <> 0 AND event_id % 19 <> 0 AND event_id % 12 < 10 AN
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 4 = 1 THEN user_id::VARCHAR END AS session_id, CASE WHEN event_id % 5 = 0 THEN floor(value)::INTEGER END AS result_count, CASE WHEN event_id % 2 = 0 THEN (event_id % 200000)::INTEGER END AS position,
- CASE WHEN event_id % 6 < 3 THEN (['A','B','control'])[event_id % 6 + 1] END AS variant FROM events WHERE {_VALID}""")
+ CASE WHEN event_id % 6 < 3 THEN (['A','B','control'])[event_id % 6 + 1] END AS variant, CASE event_id % 4 WHEN 0 THEN 'red widget [redacted]' WHEN 2 THEN 'red widget' END AS query_norm, event_id % 4 = 0 AS query_redacted,
+ '{{"n":' || event_id || ',"note":"mail [redacted]","ok":' || (event_id % 2 = 0) || '}}' AS properties FROM events WHERE {_VALID}""")
 def validate_events(spark, sf_dir):
-    return I.validate_events(_raw(spark, sf_dir))[0].select("event_id", "session_id", "result_count", "position", "variant")
+    return I.validate_events(_raw(spark, sf_dir))[0].select("event_id", "session_id", "result_count", "position", "variant", "query_norm", "query_redacted", "properties")
 
 
 @query(f"WITH r AS (SELECT event_id % 97 AS batch_id, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) <= 20 AND {_VALID} AS ok FROM events) SELECT batch_id, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS rejected FROM r GROUP BY 1")

@@ -82,7 +82,7 @@ def _rules(spark) -> DataFrame:
 
 
 _SYN = """r(created_at, j, "trigger", replacement) AS (VALUES (1,1,'widget','gadget thing'),(1,2,'widget','gizmo'),(1,0,'gadget thing','widget'),(1,2,'gadget thing','gizmo'),(1,0,'gizmo','widget'),(1,1,'gizmo','gadget thing'),(2,0,'small ring','tiny band'),(3,0,'rod','pole'),(3,1,'rod','stick')),
-sh AS (SELECT query_id, created_at, "trigger", j, array_to_string(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+'), ' ') AS qn, replacement FROM ql, r),
+sh AS (SELECT query_id, created_at, "trigger", j, qn, replacement FROM (SELECT query_id, string_agg(token, ' ' ORDER BY pos) AS qn FROM tok GROUP BY 1), r),
 sx AS (SELECT *, instr(' ' || qn || ' ', ' ' || trigger || ' ') AS start_at FROM sh), se AS (SELECT query_id, created_at, trigger, j, trim(substr(' ' || qn || ' ', 1, start_at) || replacement || substr(' ' || qn || ' ', start_at + 1 + len(trigger))) AS expansion, qn FROM sx WHERE start_at > 0),
 sg AS (SELECT query_id, expansion, min((created_at, trigger, j)) AS o FROM se WHERE expansion <> qn GROUP BY ALL),
 syn AS (SELECT query_id, expansion, row_number() OVER (PARTITION BY query_id ORDER BY o, expansion)::INTEGER AS n, count(*) OVER (PARTITION BY query_id) > 20 AS truncated FROM sg)"""
@@ -189,7 +189,7 @@ def sku_hit(spark, sf_dir):
 
 
 _FZ_TAIL = _FUZZY.split(", o AS (", 1)[1]
-_EXPANDED = f"""{_SEARCH}, {_SYN}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(search_text), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1), o AS ({_FZ_TAIL},
+_EXPANDED = f"""{_SEARCH}, {_SYN}, vocab AS (SELECT term, count(*) AS doc_freq, regexp_full_match(term, '[0-9]+') AS is_numeric FROM (SELECT unnest(list_distinct(regexp_extract_all(strip_accents(lower(search_text)), '[a-z0-9]+'))) AS term FROM vis) WHERE len(term) >= 2 GROUP BY 1), o AS ({_FZ_TAIL},
 st AS (SELECT DISTINCT query_id, n, coalesce(stem, t) AS token FROM (SELECT query_id, n, unnest(regexp_extract_all(lower(expansion), '[\\p{{L}}\\p{{N}}]+')) AS t FROM syn) LEFT JOIN stm ON word = t),
 fa AS (SELECT query_id, pos, n_tokens, coalesce(stem, token) AS token FROM (SELECT query_id, pos, n_tokens, token FROM tok WHERE query_id IN (SELECT query_id FROM tok JOIN fz USING (token)) UNION SELECT query_id, pos, n_tokens, term FROM tok JOIN fz USING (token) WHERE rank <= 5) LEFT JOIN stm ON word = token),
 sa AS (SELECT DISTINCT query_id, product_id FROM (SELECT query_id, n, product_id, count(DISTINCT token) AS c FROM st JOIN tm ON token = term GROUP BY ALL) JOIN (SELECT query_id, n, count(*) AS k FROM st GROUP BY ALL) USING (query_id, n) WHERE c = k),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.privacy import redact_each, safe_cell
+from ..functions.privacy import MARK, clean_query, redact_each, safe_cell
 from ..operators.catalog import gid_type
 
 #: The event types, surfaces, variants and keys that are taken, and their limits.
@@ -16,7 +16,7 @@ EVENT_TYPES = (
 SURFACES = ("search_page", "predictive", "recommendation", "bundle", "redirect")
 VARIANTS = ("A", "B", "control")
 KEYS = ("eventType", "surface", "sessionId", "query", "resultCount", "productGid", "position", "experimentId", "variant", "properties", "ts")
-MAX_BATCH, MAX_RESULTS, MAX_POSITION = 20, 100_000_000, 100_000
+MAX_BATCH, MAX_RESULTS, MAX_POSITION, MAX_PROPERTIES = 20, 100_000_000, 100_000, 2000
 _SESSION = r"^[A-Za-z0-9_-]{1,64}$"
 _PRODUCT = r"^gid://[a-z]+/Product/[0-9]{1,20}$"
 _UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
@@ -26,8 +26,7 @@ def read_events(raw: DataFrame, column: str = "json") -> DataFrame:
     """JSON events as columns, with all keys that an event has (``keys``); what is no object has none of them."""
     text = lambda key: F.get_json_object(column, f"$.{key}")
     names = {"event_type": "eventType", "surface": "surface", "session_id": "sessionId", "query": "query", "result_count": "resultCount", "product_gid": "productGid", "position": "position", "experiment_id": "experimentId", "variant": "variant"}
-    properties = F.from_json(F.get_json_object(column, "$.properties"), "map<string,string>")
-    return raw.select("*", *[text(key).alias(name) for name, key in names.items()], properties.alias("properties"), F.json_object_keys(column).alias("keys"))
+    return raw.select("*", *[text(key).alias(name) for name, key in names.items()], text("properties").alias("properties"), F.json_object_keys(column).alias("keys"))
 
 
 def _bounded(c: str, most: int) -> Column:
@@ -52,14 +51,22 @@ def event_valid(columns: list[str], session_allowed: bool = True) -> Column:
 
 
 def validate_events(raw: DataFrame, session_allowed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejected); works on streams as it is. Without sessions allowed, their ids are neither checked nor kept."""
+    """(clean, rejected); works on streams as it is. Without sessions allowed, their ids are neither checked nor kept.
+
+    Clean events have query_norm and query_redacted in place of the query as it was typed, and sanitized properties."""
     valid = event_valid(raw.columns, session_allowed)
     empty_is_null = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     numbers = {"result_count": MAX_RESULTS, "position": MAX_POSITION}
     own = {c: _bounded(c, most).alias(c) for c, most in numbers.items()}
     own |= {c: empty_is_null(c) for c in ("product_gid", "experiment_id", "variant")}
     own |= {"session_id": empty_is_null("session_id") if session_allowed else F.lit(None).cast("string").alias("session_id")}
-    return raw.where(valid).select(*[own.get(c, F.col(c)) for c in raw.columns if c != "keys"]), raw.where(~valid)
+    if "properties" in raw.columns:
+        own["properties"] = sanitize_properties(F.col("properties")).alias("properties")
+    clean = raw.where(valid).select(*[own.get(c, F.col(c)) for c in raw.columns if c != "keys"])
+    if "query" in raw.columns:
+        clean = clean.withColumn("query_norm", clean_query(F.col("query"))).drop("query")
+        clean = clean.withColumn("query_redacted", F.coalesce(F.contains("query_norm", F.lit(MARK)), F.lit(False)))
+    return clean, raw.where(~valid)
 
 
 def validate_batches(df: DataFrame, most: int = MAX_BATCH) -> DataFrame:
@@ -70,16 +77,23 @@ def validate_batches(df: DataFrame, most: int = MAX_BATCH) -> DataFrame:
 
 
 def sanitize_properties(c: Column) -> Column:
-    """At most 12 entries with plain keys, values redacted and cut at 120; leading entries go until the JSON has 2000 characters."""
-    e = F.slice(F.filter(F.map_entries(c), lambda x: x["key"].rlike(r"^[A-Za-z0-9_]{1,40}$") & x["value"].isNotNull()), 1, 12)
-    values = redact_each(F.transform(e, lambda x: x["value"]))
-    e = F.zip_with(e, values, lambda x, v: F.struct(x["key"].alias("key"), F.substring(v, 1, 120).alias("value")))
-    shorter = lambda acc, _: F.when(F.length(F.to_json(F.map_from_entries(acc))) > 2000, F.slice(acc, 2, 12)).otherwise(acc)
-    return F.map_from_entries(F.aggregate(F.sequence(F.lit(1), F.lit(12)), e, shorter))
+    """JSON text -> JSON text of the scalars of an object: the first 12 with plain keys, strings redacted and cut at 120, numbers
+    and booleans as they are; leading entries go until the text has 2000 characters.  What is no object gives {}; null stays null."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    parsed = F.try_parse_json(c)
+    members = F.when(F.startswith(kind(parsed), F.lit("OBJECT")), parsed).try_cast("map<string,variant>")
+    keys = F.filter(F.array_distinct(F.json_object_keys(c)), lambda k: k.rlike(r"^[A-Za-z0-9_]{1,40}$"))
+    entries = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(members, k).alias("value"), kind(F.element_at(members, k)).alias("kind")))
+    scalars = F.slice(F.filter(entries, lambda x: x["kind"].rlike("^(STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)")), 1, 12)
+    texts = redact_each(F.transform(scalars, lambda x: F.when(x["kind"] == "STRING", F.try_variant_get(x["value"], "$", "string"))))
+    clean = F.zip_with(scalars, texts, lambda x, t: F.struct(x["key"].alias("key"), F.when(x["kind"] == "STRING", F.substring(t, 1, 120).cast("variant")).otherwise(x["value"]).alias("value")))
+    as_json = lambda e: F.to_json(F.map_from_entries(e))
+    shorter = lambda acc, _: F.when(F.length(as_json(acc)) > MAX_PROPERTIES, F.slice(acc, 2, 12)).otherwise(acc)
+    return F.when(c.isNotNull(), F.coalesce(as_json(F.aggregate(F.sequence(F.lit(1), F.lit(12)), clean, shorter)), F.lit("{}")))
 
 
 def ingest_events(clean: DataFrame, settings: DataFrame) -> DataFrame:
-    """Events by the tenant's mode: off drops them, anonymous drops the session; with the month that partitions the store."""
+    """Validated events by the tenant's mode: off drops them, anonymous drops the session; with the month that partitions the store."""
     j = clean.join(settings, "tenant_id").where("mode in ('anonymous', 'consented_sessions')")
     return j.withColumn("session_id", F.when(F.col("mode") == "consented_sessions", F.col("session_id"))).withColumn("event_month", F.date_format("occurred_at", "yyyy_MM")).drop("mode")
 

@@ -138,9 +138,25 @@ def test_csv_and_properties(spark, tmp_path):
     I.write_safe_csv(df.coalesce(1), str(tmp_path / "c"))
     text = next((tmp_path / "c").glob("part-*")).read_bytes()
     assert text == b"a,b\r\n'=x,1\r\n\"say \"\"hi\"\"\",2\r\n"
-    m = spark.createDataFrame([({"ok": "v " * 200, "bad key": "x", "n": "a@b.org", "wide": "４１１１１１１１１１１１１１１１"},)], "m map<string,string>")
-    got = m.select(I.sanitize_properties(F.col("m")).alias("m")).first().m
-    assert set(got) == {"ok", "n", "wide"} and len(got["ok"]) <= 120 and got["n"] == got["wide"] == "[redacted]"
+    cases = [
+        {"ok": "v " * 200, "bad key": "x", "n": "a@b.org", "wide": "４１１１１１１１１１１１１１１１", "i": 7, "f": 1.5, "b": False, "nested": {"a": "a@b.org"}, "list": [1], "none": None},
+        {f"k{i}": "x" * 100 for i in range(20)}, [1], "text", {},
+    ]
+    m = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(5, "{broken"), (6, None)], "i int, m string")
+    got = {r.i: r.m for r in m.select("i", I.sanitize_properties(F.col("m")).alias("m")).collect()}
+    first = json.loads(got[0])
+    assert list(first) == ["ok", "n", "wide", "i", "f", "b"] and len(first["ok"]) <= 120 and first["n"] == first["wide"] == "[redacted]" and (first["i"], first["f"], first["b"]) == (7, 1.5, False)
+    assert list(json.loads(got[1])) == [f"k{i}" for i in range(12)] and [got[i] for i in range(2, 7)] == ["{}", "{}", "{}", "{}", None]
+
+
+def test_no_personal_data_is_stored(spark):
+    event = {"eventType": "result_click", "surface": "search_page", "query": "Shoes for jo@mail.example or 4111 1111 1111 1111", "properties": {"q": "call +1 212 555 0100 or jo@mail.example", "deep": {"mail": "jo@mail.example"}}}
+    raw = I.read_events(spark.createDataFrame([("t", datetime(2024, 1, 1), json.dumps(event))], "tenant_id string, occurred_at timestamp, json string"))
+    clean, _ = I.validate_events(raw.drop("json"))
+    modes = spark.createDataFrame([("t", "anonymous")], "tenant_id string, mode string")
+    stored = I.ingest_events(clean, modes).first().asDict()
+    assert "query" not in stored and stored["query_redacted"] and stored["query_norm"].startswith("shoes for [redacted]")
+    assert not any(p in str(v) for v in stored.values() for p in ("@", "4111", "555"))
 
 
 def test_redaction_against_plain_python(spark):
