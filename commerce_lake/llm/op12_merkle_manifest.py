@@ -33,8 +33,8 @@ from .shuffle import cut
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STRIDE = 8
-#: Nodes of the upper levels that are broadcast to the climbing rows: about 25 MB.
-MOST_BROADCAST = 1 << 16
+#: Nodes of the upper levels that are broadcast to the climbing rows: about 3 MB.
+MOST_BROADCAST = 1 << 12
 #: The top tree; languages have the numbers from 0.
 TOP = -1
 
