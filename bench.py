@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from commerce_lake.plans import QUERIES
 
 HEADLINE = [
-    "build_search_docs", "build_vocabulary", "build_facet_values", "search_batch", "facets", "suggest", "fuzzy_candidates", "similar", "trending", "build_cooccurrence", "frequently_bought",
+    "build_search_docs", "build_vocabulary", "build_facet_values", "search_batch", "search_expanded", "storefront", "facets", "suggest", "fuzzy_candidates", "similar", "trending", "build_cooccurrence", "frequently_bought",
     "summary_report", "top_queries", "daily_trend", "rollup_daily", "hybrid_summary", "attribute_carts", "monotonic_upsert", "apply_delta_facets", "resolve_merch_plan", "bundle_totals", "availability_transitions", "redact_pii",
 ]
 
