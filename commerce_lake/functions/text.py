@@ -122,9 +122,21 @@ def damerau_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([damerau(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
-def within_edits(a: Column, b: Column, most: Column) -> Column:
-    """Whether the distance is at most ``most``; a native distance without transpositions comes first."""
-    return F.when(F.levenshtein(a, b) <= 2 * most, damerau_distance(a, b) <= most).otherwise(F.lit(False))
+def _swapped(c: Column) -> Column:
+    """All texts that exchange two neighbouring letters of a text."""
+    one = lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, F.length(c)))
+    return F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), one)).otherwise(F.array().cast("array<string>"))
+
+
+def small_distance(a: Column, b: Column) -> Column:
+    """The edit distance with transpositions where it is at most 2, null above; native.
+
+    Two operations are two edits, one exchange and one edit in either order, or two exchanges. An exchange counts as two
+    plain edits, so texts more than four plain edits apart are out at once."""
+    plain = F.levenshtein(a, b, 4)
+    near = lambda x, y: F.exists(_swapped(x), lambda s: F.levenshtein(s, y, 1) >= 0)
+    two = (plain == 2) | near(a, b) | near(b, a) | F.arrays_overlap(_swapped(a), _swapped(b))
+    return F.when(plain < 0, F.lit(None).cast("int")).when(plain <= 1, plain).when(F.array_contains(_swapped(a), b), 1).when(two, 2)
 
 
 def resolve_locale(code: Column, available: list[str], default: str = "en") -> Column:

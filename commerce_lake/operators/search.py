@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.privacy import safe_url
-from ..functions.stem import lexemes, stem_terms
-from ..functions.text import damerau_distance, fold, folded_tokens, fuzzy_distance, normalize_query, set_similarity, token_class, tokenize, trigrams
+from ..functions.stem import lexemes
+from ..functions.text import fold, folded_tokens, fuzzy_distance, normalize_query, set_similarity, small_distance, token_class, tokenize, trigrams
 from ..sources.store import stored
 from .documents import suggest_terms as suggest_terms_of
 from .intent import extract_intent
@@ -110,14 +110,14 @@ def out_of_vocabulary(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 def fuzzy_candidates(tokens: DataFrame, vocab: DataFrame, limit: int = MAX_FUZZY) -> DataFrame:
     """Corrections of distinct out-of-vocabulary word tokens: token, term, distance, rank.
 
-    Shared trigrams block the join; edit distance is computed on the surviving pairs only."""
+    Shared trigrams block the join; edit distance, at most 2 for tokens of any length, is computed natively on the surviving pairs only."""
     t = out_of_vocabulary(tokens.select("token").distinct(), vocab).where(token_class(F.col("token")) == "word").withColumn("most", fuzzy_distance(F.col("token"))).where("most > 0").withColumn("tg", trigrams(F.col("token")))
     v = vocab.where("not is_numeric").select("term", "doc_freq", trigrams(F.col("term")).alias("vg"))
     pairs = t.select("token", "most", "tg", F.explode("tg").alias("g")).join(v.select("term", "doc_freq", "vg", F.explode("vg").alias("g")), "g")
     pairs = pairs.where(F.abs(F.length("token") - F.length("term")) <= F.col("most")).dropDuplicates(["token", "term"])
     pairs = pairs.where(set_similarity(F.col("tg"), F.col("vg")) >= LEAST_TRIGRAM)
     pool = pairs.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("doc_freq"), "term"))).where(F.col("r") <= FUZZY_POOL)
-    pool = pool.where(F.levenshtein("token", "term") <= 2 * F.col("most")).withColumn("distance", damerau_distance(F.col("token"), F.col("term"))).where("distance <= most")
+    pool = pool.withColumn("distance", small_distance(F.col("token"), F.col("term"))).where("distance <= most")
     same = F.substring("token", 1, 1) == F.substring("term", 1, 1)
     w = Window.partitionBy("token").orderBy(F.desc("doc_freq"), "distance", F.desc(same), "term")
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("token", "term", "distance", "rank")
@@ -214,8 +214,9 @@ def matcher(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords:
     names = stored(lexemes(alts, "token"), "lexemes")
     alts = stored(alts.join(names, "token").select("query_id", "form", "pos", "lexeme", "last", "n_pos").distinct(), "alts")
     wanted = stored(wanted.join(names, "token").groupBy("query_id", "lexeme").agg(F.bool_or("own").alias("own")), "wanted")
-    terms = stem_terms(postings.join(docs.select("product_id"), "product_id", "left_semi"))
-    terms = stored(terms.groupBy("product_id", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("weight")), "terms")
+    posted = stored(postings.join(docs.select("product_id"), "product_id", "left_semi"), "postings")
+    terms = posted.join(lexemes(posted), "term").groupBy("product_id", F.col("lexeme").alias("term")).agg(F.sum(F.col("weight") * F.col("n")).alias("weight"))
+    terms = stored(terms, "terms")
     asked = alts.select("lexeme", "last").distinct()
     longer = starting_with(asked.where("last").select(F.col("lexeme").alias("prefix")), terms.select(F.col("term").alias("text"))).where("text <> prefix")
     forms = asked.withColumn("term", F.col("lexeme")).unionByName(longer.select(F.col("prefix").alias("lexeme"), F.lit(True).alias("last"), F.col("text").alias("term")))
@@ -295,11 +296,14 @@ def predictive(prefixes: DataFrame, docs: DataFrame, postings: DataFrame, terms:
 
 
 def rank_page(scored: DataFrame, limit: int = 24, offset: int = 0, sort: str = "relevance") -> DataFrame:
-    """The page of each query with its total number of matches; product_id ends every order."""
+    """The page of each query with its total number of matches; product_id ends every order.
+
+    Totals are counted apart, so that each task ranks no more than a page of its rows before the shuffle."""
     by = {"relevance": [F.desc("score"), F.asc("title")], "price_asc": [F.col("price_min").asc_nulls_last()], "price_desc": [F.col("price_max").desc_nulls_last()], "newest": [F.col("created_at").desc_nulls_last() if "created_at" in scored.columns else F.lit(0)]}[sort]
     w = Window.partitionBy("query_id")
-    r = scored.withColumn("rank", F.row_number().over(w.orderBy(*by, "product_id"))).withColumn("total", F.count("*").over(w))
-    return r.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    page = scored.withColumn("rank", F.row_number().over(w.orderBy(*by, "product_id"))).where(F.col("rank") <= offset + limit)
+    totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
+    return page.where(F.col("rank") > offset).join(totals, "query_id").select(*scored.columns, "rank", "total")
 
 
 def rank_with_merch(scored: DataFrame, plan: DataFrame, limit: int = 24) -> DataFrame:
@@ -542,15 +546,29 @@ def search_batch(
     queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, limit: int = 24, vocab: DataFrame | None = None, synonyms: DataFrame | None = None
 ) -> DataFrame:
     """Text search for all queries at once: rewrite, match, narrowest level, rank. With vocab and synonyms, corrections and synonym forms match as well."""
-    queries, same = distinct_queries(queries)
-    return for_each_query(rank_page(relevance(matched_level(queries, docs, postings, stopwords, vocab, synonyms), docs), limit), same)
+    matched, same = matched_queries(queries, docs, postings, stopwords, vocab, synonyms)
+    return for_each_query(rank_page(relevance(matched, docs), limit), same)
 
 
-def matched_level(queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, vocab: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
-    """The documents of each query's narrowest level: full matches, or any match for queries without one."""
-    m = matcher(queries, docs, postings, stopwords, vocab, synonyms)
+def matched_queries(
+    queries: DataFrame, docs: DataFrame, postings: DataFrame, stopwords: DataFrame | None = None, vocab: DataFrame | None = None, synonyms: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(documents of the narrowest level of the queries that stand for others, query_id with the id ``of`` the query that stands for it).
+
+    The level is that of full matches, or any match for queries without one.  Queries of equal text are matched once, and so are
+    queries without a full match whose tokens that documents have are the same: misspellings beside one good token
+    share its documents, which are scored and ranked for one of them only."""
+    texts, same = distinct_queries(queries)
+    texts, same = stored(texts, "texts"), stored(same, "same")
+    m = matcher(texts, docs, postings, stopwords, vocab, synonyms)
     primary = stored(primary_matches(m), "matched")
-    return primary.unionByName(partial_matches(m, queries.select("query_id").join(primary.select("query_id"), "query_id", "left_anti")))
+    left = m.wanted.join(primary.select("query_id").distinct(), "query_id", "left_anti")
+    known = left.join(m.terms.select(F.col("term").alias("lexeme")).distinct(), "lexeme", "left_semi")
+    known = stored(known.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("lexeme", "own"))).alias("known")), "known")
+    first = known.groupBy("known").agg(F.min("query_id").alias("first"))
+    partial = stored(partial_matches(m, first.select(F.col("first").alias("query_id"))), "partial")
+    stands = known.join(first, "known").select(F.col("query_id").alias("of"), "first")
+    return primary.unionByName(partial), same.join(stands, "of", "left").select("query_id", F.coalesce("first", "of").alias("of"))
 
 
 def strategy_label(page: DataFrame, queries: DataFrame, tokens: DataFrame) -> DataFrame:

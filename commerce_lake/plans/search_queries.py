@@ -153,10 +153,10 @@ _CW = "CASE match_class WHEN 'sku' THEN 600 WHEN 'exact' THEN 500 WHEN 'prefix'
 
 
 def _scored(spark, sf_dir):
-    """(scored documents of distinct queries, the queries that these stand for)."""
+    """(scored documents of the queries that stand for others, the queries that these stand for)."""
     v = stored_vis(spark, sf_dir)
-    q, same = S.distinct_queries(query_log(spark, sf_dir))
-    return S.relevance(S.matched_level(q, v, D.analyze_terms(v), stopwords(spark)), v), same
+    matched, same = S.matched_queries(query_log(spark, sf_dir), v, D.analyze_terms(v), stopwords(spark))
+    return S.relevance(matched, v), same
 
 
 def _page(spark, sf_dir):

@@ -226,3 +226,31 @@ def test_plan_shapes(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     plan = A.purge_older_than(e, "ts", datetime(2024, 1, 31), 20).select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_small_distance(spark):
+    """Against the plain edit distance, on all pairs of short texts over two letters, and on edits of longer ones."""
+    import itertools
+    import random
+
+    texts = ["".join(x) for n in range(5) for x in itertools.product("ab", repeat=n)]
+    pairs = list(itertools.product(texts, texts))
+    rnd = random.Random(7)
+    for _ in range(1500):
+        w = "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 9)))
+        v = list(w)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(v) + 1)
+            how = rnd.randrange(4)
+            if how == 0:
+                v.insert(i, rnd.choice("abcdé"))
+            elif how == 1 and i < len(v):
+                del v[i]
+            elif how == 2 and i < len(v):
+                v[i] = rnd.choice("abcdé")
+            elif i + 1 < len(v):
+                v[i], v[i + 1] = v[i + 1], v[i]
+        pairs.append((w, "".join(v)))
+    df = spark.createDataFrame([(*p, T.damerau(*p)) for p in pairs], "a string, b string, want int").withColumn("got", T.small_distance(F.col("a"), F.col("b")))
+    wrong = df.where("not (got <=> if(want <= 2, want, null))").collect()
+    assert not wrong and {0, 1, 2, 3} <= {r.want for r in df.select("want").distinct().collect()}
