@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The event types that count as clicks.
@@ -105,6 +105,39 @@ def rollup_coverage(rollup: DataFrame, first: date, last: date, least_days: int
     return rollup.groupBy("tenant_id").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")).withColumn("covered", (F.col("first_day") <= F.lit(first)) & (F.col("last_day") >= F.lit(last)) & F.lit(span > least_days))
 
 
+def write_rollup(events: DataFrame, path: str, first: date, last: date) -> None:
+    """Puts the counts of the days first to last in place of those stored under ``path``; a second run changes nothing.
+
+    Each day is a partition and is overwritten alone. A day has a row without an event type besides its counts, so that a
+    day whose events are gone is overwritten too."""
+    spark = events.sparkSession
+    days = spark.range((last - first).days + 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
+    tenant = events.schema["tenant_id"].dataType
+    marks = days.select(F.lit(None).cast(tenant).alias("tenant_id"), "day", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("surface"), F.lit(0).cast("long").alias("n"))
+    counts = rollup_daily(events, first, last).select(marks.columns)
+    counts.unionByName(marks).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_rollup(spark: SparkSession, path: str, tenant_type: str = "string") -> DataFrame:
+    """The stored counts: tenant_id, event_type, surface, n, day."""
+    return spark.read.schema(f"tenant_id {tenant_type}, event_type string, surface string, n long, day date").parquet(path).where("event_type is not null")
+
+
+def windowed_summary(rollup: DataFrame, events: DataFrame, first: date, last: date, today: date, least_days: int = 45) -> DataFrame:
+    """summary_report of the events of the days first to last, from the rollup where it serves.
+
+    A tenant whose rolled days enclose the window's completed days, more than least_days of them, is read from the rollup and
+    today's raw events; every other tenant from raw events alone. Both equal the raw report."""
+    done = min(last, today - timedelta(days=1))
+    day = F.to_date("occurred_at")
+    raw = events.where(day.between(F.lit(first), F.lit(last)))
+    covered = rollup_coverage(rollup, first, done, least_days).where("covered").select("tenant_id")
+    rolled = rollup.where(F.col("day").between(F.lit(first), F.lit(done))).join(covered, "tenant_id", "left_semi")
+    now = raw.where(day > F.lit(done)).join(covered, "tenant_id", "left_semi")
+    rest = raw.join(covered, "tenant_id", "left_anti")
+    return hybrid_summary(rolled, now.unionByName(rest), first)
+
+
 def attribute_carts(events: DataFrame, minutes: int = 30) -> DataFrame:
     """Each add-to-cart with the last click on its product before it in its session, within the look-back.
 

@@ -202,7 +202,7 @@ def publish_version(versions: DataFrame, tenant: str, version: int) -> DataFrame
     return publish_versions(versions, versions.where((F.col("tenant_id") == tenant) & (F.col("version") == version)).select("tenant_id", "version"))
 
 
-def reindex_all(versions: DataFrame, tenants: DataFrame) -> DataFrame:
+def new_versions(versions: DataFrame, tenants: DataFrame) -> DataFrame:
     """versions with a new one to build for each installed tenant (tenant_id, uninstalled_at), after its last."""
     last = versions.groupBy("tenant_id").agg(F.max("version").alias("_last"))
     new = tenants.where("uninstalled_at is null").select("tenant_id").distinct().join(last, "tenant_id", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..sources import bridge as B
+from ..sources.store import shared_root
 from .registry import query
 
 NOW = datetime(2024, 1, 31)
@@ -69,6 +71,18 @@ def hybrid_summary(spark, sf_dir):
     return A.hybrid_summary(A.rollup_daily(e, date(2023, 1, 1), date(2024, 1, 28)), e, today).drop("tenant_id")
 
 
+@query(f"""{_E}, w AS (SELECT * FROM (VALUES ('rolled', DATE '2024-01-03', DATE '2024-01-29'), ('raw', DATE '2024-01-20', DATE '2024-01-29')) AS w(source, first, last)),
+s AS (SELECT source, {_SUM} FROM event JOIN w ON occurred_at::DATE BETWEEN first AND last GROUP BY source) SELECT *, {_RATES} FROM s""")
+def windowed_summary(spark, sf_dir):
+    """Summaries of a long window, from the written rollup and today's events, and of a short one, from the events."""
+    e, path = B.events(spark, sf_dir), f"{shared_root(spark)}/rollup-{uuid.uuid4().hex}"
+    A.write_rollup(e, path, date(2024, 1, 1), date(2024, 1, 20))
+    A.write_rollup(e, path, date(2024, 1, 18), date(2024, 1, 28))
+    rollup = A.read_rollup(spark, path, e.schema["tenant_id"].dataType.simpleString())
+    of = lambda name, first: A.windowed_summary(rollup, e, first, date(2024, 1, 29), date(2024, 1, 29), 20).drop("tenant_id").withColumn("source", F.lit(name))
+    return of("rolled", date(2024, 1, 3)).unionByName(of("raw", date(2024, 1, 20)))
+
+
 @query(f"{_E}, d AS (SELECT min(occurred_at::DATE) AS first_day, max(occurred_at::DATE) AS last_day FROM event) SELECT first_day, last_day, first_day <= DATE '2024-01-05' AND last_day >= DATE '2024-01-25' AND 21 > 45 AS covered FROM d")
 def rollup_coverage(spark, sf_dir):
     r = A.rollup_daily(B.events(spark, sf_dir), date(2023, 1, 1), date(2024, 1, 31))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from ..functions.stem import stem_terms
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..sources import bridge as B
-from ..sources.store import stored
+from ..sources.doc_store import DocumentStore
+from ..sources.store import shared_root, stored
 from .registry import query
 
 NOW = datetime(2024, 1, 31)
@@ -333,9 +336,44 @@ def publish_version(spark, sf_dir):
 
 
 @query(f"WITH {_VER} SELECT tenant_id, version, status FROM vs UNION ALL SELECT c_custkey, coalesce(max(version), 0) + 1, 'building' FROM customer LEFT JOIN vs ON tenant_id = c_custkey WHERE c_custkey % 7 <> 0 GROUP BY 1")
-def reindex_all(spark, sf_dir):
+def new_versions(spark, sf_dir):
     t = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), F.when(F.col("c_custkey") % 7 == 0, F.lit(NOW)).alias("uninstalled_at"))
-    return D.reindex_all(_versions(spark, sf_dir).drop("r"), t)
+    return D.new_versions(_versions(spark, sf_dir).drop("r"), t)
+
+
+def _store(spark, d) -> DocumentStore:
+    return DocumentStore(spark, f"{shared_root(spark)}/document-store-{uuid.uuid4().hex}", d.schema)
+
+
+@query(f"""{DOC_SQL}, s AS (SELECT * FROM (VALUES ('published', 2, true), ('rolled back', 1, false)) AS s(step, index_version, renamed))
+SELECT step, index_version, product_id, CASE WHEN renamed AND p_partkey % 7 = 0 THEN 'new ' || title ELSE title END AS title FROM doc, s""")
+def published_documents(spark, sf_dir):
+    """What readers of the document store see once the second version is published, and after it is rolled back; a third build, short of documents, fails and changes nothing."""
+    d, p = stored(docs(spark, sf_dir), "build"), B.products(spark, sf_dir)
+    renamed = F.when(F.col("product_id").cast("long") % 7 == 0, F.concat(F.lit("new "), "title")).otherwise(F.col("title"))
+    second = d.withColumn("index_version", F.lit(2)).withColumn("title", renamed)
+    third = d.withColumn("index_version", F.lit(3)).where("cast(product_id as long) % 97 <> 1")
+    version = lambda n: p.select("tenant_id", F.lit(n).alias("version")).distinct()
+    store = _store(spark, d)
+    for n, rows in ((1, d), (2, second), (3, third)):
+        store.build(rows, p, version(n))
+        store.publish(version(n))
+    seen = [store.read().withColumn("step", F.lit("published"))]
+    store.rollback(p.first().tenant_id)
+    seen.append(store.read().withColumn("step", F.lit("rolled back")))
+    return reduce(DataFrame.unionByName, seen).select("step", "index_version", "product_id", "title")
+
+
+@query(f"{DOC_SQL} SELECT product_id, 1 AS index_version, CASE WHEN p_partkey % 7 = 0 THEN 'new ' || title ELSE title END AS title, available, price_min FROM doc WHERE p_partkey % 13 <> 0")
+def reindex_all(spark, sf_dir):
+    """Products were renamed and deleted since the active version was built; all live ones are projected again in place."""
+    d, p, k = stored(docs(spark, sf_dir), "build"), B.products(spark, sf_dir), F.col("product_id").cast("long")
+    store, first = _store(spark, d), p.select("tenant_id", F.lit(1).alias("version")).distinct()
+    store.build(d, p, first)
+    store.publish(first)
+    now = p.withColumn("title", F.when(k % 7 == 0, F.concat(F.lit("new "), "title")).otherwise(F.col("title"))).withColumn("deleted_at", F.when(k % 13 == 0, F.lit(NOW)).otherwise(F.col("deleted_at")))
+    store.reproject(now, lambda live: D.build_search_docs(live, B.variants(spark, sf_dir), B.memberships(spark, sf_dir), B.collections(spark, sf_dir)))
+    return store.read().select("product_id", "index_version", "title", "available", "price_min")
 
 
 @query(f"{DOC_SQL}{_NEW} SELECT type, text, count(*) AS n FROM (SELECT 'title' AS type, title AS text FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'new ' || title ELSE title END AS title FROM nv) UNION ALL SELECT 'vendor', vendor FROM nv UNION ALL SELECT 'productType', product_type FROM nv UNION ALL SELECT 'collection', unnest(collections) FROM nv) WHERE text <> '' GROUP BY ALL")
