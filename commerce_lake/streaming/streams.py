@@ -44,6 +44,61 @@ def attribute_stream(events: DataFrame, minutes: int = 30, delay: str = WATERMAR
     return carts.join(clicks, (F.col("session_id") == F.col("c_session")) & (F.col("product_id") == F.col("c_product")) & inside).select("event_id", "session_id", "product_id", "click_id", "clicked_at")
 
 
+class LastClick(StatefulProcessor):
+    """Clicks and open carts of one tenant, session and product, in the order (time, type, id).
+
+    A cart is answered once the watermark has passed it, when no earlier click can come any more. Of the clicks that the watermark has passed
+    only the last is kept, and that one no longer than the look-back, so state holds the delay's events and one click."""
+
+    def __init__(self, minutes: int):
+        self.reach = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clicks = handle.getListState("clicks", "at long, event_type string, event_id string, surface string")
+        self.carts = handle.getListState("carts", "at long, event_type string, event_id string")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        for pdf in rows:
+            for r in pdf.itertuples():
+                if r.event_type == A.CART:
+                    self.carts.appendValue((r.at, r.event_type, r.event_id))
+                else:
+                    self.clicks.appendValue((r.at, r.event_type, r.event_id, r.surface))
+                self.handle.registerTimer(r.at // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        clicks, carts = sorted(self.clicks.get(), key=lambda c: c[:3]), sorted(self.carts.get())
+        out = []
+        for cart in (c for c in carts if c[0] < passed):
+            before = [c for c in clicks if c[:3] < cart]
+            hit = before[-1] if before and before[-1][0] >= cart[0] - self.reach else (None,) * 4
+            out.append((key[0], cart[2], key[1], key[2], hit[2], hit[3]))
+        old = [c for c in clicks if c[0] < passed][-1:]
+        kept = [c for c in old if c[0] >= passed - self.reach] + [c for c in clicks if c[0] >= passed]
+        for state, values in ((self.clicks, kept), (self.carts, [c for c in carts if c[0] >= passed])):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        for c in kept[: len(kept) and kept[0][0] < passed]:
+            self.handle.registerTimer((c[0] + self.reach) // 1000 + 1)  # forgets it
+        yield pd.DataFrame(out, columns=["tenant_id", "event_id", "session_id", "product_id", "click_id", "click_surface"])
+
+    def close(self) -> None:
+        pass
+
+
+def last_click_stream(events: DataFrame, minutes: int = 30, delay: str = WATERMARK) -> DataFrame:
+    """attribute_carts on a stream: each add-to-cart once, with the last click before it or none. Needs the RocksDB state store."""
+    e = events.where("session_id is not null and product_id is not null").where(F.col("event_type").isin(*A.CLICKS, A.CART)).withWatermark("occurred_at", delay)
+    e = e.select(*(F.col(c).cast("string") for c in ("tenant_id", "session_id", "product_id", "event_type", "event_id", "surface")), F.unix_micros("occurred_at").alias("at"), "occurred_at")
+    schema = "tenant_id string, event_id string, session_id string, product_id string, click_id string, click_surface string"
+    return e.groupBy("tenant_id", "session_id", "product_id").transformWithStateInPandas(LastClick(minutes), schema, "Append", "eventTime")
+
+
 class Transitions(StatefulProcessor):
     """Keyed state of one target: availability, epoch, newest source time."""
 

@@ -46,6 +46,30 @@ def test_attribution(spark, tmp_path):
     assert got == want and want
 
 
+def test_last_click(spark, tmp_path):
+    """In three batches, rows out of order within the delay; the last file moves the watermark past all carts."""
+    S.use_rocksdb(spark)
+    try:
+        e = B.events(spark, SF).where(F.col("event_type").isin(*A.CLICKS, A.CART)).withColumn("session_id", F.lit("s")).withColumn("product_id", F.concat(F.lit("p"), F.crc32(F.col("event_id").cast("string").cast("binary")) % 3))
+        late = e.limit(1).withColumn("occurred_at", F.lit(datetime(2030, 1, 1))).withColumn("event_type", F.lit(A.CLICKS[0])).withColumn("event_id", F.lit("-1").cast(e.schema["event_id"].dataType))
+        last, k = e.agg(F.max("occurred_at")).first()[0], F.col("occurred_at")
+        middle = last - (last - e.agg(F.min("occurred_at")).first()[0]) / 2
+        parts = [e.where(k < F.lit(middle)), e.where(k >= F.lit(middle)), late]
+        folder = str(tmp_path / "in")
+        (tmp_path / "in").mkdir()
+        out = S.last_click_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        for i, part in enumerate(parts):
+            part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(folder)
+            q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+        got = sorted((r.event_id, r.click_id, r.click_surface) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        want = sorted((str(r.event_id), r.click_id and str(r.click_id), r.click_surface) for r in A.attribute_carts(e).collect())
+        key = lambda r: tuple(x or "" for x in r)
+        assert sorted(got, key=key) == sorted(want, key=key) and any(r[1] for r in want) and any(r[1] is None for r in want)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_transitions(spark, tmp_path):
     S.use_rocksdb(spark)
     try:
