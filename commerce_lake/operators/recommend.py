@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trigram_similarity, trigrams
+from ..sources.store import stored
 
 #: Weights of shared collections (with cap), type, vendor, shared tags (with cap), price, title.
 SIMILAR = {"collections": (40.0, 3), "type": 30.0, "vendor": 20.0, "tags": (10.0, 3), "price": 15.0, "title": 25.0}
@@ -72,28 +73,42 @@ def candidates(seeds: DataFrame, docs: DataFrame) -> DataFrame:
     return _shared(seeds, docs).select("seed_id", "product_id").distinct()
 
 
+def _within_reach(pairs: DataFrame, k: int) -> DataFrame:
+    """The (seed_id, product_id) of pairs that can be among the k best of their seed.
+
+    pairs: seed_id, product_id, attribute, base (the score without titles) and most (with the highest title part that the numbers
+    of trigrams allow).  Titles add nothing below zero, so a seed's k-th highest base is a floor of its page; a pair whose most is
+    below the floor is never on it.  A seed with fewer than k pairs of shared traits keeps all."""
+    g = pairs.groupBy("seed_id", "product_id").agg(*[F.sum(c).alias(c) for c in ("attribute", "base", "most")])
+    best = g.where("attribute > 0").withColumn("_r", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("base")))).where(F.col("_r") <= k)
+    floor = best.groupBy("seed_id").agg(F.when(F.count("*") == k, F.min("base")).alias("floor"))
+    # sums of the same parts in another order differ by less than 1e-6
+    return g.join(floor, "seed_id", "left").where("floor is null or most >= floor - 1e-6").select("seed_id", "product_id")
+
+
 def similar(seeds: DataFrame, docs: DataFrame, k: int = 24, weights: dict = SIMILAR, in_stock: bool = False) -> DataFrame:
-    """seeds (seed_id, seed_product) -> seed_id, product_id, score parts, score, rank. A seed_id may have several products."""
+    """seeds (seed_id, seed_product) -> seed_id, product_id, score parts, score, rank. A seed_id may have several products.
+
+    Titles are compared only for pairs that an upper bound of their score leaves in reach of the page."""
     w = weights
-    t = docs.select("product_id", "title", F.col("vendor").alias("own_vendor"), F.col("price_min").cast("double").alias("price"), "available")
-    s = docs.select(F.col("product_id").alias("seed_product"), F.col("title").alias("seed_title"), F.col("price_min").cast("double").alias("seed_price"))
-    j = _shared(seeds, docs).join(s, "seed_product").join(t, "product_id")
-    titles = j.select("seed_title", "title").distinct().withColumn("alike", trigram_similarity(F.col("seed_title"), F.col("title")))
-    j = j.join(titles.where("alike > 0"), ["seed_title", "title"], "left")
+    n_grams = F.size(trigrams(F.col("title")))
+    t = docs.select("product_id", "title", F.col("vendor").alias("own_vendor"), F.col("price_min").cast("double").alias("price"), "available", n_grams.alias("n"))
+    s = docs.select(F.col("product_id").alias("seed_product"), F.col("title").alias("seed_title"), F.col("price_min").cast("double").alias("seed_price"), n_grams.alias("m"))
     capped = lambda x: F.least(F.col(x), F.lit(w[x][1])) * w[x][0]
-    parts = {
-        "collections": capped("collections"), "type": F.col("type") * w["type"], "vendor": F.col("vendor") * w["vendor"], "tags": capped("tags"),
-        "price": price_proximity(F.col("seed_price"), F.col("price")) * w["price"], "title": F.coalesce("alike", F.lit(0.0)) * w["title"],
-    }
-    j = j.select("seed_id", "product_id", "title", F.col("own_vendor").alias("vendor"), "available", *[c.alias(f"score_{n}") for n, c in parts.items()])
-    g = j.groupBy("seed_id", "product_id").agg(F.first("title").alias("title"), F.first("vendor").alias("vendor"), F.first("available").alias("available"), *[F.sum(f"score_{n}").alias(f"score_{n}") for n in parts])
-    attribute = F.col("score_collections") + F.col("score_type") + F.col("score_vendor") + F.col("score_tags")
-    g = g.where((attribute > 0) | (F.col("score_title") >= LEAST_TITLE * w["title"]))
+    parts = {"collections": capped("collections"), "type": F.col("type") * w["type"], "vendor": F.col("vendor") * w["vendor"], "tags": capped("tags"), "price": price_proximity(F.col("seed_price"), F.col("price")) * w["price"]}
+    part = lambda *names: sum(F.col(f"score_{n}") for n in names)
     own = seeds.select("seed_id", F.col("seed_product").alias("product_id"))
-    g = g.join(own, ["seed_id", "product_id"], "left_anti")
-    if in_stock:
-        g = g.where("available")
-    g = g.withColumn("score", F.round(sum(F.col(f"score_{n}") for n in parts), 9))
+    j = _shared(seeds, docs).join(s.select("seed_product", "seed_price", "m"), "seed_product").join((t.where("available") if in_stock else t).select("product_id", "price", "n"), "product_id")
+    j = j.select("seed_id", "seed_product", "product_id", "m", "n", *[c.alias(f"score_{n}") for n, c in parts.items()]).join(own, ["seed_id", "product_id"], "left_anti")
+    alike_at_most = F.when((F.col("m") > 0) & (F.col("n") > 0), F.least("m", "n") / F.greatest("m", "n")).otherwise(0.0)
+    base = part(*parts)
+    j = stored(j.select("*", part("collections", "type", "vendor", "tags").alias("attribute"), base.alias("base"), (base + w["title"] * alike_at_most).alias("most")), "pairs")
+    j = j.join(_within_reach(j, k), ["seed_id", "product_id"]).join(s.select("seed_product", "seed_title"), "seed_product").join(t.select("product_id", "title", "own_vendor", "available"), "product_id")
+    j = j.withColumn("score_title", trigram_similarity(F.col("seed_title"), F.col("title")) * w["title"])
+    names = [*parts, "title"]
+    g = j.groupBy("seed_id", "product_id").agg(F.first("title").alias("title"), F.first("own_vendor").alias("vendor"), F.first("available").alias("available"), *[F.sum(f"score_{n}").alias(f"score_{n}") for n in names])
+    g = g.where((part("collections", "type", "vendor", "tags") > 0) | (F.col("score_title") >= LEAST_TITLE * w["title"]))
+    g = g.withColumn("score", F.round(part(*names), 9))
     order = Window.partitionBy("seed_id").orderBy(F.desc("score"), "title", "product_id")
     return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
