@@ -123,16 +123,34 @@ def fuzzy_candidates(tokens: DataFrame, vocab: DataFrame, limit: int = MAX_FUZZY
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("token", "term", "distance", "rank")
 
 
-def plan_queries(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
-    """query_id, kept tokens, the query with top corrections, number of corrected positions, is_empty."""
+def corrected_queries(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame | None = None) -> DataFrame:
+    """query_id, kept tokens, the query with top corrections, number of corrected positions, positions (token, candidates), is_empty."""
     tokens = plan_tokens(queries, stopwords)
-    fixes = fuzzy_candidates(tokens, vocab).where("rank = 1").select("token", "term")
-    p = tokens.join(fixes, "token", "left").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("term", "token").alias("fixed")))).alias("p"), F.count("term").alias("n_corrected")
-    )
-    p = p.select("query_id", F.array_join("p.token", " ").alias("kept"), F.array_join("p.fixed", " ").alias("corrected"), "n_corrected")
+    in_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
+    fixes = fuzzy_candidates(tokens, vocab).groupBy("token").agg(in_rank.alias("candidates"))
+    none = F.array().cast("array<string>")
+    p = tokens.join(fixes, "token", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("candidates", none).alias("candidates")))).alias("p"))
     out = queries.select("query_id").join(p, "query_id", "left")
-    return out.select("query_id", F.coalesce("kept", F.lit("")).alias("kept"), F.coalesce("corrected", F.lit("")).alias("corrected"), F.coalesce("n_corrected", F.lit(0)).alias("n_corrected"), F.col("kept").isNull().alias("is_empty"))
+    fixed = F.transform("p", lambda x: F.coalesce(F.get(x["candidates"], F.lit(0)), x["token"]))
+    corrected = F.size(F.filter("p", lambda x: F.size(x["candidates"]) > 0)).cast("long")
+    return out.select(
+        "query_id", F.coalesce(F.array_join("p.token", " "), F.lit("")).alias("kept"), F.coalesce(F.array_join(fixed, " "), F.lit("")).alias("corrected"), F.when(F.col("p").isNull(), 0).otherwise(corrected).alias("n_corrected"),
+        F.transform("p", lambda x: x.dropFields("pos")).alias("positions"), F.col("p").isNull().alias("is_empty"),
+    )
+
+
+def plan_queries(queries: DataFrame, vocab: DataFrame, stopwords: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """corrected_queries with removed (the stop words taken out, in order) and expansions (token lists by synonyms, in their order); both empty if there are none."""
+    out, none = corrected_queries(queries, vocab, stopwords), F.array().cast("array<string>")
+    gone = queries.select("query_id").limit(0).withColumn("removed", none) if stopwords is None else removed_stopwords(queries, stopwords)
+    more = queries.select("query_id").limit(0).withColumn("expansions", none)
+    if synonyms is not None:
+        own = ["locale"] if "locale" in queries.columns else []
+        tokens = plan_tokens(queries, stopwords).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+        forms = expand_synonyms(tokens.join(queries.select("query_id", *own), "query_id") if own else tokens, synonyms)
+        more = forms.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "expansion"))), lambda x: x["expansion"]).alias("expansions"))
+    out = out.join(gone, "query_id", "left").join(more, "query_id", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("removed", "expansions")})
 
 
 def match_redirects(queries: DataFrame, redirects: DataFrame, locale: str | None = None, hosts: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +199,9 @@ class Matcher(NamedTuple):
 
     alts: query_id, form, pos, lexeme, last, n_pos: form 0 is the query, whose last token is also a prefix, forms from 1 are
     synonym expansions, form -1 has the corrections of each position beside its token.  wanted: query_id, lexeme, own: what counts for the
-    field score, and whether it is a token of the query.  terms: product_id, term, weight.  met: lexeme, last, product_id, whole."""
+    field score, and whether it is a token of the query.  The field score is the cover density of the alternatives in wanted: any one of
+    them satisfies the query, so that every occurrence is a cover by itself, of one position and no noise, and adds its field's weight;
+    no longer span is minimal.  Hence postings need counts by field, not positions.  terms: product_id, term, weight.  met: lexeme, last, product_id, whole."""
 
     alts: DataFrame
     wanted: DataFrame
@@ -691,7 +711,7 @@ def storefront(
     counts = facets(scoped.select("query_id", "scoped", *LISTS.values(), "want_available", "price_lo", "price_hi"), docs, top, matches=levelled, hidden=hidden)
     counts = counts.join(chosen.select("query_id", "request_id"), "query_id").drop("query_id").withColumnRenamed("request_id", "query_id")
 
-    fixes = plan_queries(chosen.select("query_id", F.col("text").alias("query")), vocab, stopwords).where("n_corrected > 0").select("query_id", "corrected")
+    fixes = corrected_queries(chosen.select("query_id", F.col("text").alias("query")), vocab, stopwords).where("n_corrected > 0").select("query_id", "corrected")
     strategy = page.where("rank = 1").select("query_id", F.when(F.col("match_class") == "sku", "exact_sku").otherwise(F.col("match_class")).alias("strategy"))
     out = chosen.join(fixes, "query_id", "left").drop("query_id").withColumnRenamed("request_id", "query_id").join(strategy, "query_id", "left")
     out = out.select("query_id", F.lit(None).cast("string").alias("redirect"), F.coalesce("strategy", F.lit("none")).alias("strategy"), "total", "applied", "fell_back", F.col("text").alias("searched"), "sort", "negations", F.when(F.col("total") > 0, F.col("corrected")).alias("corrected_query"), *LISTS.values(), "want_available", "price_lo", "price_hi")

@@ -13,9 +13,10 @@ from ..operators import analytics as A
 from ..operators import bundles as BU
 from ..operators import restock as RS
 from ..sources import bridge as B
+from ..sources import catalog_in as CI
 from ..sources import events_in as I
 from ..sources.store import shared_root
-from .catalog_queries import DOC_SQL, vis
+from .catalog_queries import DOC_SQL, docs, vis
 from .registry import query
 
 NOW = datetime(2024, 1, 31)
@@ -158,10 +159,12 @@ def drain_eligibility(spark, sf_dir):
     return RS.drain_eligibility(p, now, sup, av, 500)
 
 
-@query(f"WITH {_SUB}, r AS (SELECT k::BIGINT + 3 AS subscription_id FROM su) SELECT subscription_id, CASE WHEN status IS NULL THEN 'gone' WHEN status <> 'pending' THEN 'not_pending' WHEN k % 2 = 0 THEN 'already_sent' WHEN email_hash IN ('h0', 'h4', 'h8') THEN 'suppressed' ELSE 'due' END AS reason FROM r LEFT JOIN su USING (subscription_id)")
+@query(f"""{DOC_SQL}, {_SUB}, r AS (SELECT k::BIGINT + 3 AS subscription_id FROM su)
+SELECT subscription_id, CASE WHEN su.status IS NULL THEN 'gone' WHEN su.status <> 'pending' THEN 'not_pending' WHEN k % 2 = 0 THEN 'already_sent' WHEN email_hash IN ('h0', 'h4', 'h8') THEN 'suppressed' ELSE 'due' END AS reason, title
+FROM r LEFT JOIN su USING (subscription_id) LEFT JOIN doc USING (product_id)""")
 def confirmation_eligibility(spark, sf_dir):
     s = _subs(spark, sf_dir)
-    return RS.confirmation_eligibility(s.select((F.col("subscription_id") + 3).alias("subscription_id")), s, _suppressed(spark))
+    return RS.confirmation_eligibility(s.select((F.col("subscription_id") + 3).alias("subscription_id")), s, _suppressed(spark), docs(spark, sf_dir))
 
 
 @query(f"WITH {_PEND} SELECT subscription_id, epoch, CASE subscription_id % 4 WHEN 0 THEN 'notified' WHEN 1 THEN 'bounced' ELSE 'pending' END AS status FROM pe")
@@ -312,3 +315,29 @@ def unsubscribe(spark, sf_dir):
 def list_subscriptions(spark, sf_dir):
     s = _subs(spark, sf_dir).withColumn("email", F.concat(F.lit("user"), "subscription_id", F.lit("@example.org")))
     return RS.list_subscriptions(s, 50).select("subscription_id", "email", "status")
+
+
+def _nodes(spark, sf_dir):
+    """Each part as a product node; its lists are {nodes}, {edges} or arrays by the part's number, its tags a list or a text."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("decimal(12,2)")
+    gid = F.concat(F.lit("gid://store/Product/"), k)
+    variant = lambda i: F.struct(F.concat(gid, F.lit(f"-{i}")).alias("id"), (price + i).cast("string").alias("price"), F.lit(i).alias("position"), (k % 2 == i).alias("availableForSale"))
+    lists = {"variants": F.array(variant(1), variant(2)), "collections": F.array(*[F.struct(F.concat(F.lit("c"), k % n).alias("id")) for n in (25, 7)])}
+
+    def form(rows):
+        page = F.struct((k % 5 == 0).alias("hasNextPage"))
+        return F.when(k % 3 == 0, F.to_json(F.struct(rows.alias("nodes"), page.alias("pageInfo")))).when(k % 3 == 1, F.to_json(F.struct(F.transform(rows, lambda r: F.struct(r.alias("node"))).alias("edges"), page.alias("pageInfo")))).otherwise(F.to_json(rows))
+
+    tags = F.when(k % 2 == 0, F.to_json(F.split("p_name", " "))).otherwise(F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit(" , ")), F.lit(',"')))
+    own = F.to_json(F.struct(gid.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor")))
+    more = [F.concat(F.lit(f',"{name}":'), form(rows)) for name, rows in lists.items()]
+    return B.table(spark, sf_dir, "part").select(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"tags":'), tags, *more, F.lit("}")).alias("node"))
+
+
+@query("""SELECT 'gid://store/Product/' || p_partkey AS gid, p_name AS title, p_brand AS vendor, replace(p_name, ' ', ',') AS tags, p_partkey % 5 > 0 OR p_partkey % 3 = 2 AS variants_complete, 2::BIGINT AS n_variants,
+ round(2 * p_retailprice + 3, 2)::DOUBLE AS prices, 3::BIGINT AS positions, (p_partkey % 2)::BIGINT AS n_available, CASE WHEN p_partkey % 25 = p_partkey % 7 THEN 1 ELSE 2 END::BIGINT AS n_collections FROM part""")
+def normalize_products(spark, sf_dir):
+    p, v, m = CI.normalize_products(_nodes(spark, sf_dir))
+    by_product = v.groupBy(F.col("product_gid").alias("gid")).agg(F.count("*").alias("n_variants"), F.round(F.sum("price").cast("double"), 2).alias("prices"), F.sum("position").alias("positions"), F.count_if("available_for_sale").alias("n_available"))
+    members = m.groupBy(F.col("product_gid").alias("gid")).agg(F.count("*").alias("n_collections"))
+    return p.select("gid", "title", "vendor", F.array_join("tags", ",").alias("tags"), "variants_complete").join(by_product, "gid").join(members, "gid")

@@ -112,10 +112,17 @@ def fuzzy_candidates(spark, sf_dir):
     return S.fuzzy_candidates(S.plan_tokens(query_log(spark, sf_dir), stopwords(spark)), D.vocabulary(vis(spark, sf_dir)))
 
 
-@query(f"""{_FUZZY}, p AS (SELECT query_id, string_agg(tok.token, ' ' ORDER BY pos) AS kept, string_agg(coalesce(term, tok.token), ' ' ORDER BY pos) AS corrected, count(term) AS n_corrected FROM tok LEFT JOIN (SELECT * FROM fz WHERE rank = 1) f ON tok.token = f.token GROUP BY 1)
-SELECT query_id, coalesce(kept, '') AS kept, coalesce(corrected, '') AS corrected, coalesce(n_corrected, 0) AS n_corrected, kept IS NULL AS is_empty FROM ql LEFT JOIN p USING (query_id)""")
+@query(f"""{_FUZZY}, {_SYN}, fl AS (SELECT token, string_agg(term, '+' ORDER BY rank) AS terms, arg_min(term, rank) AS best FROM fz WHERE rank <= 5 GROUP BY 1),
+p AS (SELECT query_id, string_agg(tok.token, ' ' ORDER BY pos) AS kept, string_agg(coalesce(best, tok.token), ' ' ORDER BY pos) AS corrected, count(best) AS n_corrected,
+ string_agg(tok.token || ':' || coalesce(terms, ''), ' ' ORDER BY pos) AS positions FROM tok LEFT JOIN fl ON tok.token = fl.token GROUP BY 1),
+rm AS (SELECT query_id, string_agg(token, ' ' ORDER BY p) AS removed FROM rawtok ANTI JOIN kept USING (query_id, p) GROUP BY 1),
+ex AS (SELECT query_id, string_agg(expansion, '|' ORDER BY n) AS expansions FROM syn WHERE n <= 20 GROUP BY 1)
+SELECT query_id, coalesce(p.kept, '') AS kept, coalesce(corrected, '') AS corrected, coalesce(n_corrected, 0) AS n_corrected, coalesce(positions, '') AS positions, p.kept IS NULL AS is_empty, coalesce(removed, '') AS removed, coalesce(expansions, '') AS expansions
+FROM ql LEFT JOIN p USING (query_id) LEFT JOIN rm USING (query_id) LEFT JOIN ex USING (query_id)""")
 def plan_queries(spark, sf_dir):
-    return S.plan_queries(query_log(spark, sf_dir), D.vocabulary(vis(spark, sf_dir)), stopwords(spark))
+    p = S.plan_queries(query_log(spark, sf_dir), D.vocabulary(vis(spark, sf_dir)), stopwords(spark), _rules(spark))
+    positions = F.array_join(F.transform("positions", lambda x: F.concat(x["token"], F.lit(":"), F.array_join(x["candidates"], "+"))), " ")
+    return p.select("query_id", "kept", "corrected", "n_corrected", F.coalesce(positions, F.lit("")).alias("positions"), "is_empty", F.array_join("removed", " ").alias("removed"), F.array_join("expansions", "|").alias("expansions"))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, damerau_levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
