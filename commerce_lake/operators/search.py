@@ -452,6 +452,46 @@ def _ranked_facets(counted: DataFrame, key: str, top: int) -> DataFrame:
     return counted.where("n > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def _salted(filters: DataFrame) -> DataFrame:
+    """filters for each salt: few kinds are too few keys to deal by."""
+    return filters.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def _counts_below(values: DataFrame, cells: DataFrame, bounds: DataFrame, price: str, strict: bool) -> DataFrame:
+    """kind, value, available, bound, below: documents of each value whose price is under the bound (at most the bound, if not strict).
+
+    Bounds (kind, bound) and prices run through one window for each value, a cumulative count over sorted prices.
+    A window holds the different prices and bounds of a value, not its documents."""
+    key = ["kind", "value", "available"]
+    held = cells.where(f"{price} is not null").groupBy(*key, F.col(price).cast("double").alias("bound")).agg(F.sum("n").alias("n")).withColumn("turn", F.lit(1))
+    asked = values.join(_salted(bounds), ["kind", "_salt"]).select(*key, "bound", F.lit(0).cast("long").alias("n"), F.lit(0 if strict else 2).alias("turn"))
+    upto = Window.partitionBy(*key).orderBy("bound", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return held.unionByName(asked).withColumn("below", F.sum("n").over(upto)).where("turn <> 1").select(*key, "bound", "below")
+
+
+def _browsed(filters: DataFrame, cells: DataFrame) -> DataFrame:
+    """_filter, kind, value, n for filters without a wanted list: filters meet values, not documents or prices.
+
+    cells: kind, value, available, price_min, price_max, n; a document has both prices, the lower not above the higher, or none.
+    It passes a range unless its highest price is below the range or its lowest above it, so two cumulative counts answer each
+    range.  Ranges whose ends are crossed, which no request should have, are compared with the prices themselves."""
+    own = filters.select("_filter", "kind", "want_available", F.col("price_lo").cast("double").alias("price_lo"), F.col("price_hi").cast("double").alias("price_hi"))
+    crossed = F.coalesce(F.col("price_lo") > F.col("price_hi"), F.lit(False))
+    cells = cells.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    values = cells.groupBy("kind", "value", "available", "_salt").agg(F.sum("n").alias("every"), F.coalesce(F.sum(F.when(F.col("price_min").isNotNull(), F.col("n"))), F.lit(0)).alias("priced"))
+    plain = own.where(~crossed)
+    ends = {c: plain.where(f"{c} is not null").select("kind", F.col(c).alias("bound")).distinct() for c in ("price_lo", "price_hi")}
+    lower = _counts_below(values, cells, ends["price_lo"], "price_max", True).select("kind", "value", "available", F.col("bound").alias("price_lo"), F.col("below").alias("under"))
+    upper = _counts_below(values, cells, ends["price_hi"], "price_min", False).select("kind", "value", "available", F.col("bound").alias("price_hi"), F.col("below").alias("upto"))
+    wanted = "(want_available is null or want_available = available)"
+    met = _salted(plain).join(values, ["kind", "_salt"]).where(wanted)
+    met = met.join(lower, ["kind", "value", "available", "price_lo"], "left").join(upper, ["kind", "value", "available", "price_hi"], "left")
+    n = F.when(F.col("price_lo").isNull() & F.col("price_hi").isNull(), F.col("every")).otherwise(F.coalesce("upto", "priced") - F.coalesce("under", F.lit(0)))
+    odd = _salted(own.where(crossed)).join(cells, ["kind", "_salt"]).where(f"{wanted} and price_max >= price_lo and price_min <= price_hi")
+    rows = met.select("_filter", "kind", "value", n.alias("n")).unionByName(odd.select("_filter", "kind", "value", "n"))
+    return rows.groupBy("_filter", "kind", "value").agg(F.sum("n").alias("n"))
+
+
 def facets(requests: DataFrame, docs: DataFrame, top: int = 50, matches: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """query_id, kind, value, label, n, rank: each facet under the filters of the other groups.
 
@@ -468,12 +508,7 @@ def facets(requests: DataFrame, docs: DataFrame, top: int = 50, matches: DataFra
     value = _of_kind()
     counted = _list_pairs(one, docs).select("_filter", "kind", F.explode(value).alias("value")).groupBy("_filter", "kind", "value").agg(F.count("*").alias("n"))
     cells = docs.select("*", F.explode(F.array(*map(F.lit, GROUPS[:-1]))).alias("kind")).select("kind", "available", "price_min", "price_max", F.explode(value).alias("value")).groupBy("kind", "value", "available", "price_min", "price_max").agg(F.count("*").alias("n"))
-    # few kinds are too few keys to deal by
-    cells = cells.withColumn("_salt", F.pmod(F.xxhash64("value", "price_min", "price_max"), F.lit(SALTS)))
-    browse = one.where(f"not ({_HAS_LIST})").select("_filter", "kind", "want_available", "price_lo", "price_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    none = F.array().cast("array<string>")
-    met = browse.join(cells, ["kind", "_salt"]).select("*", *[none.alias(c) for c in LISTS.values()], *[F.lit("").alias(c) for c in ("vendor", "product_type", "metafield")], none.alias("tags"))
-    browsed = facet_filter(filter_flags(met)).groupBy("_filter", "kind", "value").agg(F.sum("n").alias("n"))
+    browsed = _browsed(one.where(f"not ({_HAS_LIST})"), cells)
     plain = counted.unionByName(browsed)
     if matches is None and hidden is None:
         out = f.select("query_id", "_filter").join(_ranked_facets(plain, "_filter", top), "_filter")
